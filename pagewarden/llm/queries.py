@@ -6,21 +6,70 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewarden.llm import quality
+from pagewarden.llm import decontaminate, jaccard, pieces, pii, quality, secrets, substrings, tokenstore
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_benchmark_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document that lie in 10-word runs of benchmark items, and the items that occur."""
+    return decontaminate.digest(decontaminate.scan(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark")))
+
+
+def op4_context_mixing_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of all documents, written in compressed files and read back."""
+    return tokenstore.read(tokenstore.write(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+def op5_sentencepiece_viterbi(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of each document by the batched Viterbi search, and whether decoding gives the text again."""
+    return pieces.digest(_table(spark, folder, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of each document and its number of verified links."""
+    return jaccard.classes(_table(spark, folder, "documents")).select("doc_id", "class_id", "n_links")
+
+
+def op7_semi_markov_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in each document."""
+    return pii.digest(pii.scan(_table(spark, folder, "documents").select("doc_id", "text")))
+
+
 def op8_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and the verdict of the quality rules for each document."""
     judged = quality.judge(_table(spark, folder, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_zstd_novelty(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in each document."""
+    return secrets.digest(secrets.scan(_table(spark, folder, "documents").select("doc_id", "text")))
+
+
+def op10_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each document that lie in repeated 20-word passages."""
+    return substrings.dedup(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_ngrams": op2_benchmark_ngrams,
+    "op4_context_mixing_ids": op4_context_mixing_ids,
+    "op5_sentencepiece_viterbi": op5_sentencepiece_viterbi,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_semi_markov_pii": op7_semi_markov_pii,
     "op8_distribution_divergence": op8_distribution_divergence,
+    "op9_zstd_novelty": op9_zstd_novelty,
+    "op10_difference_cover": op10_difference_cover,
 }
 ORACLES: dict[str, str] = {
     "op8_distribution_divergence": quality.oracle_sql(),
