@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewarden.llm import decontaminate, jaccard, pieces, pii, quality, secrets, substrings, tokenstore
+from pagewarden.llm import decontaminate, jaccard, lm, pieces, pii, quality, secrets, substrings, tokenstore, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,11 +20,21 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_attention_lm(spark: SparkSession, folder: str) -> DataFrame:
+    """Attention and unigram scores of each document."""
+    return lm.score(_table(spark, folder, "documents"), lm.Config(tokenizer_file("piece_bpe_32k.model")))
+
+
 def op2_benchmark_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each document that lie in 10-word runs of benchmark items, and the items that occur."""
     return decontaminate.digest(decontaminate.scan(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark")))
 
 
+def op3_warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Metadata and conversion records of each page."""
+    return warc.digest(warc.derive(warc.responses(_table(spark, folder, "pages"))))
+
+
 def op4_context_mixing_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of all documents, written in compressed files and read back."""
     return tokenstore.read(tokenstore.write(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json")))
@@ -62,7 +72,9 @@ def op10_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_attention_lm": op1_attention_lm,
     "op2_benchmark_ngrams": op2_benchmark_ngrams,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_context_mixing_ids": op4_context_mixing_ids,
     "op5_sentencepiece_viterbi": op5_sentencepiece_viterbi,
     "op6_ngram_jaccard": op6_ngram_jaccard,
@@ -72,5 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_difference_cover": op10_difference_cover,
 }
 ORACLES: dict[str, str] = {
+    "op3_warc_derivatives": warc.oracle_sql(),
     "op8_distribution_divergence": quality.oracle_sql(),
 }
