@@ -1,10 +1,330 @@
-"""Queries over the given tables, and their SQL."""
+"""Queries over the given tables, and their SQL. Rules are written out on both sides."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from pagewarden.functions import urls
+from pagewarden.operators import links as L
+from pagewarden.operators import listings, pages, rules
+from pagewarden.sources import site
+
+SITE = "site.test"
+REDIRECTS = "/old /new 301\r\n\r\n/old /newer 301\n/temp /x 302\n/short /y\n/newer /newest 301 force\n/a /b 301\n/b /c 301\n/c /a 301\nhttp://* https://:splat 301"
+SPLATS = [(1, "http://www.*", "https://:splat"), (2, "http://*", "https://:splat"), (3, "https://m.*", "https://:splat")]
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _pages(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "pages").select("page_id", "url", "html")
+
+
+def _corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "pages").select(F.col("url").alias("path"), F.col("html").alias("value"))
+
+
+def _rules(spark: SparkSession) -> DataFrame:
+    return site.parse_redirects(site.numbered_lines(spark.createDataFrame([(REDIRECTS,)], "value string")))
+
+
+def link_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return L.extract_links(_pages(spark, folder)).select("page_id", F.col("pos").cast("bigint").alias("pos"), "raw")
+
+
+def link_classify(spark: SparkSession, folder: str) -> DataFrame:
+    own = _pages(spark, folder)
+    values = L.extract_links(own).select("raw").union(own.select("url"))
+    return L.classify_links(values).groupBy("external").agg(F.count("*").alias("n"), F.count_distinct("raw").alias("n_distinct"))
+
+
+def url_strip(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder).select("page_id", urls.strip_suffix(F.col("url")).alias("clean"), urls.host(F.col("url")).alias("host"), urls.url_path(F.col("url")).alias("path"))
+
+
+def path_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    """Each page's path with links on it, as they are and relative."""
+    own = L.extract_links(_pages(spark, folder)).select("page_id", urls.url_path(F.col("url")).alias("base"), "raw").distinct()
+    each = own.select("page_id", "base", F.explode(F.array(F.col("raw"), F.concat(F.lit("."), F.col("raw")), F.concat(F.lit("../.."), F.col("raw")), F.concat(F.lit("x/../y/."), F.col("raw"), F.lit("/")))).alias("clean"))
+    return each.select("page_id", "clean", urls.resolve_path(F.col("base"), F.col("clean")).alias("path")).distinct()
+
+
+def link_candidates(spark: SparkSession, folder: str) -> DataFrame:
+    raw = L.extract_links(_pages(spark, folder)).select("raw").distinct()
+    return raw.select("raw", F.explode(urls.candidate_keys(urls.strip_suffix(F.col("raw")))).alias("key"))
+
+
+def _broken(spark: SparkSession, folder: str) -> DataFrame:
+    """Links of pages beside those that stand for the site's files: what pages with page_id % 5 = 0 link to on a host exists there."""
+    found = L.checked_paths(L.extract_links(_pages(spark, folder)).withColumns({"host": urls.host(F.col("url")), "base": urls.url_path(F.col("url"))}), "base")
+    files = found.filter("page_id % 5 = 0").select("host", F.explode(F.slice(urls.candidate_keys(F.col("path")), 1, 1)).alias("path")).distinct()
+    return L.broken_links(found.filter("page_id % 5 <> 0"), files, _rules(spark), ("host",))
+
+
+def broken_links(spark: SparkSession, folder: str) -> DataFrame:
+    return _broken(spark, folder).select("page_id", F.col("pos").cast("bigint").alias("pos"), "raw", "host", "path")
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Number of broken links and of pages that have them, by host."""
+    return _broken(spark, folder).groupBy("host").agg(F.count("*").alias("n_links"), F.count_distinct("page_id").alias("n_pages"))
+
+
+def redirect_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    paths = L.extract_links(_pages(spark, folder)).select(F.col("raw").alias("path")).distinct().union(spark.createDataFrame([("/old",), ("/a",), ("/temp",)], "path string"))
+    more = paths.filter(F.length("path") % 2 == 0).select("path", F.concat("path", F.lit("?moved")).alias("dst"), F.length("path").alias("line_no"))
+    known = _rules(spark).select("src", "dst", "line_no").union(more.select("path", "dst", "line_no"))
+    return L.apply_redirects(paths, known).select("path", "target")
+
+
+def _required(spark: SparkSession, folder: str) -> DataFrame:
+    return _pages(spark, folder).select(F.concat(F.lit(f"https://{SITE}"), urls.url_path(F.col("url"))).alias("url")).distinct()
+
+
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """A sitemap of what pages link to, and of the paths of every second page."""
+    own = _pages(spark, folder)
+    linked = L.extract_links(own).select(F.col("raw").alias("path")).union(own.filter("page_id % 2 = 0").select(urls.url_path(F.col("url"))))
+    return linked.select(F.concat(F.lit(f"https://{SITE}"), "path").alias("loc")).distinct()
+
+
+def coverage_missing(spark: SparkSession, folder: str) -> DataFrame:
+    return listings.missing_from(_required(spark, folder), _listed(spark, folder).withColumnRenamed("loc", "url"))
+
+
+def redirected_listed(spark: SparkSession, folder: str) -> DataFrame:
+    sources = _pages(spark, folder).filter("page_id % 3 = 0").select(urls.url_path(F.col("url")).alias("src"), F.lit("/").alias("dst"))
+    return listings.redirected_in_sitemap(sources, _listed(spark, folder), f"https://{SITE}")
+
+
+FORBIDDEN = ["License", "@", "lorem ipsum", "token ="]
+
+
+def forbidden_scan(spark: SparkSession, folder: str) -> DataFrame:
+    texts = _table(spark, folder, "documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("value"))
+    return rules.scan_forbidden(texts.union(_corpus(spark, folder)), FORBIDDEN).select("subject", "detail")
+
+
+def _expect(spark: SparkSession, folder: str, triples: list[tuple[str, str, str, str | None]]) -> DataFrame:
+    """The same expectations for every page."""
+    lists = F.array(*[F.struct(F.lit(a).alias("check_id"), F.lit(b).alias("op"), F.lit(c).alias("literal"), F.lit(d).cast("string").alias("any_group")) for a, b, c, d in triples])
+    return _pages(spark, folder).select(F.col("url").alias("subject"), F.explode(lists).alias("e")).select(F.lit("s").alias("suite"), "e.check_id", "subject", "e.op", "e.literal", "e.any_group")
+
+
+LITERALS = [("has-nav", "contains", "<nav", None), ("no-script", "not_contains", "<script", None), ("doctype", "starts_with", "<!DOCTYPE", None), ("english", "contains", 'lang="en"', None)]
+PATTERNS = [("heading", "matches", r"(?i)<h1[^>]*>[A-Z]", None), ("no-iframe", "not_matches", r"(?i)<iframe\b[^>]*\bsrc=", None), ("short-title", "not_matches", r"<title>[^<]{40,}</title>", None)]
+VARIANTS = [("language", "contains", 'lang="de"', "roman"), ("language", "contains", 'lang="fr"', "roman"), ("language", "contains", 'lang="es"', "roman")]
+
+
+def literal_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.check_literals(_corpus(spark, folder), _expect(spark, folder, LITERALS)).select("check_id", "subject", "detail")
+
+
+def pattern_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.check_patterns(_corpus(spark, folder), _expect(spark, folder, PATTERNS)).select("check_id", "subject", "detail")
+
+
+def any_of_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.check_any_of(_corpus(spark, folder), _expect(spark, folder, VARIANTS)).select("check_id", "subject", "detail")
+
+
+NAV = r"(?s)<nav[^>]*>(.*?)</nav>"
+
+
+def implication_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.check_implication(_corpus(spark, folder), "<nav", "about", True, NAV).select("subject", "detail")
+
+
+def count_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.check_count(_corpus(spark, folder), r"<p\b", 5).select("subject", "detail")
+
+
+def head_markers(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.check_head_markers(_pages(spark, folder)).select("check_id", "subject")
+
+
+def block_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.extract_block(_pages(spark, folder), NAV).select("page_id", "block")
+
+
+def tag_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Links without a class, and their targets."""
+    tags = rules.tag_attrs(rules.extract_tags(_pages(spark, folder), "a"))
+    return tags.select("page_id", F.col("pos").cast("bigint").alias("pos"), F.col("attrs")["href"].alias("href"), F.map_contains_key("attrs", "class").alias("has_class"))
+
+
+LABELS = ["Home", "About", "Contact", "Start"]
+
+
+def label_matrix(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.check_labels(_corpus(spark, folder), LABELS).select("subject", "detail")
+
+
+def byte_budget(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages at or over the limit of their language's class."""
+    own = _pages(spark, folder)
+    lang = F.regexp_extract("html", r'<html[^>]*\blang="([a-z]+)"', 1)
+    limit = F.when(lang == "en", 3000).when(lang == "de", 4000).otherwise(2500)
+    files = own.select(F.col("url").alias("path"), F.octet_length("html").cast("bigint").alias("bytes"), F.lit("file").alias("kind"))
+    budgets = own.select(lang.alias("asset_class"), F.col("url").alias("path"), limit.alias("limit_bytes"))
+    return listings.check_budgets(files, budgets).select("check_id", "subject", "detail")
+
+
+def any_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of a host as one text."""
+    groups = _pages(spark, folder).select(F.col("url").alias("path"), urls.host(F.col("url")).alias("group"))
+    wanted = groups.select(F.col("group").alias("subject")).distinct().select(F.lit("s").alias("suite"), "subject", F.explode(F.array(*[F.struct(F.lit(a).alias("check_id"), F.lit(b).alias("op"), F.lit(c).alias("literal")) for a, b, c in (("de", "contains", 'lang="de"'), ("fr", "not_contains", 'lang="fr"'))])).alias("e")).select("suite", "subject", "e.*")
+    return rules.check_any_source(_corpus(spark, folder), groups, wanted).select("check_id", "subject", "detail")
+
+
+def suite_summary(spark: SparkSession, folder: str) -> DataFrame:
+    found = rules.check_literals(_corpus(spark, folder), _expect(spark, folder, LITERALS)).unionByName(rules.check_patterns(_corpus(spark, folder), _expect(spark, folder, PATTERNS)))
+    checks = spark.createDataFrame([("s", x[0]) for x in LITERALS + PATTERNS], "suite string, check_id string")
+    return listings.summarise(found, checks)
+
+
+def splat_redirect(spark: SparkSession, folder: str) -> DataFrame:
+    known = spark.createDataFrame(SPLATS, "line_no int, src string, dst string")
+    return L.apply_splat_redirects(_pages(spark, folder).select("page_id", "url"), known).select("page_id", "url", "rule", "target")
+
+
+def redirect_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Chains over each page's number: n goes to n/2 where n is even and above 2, beside the written rules."""
+    more = _pages(spark, folder).filter("page_id % 2 = 0 AND page_id > 2").select(F.lit(1).alias("line_no"), F.concat(F.lit("/p"), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("/p"), (F.col("page_id") / 2).cast("bigint").cast("string")).alias("dst"))
+    chains = L.redirect_chains(_rules(spark).select("line_no", "src", "dst").union(more), 20)
+    return chains.select("src", F.col("hops").cast("bigint").alias("hops"), "loops", F.when(~F.col("loops"), F.col("final")).alias("final"))
+
+
+def head_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.head_metadata(_pages(spark, folder))
+
+
+def duplicate_titles(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.duplicate_titles(pages.head_metadata(_pages(spark, folder)))
+
+
+def listing_diff(spark: SparkSession, folder: str) -> DataFrame:
+    return listings.listing_diff(_required(spark, folder), _listed(spark, folder).withColumnRenamed("loc", "url"))
+
+
+def ambiguous_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.ambiguous_labels(pages.extract_anchors(_pages(spark, folder)))
+
+
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.near_duplicates(_pages(spark, folder)).withColumn("similarity", F.round("similarity", 6))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        link_extract, link_classify, url_strip, path_resolve, link_candidates, broken_links, flagship, redirect_lookup, coverage_missing,
+        redirected_listed, forbidden_scan, literal_rules, pattern_rules, any_of_rules, implication_rules, count_rules, head_markers, block_extract,
+        tag_rules, label_matrix, byte_budget, any_source, suite_summary, splat_redirect, redirect_chains, head_metadata, duplicate_titles,
+        listing_diff, ambiguous_labels, near_duplicates,
+    )
+}
+
+
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_LINKS = f"SELECT page_id, url, generate_subscripts(r, 1) - 1 AS pos, unnest(r) AS raw FROM (SELECT page_id, url, regexp_extract_all(html, {_q(urls.LINK)}, 1) AS r FROM pages)"
+_HOST = lambda u: f"regexp_replace(lower(regexp_extract({u}, '(?i)^https?://([^/?#:]+)', 1)), '^(?:www|m)\\.', '')"
+_PATH = lambda u: f"coalesce(nullif(regexp_extract({u}, '(?i)^https?://[^/?#]*([^?#]*)', 1), ''), '/')"
+_CLEAN = lambda u: f"regexp_extract({u}, '^[^?#]*')"
+
+
+def _collapse(p: str) -> str:
+    parts = f"list_filter(string_split({p}, '/'), lambda x: x NOT IN ('', '.'))"
+    kept = f"list_reduce(list_prepend([]::VARCHAR[], list_transform({parts}, lambda x: [x])), lambda acc, x: CASE WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 0)] ELSE list_concat(acc, x) END)"
+    joined = f"('/' || array_to_string({kept}, '/'))"
+    return f"CASE WHEN {joined} <> '/' AND regexp_matches({p}, '(?:/|/\\.)$') THEN {joined} || '/' ELSE {joined} END"
+
+
+def _candidates(p: str) -> str:
+    b = f"ltrim({p}, '/')"
+    return f"CASE WHEN {b} = '' THEN ['index.html'] WHEN suffix({b}, '/') THEN [{b} || 'index.html'] ELSE [{b}, {b} || '.html', {b} || '/index.html'] END"
+
+
+_RULES = "(VALUES (0, '/old', '/new'), (2, '/old', '/newer'), (5, '/newer', '/newest'), (6, '/a', '/b'), (7, '/b', '/c'), (8, '/c', '/a'), (9, 'http://*', 'https://:splat'))"
+_BROKEN = f"""c AS (SELECT page_id, pos, raw, {_HOST("url")} AS host, CASE WHEN prefix(clean, '/') THEN clean ELSE {_collapse(f"regexp_extract('/' || ltrim({_PATH('url')}, '/'), '^.*/') || clean")} END AS path
+  FROM (SELECT *, {_CLEAN("raw")} AS clean FROM ({_LINKS})) WHERE clean <> '' AND NOT regexp_matches(raw, {_q(urls.EXTERNAL)})),
+f AS (SELECT DISTINCT host, ({_candidates("path")})[1] AS key FROM c WHERE page_id % 5 = 0),
+g AS (SELECT DISTINCT host, path, unnest({_candidates("path")}) AS key FROM c),
+k AS (SELECT DISTINCT host, path FROM g WHERE EXISTS (SELECT 1 FROM f WHERE f.host = g.host AND f.key = g.key)),
+x AS (SELECT * FROM c WHERE page_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM k WHERE k.host = c.host AND k.path = c.path) AND path NOT IN (SELECT src FROM {_RULES} r(line_no, src, dst)))"""
+_REQUIRED = f"SELECT DISTINCT 'https://{SITE}' || {_PATH('url')} AS url FROM pages"
+_LISTED = f"SELECT DISTINCT 'https://{SITE}' || p AS url FROM (SELECT raw AS p FROM ({_LINKS}) UNION ALL SELECT {_PATH('url')} FROM pages WHERE page_id % 2 = 0)"
+
+
+def _holds(op: str, literal: str) -> str:
+    x = _q(literal)
+    return {"contains": f"contains(html, {x})", "not_contains": f"NOT contains(html, {x})", "starts_with": f"prefix(ltrim(html, ' ' || chr(9) || chr(10) || chr(13)), {x})", "matches": f"regexp_matches(html, {x})", "not_matches": f"NOT regexp_matches(html, {x})"}[op]
+
+
+def _each(triples: list[tuple[str, str, str, str | None]]) -> str:
+    return " UNION ALL ".join(f"SELECT {_q(a)} AS check_id, url AS subject, {_q(f'{b} {c}')} AS detail FROM pages WHERE NOT ({_holds(b, c)})" for a, b, c, _ in triples)
+
+
+_TAG = lambda tag, attr: f"""nullif(regexp_extract(regexp_extract(html, {_q(tag)}), '(?i)\\b{attr}=["'']([^"'']*)["'']', 1), '')"""
+_TITLE = "nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ' '), '')"
+_IMAGES = "regexp_extract_all(html, '(?i)<img\\b[^>]*>')"
+_HEADS = f"""SELECT page_id, url, {_TITLE} AS title, {_TAG('''(?i)<meta\\b[^>]*name=["']description["'][^>]*>''', "content")} AS description, {_TAG('''(?i)<link\\b[^>]*rel=["']canonical["'][^>]*>''', "href")} AS canonical,
+  {_TAG('''(?i)<meta\\b[^>]*name=["']robots["'][^>]*>''', "content")} AS robots, {_TAG("(?i)<html\\b[^>]*>", "lang")} AS lang, len(regexp_extract_all(html, '(?i)<h1\\b'))::BIGINT AS n_h1, len(regexp_extract_all(html, '(?i)<h2\\b'))::BIGINT AS n_h2,
+  len({_IMAGES})::BIGINT AS n_images, len(list_filter({_IMAGES}, lambda x: NOT regexp_matches(x, '(?i)\\balt=')))::BIGINT AS n_images_without_alt FROM pages"""
+_LANG = "regexp_extract(html, '<html[^>]*\\blang=\"([a-z]+)\"', 1)"
+
+ORACLES: dict[str, str] = {
+    "link_extract": f"SELECT page_id, pos::BIGINT AS pos, raw FROM ({_LINKS})",
+    "link_classify": f"SELECT regexp_matches(raw, {_q(urls.EXTERNAL)}) AS external, count(*) AS n, count(DISTINCT raw) AS n_distinct FROM (SELECT raw FROM ({_LINKS}) UNION ALL SELECT url FROM pages) GROUP BY 1",
+    "url_strip": f"SELECT page_id, {_CLEAN('url')} AS clean, {_HOST('url')} AS host, {_PATH('url')} AS path FROM pages",
+    "path_resolve": f"""WITH l AS (SELECT DISTINCT page_id, {_PATH("url")} AS base, raw FROM ({_LINKS})), e AS (SELECT page_id, base, unnest([raw, '.' || raw, '../..' || raw, 'x/../y/.' || raw || '/']) AS clean FROM l)
+SELECT DISTINCT page_id, clean, CASE WHEN prefix(clean, '/') THEN clean ELSE {_collapse("regexp_extract('/' || ltrim(base, '/'), '^.*/') || clean")} END AS path FROM e""",
+    "link_candidates": f"SELECT raw, unnest({_candidates(_CLEAN('raw'))}) AS key FROM (SELECT DISTINCT raw FROM ({_LINKS}))",
+    "broken_links": f"WITH {_BROKEN} SELECT page_id, pos::BIGINT AS pos, raw, host, path FROM x",
+    "flagship": f"WITH {_BROKEN} SELECT host, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM x GROUP BY host",
+    "redirect_lookup": f"""WITH p AS (SELECT DISTINCT raw AS path FROM ({_LINKS}) UNION ALL SELECT * FROM (VALUES ('/old'), ('/a'), ('/temp'))),
+r AS (SELECT src, dst, line_no FROM {_RULES} r(line_no, src, dst) UNION ALL SELECT path, path || '?moved', length(path) FROM p WHERE length(path) % 2 = 0), m AS (SELECT src, max_by(dst, line_no) AS target FROM r GROUP BY src)
+SELECT path, target FROM p LEFT JOIN m ON src = path""",
+    "coverage_missing": f"SELECT url FROM ({_REQUIRED}) WHERE url NOT IN ({_LISTED})",
+    "redirected_listed": f"SELECT DISTINCT {_PATH('url')} AS src, 'https://{SITE}' || {_PATH('url')} AS loc FROM pages WHERE page_id % 3 = 0 AND 'https://{SITE}' || {_PATH('url')} IN ({_LISTED})",
+    "forbidden_scan": f"SELECT subject, detail FROM (SELECT 'doc:' || doc_id AS subject, text AS value FROM documents UNION ALL SELECT url, html FROM pages), (SELECT unnest([{', '.join(map(_q, FORBIDDEN))}]) AS detail) WHERE contains(value, detail)",
+    "literal_rules": _each(LITERALS),
+    "pattern_rules": _each(PATTERNS),
+    "any_of_rules": f"SELECT 'language' AS check_id, url AS subject, 'none of roman' AS detail FROM pages WHERE NOT ({' OR '.join(_holds(x[1], x[2]) for x in VARIANTS)})",
+    "implication_rules": f"SELECT url AS subject, '<nav needs about' AS detail FROM pages WHERE contains(html, '<nav') AND NOT contains(regexp_extract(html, {_q(NAV)}, 1), 'about')",
+    "count_rules": "SELECT url AS subject, 'found ' || n AS detail FROM (SELECT url, len(regexp_extract_all(html, '<p\\b')) AS n FROM pages) WHERE n <> 5",
+    "head_markers": "SELECT unnest(list_filter([CASE WHEN NOT contains(html, 'rel=\"canonical\"') THEN 'canonical' END, CASE WHEN NOT contains(html, 'application/ld+json') THEN 'structured-data' END], lambda x: x IS NOT NULL)) AS check_id, url AS subject FROM pages",
+    "block_extract": f"SELECT page_id, regexp_extract(html, {_q(NAV)}, 1) AS block FROM pages",
+    "tag_rules": """SELECT page_id, pos, nullif(regexp_extract(tag, '\\bhref\\s*=\\s*["'']([^"'']*)["'']', 1), '') AS href, regexp_matches(tag, '\\bclass\\s*=\\s*["'']') AS has_class FROM (
+SELECT page_id, (generate_subscripts(r, 1) - 1)::BIGINT AS pos, unnest(r) AS tag FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\b[^>]*>') AS r FROM pages))""",
+    "label_matrix": f"SELECT url AS subject, detail FROM pages, (SELECT unnest([{', '.join(map(_q, LABELS))}]) AS detail) WHERE NOT contains(html, detail)",
+    "byte_budget": f"""SELECT lang AS check_id, url AS subject, n || ' of ' || m AS detail FROM (SELECT url, {_LANG} AS lang, octet_length(encode(html)) AS n, CASE {_LANG} WHEN 'en' THEN 3000 WHEN 'de' THEN 4000 ELSE 2500 END AS m FROM pages) WHERE n >= m""",
+    "any_source": f"""WITH g AS (SELECT {_HOST("url")} AS h, bool_or(contains(html, 'lang="de"')) AS de, bool_or(contains(html, 'lang="fr"')) AS fr FROM pages GROUP BY 1)
+SELECT 'de' AS check_id, h AS subject, 'contains lang="de"' AS detail FROM g WHERE NOT de UNION ALL SELECT 'fr', h, 'not_contains lang="fr"' FROM g WHERE fr""",
+    "suite_summary": f"""WITH v AS ({_each(LITERALS)} UNION ALL {_each(PATTERNS)}), c AS (SELECT unnest([{', '.join(_q(x[0]) for x in LITERALS + PATTERNS)}]) AS check_id)
+SELECT 's' AS suite, c.check_id, count(v.check_id) AS n_failed, count(v.check_id) = 0 AS ok FROM c LEFT JOIN v ON v.check_id = c.check_id GROUP BY c.check_id""",
+    "splat_redirect": f"""WITH m AS (SELECT page_id, url, src, dst, row_number() OVER (PARTITION BY page_id, url ORDER BY line_no) AS k FROM pages, (VALUES {', '.join(f"({a}, {_q(b)}, {_q(c)})" for a, b, c in SPLATS)}) r(line_no, src, dst) WHERE url LIKE replace(src, '*', '%'))
+SELECT page_id, url, src AS rule, replace(dst, ':splat', substr(url, length(src))) AS target FROM m WHERE k = 1""",
+    "redirect_chains": f"""WITH RECURSIVE r AS (SELECT src, max_by(dst, line_no) AS dst FROM (SELECT * FROM {_RULES} r(line_no, src, dst) UNION ALL SELECT 1, '/p' || page_id, '/p' || (page_id // 2) FROM pages WHERE page_id % 2 = 0 AND page_id > 2) GROUP BY src),
+w AS (SELECT src, dst AS at_, 1 AS hops, [src, dst] AS seen, src = dst AS loops FROM r UNION ALL SELECT w.src, r.dst, hops + 1, list_append(seen, r.dst), list_contains(seen, r.dst) FROM w JOIN r ON r.src = w.at_ WHERE NOT loops AND hops < 20),
+l AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY hops DESC) AS k FROM w)
+SELECT src, hops::BIGINT AS hops, loops, CASE WHEN NOT loops THEN at_ END AS final FROM l WHERE k = 1""",
+    "head_metadata": _HEADS,
+    "duplicate_titles": f"SELECT {_HOST('url')} AS host, title, count(*) AS n_pages FROM ({_HEADS}) WHERE title IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1",
+    "listing_diff": f"SELECT url, a.url IS NOT NULL AS in_left, b.url IS NOT NULL AS in_right FROM ({_REQUIRED}) a FULL JOIN ({_LISTED}) b USING (url) WHERE a.url IS NULL OR b.url IS NULL",
+    "ambiguous_labels": """WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>')) AS tag FROM pages), h AS (SELECT *, regexp_extract(tag, '(?is)^<a\\b[^>]*>') AS head FROM t),
+a AS (SELECT page_id, regexp_extract(head, '(?i)\\bhref=["'']([^"'']*)["'']', 1) AS href, coalesce(nullif(regexp_extract(head, '(?i)aria-label=["'']([^"'']*)["'']', 1), ''), trim(regexp_replace(regexp_replace(tag, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ')) AS label FROM h)
+SELECT page_id, label, count(DISTINCT href) AS n_targets FROM a GROUP BY 1, 2 HAVING count(DISTINCT href) > 1""",
+    "near_duplicates": r"""WITH w AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(coalesce(html, ''), '(?is)<nav\b.*?</nav>|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>', ' ', 'g')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM pages),
+t AS (SELECT min(page_id) AS page_id, w FROM w WHERE len(w) >= 5 GROUP BY w), g AS (SELECT DISTINCT page_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t),
+n AS (SELECT page_id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.page_id AS page_a, b.page_id AS page_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.page_id < b.page_id GROUP BY 1, 2)
+SELECT page_a, page_b, round(c / (x.n + y.n - c), 6) AS similarity FROM p JOIN n x ON x.page_id = page_a JOIN n y ON y.page_id = page_b WHERE c / (x.n + y.n - c) >= 0.8""",
+}
