@@ -69,6 +69,8 @@ def _anchors(words: np.ndarray, counts: np.ndarray, cover: Cover) -> tuple[np.nd
 
 def _by_part(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each hash range that has any: its number, and the indices in it, in order."""
+    if not len(hashes):
+        return
     part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     cuts = np.flatnonzero(np.diff(part[order], prepend=-1))
@@ -77,9 +79,11 @@ def _by_part(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _by_key(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]:
+    if not len(keys):
+        return [], []
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
-    cuts = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, dtype=np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     return keys[cuts].tolist(), [values[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
 
 
