@@ -14,7 +14,7 @@ EXPECTATIONS = "suite string, check_id string, subject string, op string, litera
 def _relative(root: str) -> Column:
     """Path below ``root``."""
     clean = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z0-9]+:/+", "/")
-    bare = F.lit("/" + root.split(":", 1)[-1].strip("/") + "/")
+    bare = "/" + root.split(":", 1)[-1].strip("/") + "/"
     return F.substring_index(clean, bare, -1)
 
 
