@@ -274,6 +274,13 @@ class ChunkEncoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
+        ids, sizes, counts = self.by_word(texts)
+        totals = np.concatenate([[0], np.cumsum(sizes)])
+        bounds = np.cumsum(counts)
+        return ids, totals[bounds] - totals[bounds - counts]
+
+    def by_word(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, the number of ids of each part, and the number of parts of each text."""
         if len(self.place) > self.most:
             self._clear()
         split = [x.split() for x in texts]
@@ -290,9 +297,7 @@ class ChunkEncoder:
         starts = np.cumsum(sizes) - sizes
         at = np.fromiter((place[w] for words in split for w in words), dtype=np.int64)
         counts = np.array([len(x) for x in split], dtype=np.int64)
-        totals = np.concatenate([[0], np.cumsum(sizes[at])])
-        bounds = np.cumsum(counts)
-        return pool[flat_take(starts[at], sizes[at])], totals[bounds] - totals[bounds - counts]
+        return pool[flat_take(starts[at], sizes[at])], sizes[at], counts
 
 
 def vocabulary_encoder(path: str, together: int = 1000) -> Callable[[list[str]], list[list[int]]]:

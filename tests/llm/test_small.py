@@ -75,27 +75,27 @@ def test_lm_windows_score_each_piece_once():
 
 def test_lm_attention_is_causal_and_learns():
     vocabulary = lm.Vocabulary(np.arange(100, 0, -1.0), np.arange(100) % 2 == 0, 5, 64)
-    c = lm.Config("", rounds=1)
+    c = lm.Config("", classes=64, rounds=1)
     w = lm.initial(vocabulary, c)
     rng = np.random.default_rng(0)
     classes = np.tile(np.array([3, 9, 4, 17, 5], dtype=np.uint8), 2000)
     windows, targets, counted, _ = lm.cut_windows(classes, np.full(100, 100), c.classes)
-    before = lm.log_chances(w, windows, targets)
+    before = lm.log_chances(w, windows, targets)[0]
     changed = windows.copy()
     changed[:, -1] = rng.integers(0, 60, len(changed))
-    assert np.allclose(lm.log_chances(w, changed, targets)[:, :-1], before[:, :-1])
-    after = lm.log_chances(lm.fit_blocks(w, np.concatenate([windows, targets, counted[:, None]], axis=1), 0.02, 32), windows, targets)
+    assert np.allclose(lm.log_chances(w, changed, targets)[0][:, :-1], before[:, :-1])
+    after = lm.log_chances(lm.fit_blocks(w, np.concatenate([windows, targets, counted[:, None]], axis=1), 0.02, 32), windows, targets)[0]
     assert after.mean() > before.mean() + 1
 
 
 def test_lm_chances_sum_to_one():
     vocabulary = lm.Vocabulary(np.arange(100, 0, -1.0), np.arange(100) % 2 == 0, 5, 64)
-    w = lm.initial(vocabulary, lm.Config(""))
+    w = lm.initial(vocabulary, lm.Config("", classes=64))
     windows = np.full((64, 16), 65)
     windows[:, 8] = 64
     targets = np.zeros((64, 8), dtype=np.int64)
     targets[:, 0] = np.arange(64)
-    assert (10 ** lm.log_chances(w, windows, targets)[:, 0]).sum() == pytest.approx(1, abs=1e-4)
+    assert (10 ** lm.log_chances(w, windows, targets)[0][:, 0]).sum() == pytest.approx(1, abs=1e-4)
     assert np.bincount(vocabulary.class_of, weights=10**vocabulary.log_inside)[np.unique(vocabulary.class_of)] == pytest.approx(1)
 
 
