@@ -268,8 +268,12 @@ def train(texts: list[str], passes: int = 4, seed: int = 7) -> Field:
 def fit(docs: DataFrame, max_documents: int = 2000) -> Field:
     """Learn from at most ``max_documents`` documents that may hold personal data, the first by a hash of their text; long ones by 4,000 characters."""
     likely = docs.select("text").filter(F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]\.[0-9]|[0-9]{4}[ -]?[0-9]{4}"))
-    rows = likely.select(F.xxhash64("text").alias("h"), F.substring("text", 1, 4000).alias("text")).orderBy("h").limit(max_documents).collect()
-    return train([r.text for r in rows])
+    hashed = likely.select(F.xxhash64("text").alias("h"), F.substring("text", 1, 4000).alias("text"))
+    # Hashes alone are ordered; texts reach the driver only for those that are taken.
+    taken = hashed.select("h").distinct().orderBy("h").limit(max_documents)
+    last = taken.agg(F.max("h")).first()[0]
+    rows = [] if last is None else hashed.filter(F.col("h") <= last).dropDuplicates(["h"]).limit(max_documents).collect()
+    return train([r.text for r in sorted(rows, key=lambda r: r.h)])
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind", pa.string())]))
