@@ -212,3 +212,21 @@ def reference_digest(text: bytes | None, rows: list[tuple[str, bytes]], n: int =
                     hit.update(range(i, i + size))
                     found.add(item)
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+
+
+def oracle_sql(n: int = 10) -> str:
+    """digest(scan(documents, benchmark)) in DuckDB SQL."""
+    letters = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    pattern = WORD.pattern.decode()
+    words = lambda text: f"regexp_extract_all(translate(coalesce({text}, ''), {letters}), '{pattern}')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {words("text")} AS w FROM documents),
+b AS (SELECT DISTINCT item_id::VARCHAR AS item, {words("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+i AS (SELECT DISTINCT item, least(len(w), {n}) AS size, unnest(list_transform(range(1, greatest(len(w) - {n} + 1, 1) + 1), lambda k: array_to_string(w[k:k + least(len(w), {n}) - 1], ' '))) AS run FROM b WHERE len(w) > 0),
+s AS (SELECT DISTINCT size FROM i),
+r AS (SELECT rid, size, unnest(range(1, len(w) - size + 2)) AS k, w FROM d, s WHERE len(w) >= size),
+x AS (SELECT rid, k, r.size, item FROM r JOIN i ON i.size = r.size AND i.run = array_to_string(w[k:k + r.size - 1], ' ')),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + size)) AS p FROM x) GROUP BY rid),
+t AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM x) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)"""

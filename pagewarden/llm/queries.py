@@ -84,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_difference_cover": op10_difference_cover,
 }
 ORACLES: dict[str, str] = {
+    "op2_benchmark_ngrams": decontaminate.oracle_sql(),
     "op3_warc_derivatives": warc.oracle_sql(),
     "op8_distribution_divergence": quality.oracle_sql(),
+    "op10_difference_cover": substrings.oracle_sql(),
 }

@@ -269,3 +269,15 @@ def reference(rows: list[tuple[int | None, str | None]], n: int = 20) -> list[tu
         kept = [w for w, g in zip(words, gone, strict=True) if not g]
         out.append((doc_id, len(words), len(words) - len(kept), _sha(kept)))
     return out
+
+
+def oracle_sql(n: int = 20) -> str:
+    """dedup(documents) in DuckDB SQL, for tables without repeated doc_ids."""
+    return f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, k, md5(array_to_string(w[k:k + {n - 1}], ' ')) AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS k FROM d WHERE len(w) >= {n})),
+l AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS place FROM x) WHERE place > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(k, k + {n})) AS k FROM l),
+v AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+c AS (SELECT v.doc_id, count(*) FILTER (g.k IS NOT NULL) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY v.k) FILTER (g.k IS NULL), '') AS kept FROM v LEFT JOIN g USING (doc_id, k) GROUP BY v.doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id)"""
