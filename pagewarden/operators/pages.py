@@ -97,6 +97,13 @@ def date_conflicts(nodes: DataFrame, feed: DataFrame, sitemap: DataFrame) -> Dat
     return met.filter((F.col("published") != F.col("fed")) | (F.col("published") > F.col("listed")) | (F.col("fed") > F.col("listed")))
 
 
+def duration_conflicts(pages: DataFrame) -> DataFrame:
+    """page_id, url, stated, shown of pages whose structured data gives other minutes than their visible reading time."""
+    stated = jsonld_nodes(pages).select("page_id", "url", iso_minutes(F.try_variant_get("node", "$.timeRequired", "string")).alias("stated")).filter("stated IS NOT NULL").groupBy("page_id", "url").agg(F.max("stated").alias("stated"))
+    shown = pages.select("page_id", F.regexp_extract(F.regexp_replace("html", r"<[^>]*>", " "), r"(?i)(\d+)\s*-?\s*min(?:ute)?s?\s+read", 1).try_cast("int").alias("shown")).filter("shown IS NOT NULL")
+    return stated.join(shown, "page_id").filter("stated <> shown")
+
+
 def page_words(html: Column) -> Column:
     """Words of the visible text in lower case, without navigation."""
     text = F.regexp_replace(html, r"(?is)<nav\b.*?</nav>|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ")

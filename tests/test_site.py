@@ -131,6 +131,8 @@ def test_structured_data_and_dates(spark):
     listed = lambda d: spark.sql(f"SELECT 'https://s/a' AS loc, DATE'{d}' AS lastmod")
     assert pages.date_conflicts(nodes, feed, listed("2026-08-01")).count() == 0
     assert pages.date_conflicts(nodes, feed, listed("2026-07-01")).count() == 1
+    timed = [(k, "u", f'<script type="application/ld+json">{{"timeRequired":"PT8M"}}</script><p>{n} min read</p>') for k, n in ((1, 8), (2, 9))]
+    assert rows_of(pages.duration_conflicts(spark.createDataFrame(timed, "page_id bigint, url string, html string")), "page_id", "stated", "shown") == [(2, 8, 9)]
     durations = spark.createDataFrame([("PT8M",), ("PT1H2M",), ("8 min",), ("PT",)], "d string").select(pages.iso_minutes(F.col("d")).alias("m"))
     assert [r.m for r in durations.collect()] == [8, 62, None, None]
 
