@@ -142,7 +142,10 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
     far = (F.col("class_distance") > rules.class_base + rules.class_slack / root) | (F.col("common_distance") > rules.common_base + rules.common_slack / root)
     far = (F.col("n_words") >= rules.guard_words) & far
-    return df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).drop("q_classes", "q_common", "q_length", "r_lang", "r_classes", "r_common")
+    df = df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    # The measures leave through a generator, or a filter on them would be pushed down and written out through all the steps above.
+    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance", "base_failed", "kept"]
+    return df.select(*columns, F.explode(F.array(F.struct(*measures))).alias("q_measures")).select(*columns, "q_measures.*")
 
 
 def oracle_sql(rules: Rules = Rules()) -> str:
