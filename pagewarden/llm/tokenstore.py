@@ -32,79 +32,103 @@ BLOCK = 1024
 SEGMENT_IDS = 1 << 20
 MAGIC = b"IDS1"
 _HEAD = struct.Struct("<4sBII")
-TABLE_BITS = 11
+TABLE_BITS = 10
 _U = np.uint64
 
 # Logistic tables in integers: stretch(p) = ln(p / (1 - p)) of 12-bit chances, scaled by 256; squash is its inverse.
 _P = (np.arange(4096) + 0.5) / 4096
-STRETCH = np.round(np.log(_P / (1 - _P)) * 256).astype(np.int32)
-SQUASH = np.clip(np.round(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256.0))), 64, 65536 - 64).astype(np.int32)
+STRETCH = np.round(np.log(_P / (1 - _P)) * 256).astype(np.int64)
+SQUASH = np.clip(np.round(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256.0))), 64, 65536 - 64).astype(np.int64)
 
 
 class _Model:
-    """Predictions and chances for ``lanes`` blocks at once."""
+    """Predictions and chances for ``lanes`` blocks at once. A slot holds an id plus 1, and a confidence of 0 to 3 in its two low bits."""
 
     def __init__(self, lanes: int):
-        size = lanes << TABLE_BITS
+        self.lanes = lanes
         self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS
-        self.ids = [np.full(lanes, -1, dtype=np.int64), np.full(size, -1, dtype=np.int64), np.full(size, -1, dtype=np.int64)]
-        self.sure = [np.zeros(lanes, dtype=np.int32), np.zeros(size, dtype=np.int32), np.zeros(size, dtype=np.int32)]
-        # Hit rates (16 bits) by order and confidence, per lane.
-        self.rate = [np.full(lanes * 4, x, dtype=np.int32) for x in (1000, 16000, 32000)]
         self.lane4 = np.arange(lanes, dtype=np.int64) * 4
-        self.weight = [np.full(lanes, x, dtype=np.int32) for x in (2000, 12000, 52000)]  # 16-bit fixed point
+        self.slots = [np.zeros(lanes, dtype=np.int64), np.zeros(lanes << TABLE_BITS, dtype=np.int64), np.zeros(lanes << TABLE_BITS, dtype=np.int64)]
+        # Hit rates (16 bits) by order and confidence, and mixing weights (16-bit fixed point), per lane.
+        self.rates = [np.full(lanes * 4, x, dtype=np.int64) for x in (1000, 16000, 32000)]
+        self.weights = [np.full(lanes, x, dtype=np.int64) for x in (2000, 12000, 52000)]
         self.last = np.zeros(lanes, dtype=np.int64)
         self.before = np.zeros(lanes, dtype=np.int64)
 
-    def predict(self) -> np.ndarray:
+    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Upper ends of the chances (16 bits) of order 2, order 1 and order 0; the rest is for an id that none predicts."""
-        h1 = ((self.last + 1) * 0x9E3779B1 >> 13) & ((1 << TABLE_BITS) - 1)
-        h2 = (((self.last + 1) * 0x85EBCA6B ^ (self.before + 1) * 0xC2B2AE35) >> 11) & ((1 << TABLE_BITS) - 1)
-        self.at = [slice(None), self.base + h1, self.base + h2]
-        self.guess = [self.ids[k][self.at[k]] for k in range(3)]
-        self.conf = [self.sure[k][self.at[k]] for k in range(3)]
-        self.slot = [self.lane4 + self.conf[k] for k in range(3)]
-        self.p = [self.rate[k][self.slot[k]] for k in range(3)]
-        self.inputs = [STRETCH[self.p[k] >> 4] for k in range(3)]
-        total = self.inputs[0] * self.weight[0] + self.inputs[1] * self.weight[1] + self.inputs[2] * self.weight[2]
+        mask = (1 << TABLE_BITS) - 1
+        turned = self.last * 0x85EBCA6B
+        self.at1 = self.base + ((self.last * 0x9E3779B1 >> 13) & mask)
+        self.at2 = self.base + (((turned ^ self.before * 0xC2B2AE35) >> 11) & mask)
+        self.slot = [self.slots[0], self.slots[1][self.at1], self.slots[2][self.at2]]
+        self.conf = [x & 3 for x in self.slot]
+        self.guess = [x >> 2 for x in self.slot]
+        self.place = [self.lane4 + x for x in self.conf]
+        self.rate = [r[x] for r, x in zip(self.rates, self.place, strict=True)]
+        self.inputs = [STRETCH[x >> 4] for x in self.rate]
+        total = self.inputs[0] * self.weights[0] + self.inputs[1] * self.weights[1] + self.inputs[2] * self.weights[2]
         self.mixed = SQUASH[np.clip(total >> 16, -2047, 2047) + 2047]
         # Only guesses that are there, and differ from those before them, get a share.
-        there = [self.guess[k] >= 0 for k in range(3)]
-        there[1] &= self.guess[1] != self.guess[2]
-        there[0] &= (self.guess[0] != self.guess[2]) & (self.guess[0] != self.guess[1])
-        self.there = there
+        g0, g1, g2 = self.guess
+        self.there = [(g0 > 0) & (g0 != g2) & (g0 != g1), (g1 > 0) & (g1 != g2), g2 > 0]
         rest = 65536 - 64
-        ends = np.empty((3, len(self.last)), dtype=np.int64)
-        a = np.where(there[2], (rest * self.mixed.astype(np.int64) >> 16) + 1, 0)
-        b = np.where(there[1], ((rest - a) * self.p[1] >> 16) + 1, 0)
-        c = np.where(there[0], ((rest - a - b) * self.p[0] >> 16) + 1, 0)
-        ends[0], ends[1], ends[2] = a, a + b, a + b + c
-        return ends
+        a = np.where(self.there[2], (rest * self.mixed >> 16) + 1, 0)
+        b = a + np.where(self.there[1], ((rest - a) * self.rate[1] >> 16) + 1, 0)
+        c = b + np.where(self.there[0], ((rest - b) * self.rate[0] >> 16) + 1, 0)
+        return a, b, c
 
     def update(self, actual: np.ndarray) -> None:
-        right = [self.guess[k] == actual for k in range(3)]
-        error = np.where(self.there[2], (right[2].astype(np.int32) << 16) - self.mixed, 0) >> 4
+        """``actual`` are ids plus 1."""
+        fresh = actual << 2
+        right = [g == actual for g in self.guess]
+        error = np.where(self.there[2], (right[2].astype(np.int64) << 16) - self.mixed, 0) >> 4
+        new = []
         for k in range(3):
-            self.weight[k] += (self.inputs[k] * error) >> 10
-            np.clip(self.weight[k], -(1 << 18), 1 << 18, out=self.weight[k])
-            p = self.p[k]
-            self.rate[k][self.slot[k]] = np.clip(p + (((right[k].astype(np.int32) << 16) - p) >> 5), 64, 65536 - 64)
-            # A wrong guess without confidence is replaced; a right one gains.
-            lost = ~right[k] & (self.conf[k] == 0)
-            self.sure[k][self.at[k]] = np.where(right[k], np.minimum(self.conf[k] + 1, 3), np.maximum(self.conf[k] - 1, 0))
-            self.ids[k][self.at[k]] = np.where(lost, actual, self.guess[k])
+            self.weights[k] += self.inputs[k] * error >> 10
+            p = self.rate[k]
+            self.rates[k][self.place[k]] = p + ((right[k].astype(np.int64) << 16) - p >> 5)
+            # A right guess gains, a wrong one loses, and one without confidence is replaced.
+            new.append(np.where(right[k], self.slot[k] + (self.conf[k] < 3), np.where(self.conf[k] > 0, self.slot[k] - 1, fresh)))
+        self.slots[0], self.slots[1][self.at1], self.slots[2][self.at2] = new
         self.before, self.last = self.last, actual
 
 
-def _lanes(n: int) -> tuple[int, np.ndarray]:
+def _lanes(n: int) -> tuple[int, int]:
+    """Number of blocks, and the length of the last."""
     lanes = -(-n // BLOCK)
-    lengths = np.full(lanes, BLOCK, dtype=np.int64)
-    if lanes:
-        lengths[-1] = n - (lanes - 1) * BLOCK
-    return lanes, lengths
+    return lanes, n - (lanes - 1) * BLOCK
 
 
-_TOP, _BOTTOM, _16 = _U(48), _U(1 << 32), _U(16)
+_16, _48 = _U(16), _U(48)
+_SETTLED, _SMALL, _LOW = _U(1 << 48), _U(1 << 32), _U((1 << 32) - 1)
+
+
+class _Coder:
+    """The intervals of a range coder without carries for all lanes; ``moved`` is told which lanes shift out their upper 16 bits."""
+
+    def __init__(self, lanes: int, moved: Callable[[np.ndarray, np.ndarray], None]):
+        self.low, self.width, self.moved = np.zeros(lanes, dtype=_U), np.full(lanes, ~_U(0), dtype=_U), moved
+
+    def narrow(self, begin: np.ndarray, size: np.ndarray, lanes: np.ndarray) -> None:
+        """Take the part [begin, begin + size) of 65,536 in the lanes given."""
+        part = self.width[lanes] >> _16
+        self.low[lanes] += part * begin.view(_U)
+        width = part * size.view(_U)
+        self.width[lanes] = width
+        lanes = lanes[width < _SETTLED]
+        while len(lanes):
+            low, width = self.low[lanes], self.width[lanes]
+            settled = (low ^ (low + width)) < _SETTLED
+            small = ~settled & (width < _SMALL)
+            move = settled | small
+            lanes, low = lanes[move], low[move]
+            if not len(lanes):
+                return
+            width = np.where(small[move], (~low + _U(1)) & _LOW, width[move]) << _16
+            self.moved(lanes, low >> _48)
+            self.low[lanes], self.width[lanes] = low << _16, width
+            lanes = lanes[width < _SETTLED]
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
@@ -113,58 +137,41 @@ def encode_ids(ids: np.ndarray) -> bytes:
     if n == 0:
         return struct.pack("<IB", 0, 0)
     wide = int(ids.max()) > 0xFFFF
-    lanes, lengths = _lanes(n)
+    lanes, short = _lanes(n)
     padded = np.zeros(lanes * BLOCK, dtype=np.int64)
     padded[:n] = ids
     columns = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    model = _Model(lanes)
     out = np.zeros((lanes, BLOCK * (5 if wide else 4) + 8), dtype=np.uint16)
-    row = np.arange(lanes)
     used = np.zeros(lanes, dtype=np.int64)
-    low, width = np.zeros(lanes, dtype=_U), np.full(lanes, ~_U(0), dtype=_U)
-
-    def put(begin: np.ndarray, size: np.ndarray, on: np.ndarray) -> None:
-        nonlocal low, width, used
-        part = width >> _16
-        low = np.where(on, low + part * begin.astype(_U), low)
-        width = np.where(on, part * size.astype(_U), width)
-        while True:
-            settled = (low ^ (low + width)) < (_U(1) << _TOP)
-            small = ~settled & (width < _BOTTOM)
-            move = settled | small
-            if not move.any():
-                return
-            width = np.where(small, (~low + _U(1)) & (_BOTTOM - _U(1)), width)
-            at = np.flatnonzero(move)
-            out[at, used[at]] = (low[at] >> _TOP).astype(np.uint16)
-            used[at] += 1
-            low = np.where(move, low << _16, low)
-            width = np.where(move, width << _16, width)
-
-    every = np.ones(lanes, dtype=bool)
+
+    def moved(which: np.ndarray, words: np.ndarray) -> None:
+        out[which, used[which]] = words
+        used[which] += 1
+
+    model, coder = _Model(lanes), _Coder(lanes, moved)
+    on = np.arange(lanes)
     for t in range(BLOCK):
-        if t == lengths[-1]:
-            every = every.copy()
-            every[-1] = False
-            if lanes == 1:
+        if t == short:
+            on = on[:-1]
+            if not len(on):
                 break
         actual = columns[t]
-        ends = model.predict()
-        hit = [model.there[k] & (model.guess[k] == actual) for k in (2, 1, 0)]
-        begin = np.select(hit, [np.zeros_like(ends[0]), ends[0], ends[1]], ends[2])
-        end = np.select(hit, [ends[0], ends[1], ends[2]], 65536)
-        put(begin, end - begin, every)
-        missed = every & ~(hit[0] | hit[1] | hit[2])
-        if missed.any():
-            one = np.ones(lanes, dtype=np.int64)
+        a, b, c = model.predict()
+        hit2, hit1, hit0 = (model.there[k] & (model.guess[k] == actual + 1) for k in (2, 1, 0))
+        begin = np.where(hit2, 0, np.where(hit1, a, np.where(hit0, b, c)))
+        end = np.where(hit2, a, np.where(hit1, b, np.where(hit0, c, 65536)))
+        coder.narrow(begin[on], (end - begin)[on], on)
+        missed = on[~(hit2 | hit1 | hit0)[on]]
+        if len(missed):
+            one = np.ones(len(missed), dtype=np.int64)
             if wide:
-                put(actual >> 16, one, missed)
-            put(actual & 0xFFFF, one, missed)
-        model.update(actual)
+                coder.narrow(actual[missed] >> 16, one, missed)
+            coder.narrow(actual[missed] & 0xFFFF, one, missed)
+        model.update(actual + 1)
+    every = np.arange(lanes)
     for _ in range(4):
-        out[row, used] = (low >> _TOP).astype(np.uint16)
-        used += 1
-        low = low << _16
+        moved(every, coder.low >> _48)
+        coder.low <<= _16
     raw = ids.astype("<u4")
     crcs = np.array([zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(lanes)], dtype="<u4")
     words = b"".join(out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes))
@@ -176,68 +183,54 @@ def decode_ids(data: bytes) -> np.ndarray:
     n, wide = struct.unpack_from("<IB", data)
     if n == 0:
         return np.zeros(0, dtype=np.uint32)
-    lanes, lengths = _lanes(n)
-    at = 5
-    crcs = np.frombuffer(data, "<u4", lanes, at)
-    sizes = np.frombuffer(data, "<u4", lanes, at + 4 * lanes).astype(np.int64)
-    words = np.frombuffer(data, "<u2", int(sizes.sum()), at + 8 * lanes)
+    lanes, short = _lanes(n)
+    crcs = np.frombuffer(data, "<u4", lanes, 5)
+    sizes = np.frombuffer(data, "<u4", lanes, 5 + 4 * lanes).astype(np.int64)
+    words = np.frombuffer(data, "<u2", int(sizes.sum()), 5 + 8 * lanes)
     words = np.concatenate([words, np.zeros(8, dtype=words.dtype)]).astype(_U)
-    place = np.cumsum(sizes) - sizes
     last_word = len(words) - 1
-    model = _Model(lanes)
-    low, width, code = np.zeros(lanes, dtype=_U), np.full(lanes, ~_U(0), dtype=_U), np.zeros(lanes, dtype=_U)
+    place = np.cumsum(sizes) - sizes
+    code = np.zeros(lanes, dtype=_U)
     for _ in range(4):
-        code = (code << _16) | words[place]
+        code = (code << _16) | words[np.minimum(place, last_word)]
         place += 1
 
-    def value() -> np.ndarray:
-        return np.minimum((code - low) // (width >> _16), _U(0xFFFF)).astype(np.int64)
-
-    def take(begin: np.ndarray, size: np.ndarray, on: np.ndarray) -> None:
-        nonlocal low, width, code, place
-        part = width >> _16
-        low = np.where(on, low + part * begin.astype(_U), low)
-        width = np.where(on, part * size.astype(_U), width)
-        while True:
-            settled = (low ^ (low + width)) < (_U(1) << _TOP)
-            small = ~settled & (width < _BOTTOM)
-            move = settled | small
-            if not move.any():
-                return
-            width = np.where(small, (~low + _U(1)) & (_BOTTOM - _U(1)), width)
-            code = np.where(move, (code << _16) | words[np.minimum(place, last_word)], code)
-            place = place + move
-            low = np.where(move, low << _16, low)
-            width = np.where(move, width << _16, width)
+    def moved(which: np.ndarray, _: np.ndarray) -> None:
+        code[which] = (code[which] << _16) | words[np.minimum(place[which], last_word)]
+        place[which] += 1
+
+    model, coder = _Model(lanes), _Coder(lanes, moved)
+
+    def value(which: np.ndarray) -> np.ndarray:
+        return np.minimum((code[which] - coder.low[which]) // (coder.width[which] >> _16), _U(0xFFFF)).view(np.int64)
 
     out = np.zeros((BLOCK, lanes), dtype=np.int64)
-    every = np.ones(lanes, dtype=bool)
+    on = np.arange(lanes)
     for t in range(BLOCK):
-        if t == lengths[-1]:
-            every = every.copy()
-            every[-1] = False
-            if lanes == 1:
+        if t == short:
+            on = on[:-1]
+            if not len(on):
                 break
-        ends = model.predict()
-        v = value()
-        which = [v < ends[0], v < ends[1], v < ends[2]]
-        begin = np.select(which, [np.zeros_like(ends[0]), ends[0], ends[1]], ends[2])
-        end = np.select(which, [ends[0], ends[1], ends[2]], 65536)
-        take(begin, end - begin, every)
-        actual = np.select(which, [model.guess[2], model.guess[1], model.guess[0]], 0)
-        missed = every & ~which[2]
-        if missed.any():
-            one = np.ones(lanes, dtype=np.int64)
-            high = np.zeros(lanes, dtype=np.int64)
+        a, b, c = model.predict()
+        v = np.full(lanes, 65535, dtype=np.int64)
+        v[on] = value(on)
+        hit2, hit1, hit0 = v < a, v < b, v < c
+        begin = np.where(hit2, 0, np.where(hit1, a, np.where(hit0, b, c)))
+        end = np.where(hit2, a, np.where(hit1, b, np.where(hit0, c, 65536)))
+        coder.narrow(begin[on], (end - begin)[on], on)
+        actual = np.where(hit2, model.guess[2], np.where(hit1, model.guess[1], np.where(hit0, model.guess[0], 1))) - 1
+        missed = on[~hit0[on]]
+        if len(missed):
+            one = np.ones(len(missed), dtype=np.int64)
+            high = 0
             if wide:
-                high = value()
-                take(high, one, missed)
-            plain = value()
-            take(plain, one, missed)
-            actual = np.where(missed, (high << 16) | plain, actual)
-        actual = np.where(every, actual, 0)
+                high = value(missed)
+                coder.narrow(high, one, missed)
+            plain = value(missed)
+            coder.narrow(plain, one, missed)
+            actual[missed] = high << 16 | plain
         out[t] = actual
-        model.update(actual)
+        model.update(actual + 1)
     ids = out.T.reshape(-1)[:n].astype("<u4")
     for i in range(lanes):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) != crcs[i]:
