@@ -56,9 +56,8 @@ def brute_force(folder):
     rows = [r for r in rows if not decontaminate.reference_digest(r[1].encode(), [("1", item.encode())])[1]]
     out = {}
     for doc_id, text, *_ in rows:
-        for a, b, _ in reversed(secrets.base_spans(text)):
-            text = text[:a] + "[SECRET]" + text[b:] if "[SECRET]" not in text[a:b] else text
-        out[doc_id] = text
+        covered = {i for a, b, _ in secrets.base_spans(text) for i in range(a, b)}
+        out[doc_id] = "".join(("" if i - 1 in covered else "[SECRET]") if i in covered else c for i, c in enumerate(text))
     return out
 
 
@@ -73,11 +72,11 @@ def test_pipeline(spark, folder):
     scores = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
     loaded = pieces.Pieces.load(tokenizer_file("piece_bpe_32k.model"))
     for doc_id, r in got.items():
-        masked = want[doc_id] if "[SECRET]" in r.text else folder[1][doc_id][1]
-        assert r.text.replace("[SECRET]", "") == masked.replace("[SECRET]", "") and r.n_chars == len(r.text)
+        assert r.text == want[doc_id] and r.n_chars == len(r.text)
         assert loaded.decode(np.array(r.piece_ids)).decode() == r.text
-        if all(x.isascii() for x in r.text) and not any(sp.is_byte(i) for i in r.piece_ids):
-            assert sum(sp.get_score(i) for i in r.piece_ids) == pytest.approx(sum(pieces.reference("▁" + w, scores, loaded.unknown_score) for w in r.text.split(" ") if "  " not in r.text), rel=1e-9) or "  " in r.text
+        if "  " not in r.text and not any(sp.is_byte(i) for i in r.piece_ids):
+            best = sum(pieces.reference("▁" + w, scores, loaded.unknown_score) for w in r.text.split(" "))
+            assert sum(sp.get_score(i) for i in r.piece_ids) == pytest.approx(best, rel=1e-9)
 
 
 def test_stages_keep_the_columns(spark, folder):
