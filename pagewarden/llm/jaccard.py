@@ -5,13 +5,15 @@ if it has fewer. Equal texts share one node. Nodes that agree in all rows of a M
 values are compared step by step; with a uniform prior, a pair is dropped as soon as the posterior chance of reaching the
 threshold falls below ``tolerance``. The rest are verified exactly on their n-grams.
 
-A small bucket gives all its pairs. A large one links its members to two leads alone: the member whose buckets are the largest
-(the text that most resemble, as the base of a group of variants is) and the smallest. Members of large buckets that lie in several
-components after that are dealt again by keys of two bands, with the same rules; members of buckets that are still large and apart are
-paired across components, unless the n-grams that each has alone keep them below the threshold. No bucket is cut, no group is held whole in a task, and copies are never expanded into pairs.
+A small bucket gives all its pairs. A large one first links its members to one lead, the member whose buckets are the largest (the text
+that most resemble, as the base of a group of variants is). Members of large buckets that lie in several components after that
+meet once more, all of those with one lead, in pairs of blocks: a block pair is one group, and one matrix product over the
+n-grams that both blocks have gives the size of every intersection. No bucket is cut, no group is held whole in a task, and copies are
+never expanded into pairs.
 
-Result: one row per document with its class (the smallest doc_id of its component) and its text's number of verified
-links. In buckets of up to ``small`` texts these are all links; larger groups are linked through leads.
+Result: one row per document with its class (the smallest doc_id of its component) and its text's number of links: the other texts
+at the threshold or above. Two such texts are always in one class, so the links of a class whose pairs weren't all verified yet are
+counted over all its pairs, in block pairs too. That work grows with the square of a class; only counts leave a task.
 
 Null texts are empty; texts without words are equal. Repeated rows are copies. A null doc_id never names a class that has
 another id. Empty tables give empty results; extra columns are left out of classes() and kept by dedup().
@@ -40,7 +42,7 @@ class Search:
     step: int = 32
     tolerance: float = 1e-5
     small: int = 24
-    long_keys: int = 128  # keys of two bands each; a pair at the threshold misses all with a chance of 5e-7
+    block: int = 1024  # texts that meet as many others in one task, 2 million n-grams at most
 
     @property
     def values(self) -> int:
@@ -123,23 +125,15 @@ def _sign(docs: DataFrame, search: Search) -> DataFrame:
     return docs.select("doc_id", "key", "text").mapInArrow(work, "doc_id bigint, key bigint, node bigint, n_words bigint, values binary")
 
 
-def long_hashes(values: np.ndarray, search: Search) -> np.ndarray:
-    """A hash for each text and pair of bands: every band with the ones 1, 6, 11 ... places on."""
-    bands = band_hashes(values, search)
-    k = np.arange(search.long_keys)
-    one, two = k % search.bands, (k % search.bands + 1 + 5 * (k // search.bands)) % search.bands
-    return mix64(bands[:, one] * np.uint64(0x9E3779B97F4A7C15) + bands[:, two] + k.astype(np.uint64))
-
-
-def _deal(nodes: DataFrame, search: Search, hashes_of=band_hashes) -> DataFrame:
-    """bucket, node: one row for each key of a node."""
+def _deal(nodes: DataFrame, search: Search) -> DataFrame:
+    """bucket, node: one row for each band of a node."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column("values").to_pylist()), dtype=np.uint32).reshape(batch.num_rows, search.values)
             nodes = np.array(batch.column("node").to_pylist(), dtype=np.int64)
             for k in range(0, len(nodes), 4096):
-                hashes = hashes_of(values[k : k + 4096], search)
+                hashes = band_hashes(values[k : k + 4096], search)
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.reshape(-1).view(np.int64)), pa.array(np.repeat(nodes[k : k + 4096], hashes.shape[1]))], names=["bucket", "node"])
 
     return nodes.filter("n_words > 0").select("node", "values").mapInArrow(work, "bucket bigint, node bigint")
@@ -147,18 +141,18 @@ def _deal(nodes: DataFrame, search: Search, hashes_of=band_hashes) -> DataFrame:
 
 def _shared(rows: DataFrame) -> DataFrame:
     """bucket, node, least, size: rows of the buckets that hold two nodes or more."""
-    groups = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("least")).filter("size > 1")
+    groups = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     return rows.join(groups, "bucket")
 
 
 def _pairs(shared: DataFrame, search: Search) -> DataFrame:
-    """a < b: all pairs of small buckets, and the members of large ones with the leads."""
+    """a < b: all pairs of small buckets, and the members of large ones with the lead."""
     small = shared.filter(F.col("size") <= search.small).select("bucket", "node")
     both = small.select("bucket", F.col("node").alias("a")).join(small.select("bucket", F.col("node").alias("b")), "bucket").filter("a < b").select("a", "b")
     large = shared.filter(F.col("size") > search.small)
     weight = large.groupBy("node").agg(F.sum("size").alias("weight"))
     leads = large.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
-    star = large.join(leads, "bucket").select("node", F.explode(F.array_distinct(F.array("lead", "least"))).alias("lead")).filter("node <> lead")
+    star = large.join(leads, "bucket").filter("node <> lead")
     return both.unionByName(star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))).distinct()
 
 
@@ -208,38 +202,116 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search)
     return _with_texts(pairs, texts).mapInArrow(work, "a bigint, b bigint")
 
 
-def _common_part(left: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search) -> DataFrame:
-    """lead, node, label, buckets, size (a node's n-grams) and common (those that another member could share).
-
-    Within a bucket, n-grams that the lead lacks and no other node of that lead has are a node's own. Variants of a base so
-    differ by at least their own edits, which bounds their similarity without a comparison.
-    """
-    weight = left.groupBy("node").agg(F.count("*").alias("weight"))
-    leads = left.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
-    placed = materialize(left.join(leads, "bucket"), "placed")
-    texts = _texts(docs, nodes, placed.select("node").distinct())
+def _grams(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, search: Search) -> DataFrame:
+    """node, grams: hashes of the wanted nodes' n-grams, as 64-bit integers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        last, base = None, set()
         for batch in batches:
-            sizes, edits = [], []
-            for a, x, y in zip(batch.column("a").to_pylist(), as_bytes(batch.column("x")), as_bytes(batch.column("y")), strict=True):
-                if a != last:
-                    last, base = a, grams(x, search.n)
-                own = grams(y, search.n)
-                sizes.append(len(own))
-                edits.append([xxhash.xxh64_intdigest(g) - (1 << 63) for g in own - base])
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(sizes, pa.int64()), pa.array(edits, pa.list_(pa.int64()))], names=["lead", "node", "size", "edits"])
+            sets = [np.array([xxhash.xxh64_intdigest(g) for g in grams(x, search.n)], dtype=np.uint64).tobytes() for x in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "grams"])
 
-    pairs = placed.select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    measured = materialize(_with_texts(pairs, texts).mapInArrow(work, "lead bigint, node bigint, size bigint, edits array<bigint>"), "edits")
-    single = measured.select("lead", "node", F.explode("edits").alias("edit")).groupBy("lead", "edit").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
-    own = single.groupBy("lead", "node").agg(F.count("*").alias("own"))
-    sizes = measured.select("lead", "node", "size").join(own, ["lead", "node"], "left").select("lead", "node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"))
-    # A node has as many buckets as keys at most; those with one lead stand together, so that a pair is met once.
-    return placed.groupBy("lead", "node", "label").agg(F.collect_set("bucket").alias("buckets")).join(sizes, ["lead", "node"])
+    keys = wanted.join(nodes.select("node", "key"), "node")
+    texts = docs.select("key", "text").join(keys, "key").select("node", "text").dropDuplicates(["node"])
+    return materialize(texts.mapInArrow(work, "node bigint, grams binary"), "grams")
+
+
+def _block_pairs(groups: DataFrame, search: Search) -> DataFrame:
+    """Rows of ``groups`` (group, node, grams) with i, j and block: a group's nodes are dealt to blocks, and each two blocks i <= j meet once."""
+    n = F.greatest(F.count("*") / search.block, F.sum(F.octet_length("grams")) / (8 * 2_000_000))
+    large = groups.groupBy("group").agg(F.ceil(n).cast("int").alias("blocks")).filter("blocks > 1")  # few: each has a block of texts
+    dealt = groups.join(F.broadcast(large), "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
+
+
+def similar(x: list[np.ndarray], y: list[np.ndarray], threshold: float, itself: bool = False) -> np.ndarray:
+    """For each two sets of hashes, one of ``x`` and one of ``y``, whether they reach the threshold. ``itself``: x is y, and no set meets itself."""
+    sizes = [np.array([len(s) for s in side], dtype=np.int64) for side in (x, y)]
+    flat = [np.concatenate(side) if side else np.zeros(0, dtype=np.uint64) for side in (x, y)]
+    if itself:
+        values, n = np.unique(flat[0], return_counts=True)
+        common = values[n > 1]
+    else:
+        common = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    both = np.zeros((len(x), len(y)), dtype=np.float32)  # exact below 2**24
+    if len(common):
+        places = []
+        for values, size in zip(flat, sizes, strict=True):
+            at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+            real = common[at] == values
+            order = np.argsort(at[real], kind="stable")
+            places.append((at[real][order], np.repeat(np.arange(len(size)), size)[real][order]))
+        for first in range(0, len(common), 2048):
+            width, parts = min(2048, len(common) - first), []
+            for (at, row), size in zip(places, sizes, strict=True):
+                a, b = np.searchsorted(at, [first, first + width])
+                part = np.zeros((len(size), width), dtype=np.float32)
+                part[row[a:b], at[a:b] - first] = 1
+                parts.append(part)
+            both += parts[0] @ parts[1].T
+    found = both / np.maximum(sizes[0][:, None] + sizes[1][None, :] - both.astype(np.float64), 1) >= threshold
+    if itself:
+        np.fill_diagonal(found, False)
+    return found
+
+
+def _sides(table: pa.Table) -> tuple[bool, list[np.ndarray], list[list[np.ndarray]]]:
+    """Whether a block meets itself, the rows of both blocks in the table, and their sets."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    block = table.column("block").to_numpy()
+    sets = [np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()]
+    rows = [np.flatnonzero(block == b) for b in (i, j)]
+    return i == j, rows, [[sets[k] for k in r] for r in rows]
+
+
+def _bridges(left: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search) -> DataFrame:
+    """Links (a, b) that join the components of large buckets' members: in each block pair as many as it takes."""
+    weight = left.groupBy("node").agg(F.count("*").alias("weight"))
+    leads = left.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("group"))
+    placed = materialize(left.join(leads, "bucket").select("group", "node", "label").distinct(), "placed")
+    groups = placed.join(_grams(docs, nodes, placed.select("node").distinct(), search), "node")
+
+    def work(table: pa.Table) -> pa.Table:
+        itself, rows, (x, y) = _sides(table)
+        node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
+        found: list[tuple[int, int]] = []
+        if len(np.unique(label)) > 1:
+            lead = {v: v for v in label.tolist()}
+
+            def top(v: int) -> int:
+                while lead[v] != v:
+                    lead[v] = v = lead[lead[v]]
+                return v
+
+            close = similar(x, y, search.threshold, itself) & (label[rows[0]][:, None] != label[rows[1]][None, :])
+            for a, b in zip(*(r[k].tolist() for r, k in zip(rows, np.nonzero(close), strict=True)), strict=True):
+                if (p := top(int(label[a]))) != (q := top(int(label[b]))):
+                    lead[p] = q
+                    found.append((min(node[a], node[b]), max(node[a], node[b])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return _block_pairs(groups, search).groupBy("group", "i", "j").applyInArrow(work, "a bigint, b bigint").distinct()
+
+
+def degrees(edges: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search) -> DataFrame:
+    """node, n_links: how many other nodes are at the threshold or above. All of them are in the node's class."""
+    met = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label").agg(F.count("*").alias("met"))
+    sizes = labels.groupBy("label").agg(F.count("*").alias("n")).join(met, "label")
+    placed = materialize(labels.join(sizes, "label").select("label", "node", "n", (F.col("met") * 2 == F.col("n") * (F.col("n") - 1)).alias("whole")), "members")
+    some = placed.filter("NOT whole").select(F.col("label").alias("group"), "node")
+    groups = some.join(_grams(docs, nodes, some.select("node"), search), "node")
+
+    def work(table: pa.Table) -> pa.Table:
+        itself, rows, (x, y) = _sides(table)
+        close, node = similar(x, y, search.threshold, itself), table.column("node").to_numpy()
+        n = [close.sum(axis=1)] if itself else [close.sum(axis=1), close.sum(axis=0)]
+        return pa.table({"node": pa.array(np.concatenate([node[r] for r, _ in zip(rows, n)])), "n": pa.array(np.concatenate(n).astype(np.int64))})
+
+    counted = _block_pairs(groups, search).groupBy("group", "i", "j").applyInArrow(work, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n_links"))
+    return materialize(placed.filter("whole").select("node", (F.col("n") - 1).alias("n_links")).unionByName(counted), "degrees")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -264,47 +336,26 @@ def _apart(shared: DataFrame, labels: DataFrame, search: Search) -> DataFrame:
     return placed.join(mixed.select("bucket"), "bucket")
 
 
-def links(docs: DataFrame, signed: DataFrame, search: Search = Search()) -> tuple[DataFrame, DataFrame]:
-    """Verified links (a, b) between nodes, and the components (node, label) of the linked ones."""
-    spark = docs.sparkSession
-    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("key", "n_words", "values")).alias("s")).select("node", "s.*"), "nodes")
-    edges = spark.createDataFrame([], "a bigint, b bigint")
-    labels = spark.createDataFrame([], "node bigint, label bigint")
-    some = nodes
-    for hashes_of in (band_hashes, long_hashes):
-        shared = materialize(_shared(_deal(some, search, hashes_of)), "buckets")
-        pairs = materialize(_prune(_across(_pairs(shared, search), labels), nodes, search), "pairs")
-        edges = materialize(edges.union(_verify(pairs, docs, nodes, search)).distinct(), "edges")
-        labels = components(edges)
-        left = materialize(_apart(shared, labels, search), "apart")
-        if not left.limit(1).count():
-            return edges, labels
-        some = nodes.join(left.select("node").distinct(), "node", "left_semi")
-    # What is apart still is paired across components, where the common parts leave room for the threshold.
-    left = materialize(_common_part(left, docs, nodes, search), "common")
-    x, y = (left.select("lead", *[F.col(c).alias(c + n) for c in ("node", "label", "buckets", "size", "common")]) for n in ("_a", "_b"))
-    room = F.least("common_a", "common_b") * (1 + search.threshold) >= search.threshold * (F.col("size_a") + F.col("size_b")) - 1e-6
-    met = x.join(y, (x["lead"] == y["lead"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & room & F.arrays_overlap("buckets_a", "buckets_b"))
-    pairs = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    pairs = materialize(_prune(pairs, nodes, search), "pairs")
-    edges = materialize(edges.union(_verify(pairs, docs, nodes, search)).distinct(), "edges")
+def links(docs: DataFrame, nodes: DataFrame, search: Search = Search()) -> tuple[DataFrame, DataFrame]:
+    """Verified links (a, b) between nodes that connect each class, and the components (node, label) of the linked ones."""
+    shared = materialize(_shared(_deal(nodes, search)), "buckets")
+    pairs = materialize(_prune(_pairs(shared, search), nodes, search), "pairs")
+    edges = materialize(_verify(pairs, docs, nodes, search), "edges")
+    labels = components(edges)
+    left = materialize(_apart(shared, labels, search), "apart")
+    if not left.limit(1).count():
+        return edges, labels
+    edges = materialize(edges.union(_bridges(left, docs, nodes, search)), "edges")
     return edges, components(edges)
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components."""
-    la, lb = (labels.select(F.col("node").alias(n), F.col("label").alias(f"l{n}")) for n in ("a", "b"))
-    placed = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return placed.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
 def classes(docs: DataFrame, search: Search = Search()) -> DataFrame:
     """doc_id, key, class_id, n_links, keeper: the class of each row; ``keeper`` marks the rows equal to the class's first."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     signed = materialize(_sign(keyed, search), "signed")
-    edges, labels = links(keyed, signed, search)
-    degree = edges.union(edges.select("b", "a")).toDF("node", "other").groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = labels.join(degree, "node", "left")
+    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("key", "n_words", "values")).alias("s")).select("node", "s.*"), "nodes")
+    edges, labels = links(keyed, nodes, search)
+    placed = labels.join(degrees(edges, labels, keyed, nodes, search), "node", "left")
     rows = signed.select("doc_id", "key", "node").join(placed, "node", "left").select("doc_id", "key", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     rows = materialize(rows, "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))

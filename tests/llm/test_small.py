@@ -259,6 +259,25 @@ def test_classes_match_brute_force(spark, small):
     assert [got[k] for k in range(len(texts))] == plain_classes(texts)
 
 
+def test_links_of_large_groups_match_brute_force(spark):
+    rng = random.Random(14)
+    texts = [words(rng, 60) for _ in range(20)]
+    for size, edits, length in ((60, 1, 120), (90, 2, 180)):
+        base = words(rng, length).split()
+        for k in range(size):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(length)] = f"n{size}_{k}"
+            texts.append(" ".join(own))
+    sets = [jaccard.grams(t.encode()) for t in texts]
+    want = [sum(jaccard.jaccard(x, y) >= 0.8 for y in sets) - 1 for x in sets]
+    assert max(want) > 60 and len(set(want)) > 10
+    for search in (jaccard.Search(), jaccard.Search(block=20)):
+        got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(make(spark, texts), search).collect()}
+        assert [got[k][1] for k in range(len(texts))] == want
+        assert [got[k][0] for k in range(len(texts))] == plain_classes(texts)
+
+
 def test_jaccard_dedup(spark, odd):
     docs = make(spark, ["a b c d e f g", "A b c d e f g", "other words here now ok"], 5)
     kept = jaccard.dedup(docs.union(docs))
