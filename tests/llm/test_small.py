@@ -278,6 +278,22 @@ def test_links_of_large_groups_match_brute_force(spark):
         assert [got[k][0] for k in range(len(texts))] == plain_classes(texts)
 
 
+def test_pair_with_one_shared_band_in_a_large_bucket_is_linked(spark):
+    # x and y agree in one whole band and in four values of each other one; the others fill that band's bucket and have larger buckets.
+    rng = random.Random(15)
+    x = words(rng, 100).split()
+    texts = [*(words(rng, 100) for _ in range(4)), " ".join(x), " ".join([*x[:-1], "other"])]
+    one = np.arange(160, dtype=np.uint32)
+    two = one + np.where((one >= 5) & (one % 5 == 0), 1000, 0).astype(np.uint32)
+    others = [np.where(one < 5, one, 5000 + one).astype(np.uint32)] * 4
+    rows = [(k, k, 100, bytearray(v.tobytes())) for k, v in enumerate([*others, one, two])]
+    nodes = spark.createDataFrame(rows, "key bigint, node bigint, n_words bigint, values binary")
+    docs = spark.createDataFrame(list(enumerate(texts)), "key bigint, text string")
+    edges, labels = jaccard.links(docs, nodes, jaccard.Search(small=3))
+    assert [tuple(r) for r in edges.collect()] == [(4, 5)]
+    assert sorted(tuple(r) for r in labels.collect()) == [(4, 4), (5, 4)]
+
+
 def test_jaccard_dedup(spark, odd):
     docs = make(spark, ["a b c d e f g", "A b c d e f g", "other words here now ok"], 5)
     kept = jaccard.dedup(docs.union(docs))
