@@ -110,11 +110,11 @@ def page_words(html: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
-def near_duplicates(pages: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 24, rows: int = 4, small: int = 16) -> DataFrame:
+def near_duplicates(pages: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 24, rows: int = 4, block: int = 256) -> DataFrame:
     """page_a, page_b, similarity: likeness of word runs between pages with different texts, each text by its smallest page_id.
 
-    MinHash bands give the candidates (a pair at 0.8 is missed with a chance of 3e-6); large buckets pair their members with the
-    smallest one. Word runs travel as 64-bit hashes, and the similarity is that of the hash sets.
+    MinHash bands give the candidates: all pairs of a bucket (a pair at 0.8 shares none with a chance of 3e-6). A bucket's members are dealt to
+    blocks of about ``block``, each of which meets the whole bucket, so that no large bucket lies in one task. Word runs travel as 64-bit hashes, and the similarity is that of the hash sets.
     """
     w = page_words(F.coalesce("html", F.lit("")))
     texts = pages.select("page_id", w.alias("w")).filter(F.size("w") >= words)
@@ -123,11 +123,11 @@ def near_duplicates(pages: DataFrame, threshold: float = 0.8, words: int = 5, ba
     sets = texts.select("page_id", F.array_distinct(runs).alias("grams"))
     key = lambda b: F.xxhash64(F.lit(b), *[F.array_min(F.transform("grams", _seeded(b * rows + r))) for r in range(rows)])
     keyed = sets.select("page_id", F.explode(F.array(*[key(b) for b in range(bands)])).alias("bucket"))
-    groups = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("page_id").alias("least")).filter("n > 1")
-    shared = keyed.join(groups, "bucket")
-    part = shared.filter(F.col("n") <= small).select("bucket", "page_id")
-    pairs = part.select("bucket", F.col("page_id").alias("page_a")).join(part.select("bucket", F.col("page_id").alias("page_b")), "bucket").filter("page_a < page_b").select("page_a", "page_b")
-    pairs = pairs.union(shared.filter((F.col("n") > small) & (F.col("page_id") > F.col("least"))).select("least", "page_id")).distinct()
+    groups = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = keyed.join(groups.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket")
+    dealt = shared.select("bucket", F.pmod(F.xxhash64("page_id"), "blocks").cast("int").alias("block"), F.col("page_id").alias("page_a"))
+    whole = shared.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("page_id").alias("page_b"))
+    pairs = dealt.join(whole, ["bucket", "block"]).filter("page_a < page_b").select("page_a", "page_b").distinct()
     met = pairs.join(sets.select(F.col("page_id").alias("page_a"), F.col("grams").alias("x")), "page_a").join(sets.select(F.col("page_id").alias("page_b"), F.col("grams").alias("y")), "page_b")
     both = F.size(F.array_intersect("x", "y"))
     return met.select("page_a", "page_b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)

@@ -173,6 +173,19 @@ def test_near_duplicate_pages(spark):
     assert [(r.page_a, r.page_b) for r in pages.near_duplicates(df).collect()] == [(0, 1)]
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_near_duplicate_pages_of_large_groups(spark, block):
+    # The least page of the group is like no other one; the others are variants of each other.
+    base = [f"w{k}" for k in range(100)]
+    texts = [" ".join(base[:50] + [f"z{k}" for k in range(50)])]
+    texts += [" ".join(f"n{v}" if k == 3 * v else w for k, w in enumerate(base)) for v in range(30)]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(96)} for t in texts]
+    want = [(a, b) for a in range(31) for b in range(a + 1, 31) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    df = spark.createDataFrame([(k, "u", f"<p>{t}</p>") for k, t in enumerate(texts)], "page_id int, url string, html string")
+    got = pages.near_duplicates(df, **({} if block == 256 else {"block": block}))
+    assert len(want) == 435 and sorted((r.page_a, r.page_b) for r in got.collect()) == want
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "node_modules").mkdir()
