@@ -85,7 +85,7 @@ CUES = frozenset("call card cell contact e email fax host ip mail mobile payment
 class Field:
     weights: dict[str, float] = field(default_factory=dict)
     max_tokens: int = 16
-    max_entities: int = 6
+    max_entities: int = 6  # more where more candidates of a window fit beside each other
 
 
 def stretches(text: str) -> Iterator[tuple[int, int]]:
@@ -184,6 +184,28 @@ def best_segments(n_tokens: int, candidates: list, score, max_entities: int) ->
     return chosen[::-1]
 
 
+def windows(candidates: list) -> Iterator[list]:
+    """Candidates in the order of their first tokens, parted between tokens that no candidate crosses: each part is searched alone."""
+    part, reach = [], 0
+    for c in sorted(candidates, key=lambda c: c[0]):
+        if part and c[0] >= reach:
+            yield part
+            part = []
+        part.append(c)
+        reach = max(reach, c[1])
+    if part:
+        yield part
+
+
+def most_segments(candidates: list) -> int:
+    """How many candidates fit beside each other at most."""
+    n = reach = 0
+    for i, end, *_ in sorted(candidates, key=lambda c: c[1]):
+        if i >= reach:
+            n, reach = n + 1, end
+    return n
+
+
 def decode(text: str, taken: list[Span], model: Field) -> list[Span]:
     """Spans that the field adds to a text in which ``taken`` are found already."""
     if not model.weights:
@@ -192,9 +214,12 @@ def decode(text: str, taken: list[Span], model: Field) -> list[Span]:
     for first, end in stretches(text):
         inner = [(a - first, b - first, k) for a, b, k in taken if a < end and first < b]
         tokens, candidates = _candidates(text[first:end], inner, model)
-        if candidates:
-            for c in best_segments(len(tokens), candidates, lambda c: sum(get(f, 0.0) for f in c[3]), model.max_entities):
-                i, j, kind, _ = candidates[c]
+        for part in windows(candidates):
+            start = min(c[0] for c in part)
+            moved = [(i - start, j - start, kind, names) for i, j, kind, names in part]
+            most = max(model.max_entities, most_segments(part))
+            for c in best_segments(max(c[1] for c in moved), moved, lambda c: sum(get(f, 0.0) for f in c[3]), most):
+                i, j, kind, _ = part[c]
                 out.append((first + tokens[i][0], first + tokens[j - 1][1], kind))
     return out
 

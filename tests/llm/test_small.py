@@ -354,6 +354,18 @@ def test_pii_learns_other_spellings(spark, odd):
     assert pii.digest(pii.scan(odd.limit(0))).count() == 0
 
 
+def test_pii_long_stretches_are_searched_whole():
+    phones = [f"({201 + k}) 555-{1000 + 37 * k}" for k in range(50)]
+    for between in (", ", "\n"):
+        text = "call " + between.join(phones) + " w3"
+        added = pii.decode(text, [], pii.Field({"phone|shape=(3) 3-4": 1.0}))
+        assert [(text[a:b], k) for a, b, k in added] == [(x, "phone") for x in phones]
+    # Candidates that cross from one number to the next make one window.
+    crossed = [(4 * k + d, 4 * k + d + 4, "phone", 1.0 if d == 0 else 0.5) for k in range(50) for d in (0, 2)]
+    assert [len(x) for x in pii.windows(crossed)] == [100] and pii.most_segments(crossed) == 50
+    assert len(pii.best_segments(202, crossed, lambda c: c[3], 50)) == 50
+
+
 # op8
 
 
