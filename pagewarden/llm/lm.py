@@ -10,7 +10,7 @@ training words with that first piece (weight ``known``), and its other pieces an
 
 Sequences are cut in blocks. A window is a block and the block before it: queries come from the later block alone, keys and
 values from both, under a causal mask, so windows overlap by half and score each piece once; many windows are one numpy
-batch. Training takes one run of RUN words in every ``thin`` of each training document: each round, every partition trains from the shared
+batch. Training takes each training document whole (with ``thin`` above 1, one run of RUN words in every ``thin``): each round, every partition trains from the shared
 weights by Adam, and the weights are averaged, weighted by blocks, in one aggregation.
 
 The base needs each word's count in the training corpus. Words of at least 1/``heavy`` of all tokens (``heavy`` at most) are
@@ -45,7 +45,7 @@ class Config:
     model_file: str
     classes: int = 240  # 253 at most
     width: int = 16
-    thin: int = 20
+    thin: int = 1
     rounds: int = 2
     rate: float = 0.01
     trainer: int = 10_000  # blocks a trainer at least, where there are so many
@@ -323,6 +323,11 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: Config) -> dict[str,
             runs, begins, ends = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
                 if not held_out(doc_id):
+                    if config.thin == 1:
+                        runs.append(text.lower())
+                        begins.append(True)
+                        ends.append(True)
+                        continue
                     words = text.lower().split()
                     # One run of words in each stretch of ``every``, at a place that follows from the text; a shorter last stretch has one by chance.
                     place = zlib.crc32(text[:256]) % every
@@ -331,14 +336,15 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: Config) -> dict[str,
                         runs.append(b" ".join(words[first : k + RUN]))
                         begins.append(first == 0)
                         ends.append(k + RUN >= len(words))
-            for k in range(0, len(runs), 4096):
-                classes, counts = _with_ends(*encoder(runs[k : k + 4096]), shared.value.class_of)
+            some = 256 if config.thin == 1 else 4096
+            for k in range(0, len(runs), some):
+                classes, counts = _with_ends(*encoder(runs[k : k + some]), shared.value.class_of)
                 windows, targets, counted, owner = cut_windows(classes, counts, config.classes)
                 opening = np.diff(owner, prepend=-1) > 0
                 closing = np.diff(owner, append=len(counts)) > 0
                 # A run inside a text has no begin and no end of its own: its first block is context alone.
-                counted = counted - (closing & ~np.array(ends[k : k + 4096])[owner])
-                wanted = (~opening | np.array(begins[k : k + 4096])[owner]) & (counted > 0)
+                counted = counted - (closing & ~np.array(ends[k : k + some])[owner])
+                wanted = (~opening | np.array(begins[k : k + some])[owner]) & (counted > 0)
                 items = np.concatenate([windows, targets, counted[:, None].astype(np.uint8)], axis=1)[wanted]
                 yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in items], pa.binary())], names=["item"])
 

@@ -99,6 +99,21 @@ def test_lm_chances_sum_to_one():
     assert np.bincount(vocabulary.class_of, weights=10**vocabulary.log_inside)[np.unique(vocabulary.class_of)] == pytest.approx(1)
 
 
+def test_lm_trains_on_every_piece(spark, monkeypatch):
+    rng = random.Random(16)
+    seen, write = [], lm.materialize
+
+    def keep(df, label):
+        table = write(df, label)
+        if label == "blocks":
+            seen.extend(r.item[-1] for r in table.collect())
+        return table
+
+    monkeypatch.setattr(lm, "materialize", keep)
+    rows = lm.score(make(spark, [words(rng, n) for n in (0, 5, 31, 32, 33, 100, 700)]), lm.Config(SENTENCEPIECE, rounds=1, steps=5)).collect()
+    assert sum(seen) == sum(r.n_pieces for r in rows if not r.held_out)
+
+
 def test_lm_odd_and_empty(spark, odd, config):
     assert lm.score(odd, config).count() == 8
     assert lm.score(odd.limit(0), config).count() == 0
