@@ -1,4 +1,4 @@
-"""What the operators of this folder share: shared-folder tables, Arrow batches and word hashes."""
+"""What the operators of this folder share: shared-folder tables, columns that can't clash, Arrow batches and word hashes."""
 
 from __future__ import annotations
 
@@ -9,26 +9,70 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: ASCII white space: the bytes that part words.
 BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode alone (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: the lineage ends there, and it survives lost executors."""
+def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder and read it again; also the table's path, for remove_table()."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of write_table() that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """write_table() for a table that the result still reads: the lineage ends there, and it survives lost executors."""
+    return write_table(df, label)[0]
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def plain(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns named d0, d1 ..., so that no name of an operator's own can clash with them."""
+    return docs.toDF(*[f"d{k}" for k in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> int:
+    """The place of a column, with Spark's rule for upper and lower case; an exact match comes first."""
+    names = docs.columns
+    return names.index(name) if name in names else [x.lower() for x in names].index(name.lower())
+
+
+def restored(df: DataFrame, docs: DataFrame, results: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``docs`` from those of plain(docs), then the results. A column of ``docs`` named like a result gives way to it."""
+    taken = {x.lower() for x in results}
+    own = [F.col(f"d{k}").alias(x) for k, x in enumerate(docs.columns) if x.lower() not in taken]
+    return df.select(*own, *results)
+
+
+def with_fields(docs: DataFrame, more: str) -> StructType:
+    """The schema of plain(docs) and of further fields."""
+    return StructType([*plain(docs).schema.fields, *StructType.fromDDL(more).fields])
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

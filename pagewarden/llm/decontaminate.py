@@ -9,7 +9,8 @@ The set is broadcast if its runs number at most ``max_broadcast_runs``; beyond t
 in a shuffled join on the run's words, with the same results.
 
 Null texts have no words. Benchmark rows with a null id or text are left out. Repeated benchmark rows count once per id,
-repeated documents are each reported, an empty benchmark hits nothing, and extra columns of ``docs`` pass through.
+repeated documents are each reported, an empty benchmark hits nothing, and very long texts are scanned whole. Extra columns of
+``docs`` pass through: decontaminate() returns them all, and in scan() one that is named like a result gives way to it.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_bytes, materialize
+from pagewarden.llm.common import as_bytes, materialize, place, plain, restored, with_fields
 
 # Fixed value: a word of letters, digits and non-ASCII characters, on lower-cased UTF-8 bytes.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -80,9 +81,8 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("item_text")).dropna().distinct()
 
 
-def _report_type(docs: DataFrame) -> str:
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return f"{fields}, n_words bigint, n_hit bigint, items array<string>, spans array<int>"
+REPORT = ("n_words", "n_hit", "items", "spans")
+REPORT_TYPES = "n_words bigint, n_hit bigint, items array<string>, spans array<int>"
 
 
 def _append(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
@@ -96,6 +96,11 @@ def _spans(hit: np.ndarray) -> list[int]:
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast_runs: int = MAX_BROADCAST_RUNS) -> DataFrame:
     """Columns of ``docs`` and n_words, n_hit, items (ids as text, sorted) and spans (hit ranges of words, flat)."""
+    return restored(_scan(docs, benchmark, n, max_broadcast_runs), docs, REPORT)
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, n: int, max_broadcast_runs: int) -> DataFrame:
+    """plain(docs) and the report."""
     items = _items(benchmark)
     # The benchmark's own size decides: white-space parts bound the number of words, and so of runs.
     size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0
@@ -108,12 +113,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast_runs:
 
 def _scan_broadcast(docs: DataFrame, matcher: Matcher) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(matcher)
+    at = place(docs, "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             n_words, n_hit, items, spans = [], [], [], []
-            for text in as_bytes(batch.column("text")):
+            for text in as_bytes(batch.column(at)):
                 words = words_of(text)
                 hit, occurring = m.scan(words)
                 n_words.append(len(words))
@@ -122,11 +128,16 @@ def _scan_broadcast(docs: DataFrame, matcher: Matcher) -> DataFrame:
                 spans.append(_spans(hit) if occurring else [])
             yield _append(batch, n_words=pa.array(n_words, pa.int64()), n_hit=pa.array(n_hit, pa.int64()), items=pa.array(items, pa.list_(pa.string())), spans=pa.array(spans, pa.list_(pa.int32())))
 
-    return docs.mapInArrow(work, _report_type(docs))
+    return plain(docs).mapInArrow(work, with_fields(docs, REPORT_TYPES))
+
+
+#: A run that very many documents hold meets its items in so many groups.
+SALTS = 16
 
 
 def _scan_shuffled(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
     """For a benchmark of any size: runs of documents and items joined by their words; spans are merged per document."""
+    at = place(docs, "text")
 
     def item_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,14 +156,17 @@ def _scan_shuffled(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
                     if starts:
                         yield pa.RecordBatch.from_arrays([pa.array([b" ".join(words[i : i + size]) for i in starts], pa.binary()), pa.array([row] * len(starts), pa.int64()), pa.array(starts, pa.int32())], names=["run", "row", "first"])
 
-    rows = materialize(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
-    found = rows.select("row", "text").mapInArrow(doc_runs, "run binary, row bigint, first int").join(known, "run")
+    rows = materialize(plain(docs).withColumn("row", F.monotonically_increasing_id()), "docs")
+    runs = rows.select("row", F.col(f"d{at}").alias("text")).mapInArrow(doc_runs, "run binary, row bigint, first int")
+    salted = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = runs.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["run", "salt"])
     per_doc = found.groupBy("row").agg(F.collect_set("item").alias("found_items"), F.collect_set(F.struct("first", "size")).alias("found_runs"))
+    width = len(docs.columns)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, items, spans = [], [], [], []
-            for text, some, places in zip(as_bytes(batch.column("text")), batch.column("found_items").to_pylist(), batch.column("found_runs").to_pylist(), strict=True):
+            for text, some, places in zip(as_bytes(batch.column(f"d{at}")), batch.column("found_items").to_pylist(), batch.column("found_runs").to_pylist(), strict=True):
                 hit = np.zeros(len(words_of(text)), dtype=bool)
                 for x in places or []:
                     hit[x["first"] : x["first"] + x["size"]] = True
@@ -160,39 +174,39 @@ def _scan_shuffled(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
                 n_hit.append(int(hit.sum()))
                 items.append(sorted(some or []))
                 spans.append(_spans(hit))
-            kept = batch.select([x for x in batch.schema.names if x not in ("row", "found_items", "found_runs")])
+            kept = batch.select([f"d{k}" for k in range(width)])
             yield _append(kept, n_words=pa.array(n_words, pa.int64()), n_hit=pa.array(n_hit, pa.int64()), items=pa.array(items, pa.list_(pa.string())), spans=pa.array(spans, pa.list_(pa.int32())))
 
-    return rows.join(per_doc, "row", "left").mapInArrow(merge, _report_type(docs))
+    return rows.join(per_doc, "row", "left").mapInArrow(merge, with_fields(docs, REPORT_TYPES))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "documents", max_broadcast_runs: int = MAX_BROADCAST_RUNS) -> DataFrame:
     """``docs`` without contamination: hit documents go, or with remove="spans" the text from a hit range's first to its last word goes."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    scanned = scan(docs, benchmark, n, max_broadcast_runs)
+    scanned = _scan(docs, benchmark, n, max_broadcast_runs)
     if remove == "documents":
-        return scanned.filter(F.col("n_hit") == 0).select(docs.columns)
-    names = docs.columns
+        return restored(scanned.filter(F.col("n_hit") == 0), docs)
+    at, width = place(docs, "text"), len(docs.columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for old, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+            for old, spans in zip(batch.column(at).to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 if not spans:
                     texts.append(old)
                     continue
                 data = old.encode()
-                at = [m.span() for m in WORD.finditer(data.lower())]
+                words = [m.span() for m in WORD.finditer(data.lower())]
                 pieces, last = [], 0
                 for first, end in zip(spans[::2], spans[1::2], strict=True):
-                    pieces.append(data[last : at[first][0]])
-                    last = at[end - 1][1]
+                    pieces.append(data[last : words[first][0]])
+                    last = words[end - 1][1]
                 texts.append(b"".join([*pieces, data[last:]]).decode())
-            batch = batch.select(names)
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            batch = batch.select([f"d{k}" for k in range(width)])
+            yield batch.set_column(at, f"d{at}", pa.array(texts, pa.string()))
 
-    return scanned.mapInArrow(cut, docs.schema)
+    return restored(scanned.mapInArrow(cut, plain(docs).schema), docs)
 
 
 def digest(scanned: DataFrame) -> DataFrame:

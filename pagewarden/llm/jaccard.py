@@ -16,7 +16,8 @@ at the threshold or above. Two such texts are always in one class, so the links
 counted over all its pairs, in block pairs too. That work grows with the square of a class; only counts leave a task.
 
 Null texts are empty; texts without words are equal. Repeated rows are copies. A null doc_id never names a class that has
-another id. Empty tables give empty results; extra columns are left out of classes() and kept by dedup().
+another id. Very long texts are taken whole. Empty tables give empty results; extra columns are left out of classes() and kept by
+dedup(), whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_bytes, gram_hashes, materialize, mix64, powers, runs, word_hashes
+from pagewarden.llm.common import as_bytes, gram_hashes, materialize, mix64, place, plain, powers, remove_table, restored, runs, word_hashes, write_table
 
 
 @dataclass(frozen=True)
@@ -316,15 +317,19 @@ def degrees(edges: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFra
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each component; least labels spread along links and by pointer jumps, with a written table each round."""
-    both = materialize(edges.union(edges.select("b", "a")).toDF("node", "other"), "links")
-    labels = materialize(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
+    spark = edges.sparkSession
+    both, links_path = write_table(edges.union(edges.select("b", "a")).toDF("node", "other"), "links")
+    labels, path = write_table(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         spread = labels.join(near, "node", "left").join(jump, "label", "left")
-        new = materialize(spread.select("node", F.least("label", "theirs", "next").alias("label"), (F.least("label", "theirs", "next") < F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
+        least = F.least("label", "theirs", "next")
+        new, new_path = write_table(spread.select("node", least.alias("label"), (least < F.col("label")).alias("moved")), "labels")
+        remove_table(spark, path)
+        labels, path = new.select("node", "label"), new_path
         if not new.filter("moved").limit(1).count():
+            remove_table(spark, links_path)
             return labels
 
 
@@ -364,8 +369,8 @@ def classes(docs: DataFrame, search: Search = Search()) -> DataFrame:
 
 
 def dedup(docs: DataFrame, search: Search = Search()) -> DataFrame:
-    """One document of each class: the one with the smallest doc_id. Columns as in ``docs``."""
-    names = docs.columns
-    keepers = classes(docs, search).filter("keeper").select(F.col("key").alias("jj_key")).distinct()
-    keyed = docs.withColumn("jj_key", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    return keyed.join(keepers, "jj_key").dropDuplicates(["jj_key"]).select(*names)
+    """One document of each class: the one with the smallest doc_id. Columns as in ``docs``, whatever their names."""
+    keepers = classes(docs, search).filter("keeper").select("key").distinct()
+    own = [F.col(f"d{place(docs, x)}") for x in ("doc_id", "text")]
+    keyed = plain(docs).withColumn("key", F.xxhash64(own[0], F.coalesce(own[1], F.lit(""))))
+    return restored(keyed.join(keepers, "key").dropDuplicates(["key"]), docs)

@@ -2,11 +2,12 @@
 
 A response is a row with record_id, target_uri, date, headers (a map of source headers) and payload (HTML). ``derive`` gives, for each,
 a metadata record (the source headers, the title and the outgoing link count as warc-fields) and a conversion record (the page's
-text). Both carry WARC-Refers-To with the response's id, its URI and date, and digests of their own block and of the source's payload.
-``serialise`` adds each record's bytes in WARC 1.1 form, and ``parse`` reads them back.
+text). Both carry WARC-Refers-To with the response's id, WARC-Refers-To-Target-URI and -Date with its URI and date, and digests of their own block
+and of the source's payload. ``serialise`` adds each record's bytes in WARC 1.1 form, and ``parse`` reads them back.
 
-A null payload is an empty page. A null URI is left out of the header. Ids follow from content, so repeated rows give equal records; an empty
-table gives none. Extra columns are left out. All of it is expressions on columns; nothing is shuffled.
+A null payload is an empty page, and null headers are none. A null URI, date or header value is left out. Line ends in a URI, a header or a title become
+blanks, so that none of them adds a line. Ids follow from content, so repeated rows give equal records; an empty table gives none. Very long pages
+are converted whole. Extra columns, of any name, are left out. All of it is expressions on columns; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ def _id(name: str, *parts: Column) -> Column:
     return F.concat(F.lit("<urn:uuid:"), s(1, 8), F.lit("-"), s(9, 4), F.lit("-5"), s(14, 3), F.lit("-a"), s(18, 3), F.lit("-"), s(21, 12), F.lit(">"))
 
 
+def _one_line(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\r\n]+", " ")
+
+
 def _digest(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
 
@@ -57,14 +62,17 @@ def plain_text(html: Column) -> Column:
 
 def derive(rows: DataFrame) -> DataFrame:
     """Two rows for each response: record_type, record_id, refers_to, target_uri, date, content_type, block, block_digest, payload_digest, source_headers."""
-    title = F.trim(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    headers = F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(F.lit("source-"), F.lower(e["key"]), F.lit(": "), e["value"])))
+    page = [c for c in ("page_id",) if c in rows.columns]
+    rows = rows.select(*page, "record_id", "target_uri", "date", "headers", F.coalesce("payload", F.lit("")).alias("payload"))
+    title = F.trim(_one_line(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    entries = F.filter(F.map_entries("headers"), lambda e: e["value"].isNotNull())
+    headers = F.coalesce(F.array_sort(F.transform(entries, lambda e: _one_line(F.concat(F.lit("source-"), F.lower(e["key"]), F.lit(": "), e["value"])))), F.array().cast("array<string>"))
     fields = F.concat(F.array(F.concat(F.lit("title: "), title), F.concat(F.lit("outlinks: "), F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href=")).cast("string"))), headers)
     base = rows.withColumns({"fields": F.concat(F.array_join(fields, CRLF), F.lit(CRLF)), "text": plain_text(F.col("payload")), "payload_digest": _digest(F.col("payload"))})
     kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("record_type"), F.lit(c).alias("content_type"), F.col(b).alias("block")) for t, c, b in (("metadata", "application/warc-fields", "fields"), ("conversion", "text/plain; charset=utf-8", "text"))]))
-    out = base.select(*[c for c in ("page_id",) if c in rows.columns], "record_id", "target_uri", "date", "headers", "payload_digest", kinds.alias("d"))
+    out = base.select(*page, "record_id", "target_uri", "date", "headers", "payload_digest", kinds.alias("d"))
     return out.select(
-        *[c for c in ("page_id",) if c in rows.columns],
+        *page,
         F.col("d.record_type").alias("record_type"),
         _id("derived", F.col("d.record_type"), F.col("record_id"), F.col("d.block")).alias("record_id"),
         F.col("record_id").alias("refers_to"),
@@ -86,8 +94,10 @@ def serialise(records: DataFrame) -> DataFrame:
         line("WARC-Type", F.col("record_type")),
         line("WARC-Record-ID", F.col("record_id")),
         line("WARC-Refers-To", F.col("refers_to")),
-        line("WARC-Target-URI", F.col("target_uri")),
-        line("WARC-Date", F.col("date")),
+        line("WARC-Refers-To-Target-URI", _one_line(F.col("target_uri"))),
+        line("WARC-Refers-To-Date", _one_line(F.col("date"))),
+        line("WARC-Target-URI", _one_line(F.col("target_uri"))),
+        line("WARC-Date", _one_line(F.col("date"))),
         line("WARC-Block-Digest", F.col("block_digest")),
         line("WARC-Refers-To-Payload-Digest", F.col("payload_digest")),
         line("Content-Type", F.col("content_type")),
@@ -98,14 +108,16 @@ def serialise(records: DataFrame) -> DataFrame:
 
 
 def parse(records: DataFrame, column: str = "record") -> DataFrame:
-    """Header fields and block of serialised records; ``intact`` tells whether length and digest hold."""
+    """Header fields (the first of a repeated name) and block of serialised records; ``intact`` tells whether length and digest hold, false for null."""
     text = F.decode(column, "UTF-8")
     cut = F.instr(text, CRLF * 2)
     lines = F.filter(F.split(F.substr(text, F.lit(1), cut - 1), CRLF), lambda x: x.contains(": "))
-    fields = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.substring_index(x, ": ", 1), F.regexp_replace(x, r"^[^:]*: ", ""))))
-    parsed = records.select(fields.alias("fields"), F.substr(text, cut + 4, F.length(text) - cut - 7).alias("block"))
+    names = F.transform(lines, lambda x: F.substring_index(x, ": ", 1))
+    first = F.array_distinct(names)
+    values = F.transform(first, lambda n: F.regexp_replace(F.element_at(lines, F.array_position(names, n).cast("int")), r"^[^:]*: ", ""))
+    parsed = records.select(F.map_from_arrays(first, values).alias("fields"), F.substr(text, cut + 4, F.length(text) - cut - 7).alias("block"))
     good = (F.octet_length("block").cast("string") == F.col("fields")["Content-Length"]) & (_digest(F.col("block")) == F.col("fields")["WARC-Block-Digest"])
-    return parsed.withColumn("intact", good)
+    return parsed.withColumn("intact", F.coalesce(good, F.lit(False)))
 
 
 def digest(records: DataFrame) -> DataFrame:
@@ -126,9 +138,10 @@ def oracle_sql(date: str = "1970-01-01T00:00:00Z") -> str:
     n = "chr(13) || chr(10)"
     line = lambda name, value: f"coalesce('{name}: ' || {value} || {n}, '')"
     size = lambda x: f"octet_length(encode({x}))"
+    uri = "regexp_replace(url, '[\\r\\n]+', ' ', 'g')"
     return f"""
 WITH r AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
-s AS (SELECT *, sha1('response' || chr(10) || coalesce(url, '') || chr(10) || payload) AS h, trim(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title>', 1), ' ') AS title,
+s AS (SELECT *, sha1('response' || chr(10) || coalesce(url, '') || chr(10) || payload) AS h, trim(regexp_replace(regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\r\\n]+', ' ', 'g'), ' ') AS title,
   len(regexp_extract_all(payload, '(?i)<a\\s[^>]*href=')) AS outlinks, {text} AS plain FROM r),
 t AS (SELECT *, {uid("h")} AS refers_to, 'title: ' || title || {n} || 'outlinks: ' || outlinks || {n} || 'source-content-length: ' || {size("payload")} || {n} || 'source-content-type: text/html; charset=utf-8' || {n} AS fields FROM s),
 u AS (SELECT page_id, url, payload, refers_to, 'metadata' AS record_type, 'application/warc-fields' AS content_type, fields AS block FROM t
@@ -136,7 +149,7 @@ u AS (SELECT page_id, url, payload, refers_to, 'metadata' AS record_type, 'appli
 v AS (SELECT *, sha1('derived' || chr(10) || record_type || chr(10) || refers_to || chr(10) || block) AS h2, 'sha256:' || sha256(block) AS block_digest, 'sha256:' || sha256(payload) AS payload_digest FROM u),
 w AS (SELECT *, {uid("h2")} AS record_id FROM v)
 SELECT page_id, record_type, record_id, refers_to, url AS target_uri, {size("block")}::BIGINT AS content_length, block_digest, payload_digest,
-  sha256('WARC/1.1' || {n} || {line("WARC-Type", "record_type")} || {line("WARC-Record-ID", "record_id")} || {line("WARC-Refers-To", "refers_to")} || {line("WARC-Target-URI", "url")}
-    || {line("WARC-Date", q(date))} || {line("WARC-Block-Digest", "block_digest")} || {line("WARC-Refers-To-Payload-Digest", "payload_digest")} || {line("Content-Type", "content_type")}
+  sha256('WARC/1.1' || {n} || {line("WARC-Type", "record_type")} || {line("WARC-Record-ID", "record_id")} || {line("WARC-Refers-To", "refers_to")} || {line("WARC-Refers-To-Target-URI", uri)}
+    || {line("WARC-Refers-To-Date", q(date))} || {line("WARC-Target-URI", uri)} || {line("WARC-Date", q(date))} || {line("WARC-Block-Digest", "block_digest")} || {line("WARC-Refers-To-Payload-Digest", "payload_digest")} || {line("Content-Type", "content_type")}
     || {line("Content-Length", size("block"))} || {n} || block || {n} || {n}) AS record_sha256
 FROM w"""
