@@ -1,21 +1,22 @@
 """Token ids in compressed files: adaptive context mixing with a range coder, in independent checksummed blocks.
 
-A file row ("segment") holds whole documents in order: a header, the documents' lengths, and their ids cut into blocks
-of ``BLOCK`` ids. Every block starts from a reset model and carries a CRC-32 of its ids, so that blocks can be decoded alone
-and damage is found. Within a segment all blocks advance together, one id a step, as columns of numpy arrays.
+A file row ("segment") holds whole documents in order: a header, the documents' lengths, a table of the segment's ids with their
+frequencies, and the ids cut into blocks of ``BLOCK`` ids. Every block starts from a reset model and carries a CRC-32 of its ids, so that blocks can
+be decoded alone (with the segment's table) and damage is found. Within a segment all blocks advance together, one id a step, as columns of numpy arrays.
 
-Model of a block: the last id seen after the two previous ids (order 2), after the previous id (order 1), and the
-block's leading id by majority vote (order 0) are predictions, each with a confidence. The chance that the order-2 prediction
-is right mixes, in the logistic domain with learned weights, the hit rates seen at the three confidences; order 1 and
-order 0 share the rest by their own hit rates. One range-coder step codes which prediction is right; an id that none predicts
-follows as 16 or 32 plain bits. All model arithmetic is in integers, so that any machine decodes alike.
+Every id is coded in one step, with the chance that a mixture gives it: order 2 (the last id seen after the two previous ids), order 1 (after the
+previous id) and a block's leading id by majority vote each put a weight on the id that they predict, and order 0, the table's frequencies, has the rest and gives
+every id of the segment a share. The weights adapt in each block: hit rates are kept by order and confidence, and logistic mixers
+combine those of all orders, with learned weights, into the chances that the order-2 and the order-1 prediction are right. All model
+arithmetic is in integers, so that any machine decodes alike.
 
 Null text is empty (a document of its end id alone). Documents are ordered by doc_id, nulls first; rows with the same doc_id by
-a hash of their text. An empty table gives no rows; other columns are left out.
+a hash of their text. A very long document is a segment of its own. An empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,7 +31,7 @@ from pagewarden.llm.common import as_bytes, flat_take, materialize
 BLOCK = 1024
 #: A segment is closed at so many ids; a longer document has one of its own.
 SEGMENT_IDS = 1 << 20
-MAGIC = b"IDS1"
+MAGIC = b"IDS2"
 _HEAD = struct.Struct("<4sBII")
 TABLE_BITS = 10
 _U = np.uint64
@@ -41,57 +42,141 @@ STRETCH = np.round(np.log(_P / (1 - _P)) * 256).astype(np.int64)
 SQUASH = np.clip(np.round(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256.0))), 64, 65536 - 64).astype(np.int64)
 
 
+class Frequencies:
+    """Order 0: a segment's ids in ascending order, and cumulated frequencies that sum to 2**bits."""
+
+    #: Counts are kept as 8ths of their binary logarithm.
+    FINE = 8
+
+    def __init__(self, ids: np.ndarray, logs: np.ndarray):
+        self.ids, self.logs = ids, logs
+        self.bits = max(20, int(len(ids)).bit_length() + 3)
+        # Sums in integers, in the same order everywhere: the table of powers is rounded once.
+        powers = np.round(2.0 ** (np.arange(256) / self.FINE) * 16).astype(object)
+        weights = np.array([int(powers[x]) for x in range(256)], dtype=object)[logs] if len(logs) else np.zeros(0, dtype=object)
+        total, room = int(weights.sum()) if len(logs) else 1, (1 << self.bits) - len(ids)
+        share = np.array([int(w) * room // total for w in weights], dtype=np.int64) + 1
+        if len(share):
+            share[int(np.argmax(share))] += (1 << self.bits) - int(share.sum())
+        self.ends = np.concatenate([[0], np.cumsum(share)]).astype(np.int64)
+        # From a place below 2**bits to the id there.
+        self.at = np.repeat(np.arange(len(share), dtype=np.int32), share) if self.bits <= 22 else None
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[Frequencies, np.ndarray]:
+        """The table of these ids, and their places in it."""
+        values, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        logs = np.array([min(255, round(cls.FINE * math.log2(c))) for c in range(1, 4097)], dtype=np.uint8)
+        large = np.array([min(255, round(cls.FINE * math.log2(c))) for c in counts[counts > 4096].tolist()], dtype=np.uint8)
+        own = logs[np.minimum(counts, 4096) - 1]
+        own[counts > 4096] = large
+        return cls(values.astype(np.uint32), own), places.reshape(-1).astype(np.int64)
+
+    def pack(self) -> bytes:
+        data = zlib.compress(np.diff(self.ids, prepend=np.uint32(0)).astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes() + self.logs.tobytes(), 9)
+        return struct.pack("<II", len(self.ids), len(data)) + data
+
+    @classmethod
+    def unpack(cls, data: bytes, at: int) -> tuple[Frequencies, int]:
+        """The table that begins at a place of ``data``, and the place after it."""
+        n, size = struct.unpack_from("<II", data, at)
+        raw = np.frombuffer(zlib.decompress(data[at + 8 : at + 8 + size]), dtype=np.uint8)
+        ids = np.cumsum(np.ascontiguousarray(raw[: 4 * n].reshape(4, n).T).view("<u4").reshape(-1), dtype=np.uint32)
+        return cls(ids, raw[4 * n :].copy()), at + 8 + size
+
+    def find(self, place: np.ndarray) -> np.ndarray:
+        return self.at[place] if self.at is not None else np.searchsorted(self.ends, place, side="right") - 1
+
+
 class _Model:
-    """Predictions and chances for ``lanes`` blocks at once. A slot holds an id plus 1, and a confidence of 0 to 3 in its two low bits."""
+    """The mixture for ``lanes`` blocks at once, over places in the table. A slot holds a place plus 1, and a confidence of 0 to 3 in its two low bits."""
 
-    def __init__(self, lanes: int):
-        self.lanes = lanes
+    def __init__(self, lanes: int, table: Frequencies):
+        self.table = table
+        self.shift = table.bits + 6  # chances are of 2**shift; order 0 keeps 1/64 at least
+        self.rest = (1 << self.shift) - (1 << table.bits)
         self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS
         self.lane4 = np.arange(lanes, dtype=np.int64) * 4
-        self.slots = [np.zeros(lanes, dtype=np.int64), np.zeros(lanes << TABLE_BITS, dtype=np.int64), np.zeros(lanes << TABLE_BITS, dtype=np.int64)]
-        # Hit rates (16 bits) by order and confidence, and mixing weights (16-bit fixed point), per lane.
-        self.rates = [np.full(lanes * 4, x, dtype=np.int64) for x in (1000, 16000, 32000)]
-        self.weights = [np.full(lanes, x, dtype=np.int64) for x in (2000, 12000, 52000)]
+        self.slots = [np.zeros(lanes, dtype=np.int32), np.zeros(lanes << TABLE_BITS, dtype=np.int32), np.zeros(lanes << TABLE_BITS, dtype=np.int32)]
+        # Hit rates (16 bits) by order and confidence, and the mixers' weights (16-bit fixed point), per lane.
+        self.rates = [np.tile(np.array(x, dtype=np.int64), lanes) for x in START_RATES]
+        self.weights = {k: [np.full(lanes, x, dtype=np.int64) for x in START_WEIGHTS[k]] for k in (1, 2)}
         self.last = np.zeros(lanes, dtype=np.int64)
         self.before = np.zeros(lanes, dtype=np.int64)
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Upper ends of the chances (16 bits) of order 2, order 1 and order 0; the rest is for an id that none predicts."""
+    def predict(self) -> None:
+        """Sets the predicted places (-1: none) and their weights for the next id, by order."""
         mask = (1 << TABLE_BITS) - 1
         turned = self.last * 0x85EBCA6B
         self.at1 = self.base + ((self.last * 0x9E3779B1 >> 13) & mask)
         self.at2 = self.base + (((turned ^ self.before * 0xC2B2AE35) >> 11) & mask)
         self.slot = [self.slots[0], self.slots[1][self.at1], self.slots[2][self.at2]]
         self.conf = [x & 3 for x in self.slot]
-        self.guess = [x >> 2 for x in self.slot]
+        self.guess = [(x >> 2) - 1 for x in self.slot]
         self.place = [self.lane4 + x for x in self.conf]
         self.rate = [r[x] for r, x in zip(self.rates, self.place, strict=True)]
         self.inputs = [STRETCH[x >> 4] for x in self.rate]
-        total = self.inputs[0] * self.weights[0] + self.inputs[1] * self.weights[1] + self.inputs[2] * self.weights[2]
-        self.mixed = SQUASH[np.clip(total >> 16, -2047, 2047) + 2047]
-        # Only guesses that are there, and differ from those before them, get a share.
         g0, g1, g2 = self.guess
-        self.there = [(g0 > 0) & (g0 != g2) & (g0 != g1), (g1 > 0) & (g1 != g2), g2 > 0]
-        rest = 65536 - 64
-        a = np.where(self.there[2], (rest * self.mixed >> 16) + 1, 0)
-        b = a + np.where(self.there[1], ((rest - a) * self.rate[1] >> 16) + 1, 0)
-        c = b + np.where(self.there[0], ((rest - b) * self.rate[0] >> 16) + 1, 0)
-        return a, b, c
+        # Only predictions that are there, and differ from those of higher orders, get a weight.
+        self.there = [(g0 >= 0) & (g0 != g2) & (g0 != g1), (g1 >= 0) & (g1 != g2), g2 >= 0]
+        self.mixed = {}
+        for k in (1, 2):
+            w = self.weights[k]
+            total = self.inputs[0] * w[0] + self.inputs[1] * w[1] + self.inputs[2] * w[2]
+            self.mixed[k] = SQUASH[np.clip(total >> 16, -2047, 2047) + 2047]
+        second = np.where(self.there[2], self.rest * self.mixed[2] >> 16, 0)
+        left = self.rest - second
+        first = np.where(self.there[1], left * self.mixed[1] >> 16, 0)
+        left -= first
+        self.mass = [np.where(self.there[0], left * self.rate[0] >> 16, 0), first, second]
+        self.order0 = (1 << self.shift) - self.mass[0] - self.mass[1] - self.mass[2]
+
+    def below(self, place: np.ndarray) -> np.ndarray:
+        """Where order 0's share of a place begins, without the weights of predictions."""
+        return self.table.ends[place] * self.order0 >> self.table.bits
+
+    def interval(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of the chance of a place."""
+        begin = self.below(place)
+        size = self.below(place + 1) - begin
+        for g, m in zip(self.guess, self.mass, strict=True):
+            begin = begin + np.where(g < place, m, 0)
+            size = size + np.where(g == place, m, 0)
+        return begin, size
+
+    def find(self, value: np.ndarray) -> np.ndarray:
+        """The place whose interval holds a value."""
+        out = np.full(len(value), -1, dtype=np.int64)
+        left = value.copy()
+        for g, m in zip(self.guess, self.mass, strict=True):
+            begin, size = self.interval(np.maximum(g, 0))
+            some = m > 0
+            out = np.where(some & (begin <= value) & (value < begin + size), g, out)
+            left -= np.where(some & (begin + size <= value), m, 0)
+        plain = self.table.find(np.clip((((left + 1) << self.table.bits) - 1) // self.order0, 0, (1 << self.table.bits) - 1))
+        return np.where(out >= 0, out, plain)
 
     def update(self, actual: np.ndarray) -> None:
-        """``actual`` are ids plus 1."""
-        fresh = actual << 2
+        """``actual`` are places."""
+        fresh = (actual + 1 << 2).astype(np.int32)
         right = [g == actual for g in self.guess]
-        error = np.where(self.there[2], (right[2].astype(np.int64) << 16) - self.mixed, 0) >> 4
+        hit = [r.astype(np.int64) << 16 for r in right]
+        # A mixer learns where its prediction counted: order 1's where order 2's was not right.
+        for k, some in ((2, self.there[2]), (1, self.there[1] & ~right[2])):
+            error = np.where(some, hit[k] - self.mixed[k], 0) >> 4
+            for j in range(3):
+                self.weights[k][j] += self.inputs[j] * error >> 10
         new = []
         for k in range(3):
-            self.weights[k] += self.inputs[k] * error >> 10
-            p = self.rate[k]
-            self.rates[k][self.place[k]] = p + ((right[k].astype(np.int64) << 16) - p >> 5)
+            self.rates[k][self.place[k]] = self.rate[k] + (hit[k] - self.rate[k] >> 4)
             # A right guess gains, a wrong one loses, and one without confidence is replaced.
             new.append(np.where(right[k], self.slot[k] + (self.conf[k] < 3), np.where(self.conf[k] > 0, self.slot[k] - 1, fresh)))
         self.slots[0], self.slots[1][self.at1], self.slots[2][self.at2] = new
-        self.before, self.last = self.last, actual
+        self.before, self.last = self.last, actual + 1
+
+
+START_RATES = ([700, 1500, 3000, 5000], [6000, 16000, 28000, 40000], [12000, 30000, 45000, 55000])  # by confidence
+START_WEIGHTS = {1: (4000, 56000, 2000), 2: (2000, 12000, 52000)}  # for the inputs of orders 0, 1, 2
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -107,16 +192,15 @@ _SETTLED, _SMALL, _LOW = _U(1 << 48), _U(1 << 32), _U((1 << 32) - 1)
 class _Coder:
     """The intervals of a range coder without carries for all lanes; ``moved`` is told which lanes shift out their upper 16 bits."""
 
-    def __init__(self, lanes: int, moved: Callable[[np.ndarray, np.ndarray], None]):
-        self.low, self.width, self.moved = np.zeros(lanes, dtype=_U), np.full(lanes, ~_U(0), dtype=_U), moved
+    def __init__(self, lanes: int, shift: int, moved: Callable[[np.ndarray, np.ndarray], None]):
+        self.low, self.width, self.shift, self.moved = np.zeros(lanes, dtype=_U), np.full(lanes, ~_U(0), dtype=_U), _U(shift), moved
 
-    def narrow(self, begin: np.ndarray, size: np.ndarray, lanes: np.ndarray) -> None:
-        """Take the part [begin, begin + size) of 65,536 in the lanes given."""
-        part = self.width[lanes] >> _16
-        self.low[lanes] += part * begin.view(_U)
-        width = part * size.view(_U)
-        self.width[lanes] = width
-        lanes = lanes[width < _SETTLED]
+    def narrow(self, begin: np.ndarray, size: np.ndarray, n: int) -> None:
+        """Take the part [begin, begin + size) of 2**shift in the first ``n`` lanes."""
+        part = self.width[:n] >> self.shift
+        self.low[:n] += part * begin[:n].view(_U)
+        self.width[:n] = width = part * size[:n].view(_U)
+        lanes = np.flatnonzero(width < _SETTLED)
         while len(lanes):
             low, width = self.low[lanes], self.width[lanes]
             settled = (low ^ (low + width)) < _SETTLED
@@ -132,42 +216,34 @@ class _Coder:
 
 
 def encode_ids(ids: np.ndarray) -> bytes:
-    """A segment's blocks: number of ids, and per block its CRC-32 and its size, then the code words."""
+    """A segment's blocks: number of ids, the table, per block its CRC-32 and its size, then the code words."""
     n = len(ids)
     if n == 0:
-        return struct.pack("<IB", 0, 0)
-    wide = int(ids.max()) > 0xFFFF
+        return struct.pack("<I", 0)
+    table, places = Frequencies.of(ids)
     lanes, short = _lanes(n)
     padded = np.zeros(lanes * BLOCK, dtype=np.int64)
-    padded[:n] = ids
+    padded[:n] = places
     columns = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    out = np.zeros((lanes, BLOCK * (5 if wide else 4) + 8), dtype=np.uint16)
+    out = np.zeros((lanes, BLOCK * 3 + 8), dtype=np.uint16)
     used = np.zeros(lanes, dtype=np.int64)
 
     def moved(which: np.ndarray, words: np.ndarray) -> None:
         out[which, used[which]] = words
         used[which] += 1
 
-    model, coder = _Model(lanes), _Coder(lanes, moved)
-    on = np.arange(lanes)
+    model = _Model(lanes, table)
+    coder = _Coder(lanes, model.shift, moved)
+    on = lanes
     for t in range(BLOCK):
         if t == short:
-            on = on[:-1]
-            if not len(on):
+            on -= 1
+            if not on:
                 break
-        actual = columns[t]
-        a, b, c = model.predict()
-        hit2, hit1, hit0 = (model.there[k] & (model.guess[k] == actual + 1) for k in (2, 1, 0))
-        begin = np.where(hit2, 0, np.where(hit1, a, np.where(hit0, b, c)))
-        end = np.where(hit2, a, np.where(hit1, b, np.where(hit0, c, 65536)))
-        coder.narrow(begin[on], (end - begin)[on], on)
-        missed = on[~(hit2 | hit1 | hit0)[on]]
-        if len(missed):
-            one = np.ones(len(missed), dtype=np.int64)
-            if wide:
-                coder.narrow(actual[missed] >> 16, one, missed)
-            coder.narrow(actual[missed] & 0xFFFF, one, missed)
-        model.update(actual + 1)
+        model.predict()
+        begin, size = model.interval(columns[t])
+        coder.narrow(begin, size, on)
+        model.update(columns[t])
     every = np.arange(lanes)
     for _ in range(4):
         moved(every, coder.low >> _48)
@@ -175,18 +251,22 @@ def encode_ids(ids: np.ndarray) -> bytes:
     raw = ids.astype("<u4")
     crcs = np.array([zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(lanes)], dtype="<u4")
     words = b"".join(out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes))
-    return struct.pack("<IB", n, wide) + crcs.tobytes() + used.astype("<u4").tobytes() + words
+    return struct.pack("<I", n) + table.pack() + crcs.tobytes() + used.astype("<u4").tobytes() + words
 
 
 def decode_ids(data: bytes) -> np.ndarray:
     """The ids of encode_ids; raises ValueError where a block's checksum doesn't hold."""
-    n, wide = struct.unpack_from("<IB", data)
+    (n,) = struct.unpack_from("<I", data)
     if n == 0:
         return np.zeros(0, dtype=np.uint32)
+    try:
+        table, at = Frequencies.unpack(data, 4)
+    except zlib.error as e:
+        raise ValueError("the table of ids is damaged") from e
     lanes, short = _lanes(n)
-    crcs = np.frombuffer(data, "<u4", lanes, 5)
-    sizes = np.frombuffer(data, "<u4", lanes, 5 + 4 * lanes).astype(np.int64)
-    words = np.frombuffer(data, "<u2", int(sizes.sum()), 5 + 8 * lanes)
+    crcs = np.frombuffer(data, "<u4", lanes, at)
+    sizes = np.frombuffer(data, "<u4", lanes, at + 4 * lanes).astype(np.int64)
+    words = np.frombuffer(data, "<u2", int(sizes.sum()), at + 8 * lanes)
     words = np.concatenate([words, np.zeros(8, dtype=words.dtype)]).astype(_U)
     last_word = len(words) - 1
     place = np.cumsum(sizes) - sizes
@@ -199,39 +279,26 @@ def decode_ids(data: bytes) -> np.ndarray:
         code[which] = (code[which] << _16) | words[np.minimum(place[which], last_word)]
         place[which] += 1
 
-    model, coder = _Model(lanes), _Coder(lanes, moved)
-
-    def value(which: np.ndarray) -> np.ndarray:
-        return np.minimum((code[which] - coder.low[which]) // (coder.width[which] >> _16), _U(0xFFFF)).view(np.int64)
-
+    model = _Model(lanes, table)
+    coder = _Coder(lanes, model.shift, moved)
+    most, shift = _U((1 << model.shift) - 1), _U(model.shift)
     out = np.zeros((BLOCK, lanes), dtype=np.int64)
-    on = np.arange(lanes)
+    on = lanes
     for t in range(BLOCK):
         if t == short:
-            on = on[:-1]
-            if not len(on):
+            on -= 1
+            if not on:
                 break
-        a, b, c = model.predict()
-        v = np.full(lanes, 65535, dtype=np.int64)
-        v[on] = value(on)
-        hit2, hit1, hit0 = v < a, v < b, v < c
-        begin = np.where(hit2, 0, np.where(hit1, a, np.where(hit0, b, c)))
-        end = np.where(hit2, a, np.where(hit1, b, np.where(hit0, c, 65536)))
-        coder.narrow(begin[on], (end - begin)[on], on)
-        actual = np.where(hit2, model.guess[2], np.where(hit1, model.guess[1], np.where(hit0, model.guess[0], 1))) - 1
-        missed = on[~hit0[on]]
-        if len(missed):
-            one = np.ones(len(missed), dtype=np.int64)
-            high = 0
-            if wide:
-                high = value(missed)
-                coder.narrow(high, one, missed)
-            plain = value(missed)
-            coder.narrow(plain, one, missed)
-            actual[missed] = high << 16 | plain
+        model.predict()
+        value = np.minimum((code - coder.low) // np.maximum(coder.width >> shift, _U(1)), most).view(np.int64)
+        actual = model.find(value)
+        if on < lanes:
+            actual[on:] = 0
+        begin, size = model.interval(actual)
+        coder.narrow(begin, size, on)
         out[t] = actual
-        model.update(actual + 1)
-    ids = out.T.reshape(-1)[:n].astype("<u4")
+        model.update(actual)
+    ids = table.ids[out.T.reshape(-1)[:n]].astype("<u4")
     for i in range(lanes):
         if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) != crcs[i]:
             raise ValueError(f"block {i}: the checksum doesn't hold")
@@ -241,12 +308,12 @@ def decode_ids(data: bytes) -> np.ndarray:
 def pack_segment(documents: list[np.ndarray]) -> bytes:
     lengths = np.array([len(x) for x in documents], dtype="<u8")
     body = encode_ids(np.concatenate(documents) if documents else np.zeros(0, dtype=np.uint32))
-    return _HEAD.pack(MAGIC, 1, BLOCK, len(documents)) + lengths.tobytes() + body
+    return _HEAD.pack(MAGIC, 2, BLOCK, len(documents)) + lengths.tobytes() + body
 
 
 def unpack_segment(data: bytes) -> list[np.ndarray]:
     magic, version, block, n = _HEAD.unpack_from(data)
-    if (magic, version, block) != (MAGIC, 1, BLOCK):
+    if (magic, version, block) != (MAGIC, 2, BLOCK):
         raise ValueError("not a segment of this format")
     lengths = np.frombuffer(data, "<u8", n, _HEAD.size).astype(np.int64)
     ids = decode_ids(data[_HEAD.size + 8 * n :])
@@ -262,8 +329,7 @@ class ChunkEncoder:
 
     def _clear(self) -> None:
         self.place: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = [np.zeros(0, dtype=np.uint32)]
-        self.sizes: list[int] = []
+        self.pool, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -281,12 +347,10 @@ class ChunkEncoder:
         fresh = list({w for words in split for w in words if w not in place})
         if fresh:
             ids = self.encode([w.decode() for w in fresh])
-            for w in fresh:
-                place[w] = len(place)
-            self.sizes += map(len, ids)
-            self.parts.append(np.fromiter((i for x in ids for i in x), dtype=np.uint32))
-            self.parts = [np.concatenate(self.parts)]
-        pool, sizes = self.parts[0], np.array(self.sizes, dtype=np.int64)
+            place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))])
+            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), dtype=np.uint32)])
+        pool, sizes = self.pool, self.sizes
         starts = np.cumsum(sizes) - sizes
         at = np.fromiter((place[w] for words in split for w in words), dtype=np.int64)
         counts = np.array([len(x) for x in split], dtype=np.int64)
@@ -355,9 +419,9 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:
             texts, doc_ids = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist()
-            for k in range(0, len(texts), 256):
-                ids, counts = encoder(texts[k : k + 256])
-                for doc_id, own in zip(doc_ids[k : k + 256], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+            for k in range(0, len(texts), 1024):
+                ids, counts = encoder(texts[k : k + 1024])
+                for doc_id, own in zip(doc_ids[k : k + 1024], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
                     if size and size + len(own) >= SEGMENT_IDS:
                         yield close()
                     names.append(doc_id)
