@@ -8,16 +8,20 @@ own; others share classes by frequency, first and inner ones apart.
 A word's chance is that of its first piece, given that a word or the end comes, times a mixture of two: the word's share of all
 training words with that first piece (weight ``known``), and its other pieces and the word's end from attention.
 
+Classes lie in groups of GROUP: the chance of a class is that of its group, times its own in the group, so that a piece costs two
+small softmaxes in place of one over all classes.
+
 Sequences are cut in blocks. A window is a block and the block before it: queries come from the later block alone, keys and
 values from both, under a causal mask, so windows overlap by half and score each piece once; many windows are one numpy
-batch. Training takes each training document whole (with ``thin`` above 1, one run of RUN words in every ``thin``): each round, every partition trains from the shared
-weights by Adam, and the weights are averaged, weighted by blocks, in one aggregation.
+batch. Training takes every piece of every training document once, a share of the documents in each round: every partition trains from the shared
+weights by Adam as its documents pass, and the weights are averaged, weighted by blocks, in one aggregation. A partition with too few blocks for
+``steps`` goes over them again. Weights start from counts of pairs of neighbouring classes over all training documents.
 
 The base needs each word's count in the training corpus. Words of at least 1/``heavy`` of all tokens (``heavy`` at most) are
 broadcast; the rest meet their counts in a join.
 
-Null text is empty (an end alone). A null doc_id is hashed as the text ``null``. Repeated rows are scored and counted each. Empty
-tables give empty results; with no training documents all classes are alike. Extra columns are left out.
+Null text is empty (an end alone). A null doc_id is hashed as the text ``null``. Repeated rows are scored and counted each, and very long texts are
+scored whole. Empty tables give empty results; with no training documents all classes are alike. Extra columns, of any name, are left out.
 """
 
 from __future__ import annotations
@@ -32,26 +36,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_bytes, held_out, materialize
+from pagewarden.llm.common import as_bytes, flat_take, held_out, materialize
 from pagewarden.llm.tokenstore import ChunkEncoder
 
 BLOCK = 8
-RUN = 32  # words of a training run
+GROUP = 16  # classes of a group
 END = b""  # the end's key among words
 
 
 @dataclass(frozen=True)
 class Config:
     model_file: str
-    classes: int = 240  # 253 at most
+    classes: int = 240  # a multiple of GROUP, 240 at most
     width: int = 16
-    thin: int = 1
     rounds: int = 2
     rate: float = 0.01
-    trainer: int = 10_000  # blocks a trainer at least, where there are so many
-    steps: int = 1000  # a partition goes over its blocks again until it has made so many steps in a round
+    steps: int = 1000
     known: float = 0.85
-    batch: int = 32
+    batch: int = 128
     heavy: int = 100_000
     seed: int = 3
 
@@ -61,20 +63,21 @@ class Vocabulary:
 
     def __init__(self, counts: np.ndarray, starts: np.ndarray, ends: int, classes: int):
         self.class_of = np.zeros(len(counts), dtype=np.uint8)
-        firsts = 3 * (classes - 17) // 5
+        self.n_boundary = GROUP * (3 * classes // (5 * GROUP))  # classes that end the text or begin a word come first, in whole groups
+        firsts = self.n_boundary - 9
         begin = 1
-        for group, single in ((starts, firsts), (~starts, classes - 17 - firsts)):
+        for group, single in ((starts, firsts), (~starts, classes - self.n_boundary - 8)):
             order = np.flatnonzero(group)[np.argsort(-counts[group], kind="stable")]
             self.class_of[order[:single]] = begin + np.arange(len(order[:single]))
             rest = order[single:]
             share = np.cumsum(counts[rest] + 1.0) / max(1.0, float((counts[rest] + 1.0).sum()))
             self.class_of[rest] = begin + single + np.minimum(7, (share * 8).astype(np.int64))
             begin += single + 8
-        self.n_boundary = firsts + 9  # classes that end the text or begin a word come first
         size = np.bincount(self.class_of, weights=counts + 1.0, minlength=classes)
         self.log_inside = np.log10((counts + 1.0) / size[self.class_of])
         self.class_counts = size
         self.class_counts[0] = ends + 1.0
+        self.first_counts = np.zeros(len(counts))
 
 
 def _encode(model_file: str):
@@ -92,21 +95,26 @@ def initial(vocabulary: Vocabulary, config: Config, pairs: np.ndarray | None = N
     """
     rng = np.random.default_rng(config.seed)
     c, d = config.classes, config.width
-    shapes = {"e": (c + 2, d), "p": (2 * BLOCK, d), "q": (d, d), "k": (d, d), "v": (d, d), "u": (d, c)}
+    n = c // GROUP
+    shapes = {"e": (c + 2, d), "p": (2 * BLOCK, d), "q": (d, d), "k": (d, d), "v": (d, d), "u": (d, c), "g": (d, n)}
     weights = {name: (rng.standard_normal(shape) * (0.1 if name in "epv" else d**-0.5)).astype(np.float32) for name, shape in shapes.items()}
     counts = np.maximum(vocabulary.class_counts, 1e-9)
     share = counts / counts.sum()
-    weights["b"] = np.log(share).astype(np.float32)
+    of_group = share.reshape(n, GROUP).sum(axis=1)
+    weights["b"] = np.log(share / np.repeat(of_group, GROUP)).astype(np.float32)
+    weights["c"] = np.log(of_group).astype(np.float32)
     if pairs is not None and pairs.sum():
         seen = pairs.sum(axis=1, keepdims=True)
         lift = np.log((pairs + 5 * share) / (seen + 5)) - np.log(share)
         scale = np.sqrt(seen + 1.0)
         left, values, right = np.linalg.svd(lift * scale * np.sqrt(share), full_matrices=False)
         root = np.sqrt(values[:d])
-        weights["e"] = (left[:, :d] * root / scale).astype(np.float32)
-        weights["u"] = (root[:, None] * right[:d] / np.sqrt(share)).astype(np.float32)
-        balance = np.float32(np.sqrt(np.abs(weights["u"]).mean() / max(1e-9, np.abs(weights["e"]).mean())))
-        weights["e"], weights["u"] = weights["e"] * balance, weights["u"] / balance
+        e, u = left[:, :d] * root / scale, root[:, None] * right[:d] / np.sqrt(share)
+        in_groups = pairs.reshape(len(pairs), n, GROUP).sum(axis=2)
+        lift = np.log((in_groups + 5 * of_group) / (seen + 5)) - np.log(of_group)
+        balance = np.sqrt(np.abs(u).mean() / max(1e-9, np.abs(e).mean()))
+        weights["e"], weights["u"] = (e * balance).astype(np.float32), (u / balance).astype(np.float32)
+        weights["g"] = np.linalg.lstsq(e * balance * scale, lift * scale, rcond=1e-6)[0].astype(np.float32)
     return weights
 
 
@@ -128,28 +136,41 @@ def _attend(w: dict[str, np.ndarray], x: np.ndarray, nothing: np.ndarray) -> tup
     return q, k, v, a, x[:, BLOCK:] + a @ v
 
 
-#: Windows scored at once: few enough that their logits stay in a core's cache.
-AT_ONCE = 128
+#: Windows scored at once: few enough that their arrays stay in a core's cache.
+AT_ONCE = 256
+
+
+def _by_group(targets: np.ndarray, n_groups: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of flat targets by group, and (group, begin, end) in it."""
+    group = targets >> 4
+    order = np.argsort(group, kind="stable")
+    ends = np.cumsum(np.bincount(group, minlength=n_groups)).tolist()
+    return order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
 
 def log_chances(w: dict[str, np.ndarray], windows: np.ndarray, targets: np.ndarray, n_boundary: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """log10 chances of the targets, and of the first ``n_boundary`` classes together, at each place: windows (n, 2 * BLOCK) of input classes, targets (n, BLOCK)."""
-    own, ends = np.empty(targets.shape), np.empty(targets.shape)
-    nothing = len(w["e"]) - 1
-    u = np.concatenate([w["u"], w["b"][None, :]])
-    rows, places = np.arange(AT_ONCE)[:, None], np.arange(BLOCK)[None, :]
-    for a in range(0, len(windows), AT_ONCE):
-        part = windows[a : a + AT_ONCE]
-        h = _attend(w, w["e"][part] + w["p"], part == nothing)[-1]
-        logits = _times(np.concatenate([h, np.ones((*h.shape[:2], 1), dtype=h.dtype)], axis=2), u)
-        np.clip(logits, -80, 80, out=logits)  # within float32's range for exp
-        mine = logits[rows[: len(part)], places, targets[a : a + AT_ONCE]].astype(np.float64)
-        np.exp(logits, out=logits)
-        first = logits[:, :, :n_boundary].sum(axis=2).astype(np.float64)
-        total = np.log(first + logits[:, :, n_boundary:].sum(axis=2))
-        own[a : a + AT_ONCE] = mine - total
-        ends[a : a + AT_ONCE] = np.log(np.maximum(first, 1e-300)) - total
-    return own / np.log(10), ends / np.log(10)
+    """log10 chances of the targets, and of the first ``n_boundary`` classes (whole groups) together, at each place: windows (n, 2 * BLOCK) of input classes, targets (n, BLOCK)."""
+    own, ends = np.empty(targets.size), np.zeros(targets.size)
+    nothing, n_groups = len(w["e"]) - 1, len(w["c"])
+    for first in range(0, len(windows), AT_ONCE):
+        part = windows[first : first + AT_ONCE]
+        h = _attend(w, w["e"][part] + w["p"], part == nothing)[-1].reshape(-1, w["g"].shape[0])
+        target = targets[first : first + AT_ONCE].reshape(-1).astype(np.uint8)
+        logits = np.exp(np.clip(h @ w["g"] + w["c"], -80, 80))
+        total = logits.sum(axis=1)
+        here = slice(first * BLOCK, first * BLOCK + len(target))
+        if n_boundary:
+            ends[here] = np.log(np.maximum(logits[:, : n_boundary // GROUP].sum(axis=1), 1e-30) / total)
+        order, parts = _by_group(target, n_groups)
+        sorted_h, inner = h[order], (target & 15)[order]
+        value = np.log(np.maximum(logits[np.arange(len(target)), target >> 4], 1e-30) / total)
+        inside = np.empty(len(target), dtype=np.float32)
+        for k, a, b in parts:
+            x = np.clip(sorted_h[a:b] @ w["u"][:, k * GROUP : (k + 1) * GROUP] + w["b"][k * GROUP : (k + 1) * GROUP], -80, 80)
+            inside[a:b] = x[np.arange(b - a), inner[a:b]] - np.log(np.exp(x).sum(axis=1))
+        value[order] += inside
+        own[here] = value
+    return own.reshape(targets.shape) / np.log(10), ends.reshape(targets.shape) / np.log(10)
 
 
 def gradients(w: dict[str, np.ndarray], windows: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -158,17 +179,32 @@ def gradients(w: dict[str, np.ndarray], windows: np.ndarray, targets: np.ndarray
     x = w["e"][windows] + w["p"]
     d = x.shape[2]
     q, k, v, a, h = _attend(w, x, nothing)
-    logits = _times(h, w["u"]) + w["b"]
-    p = np.exp(logits - logits.max(axis=2, keepdims=True))
-    p /= p.sum(axis=2, keepdims=True)
-    n, rows, places = max(1, int(counted.sum())), np.arange(len(windows))[:, None], np.arange(BLOCK)[None, :]
-    loss = float(-(np.log(p[rows, places, targets] + 1e-30) * counted).sum() / n)
-    dl = p
-    dl[rows, places, targets] -= 1
-    dl *= (counted / np.float32(n))[:, :, None].astype(np.float32)
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"u": flat(h).T @ flat(dl), "b": flat(dl).sum(axis=0)}
-    dh = _times(dl, w["u"].T)
+    n, own, target, fh = max(1, int(counted.sum())), counted.reshape(-1), targets.reshape(-1).astype(np.uint8), flat(h)
+    every, share = np.arange(len(target)), (own / np.float32(n)).astype(np.float32)[:, None]
+    logits = fh @ w["g"] + w["c"]
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    loss = float(-(np.log(p[every, target >> 4] + 1e-30) * own).sum() / n)
+    p[every, target >> 4] -= 1
+    p *= share
+    g = {"g": fh.T @ p, "c": p.sum(axis=0), "u": np.zeros_like(w["u"]), "b": np.zeros_like(w["b"])}
+    dh = p @ w["g"].T
+    order, parts = _by_group(target, len(w["c"]))
+    sorted_h, inner, sorted_share, more = fh[order], (target & 15)[order], share[order], np.empty_like(fh)
+    for j, first, end in parts:
+        cut = slice(j * GROUP, (j + 1) * GROUP)
+        logits = sorted_h[first:end] @ w["u"][:, cut] + w["b"][cut]
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        at = np.arange(end - first)
+        loss -= float((np.log(p[at, inner[first:end]] + 1e-30) * sorted_share[first:end, 0]).sum())
+        p[at, inner[first:end]] -= 1
+        p *= sorted_share[first:end]
+        g["u"][:, cut], g["b"][cut] = sorted_h[first:end].T @ p, p.sum(axis=0)
+        more[first:end] = p @ w["u"][:, cut].T
+    dh[order] += more
+    dh = dh.reshape(h.shape)
     da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
     ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
     dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
@@ -177,26 +213,54 @@ def gradients(w: dict[str, np.ndarray], windows: np.ndarray, targets: np.ndarray
     dx = _times(dk, w["k"].T) + _times(dv, w["v"].T)
     dx[:, BLOCK:] += dh + _times(dq, w["q"].T)
     g["p"] = dx.sum(axis=0)
-    one = np.zeros((len(w["e"]), windows.size), dtype=np.float32)
-    one[windows.reshape(-1), np.arange(windows.size)] = 1
-    g["e"] = one @ flat(dx)
+    used = windows.reshape(-1).astype(np.uint8)
+    order = np.argsort(used, kind="stable")
+    cuts = np.flatnonzero(np.diff(used[order].astype(np.int16), prepend=-1))
+    g["e"] = np.zeros_like(w["e"])
+    g["e"][used[order[cuts]]] = np.add.reduceat(flat(dx)[order], cuts, axis=0)
     return loss, g
 
 
-def fit_blocks(w: dict[str, np.ndarray], items: np.ndarray, rate: float, batch: int, steps: int = 0) -> dict[str, np.ndarray]:
-    """Adam over items (n, 3 * BLOCK + 1: window, targets and how many of them count), in as many passes as ``steps`` need, one at least."""
-    w = {name: x.copy() for name, x in w.items()}
-    m1, m2 = ({name: np.zeros_like(x) for name, x in w.items()} for _ in range(2))
-    starts = list(range(0, len(items), batch))
-    for step, k in enumerate(starts * max(1, -(-steps // max(1, len(starts)))), 1):
-        part = items[k : k + batch].astype(np.int64)
-        counted = np.arange(BLOCK)[None, :] < part[:, -1:]
-        _, g = gradients(w, part[:, : 2 * BLOCK], part[:, 2 * BLOCK : 3 * BLOCK], counted)
-        for name in w:
-            m1[name] += 0.1 * (g[name] - m1[name])
-            m2[name] += 0.01 * (g[name] ** 2 - m2[name])
-            w[name] -= np.float32(rate) * (m1[name] / (1 - 0.9**step)) / (np.sqrt(m2[name] / (1 - 0.99**step)) + np.float32(1e-6))
-    return w
+class Adam:
+    """Weights that learn from one batch of windows after the other."""
+
+    def __init__(self, weights: dict[str, np.ndarray], rate: float):
+        self.w, self.rate, self.steps = {name: x.copy() for name, x in weights.items()}, rate, 0
+        self.m1, self.m2 = ({name: np.zeros_like(x) for name, x in weights.items()} for _ in range(2))
+
+    def learn(self, items: np.ndarray) -> None:
+        """One step over items (n, 3 * BLOCK + 1: window, targets and how many of them count)."""
+        self.steps += 1
+        counted = np.arange(BLOCK)[None, :] < items[:, -1:]
+        _, g = gradients(self.w, items[:, : 2 * BLOCK], items[:, 2 * BLOCK : 3 * BLOCK], counted)
+        for name, w in self.w.items():
+            m1, m2 = self.m1[name], self.m2[name]
+            m1 += 0.1 * (g[name] - m1)
+            m2 += 0.01 * (g[name] ** 2 - m2)
+            w -= np.float32(self.rate) * (m1 / (1 - 0.9**self.steps)) / (np.sqrt(m2 / (1 - 0.99**self.steps)) + np.float32(1e-6))
+
+
+def fit_blocks(w: dict[str, np.ndarray], batches: Iterator[np.ndarray], rate: float, batch: int, steps: int = 0) -> tuple[dict[str, np.ndarray], int]:
+    """Learned weights and the number of items, of arrays of items that pass once. If they make fewer than ``steps`` steps, all of them are gone over again."""
+    adam, n = Adam(w, rate), 0
+    held: list[np.ndarray] = []  # all items, while they are few
+    rest = np.zeros((0, 3 * BLOCK + 1), dtype=np.uint8)
+    for items in batches:
+        n += len(items)
+        held = [*held, items] if n <= steps * batch else []
+        rest = np.concatenate([rest, items])
+        done = len(rest) - len(rest) % batch
+        for k in range(0, done, batch):
+            adam.learn(rest[k : k + batch])
+        rest = rest[done:]
+    if len(rest):
+        adam.learn(rest)
+    if n:
+        every = np.concatenate(held) if held else rest[:0]
+        for _ in range(max(0, -(-steps // adam.steps) - 1) if held else 0):
+            for k in range(0, len(every), batch):
+                adam.learn(every[k : k + batch])
+    return adam.w, n
 
 
 def cut_windows(classes: np.ndarray, counts: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -281,26 +345,24 @@ def learn_vocabulary(words: DataFrame, config: Config) -> Vocabulary:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encode(config.model_file)
-        total, first = Counter(), Counter()
+        totals = np.zeros((2, n_pieces), dtype=np.int64)  # of pieces, and of first pieces
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = encode([w.decode() for w in batch.column("word").to_pylist()])
             flat = np.fromiter((i for x in ids for i in x), dtype=np.int64)
             n = np.array(batch.column("n").to_pylist(), dtype=np.int64)
-            sums = np.bincount(flat, weights=np.repeat(n, [len(x) for x in ids]))
-            for i in np.flatnonzero(sums):
-                total[int(i)] += int(sums[i])
-            sums = np.bincount([x[0] for x in ids], weights=n)
-            for i in np.flatnonzero(sums):
-                first[int(i)] += int(sums[i])
-        names = sorted(total)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([total[i] for i in names], pa.int64()), pa.array([first[i] for i in names], pa.int64())], names=["piece", "n", "first"])
+            firsts = np.fromiter((x[0] for x in ids), dtype=np.int64, count=len(ids))
+            for k, (own, weights) in enumerate(((flat, np.repeat(n, [len(x) for x in ids])), (firsts, n))):
+                totals[k] += np.bincount(own, weights=weights, minlength=n_pieces).astype(np.int64)
+        names = np.flatnonzero(totals[0])
+        yield pa.RecordBatch.from_arrays([pa.array(names), *[pa.array(x[names]) for x in totals]], names=["piece", "n", "first"])
 
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=config.model_file)
-    counts, firsts = np.zeros(sp.get_piece_size()), np.zeros(sp.get_piece_size())
+    n_pieces = sp.get_piece_size()
+    counts, firsts = np.zeros(n_pieces), np.zeros(n_pieces)
     sums = words.filter(F.length("word") > 0).mapInArrow(work, "piece bigint, n bigint, first bigint").groupBy("piece").agg(F.sum("n").alias("n"), F.sum("first").alias("first"))
     for row in sums.toLocalIterator():
         counts[row.piece], firsts[row.piece] = row.n, row["first"]
@@ -312,76 +374,46 @@ def learn_vocabulary(words: DataFrame, config: Config) -> Vocabulary:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, config: Config) -> dict[str, np.ndarray]:
-    """Weights after ``rounds`` rounds over the runs of all training documents."""
+    """Weights after ``rounds`` rounds, which share all training documents between them."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
+    classes, rounds = config.classes, config.rounds
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(_encode(config.model_file))
-        every = RUN * config.thin
+    def items_of(batches: Iterator[pa.RecordBatch], encoder: ChunkEncoder, wanted: int | None = None) -> Iterator[np.ndarray]:
+        """Items of the training documents, or of those of one round."""
         for batch in batches:
-            runs, begins, ends = [], [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                if not held_out(doc_id):
-                    if config.thin == 1:
-                        runs.append(text.lower())
-                        begins.append(True)
-                        ends.append(True)
-                        continue
-                    words = text.lower().split()
-                    # One run of words in each stretch of ``every``, at a place that follows from the text; a shorter last stretch has one by chance.
-                    place = zlib.crc32(text[:256]) % every
-                    for k in range(place - every if place - every > -RUN else place, len(words), every):
-                        first = max(0, k)
-                        runs.append(b" ".join(words[first : k + RUN]))
-                        begins.append(first == 0)
-                        ends.append(k + RUN >= len(words))
-            some = 256 if config.thin == 1 else 4096
-            for k in range(0, len(runs), some):
-                classes, counts = _with_ends(*encoder(runs[k : k + some]), shared.value.class_of)
-                windows, targets, counted, owner = cut_windows(classes, counts, config.classes)
-                opening = np.diff(owner, prepend=-1) > 0
-                closing = np.diff(owner, append=len(counts)) > 0
-                # A run inside a text has no begin and no end of its own: its first block is context alone.
-                counted = counted - (closing & ~np.array(ends[k : k + some])[owner])
-                wanted = (~opening | np.array(begins[k : k + some])[owner]) & (counted > 0)
-                items = np.concatenate([windows, targets, counted[:, None].astype(np.uint8)], axis=1)[wanted]
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in items], pa.binary())], names=["item"])
-
-    items = materialize(docs.select("doc_id", "text").mapInArrow(sample, "item binary"), "blocks")
-    items = items.repartition(max(1, min(items.count() // config.trainer, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    classes = config.classes
+            ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
+            own = [t.lower() for i, t in zip(ids, texts, strict=True) if not held_out(i) and (wanted is None or zlib.crc32(t) % rounds == wanted)]
+            for k in range(0, len(own), 256):
+                sequence, counts = _with_ends(*encoder(own[k : k + 256]), shared.value.class_of)
+                windows, targets, counted, _ = cut_windows(sequence, counts, classes)
+                yield np.concatenate([windows, targets, counted[:, None].astype(np.uint8)], axis=1)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((classes + 2) * classes, dtype=np.int64)
-        for batch in batches:
-            rows = np.frombuffer(b"".join(batch.column("item").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1).astype(np.int64)
-            if len(rows):
-                real = np.arange(BLOCK)[None, :] < rows[:, -1:]
-                found += np.bincount((rows[:, BLOCK : 2 * BLOCK] * classes + rows[:, 2 * BLOCK : 3 * BLOCK])[real], minlength=len(found))
+        for rows in items_of(batches, ChunkEncoder(_encode(config.model_file))):
+            real = np.arange(BLOCK)[None, :] < rows[:, -1:]
+            found += np.bincount((rows[:, BLOCK : 2 * BLOCK].astype(np.int64) * classes + rows[:, 2 * BLOCK : 3 * BLOCK])[real], minlength=len(found))
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found)), pa.array(found[found > 0])], names=["place", "n"])
 
     pairs = np.zeros((classes + 2) * classes)
-    for r in items.mapInArrow(count_pairs, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most as many as pairs of classes
+    for r in docs.mapInArrow(count_pairs, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most as many as pairs of classes
         pairs[r.place] = r.n
     weights = initial(vocabulary, config, pairs.reshape(classes + 2, classes))
     names = sorted(weights)
-    for round_no in range(config.rounds):
+    for round_no in range(rounds):
         now = spark.sparkContext.broadcast(weights)
         rate = config.rate / 2**round_no
 
-        def local(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
-            held = [b"".join(batch.column("item").to_pylist()) for batch in batches]
-            rows = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(-1, 3 * BLOCK + 1)
-            n = len(rows)
-            w = fit_blocks(now.value, rows, rate, config.batch, config.steps) if n else None
+        def local(batches: Iterator[pa.RecordBatch], now=now, rate=rate, round_no=round_no) -> Iterator[pa.RecordBatch]:
+            w, n = fit_blocks(now.value, items_of(batches, ChunkEncoder(_encode(config.model_file)), round_no), rate, config.batch, config.steps)
             if n:
                 flat = np.concatenate([w[x].reshape(-1) for x in names]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), float(n)))], names=["place", "total", "n"])
 
-        rows = items.mapInArrow(local, "place bigint, total double, n double").groupBy("place").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()  # as many as weights
+        rows = docs.mapInArrow(local, "place bigint, total double, n double").groupBy("place").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()  # as many as weights
         if not rows:
-            break
+            continue
         flat = np.zeros(len(rows), dtype=np.float32)
         for r in rows:
             flat[r.place] = r["mean"]
@@ -390,6 +422,24 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: Config) -> dict[str,
     return weights
 
 
+class _WordCache(ChunkEncoder):
+    """A cache of words that also keeps each word itself, its frequent count and the logarithm of that plus 1."""
+
+    def __init__(self, encode, frequent: dict[bytes, int]):
+        self.frequent = frequent
+        super().__init__(encode)
+
+    def _clear(self) -> None:
+        super()._clear()
+        self.words, self.counts = pa.array([], pa.binary()), np.zeros(0)
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        super()._learn(fresh)
+        self.words = pa.concat_arrays([self.words, pa.array(fresh, pa.binary())])
+        self.counts = np.concatenate([self.counts, np.array([self.frequent.get(w, 0) for w in fresh], dtype=np.float64)])
+        self.logs = np.log10(self.counts + 1.0)
+
+
 def score(docs: DataFrame, config: Config) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_pieces for each document."""
     spark = docs.sparkSession
@@ -401,53 +451,39 @@ def score(docs: DataFrame, config: Config) -> DataFrame:
     weights = train(docs, vocabulary, config)
     shared = spark.sparkContext.broadcast((vocabulary, weights, frequent))
 
-    odds = config.known / (1 - config.known)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         vocabulary, weights, frequent = shared.value
-        logs = {w: float(np.log10(c + 1.0)) for w, c in frequent.items()}
-        log_first = np.log10(np.maximum(vocabulary.first_counts, 1.0))
-        encoder = ChunkEncoder(_encode(config.model_file))
+        end_log = float(np.log10(frequent.get(END, 0) + 1.0))
+        log_first = np.log10(np.maximum(vocabulary.first_counts, 1.0)) - np.log10(config.known / (1 - config.known))
+        cache = _WordCache(_encode(config.model_file), frequent)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 texts, doc_ids = [x.lower() for x in as_bytes(part.column("text"))], part.column("doc_id").to_pylist()
-                ids, sizes, n_words = encoder.by_word(texts)
+                at, n_words = cache.places(texts)
+                starts, sizes = np.cumsum(cache.sizes) - cache.sizes, cache.sizes[at]
+                ids = cache.pool[flat_take(starts[at], sizes)]
                 pieces, heads, tails = _word_chances(vocabulary, weights, ids, sizes, n_words, config)
                 tails += log_first[ids[np.cumsum(sizes) - sizes]]
-                base, known, scores = [], [], []
-                rare, places, ends, at = [], [], [0], 0
-                for text, n, head in zip(texts, n_words.tolist(), heads.tolist(), strict=True):
-                    own = text.split()
-                    counts = [frequent.get(w, 0) for w in own]
-                    some, value = 1, logs.get(END, 0.0)
-                    for w, c in zip(own, counts, strict=True):
-                        if c:
-                            some += 1
-                            value += logs[w]
-                    x = tails[at : at + n]
-                    c = np.array(counts, dtype=np.float64)
-                    # The head has each word's first piece and its attention path; a known word's share adds to that.
-                    scores.append(head + float(np.log10(1 + odds * c * 10.0 ** np.minimum(-x, 300)).sum()))
-                    mine = np.flatnonzero(c == 0)
-                    rare += [own[i] for i in mine]
-                    places.append(x[mine])
-                    ends.append(len(rare))
-                    base.append(value)
-                    known.append(some)
-                    at += n
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(np.concatenate(places).astype(np.float32))], names=["word", "tail"]))
-                columns = [pa.array(np.arange(row, row + len(texts))), part.column("doc_id"), pa.array([held_out(x) for x in doc_ids]), pa.array(n_words + 1), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array(pieces, pa.int64()), lists]
+                text_of = np.repeat(np.arange(len(texts)), n_words)
+                c = cache.counts[at]
+                # The head has each word's first piece and its attention path; a known word's share of those with its first piece adds to that.
+                gain = np.log10(1 + c * 10.0 ** np.minimum(-tails, 300))
+                sums = [np.bincount(text_of, weights=x, minlength=len(texts)) for x in (gain, cache.logs[at] if len(at) else c, c > 0)]
+                mine = np.flatnonzero(c == 0)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(text_of[mine], minlength=len(texts)))]).astype(np.int32)
+                rare = pa.StructArray.from_arrays([cache.words.take(pa.array(at[mine])), pa.array(tails[mine].astype(np.float32))], names=["word", "tail"])
+                columns = [pa.array(np.arange(row, row + len(texts))), part.column("doc_id"), pa.array([held_out(x) for x in doc_ids]), pa.array(n_words + 1), pa.array(sums[2].astype(np.int64) + 1), pa.array(sums[1] + end_log), pa.array(heads + sums[0]), pa.array(pieces, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), rare)]
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "n_pieces", "rare"])
 
     kind = f"row bigint, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, known bigint, base double, score double, n_pieces bigint, rare array<struct<word:binary,tail:float>>"
     scored = materialize(docs.mapInArrow(work, kind), "scored")
     rare = scored.select("row", F.inline("rare")).join(words, "word")
-    gain = F.log10(1 + odds * F.col("n") * F.pow(F.lit(10.0), F.least(-F.col("tail").cast("double"), F.lit(300.0))))
+    gain = F.log10(1 + F.col("n") * F.pow(F.lit(10.0), F.least(-F.col("tail").cast("double"), F.lit(300.0))))
     sums = rare.groupBy("row").agg(F.count("*").alias("rare_known"), F.sum(F.log10(F.col("n") + F.lit(1.0))).alias("rare_base"), F.sum(gain).alias("rare_gain"))
     return scored.drop("rare").join(sums, "row", "left").select(
         "doc_id",
