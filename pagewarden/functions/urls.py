@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # What counts as a link value, and as a link that leaves the site.
 LINK = r"""\b(?:href|src)=["']([^"']+)["']"""
+# The same matches with the whole name of the attribute, such as data-src.
+NAMED_LINK = r"""[\w-]*\b(?:href|src)=["'][^"']+["']"""
 EXTERNAL = r"(?i)^(?:https?:|mailto:|tel:|sms:|data:|javascript:|#)"
 
 
@@ -31,11 +33,22 @@ def url_path(url: Column) -> Column:
 
 
 def collapse_dots(path: Column) -> Column:
-    """An absolute path without ``.``, ``..`` and empty parts; ``..`` stops at the root, and a trailing slash stays."""
+    """An absolute path without ``.``, ``..`` and empty parts; ``..`` stops at the root, and a trailing slash stays. ``/a/b/..`` is ``/a``."""
     parts = F.filter(F.split(path, "/"), lambda x: ~x.isin("", "."))
     kept = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x)))
     joined = F.concat(F.lit("/"), F.array_join(kept, "/"))
-    return F.when((joined != "/") & path.rlike(r"(?:/|/\.)$"), F.concat(joined, F.lit("/"))).otherwise(joined)
+    return F.when((joined != "/") & path.endswith("/"), F.concat(joined, F.lit("/"))).otherwise(joined)
+
+
+def collapse_url_dots(path: Column) -> Column:
+    """A URL's path without ``.`` and ``..``, by the rules of URLs: a last one leaves a trailing slash (``/a/b/..`` is ``/a/``), and empty parts stay."""
+    parts = F.slice(F.split(path, "/"), 2, 1_000_000)
+    last = F.size(parts) - 1
+    marked = F.transform(parts, lambda x, k: F.struct(x.alias("part"), (k == last).alias("last")))
+    ended = lambda acc, x: F.when(x["last"], F.array_append(acc, F.lit(""))).otherwise(acc)
+    up = lambda acc: F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+    step = lambda acc, x: F.when(x["part"] == ".", ended(acc, x)).when(x["part"] == "..", ended(up(acc), x)).otherwise(F.array_append(acc, x["part"]))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(marked, F.array().cast("array<string>"), step), "/"))
 
 
 def resolve_path(base: Column, clean: Column) -> Column:
@@ -46,7 +59,7 @@ def resolve_path(base: Column, clean: Column) -> Column:
 
 def onsite_path(raw: Column, site: str) -> Column:
     """Normalised path of a link that starts with https://site/, in this case; null for others."""
-    return F.when(raw.startswith(f"https://{site}/"), collapse_dots(url_path(raw)))
+    return F.when(raw.startswith(f"https://{site}/"), collapse_url_dots(url_path(raw)))
 
 
 def candidate_keys(path: Column) -> Column:

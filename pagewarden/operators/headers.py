@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.operators.links import glob_join
 
 
 def check_headers(header_rules: DataFrame, expectations: DataFrame) -> DataFrame:
-    """Expectations (suite, check_id, pattern, name, op, literal): ``present`` needs a rule whose value contains the literal (null: any value), ``absent`` forbids one."""
+    """Expectations (suite, check_id, pattern, name, op, literal): ``present`` needs a rule whose value contains the literal (null: any value), ``absent`` forbids one.
+
+    Names are compared without regard to case, as headers are; values with it.
+    """
     rules = header_rules.select("pattern", F.lower("name").alias("name"), "value")
     wanted = expectations.withColumn("name", F.lower("name"))
     met = wanted.join(rules, ["pattern", "name"], "left")
-    ok = F.col("value").isNotNull() & (F.col("literal").isNull() | F.contains(F.lower("value"), F.lower("literal")))
+    ok = F.col("value").isNotNull() & (F.col("literal").isNull() | F.contains("value", F.col("literal")))
     seen = met.groupBy("suite", "check_id", "pattern", "name", "op").agg(F.bool_or(ok).alias("seen"))
     failed = seen.filter(F.when(F.col("op") == "present", ~F.col("seen")).otherwise(F.col("seen")))
     return failed.select("suite", "check_id", F.col("pattern").alias("subject"), F.concat_ws(" ", "op", "name").alias("detail"))
@@ -27,20 +30,55 @@ def effective_headers(urls: DataFrame, header_rules: DataFrame, column: str = "p
 
 
 def csp_sources(header_rules: DataFrame) -> DataFrame:
-    """pattern, directive, source of the content-security policies, report-only ones too."""
+    """line_no, pattern, directive, source of the content-security policies, report-only ones too. A directive without sources has a null one and allows nothing."""
     policies = header_rules.filter(F.lower("name").startswith("content-security-policy"))
-    parts = policies.select("pattern", F.explode(F.split("value", ";")).alias("d")).select("pattern", F.split(F.trim("d"), r"\s+").alias("w"))
-    return parts.filter(F.get("w", F.lit(0)) != "").select("pattern", F.lower(F.get("w", F.lit(0))).alias("directive"), F.explode(F.slice("w", 2, 1000000)).alias("source"))
+    parts = policies.select("line_no", "pattern", F.explode(F.split("value", ";")).alias("d")).select("line_no", "pattern", F.split(F.trim("d"), r"\s+").alias("w"))
+    return parts.filter(F.get("w", F.lit(0)) != "").select("line_no", "pattern", F.lower(F.get("w", F.lit(0))).alias("directive"), F.explode_outer(F.slice("w", 2, 1000000)).alias("source"))
 
 
-def csp_violations(origins: DataFrame, header_rules: DataFrame, directive: str = "default-src") -> DataFrame:
-    """Origins (origin) in use that no source of the directive allows, by whole origin, ``https:`` or a ``*.`` host."""
-    allowed = csp_sources(header_rules).filter(F.col("directive") == directive).select("source").distinct()
-    used = origins.select("origin").distinct()
-    scheme = F.concat(F.substring_index("origin", "://", 1), F.lit(":"))
-    name = F.substring_index("origin", "://", -1)
+# The directives that stand in for a missing one, in order.
+FALLBACKS = {
+    "script-src-elem": ["script-src", "default-src"],
+    "script-src-attr": ["script-src", "default-src"],
+    "style-src-elem": ["style-src", "default-src"],
+    "style-src-attr": ["style-src", "default-src"],
+    "worker-src": ["child-src", "script-src", "default-src"],
+    "frame-src": ["child-src", "default-src"],
+    **{f"{x}-src": ["default-src"] for x in ("child", "connect", "font", "img", "manifest", "media", "object", "script", "style")},
+}
+
+
+def _forms(origin: Column) -> Column:
+    """Sources that allow an origin: whole, by scheme, by host and by ``*.`` host."""
+    scheme = F.concat(F.substring_index(origin, "://", 1), F.lit(":"))
+    name = F.substring_index(origin, "://", -1)
     labels = F.split(name, r"\.")
     wild = F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))), lambda n: F.concat(F.lit("*."), F.array_join(F.slice(labels, n, F.size(labels)), ".")))
-    forms = F.concat(F.array(F.col("origin"), scheme, name, F.lit("*")), wild, F.transform(wild, lambda x: F.concat(scheme, F.lit("//"), x)))
-    good = used.select("origin", F.explode(forms).alias("source")).join(allowed, "source", "left_semi")
-    return used.join(good, "origin", "left_anti")
+    return F.concat(F.array(origin, scheme, name, F.lit("*")), wild, F.transform(wild, lambda x: F.concat(scheme, F.lit("//"), x)))
+
+
+def csp_violations(origins: DataFrame, header_rules: DataFrame, directive: str = "default-src") -> DataFrame:
+    """Origins in use that a policy forbids. ``origins`` has origin, and may have path and directive (what is loaded; ``directive`` without it).
+
+    Each policy is judged alone, and only for the paths that its rule matches (for all without a path): what one rule allows counts nowhere else. A
+    missing directive is replaced by those that stand in for it; a policy that has none of them allows everything.
+    """
+    own = [c for c in ("path", "directive") if c in origins.columns]
+    used = origins.select(*own, "origin").distinct()
+    if "directive" not in own:
+        used = used.withColumn("directive", F.lit(directive))
+    sources = csp_sources(header_rules)
+    policies = sources.groupBy("line_no", "pattern").agg(F.collect_set("directive").alias("has"))
+    if "path" in own:
+        met = glob_join(used, policies, "path", "pattern")
+    else:  # policies are settings, few enough to be written out
+        each = [F.struct(F.lit(r.line_no).alias("line_no"), F.array(*map(F.lit, sorted(r.has))).alias("has")) for r in policies.collect()]
+        met = used.select("*", F.inline(F.array(*each))) if each else used.select("*", F.lit(0).alias("line_no"), F.array().cast("array<string>").alias("has")).limit(0)
+    chains = F.create_map(*[x for k, v in FALLBACKS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    chain = F.concat(F.array("directive"), F.coalesce(chains[F.col("directive")], F.array().cast("array<string>")))
+    placed = met.withColumn("rule", F.get(F.filter(chain, lambda x: F.array_contains("has", x)), F.lit(0))).filter(F.col("rule").isNotNull())
+    keys = [*own, "origin", "line_no", "rule"]
+    allowed = sources.select("line_no", F.col("directive").alias("rule"), "source").filter(F.col("source").isNotNull()).distinct()
+    good = placed.select(*keys, F.explode(_forms(F.col("origin"))).alias("source")).join(F.broadcast(allowed), ["line_no", "rule", "source"], "left_semi").select(*keys).distinct()
+    bad = placed.select(*keys).distinct().join(good, keys, "left_anti")
+    return bad.select(*own, "origin").distinct()

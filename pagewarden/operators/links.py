@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewarden.functions import urls
+from pagewarden.sources.tables import cut
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """page_id, url, pos, raw: every link value of the text as it stands, scripts and comments too; the page text goes no further."""
-    return pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(urls.LINK), F.lit(1))).alias("pos", "raw"))
+    """page_id, url, pos, attr, raw: every link value of the text as it stands, scripts and comments too, with its attribute (href, src, data-src ...); the page text goes no further."""
+    found = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(urls.NAMED_LINK), F.lit(0))).alias("pos", "found"))
+    attr = F.substring_index("found", "=", 1)
+    return found.select("page_id", "url", "pos", attr.alias("attr"), F.substr("found", F.length(attr) + 3, F.length("found") - F.length(attr) - 3).alias("raw"))
 
 
 def classify_links(links: DataFrame) -> DataFrame:
@@ -58,6 +62,12 @@ def _literal(pattern: str) -> F.Column:
     return F.substring_index(F.col(pattern), "*", 1)
 
 
+#: So many rules at most are sent to every task.
+MAX_BROADCAST_RULES = 10_000
+#: Beyond that, rules meet the paths of a common prefix in so many groups.
+SALTS = 16
+
+
 def glob_join(paths: DataFrame, rules: DataFrame, column: str, pattern: str) -> DataFrame:
     """Pairs of rows whose path matches the rule's pattern (``*`` is anything).
 
@@ -65,11 +75,18 @@ def glob_join(paths: DataFrame, rules: DataFrame, column: str, pattern: str) ->
     have, so this stays an equi join for any number of rules. There are as many lengths as different literal texts are long.
     """
     keyed = rules.withColumn("glob_key", _literal(pattern))
-    lengths = sorted(r[0] for r in keyed.select(F.length("glob_key")).distinct().collect())
+    lengths = {r[0]: r[1] for r in keyed.groupBy(F.length("glob_key")).count().collect()}
     if not lengths:
         return paths.limit(0).crossJoin(keyed.drop("glob_key").limit(0))
-    prefixes = F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length(column)), lambda n: F.substr(F.col(column), F.lit(1), n)))
-    pairs = paths.withColumn("glob_key", F.explode(prefixes)).join(keyed, "glob_key").drop("glob_key")
+    prefixes = F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.length(column)), lambda n: F.substr(F.col(column), F.lit(1), n)))
+    each, keys = paths.withColumn("glob_key", F.explode(prefixes)), ["glob_key"]
+    if sum(lengths.values()) <= MAX_BROADCAST_RULES:
+        keyed = F.broadcast(keyed)
+    else:  # a short prefix such as / is one of very many paths
+        keys.append("glob_salt")
+        each = each.withColumn("glob_salt", F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int"))
+        keyed = keyed.withColumn("glob_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = each.join(keyed, keys).drop(*keys)
     return pairs.filter(F.like(F.col(column), urls.glob_like(F.col(pattern)), F.lit("!")))
 
 
@@ -83,19 +100,43 @@ def apply_splat_redirects(paths: DataFrame, rules: DataFrame, column: str = "url
     return paths.join(first.select(column, F.col("rule.src").alias("rule"), F.replace(F.col("rule.dst"), F.lit(":splat"), splat).alias("target")), column)
 
 
-def redirect_chains(rules: DataFrame, max_hops: int = 10) -> DataFrame:
-    """src, hops, final, loops: where each source ends after following exact rules; ``loops`` where it comes back to a path or takes more hops."""
-    one = last_rules(rules)
-    step = one.select(F.col("src").alias("at"), F.col("dst").alias("next"))
-    walk = one.select("src", F.col("dst").alias("at"), F.lit(1).alias("hops"), F.array("src", "dst").alias("seen"), (F.col("src") == F.col("dst")).alias("loops"))
-    for _ in range(max_hops - 1):
-        goes = ~F.col("loops") & F.col("next").isNotNull()
-        walk = walk.join(step, "at", "left").select(
-            "src",
-            F.when(goes, F.col("next")).otherwise(F.col("at")).alias("at"),
-            (F.col("hops") + goes.cast("int")).alias("hops"),
-            F.when(goes, F.array_append("seen", F.col("next"))).otherwise(F.col("seen")).alias("seen"),
-            (F.col("loops") | (goes & F.array_contains("seen", F.col("next")))).alias("loops"),
-        )
-    rest = walk.join(step, "at", "left")
-    return rest.select("src", "hops", F.col("at").alias("final"), (F.col("loops") | F.col("next").isNotNull()).alias("loops"))
+def _follow(walk: DataFrame) -> DataFrame:
+    """src, at, hops two times as far as before; ``open`` tells where the way goes on. A place without a way on stays."""
+    ahead = walk.select(F.col("src").alias("at"), F.col("at").alias("further"), F.col("hops").alias("more"), F.col("open").alias("still"))
+    met = walk.join(ahead, "at", "left")
+    goes = F.col("open") & F.col("further").isNotNull()
+    return met.select("src", F.when(goes, F.col("further")).otherwise(F.col("at")).alias("at"), (F.col("hops") + F.when(goes, F.col("more")).otherwise(F.lit(0))).alias("hops"), (goes & F.col("still")).alias("open"))
+
+
+def redirect_chains(rules: DataFrame) -> DataFrame:
+    """src, hops, final, loops: where each source ends after following exact rules. ``loops`` where the way comes back to a path, after ``hops`` steps, at ``final``.
+
+    Ways are followed by doubling: each round joins the walk with itself and takes every source twice as far, so a chain of n steps takes log2(n) rounds.
+    """
+    one = cut(last_rules(rules))
+    ends = one.join(one.select(F.col("src").alias("dst")), "dst", "left_semi").select("dst").distinct().withColumn("on", F.lit(True))
+    walk = cut(one.join(ends, "dst", "left").select("src", F.col("dst").alias("at"), F.lit(1).cast("bigint").alias("hops"), F.coalesce("on", F.lit(False)).alias("open")))
+    total, reach = one.count(), 1
+    while reach < total and walk.filter("open").limit(1).count():
+        walk, reach = cut(_follow(walk)), 2 * reach
+    done = walk.filter("NOT open").select("src", "hops", F.col("at").alias("final"), F.lit(False).alias("loops"))
+    looping = walk.filter("open")
+    if not looping.limit(1).count():
+        return done
+    # After as many steps as there are rules, a way that is still open is in its loop; all places of the loop are such places.
+    inside = cut(looping.select(F.col("at").alias("src")).distinct())
+    ring = cut(one.join(inside, "src", "left_semi").select("src", F.col("dst").alias("at"), F.least("src", "dst").alias("least")))
+    reach = 1
+    while reach < total:
+        ahead = ring.select(F.col("src").alias("at"), F.col("at").alias("further"), F.col("least").alias("other"))
+        ring, reach = cut(ring.join(ahead, "at").select("src", F.col("further").alias("at"), F.least("least", "other").alias("least"))), 2 * reach
+        if not ring.groupBy("least").agg(F.count("*").alias("n")).filter(F.col("n") > reach).limit(1).count():
+            break
+    around = ring.select("src", F.count("*").over(W.partitionBy("least")).alias("around"))
+    entered = one.join(looping.select("src"), "src", "left_semi").join(inside.select(F.col("src").alias("dst"), F.lit(True).alias("there")), "dst", "left")
+    tails = cut(entered.join(inside, "src", "left_anti").select("src", F.col("dst").alias("at"), F.lit(1).cast("bigint").alias("hops"), F.col("there").isNull().alias("open")))
+    while tails.filter("open").limit(1).count():
+        tails = cut(_follow(tails))
+    loops = tails.select("src", F.col("at").alias("entry"), "hops").unionByName(inside.select("src", F.col("src").alias("entry"), F.lit(0).cast("bigint").alias("hops")))
+    met = loops.join(around.withColumnRenamed("src", "entry"), "entry")
+    return done.unionByName(met.select("src", (F.col("hops") + F.col("around")).alias("hops"), F.col("entry").alias("final"), F.lit(True).alias("loops")))

@@ -59,13 +59,22 @@ def extract_anchors(pages: DataFrame) -> DataFrame:
     return tags.select("page_id", F.regexp_extract(head, r"""(?i)\bhref=["']([^"']*)["']""", 1).alias("href"), F.when(aria != "", aria).otherwise(text).alias("label"))
 
 
-def third_party_origins(links: DataFrame, site_of: Column | None = None, font_origins: int = 2) -> DataFrame:
-    """page_id, n_third, n_font, ok: other hosts that a page loads from links of ``src`` attributes (columns page_id, url, raw)."""
+# Hosts that serve fonts, and endings of font files.
+FONT_HOSTS = ("fonts.googleapis.com", "fonts.gstatic.com", "use.typekit.net", "fonts.bunny.net")
+FONT_FILE = r"(?i)\.(?:eot|otf|ttf|woff2?)(?:[?#]|$)"
+
+
+def third_party_origins(links: DataFrame, site_of: Column | None = None, font_origins: int = 2, font_hosts: tuple[str, ...] = FONT_HOSTS) -> DataFrame:
+    """page_id, n_third, n_font, ok: other hosts that a page loads before interaction (columns page_id, url, raw and, from extract_links, attr).
+
+    Values of ``src`` are loaded; those of ``data-src`` and the like wait for interaction, and ``href`` counts for font hosts and files alone. Without ``attr`` all values count as loaded.
+    """
     own = site_of if site_of is not None else urls.host(F.col("url"))
     other = urls.host(F.col("raw"))
-    used = links.filter((other != "") & (other != own)).select("page_id", other.alias("origin")).distinct()
-    font = F.col("origin").rlike("font")
-    out = used.groupBy("page_id").agg(F.count_if(~font).alias("n_third"), F.count_if(font).alias("n_font"))
+    font = other.isin(*font_hosts) | other.rlike(r"^fonts?\.") | F.col("raw").rlike(FONT_FILE)
+    loaded = (F.lower("attr") == "src") | ((F.lower("attr") == "href") & font) if "attr" in links.columns else F.lit(True)
+    used = links.filter(loaded & (other != "") & (other != own)).groupBy("page_id", other.alias("origin")).agg(F.bool_or(font).alias("font"))
+    out = used.groupBy("page_id").agg(F.count_if(~F.col("font")).alias("n_third"), F.count_if("font").alias("n_font"))
     return out.withColumn("ok", (F.col("n_third") == 0) & (F.col("n_font") <= font_origins))
 
 
@@ -88,13 +97,14 @@ def feed_date(text: Column) -> Column:
     return F.to_date(F.try_to_timestamp(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss Z")))
 
 
-def date_conflicts(nodes: DataFrame, feed: DataFrame, sitemap: DataFrame) -> DataFrame:
-    """url, published, fed, listed of URLs whose dates in structured data, feed and sitemap differ; missing ones don't count."""
+def date_conflicts(nodes: DataFrame, feed: DataFrame, sitemap: DataFrame, later_listed: bool = False) -> DataFrame:
+    """url, published, fed, listed of URLs whose dates in structured data, feed and sitemap differ; missing ones don't count. With ``later_listed`` a sitemap may give a later date, as of a change."""
     published = nodes.select("url", F.try_variant_get("node", "$.datePublished", "string").substr(1, 10).try_cast("date").alias("published")).filter("published IS NOT NULL").groupBy("url").agg(F.min("published").alias("published"))
     fed = feed.select(F.col("link").alias("url"), feed_date(F.col("pubDate")).alias("fed")).groupBy("url").agg(F.min("fed").alias("fed"))
     listed = sitemap.select(F.col("loc").alias("url"), F.col("lastmod").alias("listed")).groupBy("url").agg(F.max("listed").alias("listed"))
     met = published.join(fed, "url", "full").join(listed, "url", "full")
-    return met.filter((F.col("published") != F.col("fed")) | (F.col("published") > F.col("listed")) | (F.col("fed") > F.col("listed")))
+    off = (lambda x: F.col(x) > F.col("listed")) if later_listed else (lambda x: F.col(x) != F.col("listed"))
+    return met.filter((F.col("published") != F.col("fed")) | off("published") | off("fed"))
 
 
 def duration_conflicts(pages: DataFrame) -> DataFrame:

@@ -60,10 +60,10 @@ def link_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _broken(spark: SparkSession, folder: str) -> DataFrame:
-    """Links of pages beside those that stand for the site's files: what pages with page_id % 5 = 0 link to on a host exists there."""
+    """Links of all pages; what stands on a host are the files that its pages link to in second place."""
     found = L.checked_paths(L.extract_links(_pages(spark, folder)).withColumns({"host": urls.host(F.col("url")), "base": urls.url_path(F.col("url"))}), "base")
-    files = found.filter("page_id % 5 = 0").select("host", F.explode(F.slice(urls.candidate_keys(F.col("path")), 1, 1)).alias("path")).distinct()
-    return L.broken_links(found.filter("page_id % 5 <> 0"), files, _rules(spark), ("host",))
+    files = found.filter("pos = 1").select("host", F.explode(F.slice(urls.candidate_keys(F.col("path")), 1, 1)).alias("path")).distinct()
+    return L.broken_links(found, files, _rules(spark), ("host",))
 
 
 def broken_links(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,9 +87,9 @@ def _required(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _listed(spark: SparkSession, folder: str) -> DataFrame:
-    """A sitemap of what pages link to, and of the paths of every second page."""
+    """A sitemap of what pages link to, and of the paths of pages without a query."""
     own = _pages(spark, folder)
-    linked = L.extract_links(own).select(F.col("raw").alias("path")).union(own.filter("page_id % 2 = 0").select(urls.url_path(F.col("url"))))
+    linked = L.extract_links(own).select(F.col("raw").alias("path")).union(own.filter("NOT contains(url, '?')").select(urls.url_path(F.col("url"))))
     return linked.select(F.concat(F.lit(f"https://{SITE}"), "path").alias("loc")).distinct()
 
 
@@ -98,7 +98,8 @@ def coverage_missing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def redirected_listed(spark: SparkSession, folder: str) -> DataFrame:
-    sources = _pages(spark, folder).filter("page_id % 3 = 0").select(urls.url_path(F.col("url")).alias("src"), F.lit("/").alias("dst"))
+    """Pages that are asked for with a fragment stand for redirected ones."""
+    sources = _pages(spark, folder).filter("contains(url, '#')").select(urls.url_path(F.col("url")).alias("src"), F.lit("/").alias("dst"))
     return listings.redirected_in_sitemap(sources, _listed(spark, folder), f"https://{SITE}")
 
 
@@ -194,9 +195,9 @@ def splat_redirect(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def redirect_chains(spark: SparkSession, folder: str) -> DataFrame:
-    """Chains over each page's number: n goes to n/2 where n is even and above 2, beside the written rules."""
-    more = _pages(spark, folder).filter("page_id % 2 = 0 AND page_id > 2").select(F.lit(1).alias("line_no"), F.concat(F.lit("/p"), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("/p"), (F.col("page_id") / 2).cast("bigint").cast("string")).alias("dst"))
-    chains = L.redirect_chains(_rules(spark).select("line_no", "src", "dst").union(more), 20)
+    """Chains over all pages' numbers: n goes to its half above 2, beside the written rules."""
+    more = _pages(spark, folder).filter("page_id > 2").select(F.lit(1).alias("line_no"), F.concat(F.lit("/p"), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("/p"), F.floor(F.col("page_id") / 2).cast("string")).alias("dst"))
+    chains = L.redirect_chains(_rules(spark).select("line_no", "src", "dst").union(more))
     return chains.select("src", F.col("hops").cast("bigint").alias("hops"), "loops", F.when(~F.col("loops"), F.col("final")).alias("final"))
 
 
@@ -245,7 +246,7 @@ def _collapse(p: str) -> str:
     parts = f"list_filter(string_split({p}, '/'), lambda x: x NOT IN ('', '.'))"
     kept = f"list_reduce(list_prepend([]::VARCHAR[], list_transform({parts}, lambda x: [x])), lambda acc, x: CASE WHEN x[1] = '..' THEN acc[1:greatest(len(acc) - 1, 0)] ELSE list_concat(acc, x) END)"
     joined = f"('/' || array_to_string({kept}, '/'))"
-    return f"CASE WHEN {joined} <> '/' AND regexp_matches({p}, '(?:/|/\\.)$') THEN {joined} || '/' ELSE {joined} END"
+    return f"CASE WHEN {joined} <> '/' AND suffix({p}, '/') THEN {joined} || '/' ELSE {joined} END"
 
 
 def _candidates(p: str) -> str:
@@ -256,12 +257,12 @@ def _candidates(p: str) -> str:
 _RULES = "(VALUES (0, '/old', '/new'), (2, '/old', '/newer'), (5, '/newer', '/newest'), (6, '/a', '/b'), (7, '/b', '/c'), (8, '/c', '/a'), (9, 'http://*', 'https://:splat'))"
 _BROKEN = f"""c AS (SELECT page_id, pos, raw, {_HOST("url")} AS host, CASE WHEN prefix(clean, '/') THEN clean ELSE {_collapse(f"regexp_extract('/' || ltrim({_PATH('url')}, '/'), '^.*/') || clean")} END AS path
   FROM (SELECT *, {_CLEAN("raw")} AS clean FROM ({_LINKS})) WHERE clean <> '' AND NOT regexp_matches(raw, {_q(urls.EXTERNAL)})),
-f AS (SELECT DISTINCT host, ({_candidates("path")})[1] AS key FROM c WHERE page_id % 5 = 0),
+f AS (SELECT DISTINCT host, ({_candidates("path")})[1] AS key FROM c WHERE pos = 1),
 g AS (SELECT DISTINCT host, path, unnest({_candidates("path")}) AS key FROM c),
 k AS (SELECT DISTINCT host, path FROM g WHERE EXISTS (SELECT 1 FROM f WHERE f.host = g.host AND f.key = g.key)),
-x AS (SELECT * FROM c WHERE page_id % 5 <> 0 AND NOT EXISTS (SELECT 1 FROM k WHERE k.host = c.host AND k.path = c.path) AND path NOT IN (SELECT src FROM {_RULES} r(line_no, src, dst)))"""
+x AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.host = c.host AND k.path = c.path) AND path NOT IN (SELECT src FROM {_RULES} r(line_no, src, dst)))"""
 _REQUIRED = f"SELECT DISTINCT 'https://{SITE}' || {_PATH('url')} AS url FROM pages"
-_LISTED = f"SELECT DISTINCT 'https://{SITE}' || p AS url FROM (SELECT raw AS p FROM ({_LINKS}) UNION ALL SELECT {_PATH('url')} FROM pages WHERE page_id % 2 = 0)"
+_LISTED = f"SELECT DISTINCT 'https://{SITE}' || p AS url FROM (SELECT raw AS p FROM ({_LINKS}) UNION ALL SELECT {_PATH('url')} FROM pages WHERE NOT contains(url, '?'))"
 
 
 def _holds(op: str, literal: str) -> str:
@@ -294,7 +295,7 @@ SELECT DISTINCT page_id, clean, CASE WHEN prefix(clean, '/') THEN clean ELSE {_c
 r AS (SELECT src, dst, line_no FROM {_RULES} r(line_no, src, dst) UNION ALL SELECT path, path || '?moved', length(path) FROM p WHERE length(path) % 2 = 0), m AS (SELECT src, max_by(dst, line_no) AS target FROM r GROUP BY src)
 SELECT path, target FROM p LEFT JOIN m ON src = path""",
     "coverage_missing": f"SELECT url FROM ({_REQUIRED}) WHERE url NOT IN ({_LISTED})",
-    "redirected_listed": f"SELECT DISTINCT {_PATH('url')} AS src, 'https://{SITE}' || {_PATH('url')} AS loc FROM pages WHERE page_id % 3 = 0 AND 'https://{SITE}' || {_PATH('url')} IN ({_LISTED})",
+    "redirected_listed": f"SELECT DISTINCT {_PATH('url')} AS src, 'https://{SITE}' || {_PATH('url')} AS loc FROM pages WHERE contains(url, '#') AND 'https://{SITE}' || {_PATH('url')} IN ({_LISTED})",
     "forbidden_scan": f"SELECT subject, detail FROM (SELECT 'doc:' || doc_id AS subject, text AS value FROM documents UNION ALL SELECT url, html FROM pages), (SELECT unnest([{', '.join(map(_q, FORBIDDEN))}]) AS detail) WHERE contains(value, detail)",
     "literal_rules": _each(LITERALS),
     "pattern_rules": _each(PATTERNS),
@@ -313,8 +314,8 @@ SELECT 'de' AS check_id, h AS subject, 'contains lang="de"' AS detail FROM g WHE
 SELECT 's' AS suite, c.check_id, count(v.check_id) AS n_failed, count(v.check_id) = 0 AS ok FROM c LEFT JOIN v ON v.check_id = c.check_id GROUP BY c.check_id""",
     "splat_redirect": f"""WITH m AS (SELECT page_id, url, src, dst, row_number() OVER (PARTITION BY page_id, url ORDER BY line_no) AS k FROM pages, (VALUES {', '.join(f"({a}, {_q(b)}, {_q(c)})" for a, b, c in SPLATS)}) r(line_no, src, dst) WHERE url LIKE replace(src, '*', '%'))
 SELECT page_id, url, src AS rule, replace(dst, ':splat', substr(url, length(src))) AS target FROM m WHERE k = 1""",
-    "redirect_chains": f"""WITH RECURSIVE r AS (SELECT src, max_by(dst, line_no) AS dst FROM (SELECT * FROM {_RULES} r(line_no, src, dst) UNION ALL SELECT 1, '/p' || page_id, '/p' || (page_id // 2) FROM pages WHERE page_id % 2 = 0 AND page_id > 2) GROUP BY src),
-w AS (SELECT src, dst AS at_, 1 AS hops, [src, dst] AS seen, src = dst AS loops FROM r UNION ALL SELECT w.src, r.dst, hops + 1, list_append(seen, r.dst), list_contains(seen, r.dst) FROM w JOIN r ON r.src = w.at_ WHERE NOT loops AND hops < 20),
+    "redirect_chains": f"""WITH RECURSIVE r AS (SELECT src, max_by(dst, line_no) AS dst FROM (SELECT * FROM {_RULES} r(line_no, src, dst) UNION ALL SELECT 1, '/p' || page_id, '/p' || (page_id // 2) FROM pages WHERE page_id > 2) GROUP BY src),
+w AS (SELECT src, dst AS at_, 1 AS hops, [src, dst] AS seen, src = dst AS loops FROM r UNION ALL SELECT w.src, r.dst, hops + 1, list_append(seen, r.dst), list_contains(seen, r.dst) FROM w JOIN r ON r.src = w.at_ WHERE NOT loops),
 l AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY hops DESC) AS k FROM w)
 SELECT src, hops::BIGINT AS hops, loops, CASE WHEN NOT loops THEN at_ END AS final FROM l WHERE k = 1""",
     "head_metadata": _HEADS,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,11 +13,14 @@ MANIFEST = "name string, start_url string, icons array<struct<src:string,sizes:s
 EXPECTATIONS = "suite string, check_id string, subject string, op string, literal string, any_group string, n int"
 
 
-def _relative(root: str) -> Column:
-    """Path below ``root``."""
-    clean = F.regexp_replace(F.col("_metadata.file_path"), r"^[a-z0-9]+:/+", "/")
-    bare = "/" + root.split(":", 1)[-1].strip("/") + "/"
-    return F.substring_index(clean, bare, -1)
+def _relative(spark: SparkSession, root: str) -> Column:
+    """Path below ``root``, without the escapes of a file's URL."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    bare = "/" + re.sub(r"^[a-z][a-z0-9+.-]*:", "", whole).strip("/") + "/"
+    name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_replace(name, r"^[a-z][a-z0-9+.-]*:/+", "/")
+    return F.when(F.startswith(name, F.lit(bare)), F.substr(name, F.lit(len(bare) + 1))).otherwise(name)
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -23,13 +28,14 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     if fmt == "parquet":
         return spark.read.parquet(path).select("page_id", "url", "html")
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path)
-    return files.select(F.xxhash64(_relative(path)).alias("page_id"), _relative(path).alias("url"), F.col("value").alias("html"))
+    name = _relative(spark, path)
+    return files.select(F.xxhash64(name).alias("page_id"), name.alias("url"), F.col("value").alias("html"))
 
 
 def list_files(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".html", ".xml", ".txt"), exclude_prefixes: tuple[str, ...] = ("node_modules/", ".git/")) -> DataFrame:
     """path, bytes of the files below ``root``; only names and sizes are read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    listed = files.select(_relative(root).alias("path"), F.col("length").alias("bytes"))
+    listed = files.select(_relative(spark, root).alias("path"), F.col("length").alias("bytes"))
     for prefix in exclude_prefixes:
         listed = listed.filter(~F.col("path").startswith(prefix))
     return listed.filter(F.substring_index("path", ".", -1).isin(*[s.lstrip(".") for s in suffixes])) if suffixes else listed
