@@ -4,9 +4,12 @@ Each language's reference is the sum of the histograms of all its documents that
 rejected if it fails the base rules or if its character classes or its common words lie too far from the reference
 (Jensen-Shannon distance, base 2).
 
+The texts are measured once: measures and histograms are written to a table in the shared folder, the references are summed
+from it, and verdicts follow from both without the texts.
+
 Null text is empty and fails (too few words). A null or unlisted language has no reference: such documents are judged
-by the base rules alone. Repeated rows are judged alike, an empty table gives an empty result, and extra columns pass
-through (names that start with ``q_`` are this module's own).
+by the base rules alone. Repeated rows are judged alike, very long texts are measured whole, and an empty table gives an empty result.
+Extra columns pass through; one that is named like a result gives way to it in judge(), and keep() returns all columns as they are.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewarden.llm.common import materialize, place, plain, restored
+
 # Frequent function words by language, in lower case; 16 of each.
 COMMON_WORDS = {
     "de": ["der", "die", "und", "den", "von", "zu", "das", "ist", "in", "mit", "eine", "sich", "des", "auf", "nicht", "dem"],
@@ -80,9 +85,9 @@ def _shares(counts: Column) -> Column:
     return F.transform(counts, lambda x: x / F.aggregate(counts, F.lit(0.0), lambda a, y: a + y))
 
 
-def references(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """One row for each listed language: ``r_classes`` and ``r_common`` shares over all its documents with enough words."""
-    df = histograms(docs, rules).filter(F.col("q_n") >= rules.guard_words).filter(F.col("lang").isin(*rules.common_words))
+def references(measured: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """One row for each listed language: ``r_classes`` and ``r_common`` shares over all its measured documents with enough words."""
+    df = measured.filter(F.col("n_words") >= rules.guard_words).filter(F.col("lang").isin(*rules.common_words))
     n_classes, n_common = len(CLASSES) + 1, len(next(iter(rules.common_words.values()))) + 1
     sums = df.groupBy("lang").agg(
         F.array(*[F.sum(F.col("q_classes")[i]) for i in range(n_classes)]).alias("r0"),
@@ -101,15 +106,14 @@ def _distance(counts: str, total: Column, reference: str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Columns of ``docs`` and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, common_distance, base_failed, kept.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance", "base_failed", "kept")
 
-    Two passes over the texts: one for the references, one for the measures. The references are as many rows as there
-    are listed languages, whatever the input, so they are broadcast.
-    """
-    columns = docs.columns
-    df = histograms(docs, rules).drop("q_hits", "q_seen")
-    refs = F.broadcast(references(docs, rules))
+
+def measure(docs: DataFrame, rules: Rules = Rules(), keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The columns of plain(docs) that ``keep`` names (all of them without it), lang, the histograms and the base measures."""
+    own = [f"d{place(docs, x)}" for x in (docs.columns if keep is None else keep)]
+    df = plain(docs).withColumns({x: F.col(f"d{place(docs, x)}") for x in ("text", "lang")})
+    df = histograms(df, rules)
     # Windows of three words, by hash; only texts in which one comes twice are sorted.
     grams = F.transform(F.sequence(F.lit(0), F.size("q_words") - 3), lambda i: F.xxhash64(F.get("q_words", i), F.get("q_words", i + 1), F.get("q_words", i + 2)))
     df = df.withColumn("q_grams", F.when(F.size("q_words") >= 3, grams).otherwise(F.array().cast("array<bigint>")))
@@ -120,18 +124,25 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     # Each start covers three words, or those up to the next start.
     covered = F.transform("q_starts", lambda s, k: F.least(F.lit(3), F.coalesce(F.get("q_starts", k + 1) - s, F.lit(3))))
     df = df.withColumn("q_lines", F.filter(F.split("q_left0", "\n"), lambda x: x.rlike(WORD)))
-    df = df.select(
-        *columns,
+    return df.select(
+        *own,
+        "lang",
         "q_classes",
         "q_common",
         "q_length",
         F.col("q_n").alias("n_words"),
         (F.col("q_length") - F.col("q_classes")[1].cast("bigint")).alias("word_chars"),
-        (F.col("q_length") - F.length(F.regexp_replace("q_left0", r"[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
+        # Symbols are in no class before ``symbol``, so only what is left by then has them.
+        (F.length("q_left5") - F.length(F.regexp_replace("q_left5", r"[#*$%&|<>]+", ""))).cast("bigint").alias("n_symbols"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint").alias("n_dup_lines"),
         F.aggregate(covered, F.lit(0), lambda a, x: a + x).cast("bigint").alias("n_repeat_words"),
     )
-    df = df.join(refs, F.col("lang") == F.col("r_lang"), "left")
+
+
+def _verdicts(docs: DataFrame, rules: Rules, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """plain(docs), as far as ``keep`` goes, with MEASURES. The references are as many rows as there are listed languages, whatever the input, so they are broadcast."""
+    measured = materialize(measure(docs, rules, keep), "measures")
+    df = measured.join(F.broadcast(references(measured, rules)), F.col("lang") == F.col("r_lang"), "left")
     df = df.withColumns(
         {
             "class_distance": _distance("q_classes", F.greatest(F.col("q_length"), F.lit(1)), "r_classes"),
@@ -142,10 +153,21 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
     far = (F.col("class_distance") > rules.class_base + rules.class_slack / root) | (F.col("common_distance") > rules.common_base + rules.common_slack / root)
     far = (F.col("n_words") >= rules.guard_words) & far
-    df = df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
-    # The measures leave through a generator, or a filter on them would be pushed down and written out through all the steps above.
-    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_distance", "common_distance", "base_failed", "kept"]
-    return df.select(*columns, F.explode(F.array(F.struct(*measures))).alias("q_measures")).select(*columns, "q_measures.*")
+    return df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+
+
+def judge(docs: DataFrame, rules: Rules = Rules(), columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Columns of ``docs`` (those named, if any are) and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, common_distance, base_failed, kept."""
+    found = _verdicts(docs, rules, columns)
+    if columns is None:
+        return restored(found, docs, MEASURES)
+    taken = {x.lower() for x in MEASURES}
+    return found.select(*[F.col(f"d{place(docs, x)}").alias(x) for x in columns if x.lower() not in taken], *MEASURES)
+
+
+def keep(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that the rules keep."""
+    return restored(_verdicts(docs, rules).filter("kept"), docs)
 
 
 def oracle_sql(rules: Rules = Rules()) -> str:

@@ -57,7 +57,7 @@ def op7_semi_markov_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_distribution_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and the verdict of the quality rules for each document."""
-    judged = quality.judge(_table(spark, folder, "documents").select("doc_id", "text", "lang"))
+    judged = quality.judge(_table(spark, folder, "documents"), columns=("doc_id",))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

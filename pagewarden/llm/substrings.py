@@ -8,9 +8,11 @@ then extended to all passages that hold it, and only these are hashed whole; a s
 Hashes travel packed: a task sends, for each hash range, one row of arrays, in which a hash stands once however often the task has
 met it. A hot passage so reaches its range as one entry for each task, and what the task itself knows goes along as a result.
 
-Defined cases: null text has no words. Rows with the same doc_id and text are one document and get the same result. Documents with the
+Passages are told apart by 96 bits of hashes that both come from the words' 64-bit hashes, which come from the words' bytes.
+
+Defined cases: null text has no words. Very long texts are taken whole. Rows with the same doc_id and text are one document and get the same result. Documents with the
 same doc_id and other texts are ordered by a hash of the text; a null doc_id is the smallest. Later copies of a whole text lose
-all words (if they have ``n`` at least) without being hashed again. Extra columns are left out of the result.
+all words (if they have ``n`` at least) without being hashed again. An empty table gives an empty result. Extra columns, of any name, are left out.
 """
 
 from __future__ import annotations
@@ -46,8 +48,17 @@ class Cover:
         return self.n - self.period + 1
 
 
-def _parts(docs: DataFrame) -> int:
-    return max(128, 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+#: Words a hash range stands for: their anchors or passages, at 33 bytes each, are met in one task.
+RANGE_WORDS = 400_000
+#: Copies of one text meet their first one in so many groups.
+SALTS = 16
+#: Bytes of texts that a task packs at once.
+PACKED = 2 << 20
+
+
+def _parts(n_words: int) -> int:
+    """How many hash ranges: in proportion to the input, so that a range's size doesn't grow."""
+    return max(128, -(-n_words // RANGE_WORDS))
 
 
 def _places(counts: np.ndarray) -> np.ndarray:
@@ -87,14 +98,13 @@ def _by_key(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes
     return keys[cuts].tolist(), [values[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
 
 
-def _repeated_anchors(docs: DataFrame, cover: Cover) -> DataFrame:
+def _repeated_anchors(docs: DataFrame, cover: Cover, parts: int) -> DataFrame:
     """key, anchors: per document (and hash range) the hashes of its anchors that occur twice or more anywhere."""
-    parts = _parts(docs)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = as_bytes(batch.column("text")), np.array(batch.column("key").to_pylist(), dtype=np.int64)
-            for first, end in runs(texts, 4 << 20):
+            for first, end in runs(texts, PACKED):
                 words, counts = word_hashes(texts[first:end])
                 at, hashes = _anchors(words, counts, cover)
                 owner = np.repeat(keys[first:end], counts)[at]
@@ -124,9 +134,8 @@ def _repeated_anchors(docs: DataFrame, cover: Cover) -> DataFrame:
     return sent.repartition(parts, "part").mapInArrow(meet, "key bigint, anchors binary")
 
 
-def _later_passages(flagged: DataFrame, cover: Cover) -> DataFrame:
+def _later_passages(flagged: DataFrame, cover: Cover, parts: int) -> DataFrame:
     """key, starts: per document (and hash range) the starts of passages that also start earlier."""
-    parts = _parts(flagged)
     entry = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("start", "<u4")])
 
     def firsts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +156,7 @@ def _later_passages(flagged: DataFrame, cover: Cover) -> DataFrame:
             texts, keys = as_bytes(batch.column("text")), np.array(batch.column("key").to_pylist(), dtype=np.int64)
             ids = np.array([SMALLEST if x is None else x for x in batch.column("doc_id").to_pylist()], dtype=np.int64)
             repeated = batch.column("anchors").to_pylist()
-            for first, end in runs(texts, 4 << 20):
+            for first, end in runs(texts, PACKED):
                 words, counts = word_hashes(texts[first:end])
                 at, hashes = _anchors(words, counts, cover)
                 wanted = np.unique(np.frombuffer(b"".join(b"".join(x) for x in repeated[first:end]), dtype=np.uint64))
@@ -213,14 +222,17 @@ def dedup(docs: DataFrame, cover: Cover = Cover(), with_text: bool = False) -> D
     measured = keyed.select("doc_id", "key", "text", F.md5("text").alias("digest")).mapInArrow(measure, "doc_id bigint, key bigint, digest string, n_words bigint, whole_sha string")
     measured = materialize(measured, "measured")
     lowest = F.coalesce("doc_id", F.lit(SMALLEST))
-    lead = measured.groupBy("digest").agg(F.min(lowest).alias("lead"))
-    measured = measured.join(lead, "digest").select("doc_id", "key", "n_words", "whole_sha", (lowest > F.col("lead")).alias("is_copy"))
-    measured = materialize(measured, "copies")
-
-    anchors = _repeated_anchors(keyed, cover).groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
+    # Texts of several documents alone have a first one; a hot text's copies are dealt to groups.
+    lead = measured.groupBy("digest").agg(F.min(lowest).alias("lead"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
+    lead = lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = measured.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(lead, ["digest", "salt"], "left")
+    measured = materialize(salted.select("doc_id", "key", "n_words", "whole_sha", F.coalesce(lowest > F.col("lead"), F.lit(False)).alias("is_copy")), "copies")
+    parts = _parts(measured.agg(F.sum("n_words")).first()[0] or 0)
+
+    anchors = _repeated_anchors(keyed, cover, parts).groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
     anchors = anchors.join(measured.filter("is_copy"), "key", "left_anti")
     flagged = materialize(keyed.join(anchors, "key").select("key", "doc_id", "text", "anchors"), "flagged")
-    starts = _later_passages(flagged, cover).groupBy("key").agg(F.collect_list("starts").alias("starts"))
+    starts = _later_passages(flagged, cover, parts).groupBy("key").agg(F.collect_list("starts").alias("starts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -340,21 +340,27 @@ class ChunkEncoder:
 
     def by_word(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, the number of ids of each part, and the number of parts of each text."""
+        at, counts = self.places(texts)
+        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[at]
+        return self.pool[flat_take(starts[at], sizes)], sizes, counts
+
+    def places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The place in the cache of each part, and the number of parts of each text."""
         if len(self.place) > self.most:
             self._clear()
         split = [x.split() for x in texts]
         place = self.place
         fresh = list({w for words in split for w in words if w not in place})
         if fresh:
-            ids = self.encode([w.decode() for w in fresh])
-            place.update(zip(fresh, range(len(place), len(place) + len(fresh)), strict=True))
-            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), dtype=np.uint32)])
-        pool, sizes = self.pool, self.sizes
-        starts = np.cumsum(sizes) - sizes
+            self._learn(fresh)
         at = np.fromiter((place[w] for words in split for w in words), dtype=np.int64)
-        counts = np.array([len(x) for x in split], dtype=np.int64)
-        return pool[flat_take(starts[at], sizes[at])], sizes[at], counts
+        return at, np.array([len(x) for x in split], dtype=np.int64)
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        ids = self.encode([w.decode() for w in fresh])
+        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
+        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))])
+        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), dtype=np.uint32)])
 
 
 def vocabulary_encoder(path: str, together: int = 1000) -> Callable[[list[str]], list[list[int]]]:
