@@ -16,7 +16,7 @@ from pagewarden.llm.queries import tokenizer_file
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality.judge(docs).filter("kept").select(docs.columns)
+    return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
