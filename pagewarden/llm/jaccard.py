@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_bytes, gram_hashes, materialize, mix64, place, plain, powers, remove_table, restored, runs, word_hashes, write_table
+from pagewarden.llm.common import as_bytes, gram_hashes, materialize, mix64, one_thread, place, plain, powers, remove_table, restored, runs, word_hashes, write_table
 
 
 @dataclass(frozen=True)
@@ -276,6 +276,7 @@ def _bridges(left: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search)
     groups = placed.join(_grams(docs, nodes, placed.select("node").distinct(), search), "node")
 
     def work(table: pa.Table) -> pa.Table:
+        one_thread()
         itself, rows, (x, y) = _sides(table)
         node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
         found: list[tuple[int, int]] = []
@@ -306,6 +307,7 @@ def degrees(edges: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFra
     groups = some.join(_grams(docs, nodes, some.select("node"), search), "node")
 
     def work(table: pa.Table) -> pa.Table:
+        one_thread()
         itself, rows, (x, y) = _sides(table)
         close, node = similar(x, y, search.threshold, itself), table.column("node").to_numpy()
         n = [close.sum(axis=1)] if itself else [close.sum(axis=1), close.sum(axis=0)]

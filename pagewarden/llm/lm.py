@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_bytes, flat_take, held_out, materialize
+from pagewarden.llm.common import as_bytes, flat_take, held_out, materialize, one_thread
 from pagewarden.llm.tokenstore import ChunkEncoder
 
 BLOCK = 8
@@ -51,9 +51,9 @@ class Config:
     width: int = 16
     rounds: int = 2
     rate: float = 0.01
-    steps: int = 1000
+    steps: int = 500
     known: float = 0.85
-    batch: int = 128
+    batch: int = 256
     heavy: int = 100_000
     seed: int = 3
 
@@ -406,6 +406,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: Config) -> dict[str,
         rate = config.rate / 2**round_no
 
         def local(batches: Iterator[pa.RecordBatch], now=now, rate=rate, round_no=round_no) -> Iterator[pa.RecordBatch]:
+            one_thread()
             w, n = fit_blocks(now.value, items_of(batches, ChunkEncoder(_encode(config.model_file)), round_no), rate, config.batch, config.steps)
             if n:
                 flat = np.concatenate([w[x].reshape(-1) for x in names]).astype(np.float64)
@@ -454,6 +455,7 @@ def score(docs: DataFrame, config: Config) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        one_thread()
         vocabulary, weights, frequent = shared.value
         end_log = float(np.log10(frequent.get(END, 0) + 1.0))
         log_first = np.log10(np.maximum(vocabulary.first_counts, 1.0)) - np.log10(config.known / (1 - config.known))
