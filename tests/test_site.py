@@ -50,6 +50,32 @@ def test_resolving_twice_changes_nothing(spark, path):
     assert once.first().p == once.select(urls.collapse_dots(F.col("p")).alias("p")).first().p
 
 
+def test_last_dots(spark):
+    # Written out: a path joined to its page's folder drops a last dot, a URL's path keeps a slash for it.
+    joined = {"/a/.": "/a", "/a/./": "/a/", "/a/b/..": "/a", "/a/b/../": "/a/", "/a/..": "/", "/a//b": "/a/b", "/..": "/"}
+    of_urls = {"/a/.": "/a/", "/a/./": "/a/", "/a/b/..": "/a/", "/a/b/../": "/a/", "/a/..": "/", "/a//b": "/a//b", "/..": "/", "/a//..": "/a/", "/a/b": "/a/b", "/": "/"}
+    for expression, want in ((urls.collapse_dots, joined), (urls.collapse_url_dots, of_urls)):
+        df = spark.createDataFrame([(x,) for x in want], "p string")
+        assert {r.p: r.q for r in df.select("p", expression(F.col("p")).alias("q")).collect()} == want
+
+
+def test_attributes_of_links(spark):
+    html = """<iframe data-src="u1"><img src="u2" srcset="u3"><a href='u4'><a xhref="u5">"""
+    got = links.extract_links(spark.createDataFrame([(1, "u", html)], "page_id bigint, url string, html string"))
+    assert rows_of(got, "attr", "raw") == [("data-src", "u1"), ("href", "u4"), ("src", "u2")]
+    loads = [(1, "https://s.test/", a, r) for a, r in (("src", "https://a.test/x"), ("data-src", "https://b.test/"), ("href", "https://c.test/"), ("href", "https://d.test/f.woff2"), ("src", "https://fontana.test/"))]
+    df = spark.createDataFrame(loads, "page_id int, url string, attr string, raw string")
+    assert rows_of(pages.third_party_origins(df), "page_id", "n_third", "n_font", "ok") == [(1, 2, 1, False)]
+
+
+def test_long_chains_and_loops(spark):
+    rules_ = [(f"/c{k}", f"/c{k + 1}") for k in range(50)] + [(f"/r{k}", f"/r{(k + 1) % 7}") for k in range(7)] + [("/t1", "/t2"), ("/t2", "/r3"), ("/s", "/s"), ("/u", "/s")]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(rules_)], "line_no int, src string, dst string")
+    got = {r.src: (r.hops, r.final, r.loops) for r in links.redirect_chains(df).collect()}
+    assert got["/c0"] == (50, "/c50", False) and got["/c49"] == (1, "/c50", False) and len(got) == len(rules_)
+    assert got["/r2"] == (7, "/r2", True) and got["/t1"] == (9, "/r3", True) and got["/s"] == (1, "/s", True) and got["/u"] == (2, "/s", True)
+
+
 REDIRECTS = "/old /new 301\r\n\n/tmp /x 302\n/two /fields\n/old /newer 301\nhttp://a.test/* https://a.test/:splat 301\n/a /b 301\n/b /a 301\n/s /s 301\n/1 /2 301\n/2 /3 301"
 
 
@@ -92,14 +118,14 @@ def test_header_rules(spark):
 
 
 def test_text_rules(spark):
-    corpus = spark.createDataFrame([("a", " <?xml <b>Colour</b>"), ("b", "x navLinks <nav>Blog</nav>"), ("c", "x Blog navLinks <nav>no</nav>")], "path string, value string")
-    wanted = site.expectations(spark, [("s", "1", "a", "starts_with", "<?xml", None, None), ("s", "2", "a", "not_contains", "Colour", None, None), ("s", "3", "z", "contains", "q", None, None), ("s", "4", "b", "matches", "(?i)NAVLINKS", None, None), ("s", "5", "b", "not_matches", "n.v", None, None), ("s", "6", "b", "contains", "no", "g", None), ("s", "6", "b", "contains", "Blog", "g", None), ("s", "7", "a", "contains", "no", "g", None)])
+    corpus = spark.createDataFrame([("a", " <?xml <b>Colour</b>"), ("b", "x siteMenu <nav>Blog</nav>"), ("c", "x Blog siteMenu <nav>no</nav>")], "path string, value string")
+    wanted = site.expectations(spark, [("s", "1", "a", "starts_with", "<?xml", None, None), ("s", "2", "a", "not_contains", "Colour", None, None), ("s", "3", "z", "contains", "q", None, None), ("s", "4", "b", "matches", "(?i)SITEMENU", None, None), ("s", "5", "b", "not_matches", "n.v", None, None), ("s", "6", "b", "contains", "no", "g", None), ("s", "6", "b", "contains", "Blog", "g", None), ("s", "7", "a", "contains", "no", "g", None)])
     assert rows_of(rules.check_literals(corpus, wanted), "check_id") == [("2",), ("3",)]
     assert rows_of(rules.check_patterns(corpus, wanted), "check_id") == [("5",)]
     assert rows_of(rules.check_any_of(corpus, wanted), "check_id") == [("7",)]
     block = r"(?s)<nav>(.*?)</nav>"
-    assert rows_of(rules.check_implication(corpus, "navLinks", "Blog", True, block), "subject") == [("c",)]
-    assert rows_of(rules.check_implication(corpus, "navLinks", "Blog", False, block), "subject") == [("b",)]
+    assert rows_of(rules.check_implication(corpus, "siteMenu", "Blog", True, block), "subject") == [("c",)]
+    assert rows_of(rules.check_implication(corpus, "siteMenu", "Blog", False, block), "subject") == [("b",)]
     assert rows_of(rules.check_count(corpus, "x", 1), "subject", "detail") == []
     assert rows_of(rules.scan_forbidden(corpus, ["Blog", "<?xml"]), "subject", "detail") == [("a", "<?xml"), ("b", "Blog"), ("c", "Blog")]
     assert rows_of(rules.check_labels(corpus, ["Blog"]), "subject") == [("a",)]
@@ -108,6 +134,39 @@ def test_text_rules(spark):
     assert rows_of(rules.check_any_source(corpus, groups, sources), "check_id") == [("2",), ("3",)]
 
 
+def test_null_texts_and_empty_groups(spark):
+    corpus = spark.createDataFrame([("a", None), ("b", "x")], "path string, value string")
+    wanted = site.expectations(spark, [("s", "1", "a", "contains", "x", None, None), ("s", "2", "a", "matches", "x", None, None), ("s", "3", "a", "not_contains", "x", None, None), ("s", "4", "a", "count", "x", None, 1), ("s", "5", "a", "contains", "x", "g", None), ("s", "6", "b", "count", "x", None, 1)])
+    assert rows_of(rules.check_literals(corpus, wanted), "check_id") == [("1",)]
+    assert rows_of(rules.check_patterns(corpus, wanted), "check_id") == [("2",)]
+    assert rows_of(rules.check_counts(corpus, wanted), "check_id", "detail") == [("4", "found 0")]
+    assert rows_of(rules.check_any_of(corpus, wanted), "check_id") == [("5",)]
+    assert rows_of(rules.check_count(corpus, "x", 1), "subject") == [("a",)] and rows_of(rules.check_labels(corpus, ["x"]), "subject") == [("a",)]
+    page = spark.createDataFrame([(1, "u", None)], "page_id int, url string, html string")
+    assert rules.check_head_markers(page).count() == 2
+    groups = spark.createDataFrame([("g", "b"), ("h", "gone")], "group string, path string")
+    sources = spark.createDataFrame([("s", str(k), g, op, "x") for k, (g, op) in enumerate([("g", "contains"), ("h", "contains"), ("none", "contains"), ("none", "not_contains"), ("g", "not_contains")])], "suite string, check_id string, subject string, op string, literal string")
+    assert rows_of(rules.check_any_source(corpus, groups, sources), "check_id") == [("1",), ("2",), ("4",)]
+
+
+def test_rules_move_no_text(spark):
+    corpus = spark.createDataFrame([("a", "x")], "path string, value string")
+    wanted = site.expectations(spark, [("s", str(k), "a", op, "x", group, None) for k, (op, group) in enumerate([("contains", None), ("matches", None), ("contains", "g"), ("contains_if", "x"), ("tag_contains", "x")])])
+    groups = spark.createDataFrame([("g", "a")], "group string, path string")
+    for found in (rules.check_literals(corpus, wanted), rules.check_patterns(corpus, wanted), rules.check_any_of(corpus, wanted), rules.check_conditions(corpus, wanted), rules.check_tag_rules(corpus, wanted), rules.check_any_source(corpus, groups, wanted.filter("any_group IS NULL").limit(1))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "value" not in "".join(line for line in plan.splitlines() if "Join" in line or "Aggregate" in line)
+        found.collect()
+
+
+def test_policies_by_path(spark):
+    text = "/*\n  Content-Security-Policy: default-src https://ok.test; frame-src 'none'\n/a/*\n  Content-Security-Policy: script-src https://js.test; object-src\n"
+    known = site.parse_headers(site.numbered_lines(spark.createDataFrame([(text,)], "value string")))
+    rows = [("/a/x", "script-src", "https://ok.test"), ("/b", "script-src", "https://ok.test"), ("/b", "script-src", "https://js.test"), ("/b", "frame-src", "https://ok.test"), ("/b", "img-src", "https://ok.test"), ("/a/x", "img-src", "https://ok.test"), ("/a/x", "object-src", "https://ok.test")]
+    got = headers.csp_violations(spark.createDataFrame(rows, "path string, directive string, origin string"), known)
+    assert rows_of(got, "path", "directive", "origin") == sorted([rows[0], rows[2], rows[3], rows[6]])
+
+
 def test_tags_and_heads(spark):
     html = '<html lang="en"><head><title>T</title><link rel="canonical" href="https://s/a"><meta name="robots" content="noindex"><script type="application/ld+json">{"@type": "X"}</script></head><h1>a</h1><img src="i.png" loading="lazy"><img alt="" src="j.png" width="1"><IFRAME src="e">'
     df = spark.createDataFrame([(1, "https://s/a", html), (2, "https://s/b", "<p>")], "page_id bigint, url string, html string")
@@ -131,6 +190,7 @@ def test_structured_data_and_dates(spark):
     listed = lambda d: spark.sql(f"SELECT 'https://s/a' AS loc, DATE'{d}' AS lastmod")
     assert pages.date_conflicts(nodes, feed, listed("2026-08-01")).count() == 0
     assert pages.date_conflicts(nodes, feed, listed("2026-07-01")).count() == 1
+    assert pages.date_conflicts(nodes, feed, listed("2026-08-02")).count() == 1 and pages.date_conflicts(nodes, feed, listed("2026-08-02"), later_listed=True).count() == 0
     timed = [(k, "u", f'<script type="application/ld+json">{{"timeRequired":"PT8M"}}</script><p>{n} min read</p>') for k, n in ((1, 8), (2, 9))]
     assert rows_of(pages.duration_conflicts(spark.createDataFrame(timed, "page_id bigint, url string, html string")), "page_id", "stated", "shown") == [(2, 8, 9)]
     durations = spark.createDataFrame([("PT8M",), ("PT1H2M",), ("8 min",), ("PT",)], "d string").select(pages.iso_minutes(F.col("d")).alias("m"))
@@ -197,8 +257,14 @@ def test_readers(spark, tmp_path):
     (tmp_path / "robots.txt").write_text("User-agent: *\nSitemap: https://s/sitemap.xml\n")
     (tmp_path / "llms.txt").write_text("# S\n## Main\n- [A](https://s/a): note\n- [B](https://s/b)\n")
     (tmp_path / "m.webmanifest").write_text('{"name": "S", "start_url": "/",\n "icons": [{"src": "i.png", "sizes": "1x1"}]}')
+    (tmp_path / "sp ace+1").mkdir()
+    (tmp_path / "sp ace+1" / "c%d.html").write_text("C")
     root = str(tmp_path)
-    assert rows_of(site.list_files(spark, root).filter("path LIKE '%html'"), "path", "bytes") == [("a.html", 9), ("sub/b.html", 1)]
+    assert rows_of(site.list_files(spark, root).filter("path LIKE '%html'"), "path", "bytes") == [("a.html", 9), ("sp ace+1/c%d.html", 1), ("sub/b.html", 1)]
+    nested = tmp_path / ("x" + root)
+    nested.mkdir(parents=True)
+    (nested / "n.html").write_text("N")
+    assert [r.path for r in site.list_files(spark, root).filter("path LIKE '%n.html'").collect()] == [f"x{root}/n.html"]
     assert ("sub/b.html", "B") in rows_of(site.read_pages(spark, root, "files"), "url", "html")
     assert rows_of(site.read_sitemap(spark, f"{root}/sitemap.xml").selectExpr("loc", "string(lastmod) d"), "loc", "d") == [("https://s/a", "2026-08-01")]
     assert site.read_feed(spark, f"{root}/feed.xml").first().guid._VALUE == "g"
