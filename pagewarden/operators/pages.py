@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.functions import urls
+from pagewarden.operators import likeness
+from pagewarden.sources.tables import cut
 
 
 def _attr(tag: str, attr: str) -> Column:
@@ -120,19 +123,36 @@ def page_words(html: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
+def _page_grams(pages: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """page_id, text_id of all pages with enough words (text_id: the smallest page_id with these words), and page_id, grams (hashes of word runs) of each text; both written once."""
+    found = pages.select("page_id", page_words(F.coalesce("html", F.lit(""))).alias("w")).filter(F.size("w") >= words)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(F.slice("w", i + 1, words))))
+    each = cut(found.select("page_id", F.md5(F.array_join("w", " ")).alias("digest"), runs.alias("grams")))
+    texts = each.groupBy("digest").agg(F.min("page_id").alias("text_id"))
+    texts = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a text may have very many copies
+    placed = cut(each.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")).join(texts, ["digest", "salt"]).select("page_id", "text_id"))
+    return placed, each.join(placed.filter("page_id = text_id").select("page_id"), "page_id", "left_semi").select("page_id", "grams")
+
+
+SALTS = 16
+
+
+def _page_bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
+    """page_id, keys: a hash for each MinHash band, from the least hashes over a page's runs in one aggregation."""
+    least = [F.min(F.xxhash64("gram", F.lit(k))).alias(f"m{k}") for k in range(bands * rows)]
+    values = sets.select("page_id", F.explode("grams").alias("gram")).groupBy("page_id").agg(*least)
+    return values.select("page_id", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * rows + r}" for r in range(rows)]) for b in range(bands)]).alias("keys"))
+
+
 def near_duplicates(pages: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 24, rows: int = 4, block: int = 256) -> DataFrame:
     """page_a, page_b, similarity: likeness of word runs between pages with different texts, each text by its smallest page_id.
 
     MinHash bands give the candidates: all pairs of a bucket (a pair at 0.8 shares none with a chance of 3e-6). A bucket's members are dealt to
     blocks of about ``block``, each of which meets the whole bucket, so that no large bucket lies in one task. Word runs travel as 64-bit hashes, and the similarity is that of the hash sets.
+    The result has every pair, so it grows with the square of a group of variants; near_duplicate_classes() doesn't.
     """
-    w = page_words(F.coalesce("html", F.lit("")))
-    texts = pages.select("page_id", w.alias("w")).filter(F.size("w") >= words)
-    texts = texts.groupBy(F.md5(F.array_join("w", " ")).alias("digest")).agg(F.min(F.struct("page_id", "w")).alias("s")).select("s.*")
-    runs = F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(F.slice("w", i + 1, words)))
-    sets = texts.select("page_id", F.array_distinct(runs).alias("grams"))
-    key = lambda b: F.xxhash64(F.lit(b), *[F.array_min(F.transform("grams", _seeded(b * rows + r))) for r in range(rows)])
-    keyed = sets.select("page_id", F.explode(F.array(*[key(b) for b in range(bands)])).alias("bucket"))
+    _, sets = _page_grams(pages, words)
+    keyed = _page_bands(sets, bands, rows).select("page_id", F.explode("keys").alias("bucket"))
     groups = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = keyed.join(groups.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket")
     dealt = shared.select("bucket", F.pmod(F.xxhash64("page_id"), "blocks").cast("int").alias("block"), F.col("page_id").alias("page_a"))
@@ -143,5 +163,31 @@ def near_duplicates(pages: DataFrame, threshold: float = 0.8, words: int = 5, ba
     return met.select("page_a", "page_b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
 
-def _seeded(seed: int):
-    return lambda x: F.xxhash64(x, F.lit(seed))
+def near_duplicate_classes(pages: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 24, rows: int = 4, block: int = 512) -> DataFrame:
+    """page_id, text_id, class_id, n_links of all pages with ``words`` words or more: the smallest page_id with the same words, that of the class, and the number of other texts at the threshold or above.
+
+    A bucket's members are dealt to blocks, and each two blocks of a bucket are one group. There, a pair is looked at only in the first band that it
+    shares, so no pair counts twice and none leaves its task: out come the numbers of links of each page and the few links that connect the block
+    pair. Exact for buckets of any size, as far as the bands go (see near_duplicates()).
+    """
+    placed, sets = _page_grams(pages, words)
+    keyed = cut(sets.join(_page_bands(sets, bands, rows), "page_id"))
+    each = keyed.select("page_id", F.posexplode("keys").alias("band", "bucket"))
+    groups = each.groupBy("band", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = each.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(groups, ["band", "bucket", "salt"])
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("page_id", F.lit(1)), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "page_id")
+    met = dealt.join(keyed, "page_id")
+
+    def work(table: pa.Table) -> pa.Table:
+        return likeness.block_links(table, threshold)
+
+    found = cut(met.groupBy("band", "bucket", "i", "j").applyInArrow(work, "page_id bigint, n bigint, other bigint"))
+    counts = found.filter("n IS NOT NULL").groupBy(F.col("page_id").alias("text_id")).agg(F.sum("n").alias("n_links"))
+    labels = likeness.components(found.filter("other IS NOT NULL").select(F.col("page_id").alias("a"), F.col("other").alias("b")))
+    texts = sets.select(F.col("page_id").alias("text_id")).join(counts, "text_id", "left").join(labels.withColumnRenamed("node", "text_id"), "text_id", "left")
+    texts = cut(texts.select("text_id", F.coalesce("label", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
+    salted = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return placed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["text_id", "salt"]).select("page_id", "text_id", "class_id", "n_links")

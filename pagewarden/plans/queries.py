@@ -222,13 +222,17 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return pages.near_duplicates(_pages(spark, folder)).withColumn("similarity", F.round("similarity", 6))
 
 
+def near_duplicate_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.near_duplicate_classes(_pages(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         link_extract, link_classify, url_strip, path_resolve, link_candidates, broken_links, flagship, redirect_lookup, coverage_missing,
         redirected_listed, forbidden_scan, literal_rules, pattern_rules, any_of_rules, implication_rules, count_rules, head_markers, block_extract,
         tag_rules, label_matrix, byte_budget, any_source, suite_summary, splat_redirect, redirect_chains, head_metadata, duplicate_titles,
-        listing_diff, ambiguous_labels, near_duplicates,
+        listing_diff, ambiguous_labels, near_duplicates, near_duplicate_classes,
     )
 } | derived.QUERIES
 
@@ -325,6 +329,12 @@ SELECT src, hops::BIGINT AS hops, loops, CASE WHEN NOT loops THEN at_ END AS fin
     "ambiguous_labels": """WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*>.*?</a>')) AS tag FROM pages), h AS (SELECT *, regexp_extract(tag, '(?is)^<a\\b[^>]*>') AS head FROM t),
 a AS (SELECT page_id, regexp_extract(head, '(?i)\\bhref=["'']([^"'']*)["'']', 1) AS href, coalesce(nullif(regexp_extract(head, '(?i)aria-label=["'']([^"'']*)["'']', 1), ''), trim(regexp_replace(regexp_replace(tag, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ')) AS label FROM h)
 SELECT page_id, label, count(DISTINCT href) AS n_targets FROM a GROUP BY 1, 2 HAVING count(DISTINCT href) > 1""",
+    "near_duplicate_classes": r"""WITH RECURSIVE w AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(coalesce(html, ''), '(?is)<nav\b.*?</nav>|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>', ' ', 'g')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM pages),
+t AS (SELECT min(page_id) AS text_id, w FROM w WHERE len(w) >= 5 GROUP BY w), g AS (SELECT DISTINCT text_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t),
+n AS (SELECT text_id, count(*) AS n FROM g GROUP BY 1), c AS (SELECT a.text_id AS a, b.text_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.text_id <> b.text_id GROUP BY 1, 2),
+p AS (SELECT a, b FROM c JOIN n x ON x.text_id = a JOIN n y ON y.text_id = b WHERE c / (x.n + y.n - c) >= 0.8),
+r AS (SELECT text_id, text_id AS at_ FROM t UNION SELECT r.text_id, p.b FROM r JOIN p ON p.a = r.at_), l AS (SELECT text_id, min(at_) AS class_id FROM r GROUP BY 1), d AS (SELECT a AS text_id, count(*) AS n_links FROM p GROUP BY 1)
+SELECT w.page_id, t.text_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM w JOIN t ON t.w = w.w JOIN l ON l.text_id = t.text_id LEFT JOIN d ON d.text_id = t.text_id""",
     "near_duplicates": r"""WITH w AS (SELECT page_id, regexp_extract_all(lower(regexp_replace(coalesce(html, ''), '(?is)<nav\b.*?</nav>|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>', ' ', 'g')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM pages),
 t AS (SELECT min(page_id) AS page_id, w FROM w WHERE len(w) >= 5 GROUP BY w), g AS (SELECT DISTINCT page_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t),
 n AS (SELECT page_id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.page_id AS page_a, b.page_id AS page_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.page_id < b.page_id GROUP BY 1, 2)

@@ -246,6 +246,35 @@ def test_near_duplicate_pages_of_large_groups(spark, block):
     assert len(want) == 435 and sorted((r.page_a, r.page_b) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("block", [512, 9])
+def test_near_duplicate_classes_of_large_groups(spark, block):
+    import random
+
+    rng = random.Random(3)
+    texts = []
+    for size, edits, length in ((40, 1, 100), (45, 2, 120), (5, 30, 90)):
+        base = [f"w{size}x{rng.randrange(500)}" for _ in range(length)]
+        for v in range(size):
+            own = list(base)
+            for _ in range(edits):
+                own[rng.randrange(length)] = f"n{v}x{rng.randrange(99)}"
+            texts.append(" ".join(own))
+    texts += [texts[3], texts[3], "too short", None]
+    rng.shuffle(texts)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} if t and len(t.split()) > 4 else None for t in texts]
+    first = [texts.index(t) for t in texts]
+    own = [k for k in range(len(texts)) if sets[k] and first[k] == k]
+    close = {k: [x for x in own if x != k and len(sets[k] & sets[x]) / len(sets[k] | sets[x]) >= 0.8] for k in own}
+    label = {k: k for k in own}
+    for _ in own:
+        label = {k: min([label[k], *(label[x] for x in close[k])]) for k in own}
+    want = sorted((k, first[k], label[first[k]], len(close[first[k]])) for k in range(len(texts)) if sets[k])
+    df = spark.createDataFrame([(k, "u", None if t is None else f"<p>{t}</p>") for k, t in enumerate(texts)], "page_id bigint, url string, html string")
+    got = rows_of(pages.near_duplicate_classes(df, block=block), "page_id", "text_id", "class_id", "n_links")
+    assert got == want and max(r[3] for r in want) >= 39
+    assert pages.near_duplicate_classes(df.limit(0)).count() == 0
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "node_modules").mkdir()
