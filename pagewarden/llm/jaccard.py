@@ -140,10 +140,19 @@ def _deal(nodes: DataFrame, search: Search) -> DataFrame:
     return nodes.filter("n_words > 0").select("node", "values").mapInArrow(work, "bucket bigint, node bigint")
 
 
+#: A bucket's members meet what is known of the bucket in so many groups, so that a hot bucket doesn't lie in one task.
+SALTS = 8
+
+
+def _with_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``rows`` (bucket, node ...) with the columns of their bucket, of which ``buckets`` has one row each."""
+    each = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(each, ["bucket", "salt"]).drop("salt")
+
+
 def _shared(rows: DataFrame) -> DataFrame:
-    """bucket, node, least, size: rows of the buckets that hold two nodes or more."""
-    groups = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    return rows.join(groups, "bucket")
+    """bucket, node, size: rows of the buckets that hold two nodes or more."""
+    return _with_bucket(rows, rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
 
 
 def _pairs(shared: DataFrame, search: Search) -> DataFrame:
@@ -153,7 +162,7 @@ def _pairs(shared: DataFrame, search: Search) -> DataFrame:
     large = shared.filter(F.col("size") > search.small)
     weight = large.groupBy("node").agg(F.sum("size").alias("weight"))
     leads = large.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
-    star = large.join(leads, "bucket").filter("node <> lead")
+    star = _with_bucket(large, leads).filter("node <> lead")
     return both.unionByName(star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))).distinct()
 
 
@@ -272,7 +281,7 @@ def _bridges(left: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search)
     """Links (a, b) that join the components of large buckets' members: in each block pair as many as it takes."""
     weight = left.groupBy("node").agg(F.count("*").alias("weight"))
     leads = left.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("group"))
-    placed = materialize(left.join(leads, "bucket").select("group", "node", "label").distinct(), "placed")
+    placed = materialize(_with_bucket(left, leads).select("group", "node", "label").distinct(), "placed")
     groups = placed.join(_grams(docs, nodes, placed.select("node").distinct(), search), "node")
 
     def work(table: pa.Table) -> pa.Table:
@@ -340,7 +349,7 @@ def _apart(shared: DataFrame, labels: DataFrame, search: Search) -> DataFrame:
     large = shared.filter(F.col("size") > search.small).select("bucket", "node")
     placed = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    return placed.join(mixed.select("bucket"), "bucket")
+    return _with_bucket(placed, mixed.select("bucket"))
 
 
 def links(docs: DataFrame, nodes: DataFrame, search: Search = Search()) -> tuple[DataFrame, DataFrame]:

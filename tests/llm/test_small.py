@@ -457,6 +457,38 @@ def test_links_of_large_groups_match_brute_force(spark):
         assert [got[k][0] for k in range(len(texts))] == plain_classes(texts)
 
 
+def test_recall_against_all_pairs_of_the_given_table(spark):
+    """Of all pairs of different texts at 0.8 or more, in the 0.1 tables, those that lie in one class; and links by brute force."""
+    import os
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(path)
+    rows = docs.select("doc_id", "text").collect()
+    first = {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        first.setdefault(b" ".join((r.text or "").encode().lower().split()), r.doc_id)
+    sets = {i: jaccard.grams(t) for t, i in first.items()}
+    holders = {}
+    for i, grams in sets.items():
+        for g in grams:
+            holders.setdefault(g, []).append(i)
+    shared = {}
+    for ids in holders.values():
+        for k, a in enumerate(ids):
+            for b in ids[:k]:
+                shared[min(a, b), max(a, b)] = shared.get((min(a, b), max(a, b)), 0) + 1
+    pairs = [p for p, n in shared.items() if n / (len(sets[p[0]]) + len(sets[p[1]]) - n) >= 0.8]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.classes(docs).collect()}
+    want = {i: 0 for i in sets}
+    for a, b in pairs:
+        want[a] += 1
+        want[b] += 1
+    assert len(pairs) > 20 and sum(got[a][0] == got[b][0] for a, b in pairs) / len(pairs) >= 0.99
+    assert sum(got[i][1] for i in sets) >= 0.99 * sum(want.values()) and all(got[i][1] <= n for i, n in want.items())
+
+
 def test_pair_with_one_shared_band_in_a_large_bucket_is_linked(spark):
     # x and y agree in one whole band and in four values of each other one; the others fill that band's bucket and have larger buckets.
     rng = random.Random(15)
