@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What a plain-text view leaves out, what ends a line, and the entities that are written out.
-HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<head[^>]*>.*?</head>"
+HIDDEN = r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->|head[^>]*>.*?</head>)"
 BREAKS = r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/title|/nav|/header|/footer)[^>]*>"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 CRLF = "\r\n"
@@ -56,8 +56,9 @@ def plain_text(html: Column) -> Column:
     text = F.regexp_replace(text, r"<[^>]*>", " ")
     for name, value in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(value))
-    text = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.regexp_replace(F.regexp_replace(text, r"\x20*\n[\x20\n]*", "\n"), r"^[\x20\n]+|[\x20\n]+$", "")
+    # A single blank stays as it is, so most words need no replacement.
+    text = F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " ")
+    return F.btrim(F.regexp_replace(text, r"\x20*\n[\x20\n]*", "\n"), F.lit(" \n"))
 
 
 def derive(rows: DataFrame) -> DataFrame:
