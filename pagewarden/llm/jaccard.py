@@ -144,10 +144,10 @@ def _deal(nodes: DataFrame, search: Search) -> DataFrame:
 SALTS = 8
 
 
-def _with_bucket(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """``rows`` (bucket, node ...) with the columns of their bucket, of which ``buckets`` has one row each."""
+def _with_bucket(rows: DataFrame, buckets: DataFrame, on: str = "bucket", by: str = "node", how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of their bucket (or other group ``on``), of which ``buckets`` has one row each; ``by`` deals a hot one's rows."""
     each = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(each, ["bucket", "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(each, [on, "salt"], how).drop("salt")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -372,11 +372,11 @@ def classes(docs: DataFrame, search: Search = Search()) -> DataFrame:
     nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("key", "n_words", "values")).alias("s")).select("node", "s.*"), "nodes")
     edges, labels = links(keyed, nodes, search)
     placed = labels.join(degrees(edges, labels, keyed, nodes, search), "node", "left")
-    rows = signed.select("doc_id", "key", "node").join(placed, "node", "left").select("doc_id", "key", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    rows = _with_bucket(signed.select("doc_id", "key", "node"), placed, "node", "key", "left").select("doc_id", "key", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     rows = materialize(rows, "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     leads = rows.groupBy("label").agg(first.alias("first")).select("label", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first_key"))
-    return rows.join(leads, "label").select("doc_id", "key", "class_id", "n_links", (F.col("key") == F.col("first_key")).alias("keeper"))
+    return _with_bucket(rows, leads, "label", "key").select("doc_id", "key", "class_id", "n_links", (F.col("key") == F.col("first_key")).alias("keeper"))
 
 
 def dedup(docs: DataFrame, search: Search = Search()) -> DataFrame:
