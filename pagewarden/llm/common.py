@@ -32,6 +32,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of texts that a Python worker gets at once, where the session doesn't say. Spark's own bound is 64 MB, which a worker and the JVM hold several times over.
+BATCH_BYTES = "8m"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the size of Arrow batches, where the session leaves it open; a longer text is a batch of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it again; also the table's path, for remove_table()."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

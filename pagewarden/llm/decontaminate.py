@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_bytes, materialize, place, plain, restored, with_fields
+from pagewarden.llm.common import as_bytes, bound_batches, materialize, place, plain, restored, with_fields
 
 # Fixed value: a word of letters, digits and non-ASCII characters, on lower-cased UTF-8 bytes.
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -101,6 +101,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, max_broadcast_runs:
 
 def _scan(docs: DataFrame, benchmark: DataFrame, n: int, max_broadcast_runs: int) -> DataFrame:
     """plain(docs) and the report."""
+    bound_batches(docs.sparkSession)
     items = _items(benchmark)
     # The benchmark's own size decides: white-space parts bound the number of words, and so of runs.
     size = items.agg(F.sum(F.length("item_text"))).first()[0] or 0

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_bytes, gram_hashes, materialize, mix64, one_thread, place, plain, powers, remove_table, restored, runs, word_hashes, write_table
+from pagewarden.llm.common import as_bytes, bound_batches, gram_hashes, materialize, mix64, one_thread, place, plain, powers, remove_table, restored, runs, word_hashes, write_table
 
 
 @dataclass(frozen=True)
@@ -367,6 +367,7 @@ def links(docs: DataFrame, nodes: DataFrame, search: Search = Search()) -> tuple
 
 def classes(docs: DataFrame, search: Search = Search()) -> DataFrame:
     """doc_id, key, class_id, n_links, keeper: the class of each row; ``keeper`` marks the rows equal to the class's first."""
+    bound_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     signed = materialize(_sign(keyed, search), "signed")
     nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("key", "n_words", "values")).alias("s")).select("node", "s.*"), "nodes")

@@ -29,15 +29,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagewarden.llm.common import as_text, flat_take, place, plain, powers, restored, with_fields
+from pagewarden.llm.common import as_text, bound_batches, flat_take, place, plain, powers, restored, with_fields
 
 MARK = "▁"
 _BASE = 0x9E3779B97F4A7C15
 #: A part is searched with others of its length up to so many characters.
 LONG = 256
 _UP, _DOWN = powers(_BASE, LONG + 64), powers(pow(_BASE, -1, 1 << 64), LONG + 64)
-#: Texts that are encoded together.
-TOGETHER = 1024
+#: Texts that are encoded together: their new parts are searched at once, so this bounds a worker's memory.
+TOGETHER = 256
 #: Bits of a hash that a table of the pieces' hashes is asked for before the binary search.
 TABLE = 20
 
@@ -243,7 +243,7 @@ def _parts(text: str) -> list[str]:
 class Encoder:
     """Ids of whole texts, from a cache of their parts of at most ``most`` entries."""
 
-    def __init__(self, pieces: Pieces, most: int = 300_000):
+    def __init__(self, pieces: Pieces, most: int = 100_000):
         self.pieces, self.most = pieces, most
         self._clear()
 
@@ -277,6 +277,7 @@ def _loaded(model_file: str) -> Pieces:
 
 def encode(docs: DataFrame, model_file: str) -> DataFrame:
     """Columns of ``docs`` and piece_ids."""
+    bound_batches(docs.sparkSession)
     at = place(docs, "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,6 +295,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
 
 def decode(encoded: DataFrame, model_file: str) -> DataFrame:
     """Columns of ``encoded`` and decoded, the text of piece_ids; ids of lone bytes that form no UTF-8 become U+FFFD."""
+    bound_batches(encoded.sparkSession)
     at = place(encoded, "piece_ids")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +309,7 @@ def decode(encoded: DataFrame, model_file: str) -> DataFrame:
 
 def digest(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and round_trip (decoding gives the text again)."""
+    bound_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _loaded(model_file)

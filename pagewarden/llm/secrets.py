@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_text, place, plain, restored, with_fields
+from pagewarden.llm.common import as_text, bound_batches, place, plain, restored, with_fields
 
 # The base patterns.
 ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -123,6 +123,7 @@ SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("kind"
 
 def scan(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Columns of ``docs`` and base, added: arrays of (start, stop, kind)."""
+    bound_batches(docs.sparkSession)
     at = place(docs, "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +153,7 @@ def _is(kind: str):
 
 def redact(docs: DataFrame, limits: Limits = Limits(), mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every found span replaced by ``mark``; null texts stay null."""
+    bound_batches(docs.sparkSession)
     at = place(docs, "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
