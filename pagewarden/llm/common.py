@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import io
 import os
@@ -43,6 +44,20 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_BYTES)
 
 
+@contextlib.contextmanager
+def bounded_batches(spark: SparkSession, size: str = BATCH_BYTES) -> Iterator[None]:
+    """bound_batches() for the jobs that run inside; the session then has its own setting again."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    if before is None:
+        spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+
+
 def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a table in the shared folder and read it again; also the table's path, for remove_table()."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

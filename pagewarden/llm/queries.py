@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagewarden.llm import decontaminate, jaccard, lm, pieces, pii, quality, secrets, substrings, tokenstore, warc
+from pagewarden.llm import decontaminate, jaccard, lm, negatives, packing, pieces, pii, quality, search, secrets, substrings, tokenstore, warc
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,6 +72,23 @@ def op10_difference_cover(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.dedup(_table(spark, folder, "documents"))
 
 
+def op11_angular_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of the anchors among all vectors; every seventh vector's label is moved on by one first."""
+    vectors = _table(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.select("vec_id", "embedding", moved.alias("label")), F.col("vec_id") % 50 == 0)
+
+
+def op12_hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The best 50 of all documents for each benchmark item."""
+    return search.search(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op13_minimum_slack_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of all documents in sequences of 4,096 tokens."""
+    return packing.pack(_table(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_attention_lm": op1_attention_lm,
     "op2_benchmark_ngrams": op2_benchmark_ngrams,
@@ -82,10 +100,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_distribution_divergence": op8_distribution_divergence,
     "op9_zstd_novelty": op9_zstd_novelty,
     "op10_difference_cover": op10_difference_cover,
+    "op11_angular_negatives": op11_angular_negatives,
+    "op12_hybrid_search": op12_hybrid_search,
+    "op13_minimum_slack_packing": op13_minimum_slack_packing,
 }
 ORACLES: dict[str, str] = {
     "op2_benchmark_ngrams": decontaminate.oracle_sql(),
     "op3_warc_derivatives": warc.oracle_sql(),
     "op8_distribution_divergence": quality.oracle_sql(),
     "op10_difference_cover": substrings.oracle_sql(),
+    "op11_angular_negatives": negatives.oracle_sql(),
+    "op12_hybrid_search": search.oracle_sql(),
 }

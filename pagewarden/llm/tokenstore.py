@@ -20,6 +20,7 @@ import math
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -320,6 +321,18 @@ def unpack_segment(data: bytes) -> list[np.ndarray]:
     return np.split(ids, np.cumsum(lengths)[:-1]) if n else []
 
 
+class _Places(dict):
+    """Places of parts in a cache; a part that is looked up for the first time gets the next one."""
+
+    def __init__(self) -> None:
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, part: bytes) -> int:
+        self.fresh.append(part)
+        self[part] = place = len(self)
+        return place
+
+
 class ChunkEncoder:
     """Ids of whole texts from a cache of their white-space parts, which no token of these vocabularies crosses."""
 
@@ -328,8 +341,9 @@ class ChunkEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.pool, self.sizes = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        self.place = _Places()
+        self.pool, self.sizes, self.starts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.n_ids = 0
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
@@ -341,26 +355,50 @@ class ChunkEncoder:
     def by_word(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids, the number of ids of each part, and the number of parts of each text."""
         at, counts = self.places(texts)
-        starts, sizes = np.cumsum(self.sizes) - self.sizes, self.sizes[at]
-        return self.pool[flat_take(starts[at], sizes)], sizes, counts
+        sizes = self.sizes[at]
+        return self.pool[flat_take(self.starts[at], sizes)], sizes, counts
 
     def places(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The place in the cache of each part, and the number of parts of each text."""
         if len(self.place) > self.most:
             self._clear()
         split = [x.split() for x in texts]
-        place = self.place
-        fresh = list({w for words in split for w in words if w not in place})
-        if fresh:
-            self._learn(fresh)
-        at = np.fromiter((place[w] for words in split for w in words), dtype=np.int64)
-        return at, np.array([len(x) for x in split], dtype=np.int64)
+        counts = np.array([len(x) for x in split], dtype=np.int64)
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(counts.sum()))
+        if self.place.fresh:
+            self._learn(self.place.fresh)
+            self.place.fresh.clear()
+        return at, counts
 
     def _learn(self, fresh: list[bytes]) -> None:
         ids = self.encode([w.decode() for w in fresh])
-        self.place.update(zip(fresh, range(len(self.place), len(self.place) + len(fresh)), strict=True))
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), dtype=np.uint32)])
+        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+        known, n_ids = len(self.place) - len(fresh), self.n_ids + int(sizes.sum())
+        # Room is doubled, so that all copies together are linear.
+        self.pool = _with_room(self.pool, n_ids)
+        self.sizes, self.starts = _with_room(self.sizes, len(self.place)), _with_room(self.starts, len(self.place))
+        self.pool[self.n_ids : n_ids] = np.fromiter(chain.from_iterable(ids), dtype=np.uint32, count=n_ids - self.n_ids)
+        self.sizes[known : len(self.place)] = sizes
+        self.starts[known : len(self.place)] = self.n_ids + np.cumsum(sizes) - sizes
+        self.n_ids = n_ids
+
+
+def _with_room(x: np.ndarray, n: int) -> np.ndarray:
+    if len(x) >= n:
+        return x
+    out = np.zeros(max(n, 2 * len(x)), dtype=x.dtype)
+    out[: len(x)] = x
+    return out
+
+
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def chunk_encoder(path: str) -> ChunkEncoder:
+    """The encoder of this process for a tokenizer's file: tasks that follow each other in a worker share its cache, which never changes a result."""
+    if path not in _encoders:
+        _encoders[path] = ChunkEncoder(vocabulary_encoder(path), most=600_000)
+    return _encoders[path]
 
 
 def vocabulary_encoder(path: str, together: int = 1000) -> Callable[[list[str]], list[list[int]]]:
@@ -411,7 +449,7 @@ def write(docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
         from pyspark import TaskContext
 
         part, first = TaskContext.get().partitionId(), 0
-        encoder = ChunkEncoder(vocabulary_encoder(tokenizer_path))
+        encoder = chunk_encoder(tokenizer_path)
         names: list = []
         waiting: list[np.ndarray] = []
         size = 0
