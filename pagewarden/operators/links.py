@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewarden.functions import urls
+from pagewarden.operators.globs import glob_join
 from pagewarden.sources.tables import cut
 
 
@@ -34,8 +37,13 @@ def checked_paths(links: DataFrame, base: str, site: str | None = None, strict:
     return links.withColumn("path", path).filter(F.col("path").isNotNull())
 
 
+def _shared(keys: tuple[str, ...], rules: DataFrame) -> list[str]:
+    """The keys that rules have, too; without any, rules hold for all."""
+    return [k for k in keys if k in rules.columns]
+
+
 def broken_links(links: DataFrame, inventory: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Links (with ``path``) for which no candidate file exists and that no redirect names. ``keys`` are further columns that must agree with the inventory, such as a host.
+    """Links (with ``path``) for which no candidate file exists and that no redirect names. ``keys`` are further columns that must agree with the inventory, such as a site, and with the rules, where these have them.
 
     Navigation repeats on every page, so each distinct path is looked up once; two semi joins stand for the alternatives.
     """
@@ -43,61 +51,79 @@ def broken_links(links: DataFrame, inventory: DataFrame, rules: DataFrame, keys:
     candidates = targets.select(*keys, "path", F.explode(urls.candidate_keys(F.col("path"))).alias("key"))
     files = inventory.select(*keys, F.col("path").alias("key")).distinct()
     found = candidates.join(files, [*keys, "key"], "left_semi").select(*keys, "path").distinct()
-    missing = targets.join(found, [*keys, "path"], "left_anti").join(rules.select(F.col("src").alias("path")).distinct(), "path", "left_anti")
+    own = _shared(keys, rules)
+    missing = targets.join(found, [*keys, "path"], "left_anti").join(rules.select(*own, F.col("src").alias("path")).distinct(), [*own, "path"], "left_anti")
     return links.join(missing, [*keys, "path"], "left_semi")
 
 
-def last_rules(rules: DataFrame, wins: str = "last") -> DataFrame:
-    """src, dst: one target a source; of several the last (or first) line wins."""
+def last_rules(rules: DataFrame, wins: str = "last", keys: tuple[str, ...] = ()) -> DataFrame:
+    """src, dst (and keys): one target a source; of several the last (or first) line wins."""
     choose = F.max_by if wins == "last" else F.min_by
-    return rules.groupBy("src").agg(choose("dst", "line_no").alias("dst"))
+    return rules.groupBy(*keys, "src").agg(choose("dst", "line_no").alias("dst"))
+
+
+def apply_redirects(paths: DataFrame, rules: DataFrame, column: str = "path", wins: str = "last", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``target``: where an exact rule (of the same site, if the rules have ``keys``) sends the path, or null. Wildcards are literal here."""
+    own = _shared(keys, rules)
+    return paths.join(last_rules(rules, wins, tuple(own)).select(*own, F.col("src").alias(column), F.col("dst").alias("target")), [*own, column], "left")
 
 
-def apply_redirects(paths: DataFrame, rules: DataFrame, column: str = "path", wins: str = "last") -> DataFrame:
-    """Adds ``target``: where an exact rule sends the path, or null. Wildcards are literal here."""
-    return paths.join(last_rules(rules, wins).select(F.col("src").alias(column), F.col("dst").alias("target")), column, "left")
+def _splat(column: str, src: Column) -> Column:
+    """What the ``*`` of a pattern stands for."""
+    head = F.substring_index(src, "*", 1)
+    tail = F.when(src.contains("*"), F.substring_index(src, "*", -1)).otherwise(F.lit(""))
+    return F.substr(F.col(column), F.length(head) + 1, F.length(column) - F.length(head) - F.length(tail))
 
 
-def _literal(pattern: str) -> F.Column:
-    return F.substring_index(F.col(pattern), "*", 1)
+def apply_splat_redirects(paths: DataFrame, rules: DataFrame, column: str = "url", keys: tuple[str, ...] = ()) -> DataFrame:
+    """The first rule by line (of the same site, if the rules have ``keys``) whose pattern matches each path, with ``:splat`` in its target replaced by what ``*`` stands for."""
+    own = _shared(keys, rules)
+    found = glob_join(paths.select(*own, column).distinct(), rules.select(*own, "line_no", "src", "dst"), column, "src", tuple(own))
+    first = found.groupBy(*own, column).agg(F.min_by(F.struct("src", "dst"), "line_no").alias("rule"))
+    target = F.replace(F.col("rule.dst"), F.lit(":splat"), _splat(column, F.col("rule.src")))
+    return paths.join(first.select(*own, column, F.col("rule.src").alias("rule"), target.alias("target")), [*own, column])
 
 
-#: So many rules at most are sent to every task.
-MAX_BROADCAST_RULES = 10_000
-#: Beyond that, rules meet the paths of a common prefix in so many groups.
-SALTS = 16
+def _step(urls_: DataFrame, rules: DataFrame) -> DataFrame:
+    """at, target: the first rule by line that matches each URL ``at`` as a whole or by its path."""
+    own = _shared(("site",), rules)
+    clean = urls.strip_suffix(F.col("at"))
+    forms = urls_.select("at", urls.host(F.col("at")).alias("site"), F.explode(F.array(clean, urls.url_path(F.col("at")))).alias("form"))
+    met = glob_join(forms.select("at", *own, "form"), rules.select(*own, "line_no", "src", "dst"), "form", "src", tuple(own))
+    first = met.groupBy("at").agg(F.min_by(F.struct("src", "dst", "form"), F.struct("line_no", "form")).alias("r")).select("at", F.col("r.src").alias("src"), F.col("r.dst").alias("dst"), F.col("r.form").alias("form"))
+    target = F.replace(F.col("dst"), F.lit(":splat"), _splat("form", F.col("src")))
+    origin = F.regexp_extract("at", r"(?i)^https?://[^/?#]*", 0)
+    return first.select("at", F.when(F.startswith(target, F.lit("/")), F.concat(origin, target)).otherwise(target).alias("target"))
 
 
-def glob_join(paths: DataFrame, rules: DataFrame, column: str, pattern: str) -> DataFrame:
-    """Pairs of rows whose path matches the rule's pattern (``*`` is anything).
+def follow_redirects(starts: DataFrame, rules: DataFrame, column: str = "url", max_hops: int = 20) -> DataFrame:
+    """url, hops, final, outcome: where every URL ends under exact and wildcard rules.
 
-    Rules meet paths by the literal text before the first ``*``: each path is looked up under its prefixes of the lengths that rules
-    have, so this stays an equi join for any number of rules. There are as many lengths as different literal texts are long.
+    Rules (line_no, src, dst) may have a ``site``: they then hold for the URLs of that host alone, with or without ``www.``. A source is a path or a whole URL, ``*`` in it anything; of all that match, the first line wins. A target
+    that begins with a slash stays on the host. Query and fragment of a URL aren't matched, nor carried on.
+
+    ``outcome`` is ``ends`` where no rule matches further, ``loops`` where a URL comes back (``final`` is that URL, ``hops`` the steps until then), and ``endless`` where after ``max_hops`` steps a rule still
+    matches: wildcards can make ever new URLs, so that needs a bound, as browsers have one. Each round looks up only the different URLs that were reached last; those that no rule matches leave the walk.
     """
-    keyed = rules.withColumn("glob_key", _literal(pattern))
-    lengths = {r[0]: r[1] for r in keyed.groupBy(F.length("glob_key")).count().collect()}
-    if not lengths:
-        return paths.limit(0).crossJoin(keyed.drop("glob_key").limit(0))
-    prefixes = F.array_distinct(F.transform(F.filter(F.array(*map(F.lit, sorted(lengths))), lambda n: n <= F.length(column)), lambda n: F.substr(F.col(column), F.lit(1), n)))
-    each, keys = paths.withColumn("glob_key", F.explode(prefixes)), ["glob_key"]
-    if sum(lengths.values()) <= MAX_BROADCAST_RULES:
-        keyed = F.broadcast(keyed)
-    else:  # a short prefix such as / is one of very many paths
-        keys.append("glob_salt")
-        each = each.withColumn("glob_salt", F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int"))
-        keyed = keyed.withColumn("glob_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = each.join(keyed, keys).drop(*keys)
-    return pairs.filter(F.like(F.col(column), urls.glob_like(F.col(pattern)), F.lit("!")))
-
-
-def apply_splat_redirects(paths: DataFrame, rules: DataFrame, column: str = "url") -> DataFrame:
-    """The first rule by line whose pattern matches each path, with ``:splat`` in its target replaced by what ``*`` stands for."""
-    found = glob_join(paths.select(column).distinct(), rules.select("line_no", "src", "dst"), column, "src")
-    first = found.groupBy(column).agg(F.min_by(F.struct("src", "dst"), "line_no").alias("rule"))
-    head = F.substring_index(F.col("rule.src"), "*", 1)
-    tail = F.when(F.col("rule.src").contains("*"), F.substring_index(F.col("rule.src"), "*", -1)).otherwise(F.lit(""))
-    splat = F.substr(F.col(column), F.length(head) + 1, F.length(column) - F.length(head) - F.length(tail))
-    return paths.join(first.select(column, F.col("rule.src").alias("rule"), F.replace(F.col("rule.dst"), F.lit(":splat"), splat).alias("target")), column)
+    walk = starts.select(F.col(column).alias("start")).distinct().select("start", F.col("start").alias("at"), F.array("start").alias("seen"))
+    done = []
+    for hop in range(max_hops + 1):
+        walk = cut(walk)
+        if not walk.limit(1).count():
+            break
+        met = cut(walk.join(_step(walk.select("at").distinct(), rules), "at", "left"))
+        ended = met.filter("target IS NULL")
+        done.append(ended.select("start", F.lit(hop).alias("hops"), F.col("at").alias("final"), F.lit("ends").alias("outcome")))
+        goes = met.filter("target IS NOT NULL")
+        if hop == max_hops:
+            done.append(goes.select("start", F.lit(hop).alias("hops"), F.col("at").alias("final"), F.lit("endless").alias("outcome")))
+            break
+        back = F.array_contains("seen", F.col("target"))
+        done.append(goes.filter(back).select("start", F.lit(hop + 1).alias("hops"), F.col("target").alias("final"), F.lit("loops").alias("outcome")))
+        walk = goes.filter(~back).select("start", F.col("target").alias("at"), F.array_append("seen", F.col("target")).alias("seen"))
+    if not done:
+        done = [walk.select("start", F.lit(0).alias("hops"), F.col("at").alias("final"), F.lit("ends").alias("outcome"))]
+    return reduce(DataFrame.unionByName, done).withColumnRenamed("start", column)
 
 
 def _follow(walk: DataFrame) -> DataFrame:
@@ -108,11 +134,15 @@ def _follow(walk: DataFrame) -> DataFrame:
     return met.select("src", F.when(goes, F.col("further")).otherwise(F.col("at")).alias("at"), (F.col("hops") + F.when(goes, F.col("more")).otherwise(F.lit(0))).alias("hops"), (goes & F.col("still")).alias("open"))
 
 
-def redirect_chains(rules: DataFrame) -> DataFrame:
+def redirect_chains(rules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """src, hops, final, loops: where each source ends after following exact rules. ``loops`` where the way comes back to a path, after ``hops`` steps, at ``final``.
 
+    With a key that rules have, such as a site, each site's rules are followed for themselves, and the site is in the result; a target that names another host goes on by that host's rules (``final_site``, ``final``).
     Ways are followed by doubling: each round joins the walk with itself and takes every source twice as far, so a chain of n steps takes log2(n) rounds.
     """
+    own = _shared(keys, rules)
+    if own:
+        return _site_chains(rules, own)
     one = cut(last_rules(rules))
     ends = one.join(one.select(F.col("src").alias("dst")), "dst", "left_semi").select("dst").distinct().withColumn("on", F.lit(True))
     walk = cut(one.join(ends, "dst", "left").select("src", F.col("dst").alias("at"), F.lit(1).cast("bigint").alias("hops"), F.coalesce("on", F.lit(False)).alias("open")))
@@ -140,3 +170,13 @@ def redirect_chains(rules: DataFrame) -> DataFrame:
     loops = tails.select("src", F.col("at").alias("entry"), "hops").unionByName(inside.select("src", F.col("src").alias("entry"), F.lit(0).cast("bigint").alias("hops")))
     met = loops.join(around.withColumnRenamed("src", "entry"), "entry")
     return done.unionByName(met.select("src", (F.col("hops") + F.col("around")).alias("hops"), F.col("entry").alias("final"), F.lit(True).alias("loops")))
+
+
+def _site_chains(rules: DataFrame, keys: list[str]) -> DataFrame:
+    """redirect_chains() over places that hold their site."""
+    site, *more = keys
+    absolute = F.col("dst").rlike(r"(?i)^https?://")
+    place = lambda where, path: F.struct(where.alias("site"), *[F.col(k) for k in more], path.alias("path"))
+    there = place(F.when(absolute, urls.host(F.col("dst"))).otherwise(F.col(site)), F.when(absolute, urls.url_path(F.col("dst"))).otherwise(F.col("dst")))
+    chains = redirect_chains(rules.select("line_no", place(F.col(site), F.col("src")).alias("src"), there.alias("dst")))
+    return chains.select(F.col("src.site").alias(site), *[F.col(f"src.{k}").alias(k) for k in more], F.col("src.path").alias("src"), "hops", F.col("final.site").alias(f"final_{site}"), F.col("final.path").alias("final"), "loops")

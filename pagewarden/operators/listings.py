@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,11 @@ def missing_from(required: DataFrame, artefact: DataFrame, column: str = "url")
     return required.join(artefact.select(column).distinct(), column, "left_anti")
 
 
-def redirected_in_sitemap(rules: DataFrame, sitemap: DataFrame, origin: str) -> DataFrame:
-    """src, loc: redirected sources that a sitemap lists, as whole values."""
-    sources = rules.select("src", F.concat(F.lit(origin), "src").alias("loc")).distinct()
-    return sources.join(sitemap.select("loc").distinct(), "loc", "left_semi").select("src", "loc")
+def redirected_in_sitemap(rules: DataFrame, sitemap: DataFrame, origin: str | None = None) -> DataFrame:
+    """src, loc: redirected sources that a sitemap lists, as whole values. Without ``origin`` each rule's ``site`` gives it (https://site), and is in the result."""
+    keys = [] if origin else ["site"]
+    sources = rules.select(*keys, "src", F.concat(F.lit(origin or "https://"), *keys, "src").alias("loc")).distinct()
+    return sources.join(sitemap.select("loc").distinct(), "loc", "left_semi").select(*keys, "src", "loc")
 
 
 def listing_diff(left: DataFrame, right: DataFrame, column: str = "url") -> DataFrame:
@@ -24,6 +27,19 @@ def listing_diff(left: DataFrame, right: DataFrame, column: str = "url") -> Data
     return both.filter(F.col("in_left") != F.col("in_right"))
 
 
+def listing_parity(lists: dict[str, DataFrame], column: str = "url", partial: bool = True) -> DataFrame:
+    """url, mask, listed, missing: every URL of any number of lists, with the names of those that have it and of those that lack it; with ``partial`` only URLs that some list lacks.
+
+    ``mask`` has a bit for each list, the first one lowest. One aggregation does it: each list gives its bit, and the bits of a URL are joined before they are shuffled.
+    """
+    names = list(lists)
+    rows = [df.select(F.col(column).alias("url"), F.lit(1 << k).cast("bigint").alias("bit")) for k, df in enumerate(lists.values())]
+    found = reduce(DataFrame.unionByName, rows).groupBy("url").agg(F.bit_or("bit").alias("mask"))
+    chosen = lambda has: F.array_compact(F.array(*[F.when((F.col("mask").bitwiseAND(F.lit(1 << k)) != 0) == F.lit(has), F.lit(x)) for k, x in enumerate(names)]))
+    some = found.filter(F.col("mask") != (1 << len(names)) - 1) if partial else found
+    return some.select("url", "mask", chosen(True).alias("listed"), chosen(False).alias("missing"))
+
+
 def inventory_diff(declared: DataFrame, observed: DataFrame) -> DataFrame:
     """origin, declared, observed: third parties that are listed but not used, or used but not listed."""
     return listing_diff(declared, observed, "origin").withColumnsRenamed({"in_left": "declared", "in_right": "observed"})
