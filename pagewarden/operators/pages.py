@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.functions import urls
+from pagewarden.functions import markup, urls
 from pagewarden.operators import likeness
 from pagewarden.sources.tables import cut
 
@@ -95,19 +95,61 @@ def iso_minutes(text: Column) -> Column:
     return F.when(text.rlike(r"^PT(?:\d+H)?(?:\d+M)?$") & (text != "PT"), part(1) * 60 + part(2))
 
 
+# The zones that RFC 822 names, in hours; single letters but J are those of the military, and count as UTC, since their sign was given wrongly there.
+ZONES = {"UT": 0, "GMT": 0, "UTC": 0, "Z": 0, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+_DATE = r"(?i)^\s*(?:[a-z]+\s*,\s*)?([0-9]{1,2})\s+([a-z]{3})[a-z]*\s+([0-9]{4}|[0-9]{2})\s+([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?\s*([a-z]+|[+-][0-9]{4})?\s*(?:\(.*\))?\s*$"
+
+
+def _local_time(text: Column) -> tuple[Column, Column, Column]:
+    """Date and time as an RFC 822 text has them, and the minutes that its zone is ahead of UTC; null for other text."""
+    part = lambda k: F.regexp_extract(text, _DATE, k)
+    at = F.instr(F.lit(MONTHS), F.lower(part(2)))
+    month = F.when(at % 3 == 1, F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0"))
+    year = F.when(F.length(part(3)) == 4, part(3)).when(part(3) < "50", F.concat(F.lit("20"), part(3))).otherwise(F.concat(F.lit("19"), part(3)))
+    day = F.when(text.rlike(_DATE), F.concat(year, F.lit("-"), month, F.lit("-"), F.lpad(part(1), 2, "0")).try_cast("date"))
+    second = F.when(part(6) == "", F.lit("00")).otherwise(part(6))
+    time = F.concat(F.lpad(part(4), 2, "0"), F.lit(":"), part(5), F.lit(":"), second)
+    zone = F.upper(part(7))
+    named = F.create_map(*[x for k, v in ZONES.items() for x in (F.lit(k), F.lit(60 * v))])
+    signed = F.concat(F.substr(zone, F.lit(1), F.lit(1)), F.lit("1")).try_cast("int") * (F.substr(zone, F.lit(2), F.lit(2)).try_cast("int") * 60 + F.substr(zone, F.lit(4), F.lit(2)).try_cast("int"))
+    ahead = F.when(zone == "", F.lit(0)).when(zone.rlike("^[+-]"), signed).when(F.length(zone) == 1, F.when(zone != "J", F.lit(0))).otherwise(named[zone])
+    return day, time, ahead
+
+
 def feed_date(text: Column) -> Column:
-    """Date of an RFC 822 time; the weekday is dropped, as Spark's parser has no use for it."""
-    return F.to_date(F.try_to_timestamp(F.regexp_replace(text, r"^[A-Za-z]{3},\s*", ""), F.lit("dd MMM yyyy HH:mm:ss Z")))
+    """The date that an RFC 822 time states, in its own zone: one- and two-digit days, years of two digits (from 1950 on), zones by name or number, seconds or none."""
+    return _local_time(text)[0]
+
 
+def feed_instant(text: Column) -> Column:
+    """The instant of an RFC 822 time; null where its zone isn't known."""
+    day, time, ahead = _local_time(text)
+    stated = F.concat(day.cast("string"), F.lit("T"), time, F.lit("Z")).try_cast("timestamp")
+    return F.timestamp_seconds(F.unix_seconds(stated) - 60 * ahead)
 
-def date_conflicts(nodes: DataFrame, feed: DataFrame, sitemap: DataFrame, later_listed: bool = False) -> DataFrame:
-    """url, published, fed, listed of URLs whose dates in structured data, feed and sitemap differ; missing ones don't count. With ``later_listed`` a sitemap may give a later date, as of a change."""
-    published = nodes.select("url", F.try_variant_get("node", "$.datePublished", "string").substr(1, 10).try_cast("date").alias("published")).filter("published IS NOT NULL").groupBy("url").agg(F.min("published").alias("published"))
-    fed = feed.select(F.col("link").alias("url"), feed_date(F.col("pubDate")).alias("fed")).groupBy("url").agg(F.min("fed").alias("fed"))
+
+def _iso_instant(text: Column) -> Column:
+    """The instant of an ISO 8601 time with a zone; null for a date alone."""
+    return F.when(text.rlike(r"T[0-9:.]+(?:Z|[+-][0-9]{2}:?[0-9]{2})$"), text.try_cast("timestamp"))
+
+
+def date_conflicts(nodes: DataFrame, feed: DataFrame, sitemap: DataFrame, later_listed: bool = False, instants: bool = False) -> DataFrame:
+    """url, published, fed, listed of URLs whose dates in structured data, feed and sitemap differ; missing ones don't count. With ``later_listed`` a sitemap may give a later date, as of a change.
+
+    Dates are those that each text states, in its own zone. With ``instants`` structured data and feed conflict where both give a time and the instants differ (otherwise by their dates), so that
+    23:30 in New York and 04:30 of the next day in UTC agree.
+    """
+    stated = F.try_variant_get("node", "$.datePublished", "string")
+    published = nodes.select("url", F.struct(stated.substr(1, 10).try_cast("date").alias("day"), _iso_instant(stated).alias("at")).alias("p")).filter("p.day IS NOT NULL").groupBy("url").agg(F.min("p").alias("p"))
+    fed = feed.select(F.col("link").alias("url"), F.struct(feed_date(F.col("pubDate")).alias("day"), feed_instant(F.col("pubDate")).alias("at")).alias("f")).filter("f.day IS NOT NULL").groupBy("url").agg(F.min("f").alias("f"))
     listed = sitemap.select(F.col("loc").alias("url"), F.col("lastmod").alias("listed")).groupBy("url").agg(F.max("listed").alias("listed"))
-    met = published.join(fed, "url", "full").join(listed, "url", "full")
+    met = published.join(fed, "url", "full").join(listed, "url", "full").select("url", F.col("p.day").alias("published"), F.col("f.day").alias("fed"), "listed", F.col("p.at").alias("p"), F.col("f.at").alias("f"))
     off = (lambda x: F.col(x) > F.col("listed")) if later_listed else (lambda x: F.col(x) != F.col("listed"))
-    return met.filter((F.col("published") != F.col("fed")) | off("published") | off("fed"))
+    apart = F.col("published") != F.col("fed")
+    if instants:
+        apart = F.when(F.col("p").isNotNull() & F.col("f").isNotNull(), F.col("p") != F.col("f")).otherwise(apart)
+    return met.filter(apart | off("published") | off("fed")).select("url", "published", "fed", "listed")
 
 
 def duration_conflicts(pages: DataFrame) -> DataFrame:
@@ -119,7 +161,9 @@ def duration_conflicts(pages: DataFrame) -> DataFrame:
 
 def page_words(html: Column) -> Column:
     """Words of the visible text in lower case, without navigation."""
-    text = F.regexp_replace(html, r"(?is)<nav\b.*?</nav>|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ")
+    for name in ("nav", "script", "style"):
+        html = markup.mark_unclosed(html, rf"{name}\b", f"</{name}>")
+    text = markup.let(markup.split_at_last(html), lambda x: F.concat(F.regexp_replace(x["head"], r"(?is)<nav\b.*?</nav>|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " "), x["tail"]))
     return F.regexp_extract_all(F.lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
