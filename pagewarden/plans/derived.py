@@ -140,7 +140,7 @@ def policy_violations(spark: SparkSession, folder: str) -> DataFrame:
     text = "/*\n  Content-Security-Policy: default-src 'self' https://*.example.com; script-src https://a.example.net\n/en/*\n  Content-Security-Policy-Report-Only: img-src https:"
     known = site.parse_headers(site.numbered_lines(spark.createDataFrame([(text,)], "value string")))
     scheme = F.concat(F.regexp_extract("url", "^(https?)://", 1), F.lit("://"), "host")
-    used = _own(spark, folder).select("path", F.explode(F.array(*map(F.lit, ("script-src-elem", "img-src", "frame-src")))).alias("directive"), scheme.alias("origin"))
+    used = _own(spark, folder).select("path", F.explode(F.array(*map(F.lit, ("script-src-elem", "img-src", "frame-src")))).alias("directive"), scheme.alias("origin"), F.col("url").alias("page"))
     return headers.csp_violations(used, known)
 
 
@@ -327,8 +327,8 @@ s AS (SELECT e.file, check_id, p, nm, op, coalesce(bool_or(r.value IS NOT NULL A
 SELECT check_id, file || p AS subject, op || ' ' || lower(nm) AS detail FROM s WHERE (op = 'present') <> seen""",
     "headers_in_force": f"""WITH {_BASE}, p AS (SELECT DISTINCT path FROM own), r AS (SELECT * FROM (VALUES (1, '%', 'X-A', '1'), (3, '/en/%', 'X-A', '2'), (4, '/en/%', 'X-B', 'en'), (6, '/%/', 'X-C', 'folder'), (8, '/de/1%', 'X-B', 'ten')) v(line_no, g, name, value))
 SELECT path, name, string_agg(value, '|' ORDER BY line_no) AS values FROM p JOIN r ON path LIKE g GROUP BY 1, 2""",
-    "policy_violations": f"""WITH {_BASE}, u AS (SELECT DISTINCT path, directive, host, regexp_extract(url, '^(https?)://', 1) AS scheme FROM own, (VALUES ('script-src-elem'), ('img-src'), ('frame-src')) d(directive))
-SELECT DISTINCT path, directive, scheme || '://' || host AS origin FROM u WHERE CASE WHEN directive = 'script-src-elem' THEN NOT (scheme = 'https' AND host = 'a.example.net') ELSE NOT (scheme = 'https' AND suffix(host, '.example.com')) END
+    "policy_violations": f"""WITH {_BASE}, u AS (SELECT DISTINCT path, directive, host, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '^https?://([^/?#]*)', 1) = host AS itself FROM own, (VALUES ('script-src-elem'), ('img-src'), ('frame-src')) d(directive))
+SELECT DISTINCT path, directive, scheme || '://' || host AS origin FROM u WHERE CASE WHEN directive = 'script-src-elem' THEN NOT (scheme = 'https' AND host = 'a.example.net') ELSE NOT itself AND NOT (scheme = 'https' AND suffix(host, '.example.com')) END
   OR (prefix(path, '/en/') AND directive = 'img-src' AND scheme <> 'https')""",
     "violations_written": f"{_FINDINGS} SELECT 's' AS suite, check_id, subject, detail FROM f",
     "rule_table": f"{_FINDINGS} SELECT check_id, subject, detail FROM f",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagewarden.functions import urls
 from pagewarden.operators import links as L
 from pagewarden.operators import listings, pages, rules
-from pagewarden.plans import derived
+from pagewarden.plans import derived, sites
 from pagewarden.sources import site
 
 SITE = "site.test"
@@ -234,7 +234,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         tag_rules, label_matrix, byte_budget, any_source, suite_summary, splat_redirect, redirect_chains, head_metadata, duplicate_titles,
         listing_diff, ambiguous_labels, near_duplicates, near_duplicate_classes,
     )
-} | derived.QUERIES
+} | derived.QUERIES | sites.QUERIES
 
 
 def _q(text: str) -> str:
@@ -339,4 +339,4 @@ SELECT w.page_id, t.text_id, class_id, coalesce(n_links, 0)::BIGINT AS n_links F
 t AS (SELECT min(page_id) AS page_id, w FROM w WHERE len(w) >= 5 GROUP BY w), g AS (SELECT DISTINCT page_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM t),
 n AS (SELECT page_id, count(*) AS n FROM g GROUP BY 1), p AS (SELECT a.page_id AS page_a, b.page_id AS page_b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.page_id < b.page_id GROUP BY 1, 2)
 SELECT page_a, page_b, round(c / (x.n + y.n - c), 6) AS similarity FROM p JOIN n x ON x.page_id = page_a JOIN n y ON y.page_id = page_b WHERE c / (x.n + y.n - c) >= 0.8""",
-} | derived.ORACLES
+} | derived.ORACLES | sites.oracles(_LINKS, _candidates, _collapse, _q(urls.EXTERNAL))

@@ -1,10 +1,12 @@
-"""The folder that all executors share, and cutting the lineage of iterative jobs there."""
+"""The folder that all executors share, tables written there, and joins in which no key's rows lie in one task."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,3 +27,39 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as a table in the shared folder and read it again; also the table's path, for remove_table()."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a table of write_table() that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Rows of one key that may lie in one task, and keys with more rows than their share that are looked at.
+KEY_ROWS, HOT_KEYS = 4096, 100_000
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row at most for each ``on``; how: inner, left or left_semi. ``rows`` is read two or three times, so it should be written already.
+
+    A key with many rows is dealt to as many parts as it takes for KEY_ROWS in each (more, where the table is so large that over HOT_KEYS keys could have as many), by a hash of ``by``; its row of ``table`` is there once for each
+    part. The rows of other keys stay as they are, so nothing else is copied. The keys that are dealt are HOT_KEYS at most, which is the bound of what is broadcast.
+    """
+    total = rows.count()
+    most = max(KEY_ROWS, -(-total // HOT_KEYS))
+    hot = rows.groupBy(on).agg(F.count("*").alias("n")).filter((F.col("n") > most) & F.col(on).isNotNull()).collect() if total > most else []
+    if not hot:
+        return rows.join(table, on, how)
+    kind = rows.schema[on].dataType.simpleString()
+    parts = F.broadcast(rows.sparkSession.createDataFrame([(r[0], -(-r.n // most)) for r in hot], f"`{on}` {kind}, dealt_parts int"))
+    many = F.coalesce("dealt_parts", F.lit(1))
+    left = rows.join(parts, on, "left").withColumn("dealt", F.pmod(F.xxhash64(by), many).cast("int")).drop("dealt_parts")
+    right = table.join(parts, on, "left").withColumn("dealt", F.explode(F.sequence(F.lit(0), many - 1))).drop("dealt_parts")
+    return left.join(right, [on, "dealt"], how).drop("dealt")
