@@ -6,8 +6,6 @@ import contextlib
 import ctypes
 import io
 import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -17,20 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-#: ASCII white space: the bytes that part words.
-BLANKS = b" \t\n\x0b\x0c\r"
+from pagewarden.sources.tables import dealt_join, remove_table, shared_folder, write_table
 
+__all__ = ["dealt_join", "remove_table", "shared_folder", "write_table"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode alone (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+#: ASCII white space: the bytes that part words.
+BLANKS = b" \t\n\x0b\x0c\r"
 
 
 #: Bytes of texts that a Python worker gets at once, where the session doesn't say. Spark's own bound is 64 MB, which a worker and the JVM hold several times over.
@@ -58,19 +48,6 @@ def bounded_batches(spark: SparkSession, size: str = BATCH_BYTES) -> Iterator[No
             spark.conf.unset(name)
 
 
-def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it again; also the table's path, for remove_table()."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def remove_table(spark: SparkSession, path: str) -> None:
-    """Delete a table of write_table() that nothing reads any more."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """write_table() for a table that the result still reads: the lineage ends there, and it survives lost executors."""
     return write_table(df, label)[0]

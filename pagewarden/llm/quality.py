@@ -49,7 +49,7 @@ class Rules:
 
     min_words: int = 50
     max_repeat_percent: int = 50
-    guard_words: int = 50
+    guard_words: int = 80
     class_base: float = 0.12
     class_slack: float = 1.6
     common_base: float = 0.12

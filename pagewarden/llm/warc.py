@@ -6,7 +6,7 @@ text). Both carry WARC-Refers-To with the response's id, WARC-Refers-To-Target-U
 and of the source's payload. ``serialise`` adds each record's bytes in WARC 1.1 form, and ``parse`` reads them back.
 
 A null payload is an empty page, and null headers are none. A null URI, date or header value is left out. Line ends in a URI, a header or a title become
-blanks, so that none of them adds a line. Ids follow from content, so repeated rows give equal records; an empty table gives none. Very long pages
+blanks, so that none of them adds a line. Elements, comments and tags that aren't closed stay tags or text, in linear time. Ids follow from content, so repeated rows give equal records; an empty table gives none. Very long pages
 are converted whole. Extra columns, of any name, are left out. All of it is expressions on columns; nothing is shuffled.
 """
 
@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewarden.functions import markup
+
 # What a plain-text view leaves out, what ends a line, and the entities that are written out.
 HIDDEN = r"(?is)<(?:script[^>]*>.*?</script>|style[^>]*>.*?</style>|!--.*?-->|head[^>]*>.*?</head>)"
 BREAKS = r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6]|/title|/nav|/header|/footer)[^>]*>"
@@ -52,8 +54,11 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
 
 def plain_text(html: Column) -> Column:
     """Visible text: hidden parts and tags go, block ends become line ends, blanks shrink, entities are written out."""
-    text = F.regexp_replace(F.regexp_replace(html, HIDDEN, " "), BREAKS, "\n")
-    text = F.regexp_replace(text, r"<[^>]*>", " ")
+    whole = html
+    for name, end, tag_first in (("script", "</script>", True), ("style", "</style>", True), ("head", "</head>", True), ("!--", "-->", False)):
+        html = markup.mark_unclosed(html, name, end, tag_first)
+    text = F.regexp_replace(F.regexp_replace(markup.split_at_last(html)["head"], HIDDEN, " "), BREAKS, "\n")
+    text = F.concat(F.regexp_replace(text, r"<[^>]*>", " "), markup.split_at_last(whole)["tail"])
     for name, value in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(value))
     # A single blank stays as it is, so most words need no replacement.
@@ -65,10 +70,10 @@ def derive(rows: DataFrame) -> DataFrame:
     """Two rows for each response: record_type, record_id, refers_to, target_uri, date, content_type, block, block_digest, payload_digest, source_headers."""
     page = [c for c in ("page_id",) if c in rows.columns]
     rows = rows.select(*page, "record_id", "target_uri", "date", "headers", F.coalesce("payload", F.lit("")).alias("payload"))
-    title = F.trim(_one_line(F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title>", 1)))
+    title = F.trim(_one_line(F.regexp_extract(markup.mark_unclosed(F.col("payload"), "title", "</title>", True), r"(?is)<title[^>]*>(.*?)</title>", 1)))
     entries = F.filter(F.map_entries("headers"), lambda e: e["value"].isNotNull())
     headers = F.coalesce(F.array_sort(F.transform(entries, lambda e: _one_line(F.concat(F.lit("source-"), F.lower(e["key"]), F.lit(": "), e["value"])))), F.array().cast("array<string>"))
-    fields = F.concat(F.array(F.concat(F.lit("title: "), title), F.concat(F.lit("outlinks: "), F.regexp_count("payload", F.lit(r"(?i)<a\s[^>]*href=")).cast("string"))), headers)
+    fields = F.concat(F.array(F.concat(F.lit("title: "), title), F.concat(F.lit("outlinks: "), markup.count_links(F.col("payload")).cast("string"))), headers)
     base = rows.withColumns({"fields": F.concat(F.array_join(fields, CRLF), F.lit(CRLF)), "text": plain_text(F.col("payload")), "payload_digest": _digest(F.col("payload"))})
     kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("record_type"), F.lit(c).alias("content_type"), F.col(b).alias("block")) for t, c, b in (("metadata", "application/warc-fields", "fields"), ("conversion", "text/plain; charset=utf-8", "text"))]))
     out = base.select(*page, "record_id", "target_uri", "date", "headers", "payload_digest", kinds.alias("d"))
