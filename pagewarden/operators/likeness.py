@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.sources.tables import cut
+from pagewarden.sources.tables import dealt_join, hot_keys, remove_table, write_table
 
 #: Word runs that are met at once, as columns of two small matrices.
 AT_ONCE = 2048
@@ -67,14 +67,20 @@ def block_links(table: pa.Table, threshold: float) -> pa.Table:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each component of links (a, b); least labels spread along links and by jumps to a label's own label."""
-    both = cut(links.union(links.select("b", "a")).toDF("node", "other").distinct())
-    labels = cut(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")))
+    """node, label: the smallest node of each component of links (a, b). Least labels spread along links and by jumps to a label's own label, with a written table each round; the rows of a node with very many links, and of a
+    label with very many nodes, are dealt."""
+    spark = links.sparkSession
+    both, links_path = write_table(links.select("a", "b").union(links.select("b", "a")).toDF("node", "other").distinct(), "links")
+    hot = hot_keys(both, "other")
+    labels, path = write_table(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
+        near = dealt_join(both, labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other", "node", hot=hot).groupBy("node").agg(F.min("theirs").alias("theirs"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         least = F.least("label", "theirs", "next")
-        new = cut(labels.join(near, "node").join(jump, "label", "left").select("node", least.alias("label"), (least < F.col("label")).alias("moved")))
-        labels = new.select("node", "label")
+        spread = dealt_join(labels, jump, "label", "node", "left").join(near, "node", "left")
+        new, new_path = write_table(spread.select("node", least.alias("label"), (least < F.col("label")).alias("moved")), "labels")
+        remove_table(spark, path)
+        labels, path = new.select("node", "label"), new_path
         if not new.filter("moved").limit(1).count():
+            remove_table(spark, links_path)
             return labels

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.functions import markup, urls
 from pagewarden.operators import likeness
-from pagewarden.sources.tables import cut
+from pagewarden.sources.tables import cut, dealt_join
 
 
 def _attr(tag: str, attr: str) -> Column:
@@ -163,7 +163,7 @@ def page_words(html: Column) -> Column:
     """Words of the visible text in lower case, without navigation."""
     for name in ("nav", "script", "style"):
         html = markup.mark_unclosed(html, rf"{name}\b", f"</{name}>")
-    text = markup.let(markup.split_at_last(html), lambda x: F.concat(F.regexp_replace(x["head"], r"(?is)<nav\b.*?</nav>|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " "), x["tail"]))
+    text = markup.strip(html, [(r"(?is)<nav\b.*?</nav>|<script\b.*?</script>|<style\b.*?</style>|<[^>]*>", " ")])
     return F.regexp_extract_all(F.lower(text), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
 
 
@@ -173,14 +173,10 @@ def _page_grams(pages: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(F.slice("w", i + 1, words))))
     each = cut(found.select("page_id", F.md5(F.array_join("w", " ")).alias("digest"), runs.alias("grams")))
     texts = each.groupBy("digest").agg(F.min("page_id").alias("text_id"))
-    texts = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # a text may have very many copies
-    placed = cut(each.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")).join(texts, ["digest", "salt"]).select("page_id", "text_id"))
+    placed = cut(dealt_join(each.select("page_id", "digest"), texts, "digest", "page_id").select("page_id", "text_id"))  # a text may have very many copies
     return placed, each.join(placed.filter("page_id = text_id").select("page_id"), "page_id", "left_semi").select("page_id", "grams")
 
 
-SALTS = 16
-
-
 def _page_bands(sets: DataFrame, bands: int, rows: int) -> DataFrame:
     """page_id, keys: a hash for each MinHash band, from the least hashes over a page's runs in one aggregation."""
     least = [F.min(F.xxhash64("gram", F.lit(k))).alias(f"m{k}") for k in range(bands * rows)]
@@ -196,13 +192,14 @@ def near_duplicates(pages: DataFrame, threshold: float = 0.8, words: int = 5, ba
     The result has every pair, so it grows with the square of a group of variants; near_duplicate_classes() doesn't.
     """
     _, sets = _page_grams(pages, words)
-    keyed = _page_bands(sets, bands, rows).select("page_id", F.explode("keys").alias("bucket"))
+    keyed = cut(_page_bands(sets, bands, rows).select("page_id", F.explode("keys").alias("bucket")))
     groups = keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = keyed.join(groups.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket")
+    shared = dealt_join(keyed, groups.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "bucket", "page_id")
     dealt = shared.select("bucket", F.pmod(F.xxhash64("page_id"), "blocks").cast("int").alias("block"), F.col("page_id").alias("page_a"))
     whole = shared.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("page_id").alias("page_b"))
-    pairs = dealt.join(whole, ["bucket", "block"]).filter("page_a < page_b").select("page_a", "page_b").distinct()
-    met = pairs.join(sets.select(F.col("page_id").alias("page_a"), F.col("grams").alias("x")), "page_a").join(sets.select(F.col("page_id").alias("page_b"), F.col("grams").alias("y")), "page_b")
+    pairs = cut(dealt.join(whole, ["bucket", "block"]).filter("page_a < page_b").select("page_a", "page_b").distinct())
+    half = dealt_join(pairs, sets.select(F.col("page_id").alias("page_a"), F.col("grams").alias("x")), "page_a", "page_b")
+    met = dealt_join(half, sets.select(F.col("page_id").alias("page_b"), F.col("grams").alias("y")), "page_b", "page_a", counted=pairs)
     both = F.size(F.array_intersect("x", "y"))
     return met.select("page_a", "page_b", (both / (F.size("x") + F.size("y") - both)).alias("similarity")).filter(F.col("similarity") >= threshold)
 
@@ -216,10 +213,9 @@ def near_duplicate_classes(pages: DataFrame, threshold: float = 0.8, words: int
     """
     placed, sets = _page_grams(pages, words)
     keyed = cut(sets.join(_page_bands(sets, bands, rows), "page_id"))
-    each = keyed.select("page_id", F.posexplode("keys").alias("band", "bucket"))
-    groups = each.groupBy("band", "bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = each.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(groups, ["band", "bucket", "salt"])
+    each = keyed.select("page_id", F.posexplode("keys").alias("band", "bucket"))  # the band is part of a bucket's hash
+    groups = each.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    dealt = dealt_join(each, groups, "bucket", "page_id")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("page_id", F.lit(1)), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "page_id")
@@ -233,5 +229,4 @@ def near_duplicate_classes(pages: DataFrame, threshold: float = 0.8, words: int
     labels = likeness.components(found.filter("other IS NOT NULL").select(F.col("page_id").alias("a"), F.col("other").alias("b")))
     texts = sets.select(F.col("page_id").alias("text_id")).join(counts, "text_id", "left").join(labels.withColumnRenamed("node", "text_id"), "text_id", "left")
     texts = cut(texts.select("text_id", F.coalesce("label", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
-    salted = texts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return placed.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["text_id", "salt"]).select("page_id", "text_id", "class_id", "n_links")
+    return dealt_join(placed, texts, "text_id", "page_id").select("page_id", "text_id", "class_id", "n_links")

@@ -46,19 +46,27 @@ def remove_table(spark: SparkSession, path: str) -> None:
 KEY_ROWS, HOT_KEYS = 4096, 100_000
 
 
-def dealt_join(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table``, which has one row at most for each ``on``; how: inner, left or left_semi. ``rows`` is read two or three times, so it should be written already.
-
-    A key with many rows is dealt to as many parts as it takes for KEY_ROWS in each (more, where the table is so large that over HOT_KEYS keys could have as many), by a hash of ``by``; its row of ``table`` is there once for each
-    part. The rows of other keys stay as they are, so nothing else is copied. The keys that are dealt are HOT_KEYS at most, which is the bound of what is broadcast.
-    """
+def hot_keys(rows: DataFrame, on: str) -> list[tuple[object, int]]:
+    """The keys with more than KEY_ROWS of ``rows``, and in how many parts each is dealt; with very many rows only those with over a HOT_KEYS-th of all, so there are HOT_KEYS at most. ``rows`` is read twice."""
     total = rows.count()
     most = max(KEY_ROWS, -(-total // HOT_KEYS))
-    hot = rows.groupBy(on).agg(F.count("*").alias("n")).filter((F.col("n") > most) & F.col(on).isNotNull()).collect() if total > most else []
+    if total <= most:
+        return []
+    found = rows.groupBy(on).agg(F.count("*").alias("n")).filter((F.col("n") > most) & F.col(on).isNotNull()).collect()
+    return [(r[0], -(-r.n // most)) for r in found]
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, on: str, by: str, how: str = "inner", counted: DataFrame | None = None, hot: list[tuple[object, int]] | None = None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row at most for each ``on``; how: inner, left or left_semi.
+
+    A key with many rows is dealt to as many parts as it takes (see hot_keys()), by a hash of ``by``; its row of ``table`` is there once for each part. The rows of other keys stay as they are, so nothing else is copied. What is
+    broadcast are the keys that are dealt, HOT_KEYS at most. Keys are counted in ``counted``, a written table with the keys of ``rows`` (which then may be computed), or given as ``hot``.
+    """
+    hot = hot_keys(rows if counted is None else counted, on) if hot is None else hot
     if not hot:
         return rows.join(table, on, how)
     kind = rows.schema[on].dataType.simpleString()
-    parts = F.broadcast(rows.sparkSession.createDataFrame([(r[0], -(-r.n // most)) for r in hot], f"`{on}` {kind}, dealt_parts int"))
+    parts = F.broadcast(rows.sparkSession.createDataFrame(hot, f"`{on}` {kind}, dealt_parts int"))
     many = F.coalesce("dealt_parts", F.lit(1))
     left = rows.join(parts, on, "left").withColumn("dealt", F.pmod(F.xxhash64(by), many).cast("int")).drop("dealt_parts")
     right = table.join(parts, on, "left").withColumn("dealt", F.explode(F.sequence(F.lit(0), many - 1))).drop("dealt_parts")
