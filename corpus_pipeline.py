@@ -2,6 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. The first four return the columns of ``documents``: rejected,
 repeated and contaminated documents go, secrets are masked. The last adds the ids of each text.
+
+Every stage takes texts whole, however long. An empty table stays one. Columns beside doc_id and text pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,22 +17,22 @@ from pagewarden.llm.queries import tokenizer_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep. A null or empty text has too few words and goes; an unknown or null language is judged by the base rules alone; repeated rows are judged alike."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate class."""
+    """The document with the smallest doc_id of each near-duplicate class (a null one only where no other is there; of rows with one doc_id the one with the least hash). Null and empty texts are one class, and of repeated rows one stays."""
     return jaccard.dedup(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage. A null or empty text has none and stays; repeated rows are treated alike, and without benchmark items all stay."""
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret masked and ``n_chars`` set anew where the text changed."""
+    """All documents, with every secret masked and ``n_chars`` set anew where there is a text. A null text stays null, an empty one empty; of overlapping secrets the whole stretch is masked, in repeated rows alike."""
     masked = secrets.redact(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -38,7 +40,7 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the ids of their texts."""
+    """All documents with the ids of their texts. A null or empty text has no ids; of equally good segmentations the one whose last piece is shortest is taken; repeated rows are encoded alike."""
     return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
