@@ -58,6 +58,11 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def row_key(doc_id: Column, text: Column, size: int = 16) -> Column:
+    """So many bytes of SHA-256 of a row's id and text."""
+    return F.substring(F.unhex(F.sha2(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("null")), text), 256)), 1, size)
+
+
 def plain(docs: DataFrame) -> DataFrame:
     """``docs`` with its columns named d0, d1 ..., so that no name of an operator's own can clash with them."""
     return docs.toDF(*[f"d{k}" for k in range(len(docs.columns))])

@@ -8,13 +8,15 @@ threshold falls below ``tolerance``. The rest are verified exactly on their n-gr
 A small bucket gives all its pairs. A large one first links its members to one lead, the member whose buckets are the largest (the text
 that most resemble, as the base of a group of variants is). Members of large buckets that lie in several components after that
 meet once more, all of those with one lead, in pairs of blocks: a block pair is one group, and one matrix product over the
-n-grams that both blocks have gives the size of every intersection. No bucket is cut, no group is held whole in a task, and copies are
+n-grams that both blocks have gives the size of every intersection, for the rows and columns whose MinHash values leave a chance. No bucket is cut, no group is held whole in a task, and copies are
 never expanded into pairs.
 
 Result: one row per document with its class (the smallest doc_id of its component) and its text's number of links: the other texts
 at the threshold or above. Two such texts are always in one class, so the links of a class whose pairs weren't all verified yet are
 counted over all its pairs, in block pairs too. That work grows with the square of a class; only counts leave a task.
 
+Texts are told apart by 128 bits of a cryptographic hash of their words, and get numbers; rows by as many of their id and text. Rows that meet one row of another table (a lead, a label, a bucket) are dealt where they are many.
+
 Null texts are empty; texts without words are equal. Repeated rows are copies. A null doc_id never names a class that has
 another id. Very long texts are taken whole. Empty tables give empty results; extra columns are left out of classes() and kept by
 dedup(), whatever their names.
@@ -22,16 +24,18 @@ dedup(), whatever their names.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_bytes, bound_batches, gram_hashes, materialize, mix64, one_thread, place, plain, powers, remove_table, restored, runs, word_hashes, write_table
+from pagewarden.llm.common import as_bytes, bound_batches, dealt_join, gram_hashes, materialize, mix64, one_thread, place, plain, powers, restored, row_key, runs, word_hashes
+from pagewarden.operators.likeness import components
 
 
 @dataclass(frozen=True)
@@ -107,23 +111,29 @@ def band_hashes(values: np.ndarray, search: Search) -> np.ndarray:
 
 
 def _sign(docs: DataFrame, search: Search) -> DataFrame:
-    """doc_id, key (the row's own), node (its words'), n_words, values."""
+    """doc_id, key (the row's own), digest (its words'), n_words, values."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             texts = as_bytes(batch.column("text"))
             for first, end in runs(texts):
                 values, counts = signatures(texts[first:end], search)
-                nodes = [xxhash.xxh64_intdigest(b" ".join(x.lower().split())) for x in texts[first:end]]
+                digests = [hashlib.blake2b(b" ".join(x.lower().split()), digest_size=16).digest() for x in texts[first:end]]
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(counts.astype(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())],
-                    names=["doc_id", "key", "node", "n_words", "values"],
+                    [part.column("doc_id"), part.column("key"), pa.array(digests, pa.binary()), pa.array(counts.astype(np.int64)), pa.array([v.tobytes() for v in values], pa.binary())],
+                    names=["doc_id", "key", "digest", "n_words", "values"],
                 )
 
-    return docs.select("doc_id", "key", "text").mapInArrow(work, "doc_id bigint, key bigint, node bigint, n_words bigint, values binary")
+    return docs.select("doc_id", "key", "text").mapInArrow(work, "doc_id bigint, key binary, digest binary, n_words bigint, values binary")
+
+
+def text_nodes(keyed: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key, digest of all rows, and node, digest, key (a row that has the text), n_words, values of every text. Nodes are numbers that the written table gives, so different digests never share one."""
+    signed = materialize(_sign(keyed, search), "signed")
+    each = signed.groupBy("digest").agg(F.min(F.struct("key", "n_words", "values")).alias("s"))
+    nodes = materialize(each.select(F.monotonically_increasing_id().alias("node"), "digest", "s.*"), "nodes")
+    return signed.select("doc_id", "key", "digest"), nodes
 
 
 def _deal(nodes: DataFrame, search: Search) -> DataFrame:
@@ -140,19 +150,9 @@ def _deal(nodes: DataFrame, search: Search) -> DataFrame:
     return nodes.filter("n_words > 0").select("node", "values").mapInArrow(work, "bucket bigint, node bigint")
 
 
-#: A bucket's members meet what is known of the bucket in so many groups, so that a hot bucket doesn't lie in one task.
-SALTS = 8
-
-
-def _with_bucket(rows: DataFrame, buckets: DataFrame, on: str = "bucket", by: str = "node", how: str = "inner") -> DataFrame:
-    """``rows`` with the columns of their bucket (or other group ``on``), of which ``buckets`` has one row each; ``by`` deals a hot one's rows."""
-    each = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(each, [on, "salt"], how).drop("salt")
-
-
 def _shared(rows: DataFrame) -> DataFrame:
     """bucket, node, size: rows of the buckets that hold two nodes or more."""
-    return _with_bucket(rows, rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    return dealt_join(rows, rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "bucket", "node")
 
 
 def _pairs(shared: DataFrame, search: Search) -> DataFrame:
@@ -162,7 +162,7 @@ def _pairs(shared: DataFrame, search: Search) -> DataFrame:
     large = shared.filter(F.col("size") > search.small)
     weight = large.groupBy("node").agg(F.sum("size").alias("weight"))
     leads = large.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
-    star = _with_bucket(large, leads).filter("node <> lead")
+    star = dealt_join(large, leads, "bucket", "node").filter("node <> lead")
     return both.unionByName(star.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b"))).distinct()
 
 
@@ -180,7 +180,9 @@ def _prune(pairs: DataFrame, nodes: DataFrame, search: Search) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(alive)), batch.column("b").take(pa.array(alive))], names=["a", "b"])
 
     side = nodes.select("node", "values")
-    joined = pairs.join(side.select(F.col("node").alias("a"), F.col("values").alias("x")), "a").join(side.select(F.col("node").alias("b"), F.col("values").alias("y")), "b")
+    # A lead is in very many pairs: they are dealt, and each part has the lead's values once.
+    first = dealt_join(pairs, side.select(F.col("node").alias("b"), F.col("values").alias("y")), "b", "a")
+    joined = dealt_join(first, side.select(F.col("node").alias("a"), F.col("values").alias("x")), "a", "b", counted=pairs)
     return joined.select("a", "b", "x", "y").mapInArrow(work, "a bigint, b bigint")
 
 
@@ -191,8 +193,9 @@ def _texts(docs: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, x, y: pairs with their texts, by a."""
-    return pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").select("a", "b", "x", "y")
+    """a, b, x, y: pairs with their texts; those of one a lie together, in parts."""
+    met = dealt_join(pairs, texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b", "a")
+    return dealt_join(met, texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a", "b", counted=pairs).select("a", "b", "x", "y")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search) -> DataFrame:
@@ -213,25 +216,25 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search)
 
 
 def _grams(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, search: Search) -> DataFrame:
-    """node, grams: hashes of the wanted nodes' n-grams, as 64-bit integers."""
+    """node, grams, values: hashes of the wanted nodes' n-grams, as 64-bit integers, and their MinHash values."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             sets = [np.array([xxhash.xxh64_intdigest(g) for g in grams(x, search.n)], dtype=np.uint64).tobytes() for x in as_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary())], names=["node", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.binary()), batch.column("values")], names=["node", "grams", "values"])
 
-    keys = wanted.join(nodes.select("node", "key"), "node")
-    texts = docs.select("key", "text").join(keys, "key").select("node", "text").dropDuplicates(["node"])
-    return materialize(texts.mapInArrow(work, "node bigint, grams binary"), "grams")
+    keys = wanted.join(nodes.select("node", "key", "values"), "node")
+    texts = docs.select("key", "text").join(keys, "key").select("node", "text", "values").dropDuplicates(["node"])
+    return materialize(texts.mapInArrow(work, "node bigint, grams binary, values binary"), "grams")
 
 
-def _block_pairs(groups: DataFrame, search: Search) -> DataFrame:
-    """Rows of ``groups`` (group, node, grams) with i, j and block: a group's nodes are dealt to blocks, and each two blocks i <= j meet once."""
+def _block_pairs(groups: DataFrame, counted: DataFrame, search: Search) -> DataFrame:
+    """Rows of ``groups`` (group, node, grams) with i, j and block: a group's nodes are dealt to blocks, and each two blocks i <= j meet once. ``counted`` is a written table with the same groups."""
     n = F.greatest(F.count("*") / search.block, F.sum(F.octet_length("grams")) / (8 * 2_000_000))
-    large = groups.groupBy("group").agg(F.ceil(n).cast("int").alias("blocks")).filter("blocks > 1")  # few: each has a block of texts
-    dealt = groups.join(F.broadcast(large), "group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    large = groups.groupBy("group").agg(F.ceil(n).cast("int").alias("blocks")).filter("blocks > 1")
+    dealt = dealt_join(groups, large, "group", "node", "left", counted=counted).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return each.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
@@ -268,25 +271,56 @@ def similar(x: list[np.ndarray], y: list[np.ndarray], threshold: float, itself:
     return found
 
 
-def _sides(table: pa.Table) -> tuple[bool, list[np.ndarray], list[list[np.ndarray]]]:
-    """Whether a block meets itself, the rows of both blocks in the table, and their sets."""
+def hopeful(x: np.ndarray, y: np.ndarray, limits: list[tuple[int, int]]) -> np.ndarray:
+    """For each two rows of MinHash values, one of ``x`` and one of ``y``, whether they leave a chance of reaching the threshold: compared step by step, and after a step only where pairs are left."""
+    matches = np.zeros((len(x), len(y)), dtype=np.int16)
+    rows, columns, done = np.arange(len(x)), np.arange(len(y)), 0
+    alive = np.ones((len(x), len(y)), dtype=bool)
+    for k, least in limits:
+        part = np.zeros((len(rows), len(columns)), dtype=np.int16)
+        for v in range(done, k):
+            part += x[rows, v][:, None] == y[columns, v][None, :]
+        done, at = k, np.ix_(rows, columns)
+        matches[at] += part
+        alive[at] &= matches[at] >= least
+        rows, columns = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+        if not len(rows):
+            break
+    return alive
+
+
+def close_pairs(x: list[np.ndarray], y: list[np.ndarray], values: list[np.ndarray], search: Search, itself: bool = False) -> np.ndarray:
+    """similar() for the pairs that hopeful() leaves."""
+    alive = hopeful(values[0], values[1], least_matches(search))
+    if itself:
+        np.fill_diagonal(alive, False)
+    rows, columns = np.flatnonzero(alive.any(axis=1)), np.flatnonzero(alive.any(axis=0))
+    found = np.zeros((len(x), len(y)), dtype=bool)
+    if len(rows):
+        found[np.ix_(rows, columns)] = similar([x[k] for k in rows], [y[k] for k in columns], search.threshold)
+    return found & alive
+
+
+def _sides(table: pa.Table) -> tuple[bool, list[np.ndarray], list[list[np.ndarray]], list[np.ndarray]]:
+    """Whether a block meets itself, the rows of both blocks in the table, their sets and their MinHash values."""
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     block = table.column("block").to_numpy()
     sets = [np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()]
     rows = [np.flatnonzero(block == b) for b in (i, j)]
-    return i == j, rows, [[sets[k] for k in r] for r in rows]
+    values = np.frombuffer(b"".join(table.column("values").to_pylist()), dtype=np.uint32).reshape(len(sets), -1)
+    return i == j, rows, [[sets[k] for k in r] for r in rows], [values[r] for r in rows]
 
 
 def _bridges(left: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search) -> DataFrame:
     """Links (a, b) that join the components of large buckets' members: in each block pair as many as it takes."""
     weight = left.groupBy("node").agg(F.count("*").alias("weight"))
     leads = left.join(weight, "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("group"))
-    placed = materialize(_with_bucket(left, leads).select("group", "node", "label").distinct(), "placed")
+    placed = materialize(dealt_join(left, leads, "bucket", "node").select("group", "node", "label").distinct(), "placed")
     groups = placed.join(_grams(docs, nodes, placed.select("node").distinct(), search), "node")
 
     def work(table: pa.Table) -> pa.Table:
         one_thread()
-        itself, rows, (x, y) = _sides(table)
+        itself, rows, (x, y), values = _sides(table)
         node, label = table.column("node").to_numpy(), table.column("label").to_numpy()
         found: list[tuple[int, int]] = []
         if len(np.unique(label)) > 1:
@@ -297,65 +331,47 @@ def _bridges(left: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search)
                     lead[v] = v = lead[lead[v]]
                 return v
 
-            close = similar(x, y, search.threshold, itself) & (label[rows[0]][:, None] != label[rows[1]][None, :])
+            close = close_pairs(x, y, values, search, itself) & (label[rows[0]][:, None] != label[rows[1]][None, :])
             for a, b in zip(*(r[k].tolist() for r, k in zip(rows, np.nonzero(close), strict=True)), strict=True):
                 if (p := top(int(label[a]))) != (q := top(int(label[b]))):
                     lead[p] = q
                     found.append((min(node[a], node[b]), max(node[a], node[b])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return _block_pairs(groups, search).groupBy("group", "i", "j").applyInArrow(work, "a bigint, b bigint").distinct()
+    return _block_pairs(groups, placed, search).groupBy("group", "i", "j").applyInArrow(work, "a bigint, b bigint").distinct()
 
 
 def degrees(edges: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, search: Search) -> DataFrame:
     """node, n_links: how many other nodes are at the threshold or above. All of them are in the node's class."""
-    met = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy("label").agg(F.count("*").alias("met"))
+    met = dealt_join(edges, labels.withColumnRenamed("node", "a"), "a", "b").groupBy("label").agg(F.count("*").alias("met"))
     sizes = labels.groupBy("label").agg(F.count("*").alias("n")).join(met, "label")
-    placed = materialize(labels.join(sizes, "label").select("label", "node", "n", (F.col("met") * 2 == F.col("n") * (F.col("n") - 1)).alias("whole")), "members")
+    placed = materialize(dealt_join(labels, sizes, "label", "node").select("label", "node", "n", (F.col("met") * 2 == F.col("n") * (F.col("n") - 1)).alias("whole")), "members")
     some = placed.filter("NOT whole").select(F.col("label").alias("group"), "node")
     groups = some.join(_grams(docs, nodes, some.select("node"), search), "node")
 
     def work(table: pa.Table) -> pa.Table:
         one_thread()
-        itself, rows, (x, y) = _sides(table)
-        close, node = similar(x, y, search.threshold, itself), table.column("node").to_numpy()
+        itself, rows, (x, y), values = _sides(table)
+        close, node = close_pairs(x, y, values, search, itself), table.column("node").to_numpy()
         n = [close.sum(axis=1)] if itself else [close.sum(axis=1), close.sum(axis=0)]
         return pa.table({"node": pa.array(np.concatenate([node[r] for r, _ in zip(rows, n)])), "n": pa.array(np.concatenate(n).astype(np.int64))})
 
-    counted = _block_pairs(groups, search).groupBy("group", "i", "j").applyInArrow(work, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n_links"))
+    counted = _block_pairs(groups, some, search).groupBy("group", "i", "j").applyInArrow(work, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n_links"))
     return materialize(placed.filter("whole").select("node", (F.col("n") - 1).alias("n_links")).unionByName(counted), "degrees")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each component; least labels spread along links and by pointer jumps, with a written table each round."""
-    spark = edges.sparkSession
-    both, links_path = write_table(edges.union(edges.select("b", "a")).toDF("node", "other"), "links")
-    labels, path = write_table(both.groupBy("node").agg(F.least("node", F.min("other")).alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("other"), F.col("label").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        spread = labels.join(near, "node", "left").join(jump, "label", "left")
-        least = F.least("label", "theirs", "next")
-        new, new_path = write_table(spread.select("node", least.alias("label"), (least < F.col("label")).alias("moved")), "labels")
-        remove_table(spark, path)
-        labels, path = new.select("node", "label"), new_path
-        if not new.filter("moved").limit(1).count():
-            remove_table(spark, links_path)
-            return labels
-
-
 def _apart(shared: DataFrame, labels: DataFrame, search: Search) -> DataFrame:
     """bucket, node, label of the large buckets whose members lie in several components."""
     large = shared.filter(F.col("size") > search.small).select("bucket", "node")
     placed = large.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
     mixed = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    return _with_bucket(placed, mixed.select("bucket"))
+    return dealt_join(placed, mixed.select("bucket"), "bucket", "node", counted=large)
 
 
 def links(docs: DataFrame, nodes: DataFrame, search: Search = Search()) -> tuple[DataFrame, DataFrame]:
     """Verified links (a, b) between nodes that connect each class, and the components (node, label) of the linked ones."""
-    shared = materialize(_shared(_deal(nodes, search)), "buckets")
-    pairs = materialize(_prune(_pairs(shared, search), nodes, search), "pairs")
+    shared = materialize(_shared(materialize(_deal(nodes, search), "dealt")), "buckets")
+    pairs = materialize(_prune(materialize(_pairs(shared, search), "candidates"), nodes, search), "pairs")
     edges = materialize(_verify(pairs, docs, nodes, search), "edges")
     labels = components(edges)
     left = materialize(_apart(shared, labels, search), "apart")
@@ -368,21 +384,20 @@ def links(docs: DataFrame, nodes: DataFrame, search: Search = Search()) -> tuple
 def classes(docs: DataFrame, search: Search = Search()) -> DataFrame:
     """doc_id, key, class_id, n_links, keeper: the class of each row; ``keeper`` marks the rows equal to the class's first."""
     bound_batches(docs.sparkSession)
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    signed = materialize(_sign(keyed, search), "signed")
-    nodes = materialize(signed.groupBy("node").agg(F.min(F.struct("key", "n_words", "values")).alias("s")).select("node", "s.*"), "nodes")
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    signed, nodes = text_nodes(keyed, search)
     edges, labels = links(keyed, nodes, search)
     placed = labels.join(degrees(edges, labels, keyed, nodes, search), "node", "left")
-    rows = _with_bucket(signed.select("doc_id", "key", "node"), placed, "node", "key", "left").select("doc_id", "key", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
-    rows = materialize(rows, "placed")
+    known = nodes.select("node", "digest").join(placed, "node", "left").select("digest", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    rows = materialize(dealt_join(signed, known, "digest", "key").drop("digest"), "placed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
     leads = rows.groupBy("label").agg(first.alias("first")).select("label", F.col("first.doc_id").alias("class_id"), F.col("first.key").alias("first_key"))
-    return _with_bucket(rows, leads, "label", "key").select("doc_id", "key", "class_id", "n_links", (F.col("key") == F.col("first_key")).alias("keeper"))
+    return dealt_join(rows, leads, "label", "key").select("doc_id", "key", "class_id", "n_links", (F.col("key") == F.col("first_key")).alias("keeper"))
 
 
 def dedup(docs: DataFrame, search: Search = Search()) -> DataFrame:
     """One document of each class: the one with the smallest doc_id. Columns as in ``docs``, whatever their names."""
     keepers = classes(docs, search).filter("keeper").select("key").distinct()
     own = [F.col(f"d{place(docs, x)}") for x in ("doc_id", "text")]
-    keyed = plain(docs).withColumn("key", F.xxhash64(own[0], F.coalesce(own[1], F.lit(""))))
+    keyed = plain(docs).withColumn("key", row_key(own[0], F.coalesce(own[1], F.lit(""))))
     return restored(keyed.join(keepers, "key").dropDuplicates(["key"]), docs)

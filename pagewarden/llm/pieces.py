@@ -13,6 +13,8 @@ largest sum would split words into their earliest merges; they become log chance
 No such score gives BPE's merges in every word: on the documents of the 0.01 tables 84.1 % of the words as they occur get the ids
 that the library gives (54.5 % with the ranks themselves), in 1.5 % fewer ids.
 
+Of segmentations with equal sums the one whose last piece is shortest is taken, and so on backwards.
+
 Null text is empty and has no ids. Very long parts without spaces are searched one by one, over the pieces found
 alone, in time that grows with their length. Lone surrogates cannot occur in Spark strings. Repeated rows are encoded alike, and an empty
 table gives an empty result. Extra columns pass through; one that is named like a result gives way to it.

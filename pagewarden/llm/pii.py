@@ -12,10 +12,11 @@ candidate crosses; the bound on a part's entities is the number of candidates th
 (a part with many is searched without that number, for the same maximum in time that grows with its length).
 
 Examples are labelled in the tasks, from whole texts: base matches, respelled, with surroundings; stretches as they are; numbers that are no
-match. At most ``max_examples`` of them, the first by a hash, are learned from.
+match. At most ``max_examples`` of them, the first by a hash, of at most ``example_chars`` characters, are learned from; what is searched has no such bound.
 
 Offsets are code points, ends exclusive. Null text is empty. Repeated rows are reported alike, and an empty table gives
 an empty result (with nothing to learn from, the field adds nothing). Very long texts are searched whole, in time that grows with their length.
+Of segmentations with equal scores one is taken by the order in which the programme tries them, the same in every run.
 Extra columns of ``docs`` pass through; one that is named like a result gives way to it.
 """
 
@@ -289,13 +290,11 @@ def _respell(value: str, kind: str, rng: random.Random) -> str | None:
     return None
 
 
-#: Longer examples are not learned from.
-EXAMPLE_CHARS = 1000
 Example = tuple[str, list[tuple[int, int]], list[Span]]
 
 
-def examples(text: str, seed: int = 7) -> Iterator[Example]:
-    """(stretch, places taken, spans to find) of a whole text: respelled matches, matches as they are, and numbers that are no match."""
+def examples(text: str, seed: int = 7, longest: int = 1000) -> Iterator[Example]:
+    """(stretch, places taken, spans to find) of a whole text: respelled matches, matches as they are, and numbers that are no match. Stretches of over ``longest`` characters are no examples."""
     base = base_spans(text)
     for a, b, kind in base:
         rng = random.Random(zlib.crc32(text[max(0, a - AROUND) : b].encode(), seed))
@@ -311,7 +310,7 @@ def examples(text: str, seed: int = 7) -> Iterator[Example]:
                     if not base_spans(other):
                         yield before + other + after, [], []
     for first, end in stretches(text):
-        if end - first <= EXAMPLE_CHARS:
+        if end - first <= longest:
             yield text[first:end], [(max(a, first) - first, min(b, end) - first) for a, b, _ in base if a < end and first < b], []
 
 
@@ -396,14 +395,14 @@ def train(labelled: list[Example], passes: int = 3, rate: float = 0.3, penalty:
     return model
 
 
-def label(docs: DataFrame) -> DataFrame:
+def label(docs: DataFrame, example_chars: int = 1000) -> DataFrame:
     """h, text, taken, wanted: the examples of all documents that may hold personal data, with a hash of each."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            rows = [x for text in as_text(batch.column("text")) for x in examples(text)]
+            rows = [x for text in as_text(batch.column("text")) for x in examples(text, longest=example_chars)]
             spans = [[{"start": a, "stop": b, "kind": k} for a, b, k in x[2]] for x in rows]
             taken = [[{"start": a, "stop": b, "kind": ""} for a, b in x[1]] for x in rows]
             hashes = np.array([xxhash.xxh64_intdigest(x[0]) for x in rows], dtype=np.uint64).view(np.int64)
@@ -413,9 +412,9 @@ def label(docs: DataFrame) -> DataFrame:
     return likely.mapInArrow(work, f"h bigint, text string, taken {SPAN_TYPE}, wanted {SPAN_TYPE}")
 
 
-def fit(docs: DataFrame, max_examples: int = 2500) -> Field:
-    """Learn from at most ``max_examples`` labelled examples of the documents, each once, the first by their hash."""
-    labelled = materialize(label(docs), "examples")
+def fit(docs: DataFrame, max_examples: int = 2500, example_chars: int = 1000) -> Field:
+    """Learn from at most ``max_examples`` labelled examples (of at most ``example_chars`` characters) of the documents, each once, the first by their hash."""
+    labelled = materialize(label(docs, example_chars), "examples")
     # Hashes alone are ordered; examples reach the driver only for those that are taken.
     last = labelled.select("h").distinct().orderBy("h").limit(max_examples).agg(F.max("h")).first()[0]
     rows = [] if last is None else labelled.filter(F.col("h") <= last).dropDuplicates(["h"]).limit(max_examples).collect()
@@ -427,9 +426,9 @@ SPAN_TYPE = "array<struct<start:bigint,stop:bigint,kind:string>>"
 RESULTS = ("base", "added")
 
 
-def scan(docs: DataFrame, model: Field | None = None, max_examples: int = 2500) -> DataFrame:
+def scan(docs: DataFrame, model: Field | None = None, max_examples: int = 2500, example_chars: int = 1000) -> DataFrame:
     """Columns of ``docs`` and base, added: arrays of (start, stop, kind). Without a model one is fitted to ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, max_examples) if model is None else model)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, max_examples, example_chars) if model is None else model)
     at = place(docs, "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ then extended to all passages that hold it, and only these are hashed whole; a s
 Hashes travel packed: a task sends, for each hash range, one row of arrays, in which a hash stands once however often the task has
 met it. A hot passage so reaches its range as one entry for each task, and what the task itself knows goes along as a result.
 
-Passages are told apart by 96 bits of hashes that both come from the words' 64-bit hashes, which come from the words' bytes.
+Anchors only find places to look at, by 64-bit hashes; equal words have equal ones. Passages are told apart by 128 bits of a hash of their bytes, documents by 96 bits of SHA-256 of id and text.
 
 Defined cases: null text has no words. Very long texts are taken whole. Rows with the same doc_id and text are one document and get the same result. Documents with the
 same doc_id and other texts are ordered by a hash of the text; a null doc_id is the smallest. Later copies of a whole text lose
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_bytes, gram_hashes, materialize, runs, word_hashes
+from pagewarden.llm.common import as_bytes, dealt_join, gram_hashes, materialize, row_key, runs, word_hashes
 
 SMALLEST = -(1 << 63)
 
@@ -48,17 +48,44 @@ class Cover:
         return self.n - self.period + 1
 
 
-#: Words a hash range stands for: their anchors or passages, at 33 bytes each, are met in one task.
-RANGE_WORDS = 400_000
-#: Copies of one text meet their first one in so many groups.
-SALTS = 16
+#: A document's key: so many bytes of SHA-256 of its id and text.
+KEY = np.dtype("S12")
+#: Words a hash range stands for: their anchors or passages, at 36 bytes each, are met at once. A task meets one range after the other, so there are TASKS tasks at most.
+RANGE_WORDS, TASKS = 400_000, 8192
 #: Bytes of texts that a task packs at once.
 PACKED = 2 << 20
 
 
 def _parts(n_words: int) -> int:
     """How many hash ranges: in proportion to the input, so that a range's size doesn't grow."""
-    return max(128, -(-n_words // RANGE_WORDS))
+    return max(1, -(-n_words // RANGE_WORDS))
+
+
+def _dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows by hash range (``part``), in order within each task."""
+    return rows.repartitionById(min(parts, TASKS), F.pmod("part", F.lit(min(parts, TASKS)))).sortWithinPartitions("part")
+
+
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of one hash range after the other, without its number."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)], strict=True):
+            if row[0] != now and rows:
+                yield rows
+                rows = []
+            now = row[0]
+            rows.append(row[1:])
+    if rows:
+        yield rows
+
+
+def _word_places(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """Texts with single blanks between words, one after the other, and begin and end of each word there."""
+    joined = b"\n".join(b" ".join(x.split()) for x in texts) + b"\n"
+    data = np.frombuffer(joined, dtype=np.uint8)
+    edge = np.flatnonzero(np.diff(((data != 32) & (data != 10)).view(np.int8), prepend=np.int8(0)))
+    return joined, edge[0::2], edge[1::2]
 
 
 def _places(counts: np.ndarray) -> np.ndarray:
@@ -89,13 +116,18 @@ def _by_part(hashes: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]
         yield int(part[order[a]]), order[a:b]
 
 
+def padded(keys: np.ndarray) -> list[bytes]:
+    """Keys in their whole length; numpy drops zeros at the end."""
+    return [x.ljust(KEY.itemsize, b"\0") for x in keys.tolist()]
+
+
 def _by_key(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]:
     if not len(keys):
         return [], []
     order = np.argsort(keys, kind="stable")
     keys, values = keys[order], values[order]
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[cuts].tolist(), [values[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+    return padded(keys[cuts]), [values[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
 
 
 def _repeated_anchors(docs: DataFrame, cover: Cover, parts: int) -> DataFrame:
@@ -103,7 +135,7 @@ def _repeated_anchors(docs: DataFrame, cover: Cover, parts: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = as_bytes(batch.column("text")), np.array(batch.column("key").to_pylist(), dtype=np.int64)
+            texts, keys = as_bytes(batch.column("text")), np.array(batch.column("key").to_pylist(), dtype=KEY)
             for first, end in runs(texts, PACKED):
                 words, counts = word_hashes(texts[first:end])
                 at, hashes = _anchors(words, counts, cover)
@@ -120,23 +152,20 @@ def _repeated_anchors(docs: DataFrame, cover: Cover, parts: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6)], names=["part", "hashes", "owners", "twice", "known", "known_owners"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*[batch.column(k).to_pylist() for k in range(1, 6)], strict=True)]
-        if not rows:
-            return
-        hashes, owners, twice, known, known_owners = (np.frombuffer(b"".join(r[k] for r in rows), dtype=kind) for k, kind in enumerate((np.uint64, np.int64, bool, np.uint64, np.int64)))
-        del rows
-        _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        again = (times[back] > 1) & ~twice  # those met twice in one task are in ``known``
-        keys, values = _by_key(np.concatenate([owners[again], known_owners]), np.concatenate([hashes[again], known]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], names=["key", "anchors"])
+        for rows in _ranges(batches):
+            hashes, owners, twice, known, known_owners = (np.frombuffer(b"".join(r[k] for r in rows), dtype=kind) for k, kind in enumerate((np.uint64, KEY, bool, np.uint64, KEY)))
+            _, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            again = (times[back] > 1) & ~twice  # those met twice in one task are in ``known``
+            keys, values = _by_key(np.concatenate([owners[again], known_owners]), np.concatenate([hashes[again], known]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["key", "anchors"])
 
     sent = docs.select("key", "text").mapInArrow(send, "part int, hashes binary, owners binary, twice binary, known binary, known_owners binary")
-    return sent.repartition(parts, "part").mapInArrow(meet, "key bigint, anchors binary")
+    return _dealt(sent, parts).mapInArrow(meet, "key binary, anchors binary")
 
 
 def _later_passages(flagged: DataFrame, cover: Cover, parts: int) -> DataFrame:
     """key, starts: per document (and hash range) the starts of passages that also start earlier."""
-    entry = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("start", "<u4")])
+    entry = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("key", KEY), ("start", "<u4")])
 
     def firsts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sorted by hash and then by document and start, and which are the first with their hash."""
@@ -152,8 +181,10 @@ def _later_passages(flagged: DataFrame, cover: Cover, parts: int) -> DataFrame:
         return ~new & ((x["key"] != x["key"][lead]) | (x["start"] != x["start"][lead]))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
         for batch in batches:
-            texts, keys = as_bytes(batch.column("text")), np.array(batch.column("key").to_pylist(), dtype=np.int64)
+            texts, keys = as_bytes(batch.column("text")), np.array(batch.column("key").to_pylist(), dtype=KEY)
             ids = np.array([SMALLEST if x is None else x for x in batch.column("doc_id").to_pylist()], dtype=np.int64)
             repeated = batch.column("anchors").to_pylist()
             for first, end in runs(texts, PACKED):
@@ -170,8 +201,10 @@ def _later_passages(flagged: DataFrame, cover: Cover, parts: int) -> DataFrame:
                 np.add.at(change, at + 1, -1)
                 starts = np.flatnonzero((np.cumsum(change)[:-1] > 0) & (place + cover.n <= total))
                 x = np.zeros(len(starts), dtype=entry)
-                x["h1"] = gram_hashes(words, cover.n)[starts]
-                x["h2"] = (gram_hashes(words, cover.n, 0xD6E8FEB86659FD93)[starts] >> np.uint64(32)).astype(np.uint32)
+                joined, begins, ends = _word_places(texts[first:end])
+                whole = memoryview(joined)
+                digests = b"".join([xxh3_128_digest(whole[a:b]) for a, b in zip(begins[starts].tolist(), ends[starts + cover.n - 1].tolist(), strict=True)])
+                x["h1"], x["h2"] = np.frombuffer(digests, dtype="<u8").reshape(-1, 2).T
                 x["doc"], x["key"], x["start"] = np.repeat(ids[first:end], counts)[starts], np.repeat(keys[first:end], counts)[starts], place[starts]
                 x, new = firsts(x)
                 known = later(x, new)
@@ -185,21 +218,18 @@ def _later_passages(flagged: DataFrame, cover: Cover, parts: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())] + [pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 8)], names=["part", *entry.names, "known", "known_starts"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in zip(*[batch.column(k).to_pylist() for k in range(1, 8)], strict=True)]
-        if not rows:
-            return
-        columns = [b"".join(r[k] for r in rows) for k in range(7)]
-        del rows
-        x = np.zeros(len(columns[0]) // 8, dtype=entry)
-        for name, column in zip(entry.names, columns, strict=False):
-            x[name] = np.frombuffer(column, dtype=entry[name])
-        x, new = firsts(x)
-        x = x[later(x, new)]
-        keys, values = _by_key(np.concatenate([x["key"], np.frombuffer(columns[5], "<i8")]), np.concatenate([x["start"], np.frombuffer(columns[6], "<u4")]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary())], names=["key", "starts"])
+        for rows in _ranges(batches):
+            columns = [b"".join(r[k] for r in rows) for k in range(7)]
+            x = np.zeros(len(columns[0]) // 8, dtype=entry)  # eight bytes of h1 each
+            for name, column in zip(entry.names, columns, strict=False):
+                x[name] = np.frombuffer(column, dtype=entry[name])
+            x, new = firsts(x)
+            x = x[later(x, new)]
+            keys, values = _by_key(np.concatenate([x["key"], np.frombuffer(columns[5], KEY)]), np.concatenate([x["start"], np.frombuffer(columns[6], "<u4")]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary())], names=["key", "starts"])
 
     kinds = ", ".join(f"{name} binary" for name in (*entry.names, "known", "known_starts"))
-    return flagged.mapInArrow(send, f"part int, {kinds}").repartition(parts, "part").mapInArrow(meet, "key bigint, starts binary")
+    return _dealt(flagged.mapInArrow(send, f"part int, {kinds}"), parts).mapInArrow(meet, "key binary, starts binary")
 
 
 def _sha(words: list[bytes]) -> str:
@@ -211,7 +241,7 @@ def dedup(docs: DataFrame, cover: Cover = Cover(), with_text: bool = False) -> D
 
     With ``with_text``, ``text`` holds these words. ``docs`` is read three times, so it should be a table or cheap to make.
     """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", row_key(F.col("doc_id"), F.col("text"), KEY.itemsize))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,14 +249,13 @@ def dedup(docs: DataFrame, cover: Cover = Cover(), with_text: bool = False) -> D
             new = [pa.array([len(x) for x in split], pa.int64()), pa.array([_sha(x) for x in split], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), *new], names=["doc_id", "key", "digest", "n_words", "whole_sha"])
 
-    measured = keyed.select("doc_id", "key", "text", F.md5("text").alias("digest")).mapInArrow(measure, "doc_id bigint, key bigint, digest string, n_words bigint, whole_sha string")
+    measured = keyed.select("doc_id", "key", "text", F.sha2("text", 256).alias("digest")).mapInArrow(measure, "doc_id bigint, key binary, digest string, n_words bigint, whole_sha string")
     measured = materialize(measured, "measured")
     lowest = F.coalesce("doc_id", F.lit(SMALLEST))
-    # Texts of several documents alone have a first one; a hot text's copies are dealt to groups.
+    # Texts of several documents alone have a first one; a hot text's copies are dealt.
     lead = measured.groupBy("digest").agg(F.min(lowest).alias("lead"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    lead = lead.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = measured.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(lead, ["digest", "salt"], "left")
-    measured = materialize(salted.select("doc_id", "key", "n_words", "whole_sha", F.coalesce(lowest > F.col("lead"), F.lit(False)).alias("is_copy")), "copies")
+    met = dealt_join(measured, lead, "digest", "key", "left")
+    measured = materialize(met.select("doc_id", "key", "n_words", "whole_sha", F.coalesce(lowest > F.col("lead"), F.lit(False)).alias("is_copy")), "copies")
     parts = _parts(measured.agg(F.sum("n_words")).first()[0] or 0)
 
     anchors = _repeated_anchors(keyed, cover, parts).groupBy("key").agg(F.collect_list("anchors").alias("anchors"))
@@ -250,7 +279,7 @@ def dedup(docs: DataFrame, cover: Cover = Cover(), with_text: bool = False) -> D
                 texts.append(b" ".join(kept).decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(removed, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], names=["key", "cut", "cut_sha", "cut_text"])
 
-    cuts = flagged.select("key", "text").dropDuplicates(["key"]).join(starts, "key").mapInArrow(cut, "key bigint, cut bigint, cut_sha string, cut_text string")
+    cuts = flagged.select("key", "text").dropDuplicates(["key"]).join(starts, "key").mapInArrow(cut, "key binary, cut bigint, cut_sha string, cut_text string")
     whole_copy = F.col("is_copy") & (F.col("n_words") >= cover.n)
     out = measured.join(cuts, "key", "left").select(
         "doc_id",

@@ -1,8 +1,8 @@
 """Token ids in compressed files: adaptive context mixing with a range coder, in independent checksummed blocks.
 
 A file row ("segment") holds whole documents in order: a header, the documents' lengths, a table of the segment's ids with their
-frequencies, and the ids cut into blocks of ``BLOCK`` ids. Every block starts from a reset model and carries a CRC-32 of its ids, so that blocks can
-be decoded alone (with the segment's table) and damage is found. Within a segment all blocks advance together, one id a step, as columns of numpy arrays.
+frequencies, and the ids cut into blocks of ``BLOCK`` ids. Every block starts from a reset model and carries a CRC-32 of its ids and code words, so that blocks can
+be decoded alone (with the segment's table); header, lengths, table and sizes have a CRC-32 together, so any damage is found. Within a segment all blocks advance together, one id a step, as columns of numpy arrays.
 
 Every id is coded in one step, with the chance that a mixture gives it: order 2 (the last id seen after the two previous ids), order 1 (after the
 previous id) and a block's leading id by majority vote each put a weight on the id that they predict, and order 0, the table's frequencies, has the rest and gives
@@ -32,8 +32,8 @@ from pagewarden.llm.common import as_bytes, flat_take, materialize
 BLOCK = 1024
 #: A segment is closed at so many ids; a longer document has one of its own.
 SEGMENT_IDS = 1 << 20
-MAGIC = b"IDS2"
-_HEAD = struct.Struct("<4sBII")
+MAGIC = b"IDS3"
+_HEAD, _CRC = struct.Struct("<4sBIIQ"), struct.Struct("<I")
 TABLE_BITS = 10
 _U = np.uint64
 
@@ -216,11 +216,11 @@ class _Coder:
             lanes = lanes[width < _SETTLED]
 
 
-def encode_ids(ids: np.ndarray) -> bytes:
-    """A segment's blocks: number of ids, the table, per block its CRC-32 and its size, then the code words."""
+def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
+    """A segment's blocks: number of ids, the table, per block its CRC-32 (of ids and code words) and its size; and the code words."""
     n = len(ids)
     if n == 0:
-        return struct.pack("<I", 0)
+        return struct.pack("<I", 0), b""
     table, places = Frequencies.of(ids)
     lanes, short = _lanes(n)
     padded = np.zeros(lanes * BLOCK, dtype=np.int64)
@@ -250,28 +250,30 @@ def encode_ids(ids: np.ndarray) -> bytes:
         moved(every, coder.low >> _48)
         coder.low <<= _16
     raw = ids.astype("<u4")
-    crcs = np.array([zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(lanes)], dtype="<u4")
-    words = b"".join(out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes))
-    return struct.pack("<I", n) + table.pack() + crcs.tobytes() + used.astype("<u4").tobytes() + words
+    words = [out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
+    crcs = np.array([zlib.crc32(w, zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK].tobytes())) for i, w in enumerate(words)], dtype="<u4")
+    return struct.pack("<I", n) + table.pack() + crcs.tobytes() + used.astype("<u4").tobytes(), b"".join(words)
 
 
-def decode_ids(data: bytes) -> np.ndarray:
-    """The ids of encode_ids; raises ValueError where a block's checksum doesn't hold."""
+def decode_ids(data: bytes, code: bytes) -> np.ndarray:
+    """The ids of encode_ids; raises ValueError where a block's checksum doesn't hold. The first part has to be whole (see unpack_segment())."""
     (n,) = struct.unpack_from("<I", data)
     if n == 0:
+        if code:
+            raise ValueError("code words without ids")
         return np.zeros(0, dtype=np.uint32)
-    try:
-        table, at = Frequencies.unpack(data, 4)
-    except zlib.error as e:
-        raise ValueError("the table of ids is damaged") from e
+    table, at = Frequencies.unpack(data, 4)
     lanes, short = _lanes(n)
     crcs = np.frombuffer(data, "<u4", lanes, at)
     sizes = np.frombuffer(data, "<u4", lanes, at + 4 * lanes).astype(np.int64)
-    words = np.frombuffer(data, "<u2", int(sizes.sum()), at + 8 * lanes)
+    if len(code) != 2 * int(sizes.sum()):
+        raise ValueError("the code words aren't as long as their sizes say")
+    words = np.frombuffer(code, "<u2")
+    cuts = 2 * np.concatenate([[0], np.cumsum(sizes)])
     words = np.concatenate([words, np.zeros(8, dtype=words.dtype)]).astype(_U)
     last_word = len(words) - 1
     place = np.cumsum(sizes) - sizes
-    code = np.zeros(lanes, dtype=_U)
+    whole, code = code, np.zeros(lanes, dtype=_U)
     for _ in range(4):
         code = (code << _16) | words[np.minimum(place, last_word)]
         place += 1
@@ -301,23 +303,31 @@ def decode_ids(data: bytes) -> np.ndarray:
         model.update(actual)
     ids = table.ids[out.T.reshape(-1)[:n]].astype("<u4")
     for i in range(lanes):
-        if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) != crcs[i]:
+        if zlib.crc32(memoryview(whole)[cuts[i] : cuts[i + 1]], zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes())) != crcs[i]:
             raise ValueError(f"block {i}: the checksum doesn't hold")
     return ids
 
 
 def pack_segment(documents: list[np.ndarray]) -> bytes:
     lengths = np.array([len(x) for x in documents], dtype="<u8")
-    body = encode_ids(np.concatenate(documents) if documents else np.zeros(0, dtype=np.uint32))
-    return _HEAD.pack(MAGIC, 2, BLOCK, len(documents)) + lengths.tobytes() + body
+    about, code = encode_ids(np.concatenate(documents) if documents else np.zeros(0, dtype=np.uint32))
+    about = lengths.tobytes() + about
+    head = _HEAD.pack(MAGIC, 3, BLOCK, len(documents), len(about))
+    return head + _CRC.pack(zlib.crc32(about, zlib.crc32(head))) + about + code
 
 
 def unpack_segment(data: bytes) -> list[np.ndarray]:
-    magic, version, block, n = _HEAD.unpack_from(data)
-    if (magic, version, block) != (MAGIC, 2, BLOCK):
+    """The documents of a segment. Any damage raises ValueError: the head, the lengths, the table and the blocks' sizes have one checksum, every block has its own."""
+    if len(data) < _HEAD.size + _CRC.size:
         raise ValueError("not a segment of this format")
-    lengths = np.frombuffer(data, "<u8", n, _HEAD.size).astype(np.int64)
-    ids = decode_ids(data[_HEAD.size + 8 * n :])
+    head, (crc,) = data[: _HEAD.size], _CRC.unpack_from(data, _HEAD.size)
+    magic, version, block, n, size = _HEAD.unpack(head)
+    at = _HEAD.size + _CRC.size
+    about = data[at : at + size]
+    if (magic, version, block) != (MAGIC, 3, BLOCK) or zlib.crc32(about, zlib.crc32(head)) != crc:
+        raise ValueError("not a segment of this format, or its head is damaged")
+    lengths = np.frombuffer(about, "<u8", n).astype(np.int64)
+    ids = decode_ids(about[8 * n :], data[at + size :])
     return np.split(ids, np.cumsum(lengths)[:-1]) if n else []
 
 

@@ -54,11 +54,9 @@ def responses(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame
 
 def plain_text(html: Column) -> Column:
     """Visible text: hidden parts and tags go, block ends become line ends, blanks shrink, entities are written out."""
-    whole = html
     for name, end, tag_first in (("script", "</script>", True), ("style", "</style>", True), ("head", "</head>", True), ("!--", "-->", False)):
         html = markup.mark_unclosed(html, name, end, tag_first)
-    text = F.regexp_replace(F.regexp_replace(markup.split_at_last(html)["head"], HIDDEN, " "), BREAKS, "\n")
-    text = F.concat(F.regexp_replace(text, r"<[^>]*>", " "), markup.split_at_last(whole)["tail"])
+    text = F.replace(markup.strip(html, [(HIDDEN, " "), (BREAKS, "\n"), (r"<[^>]*>", " ")]), F.lit("<" + markup.MARK), F.lit("<"))
     for name, value in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(value))
     # A single blank stays as it is, so most words need no replacement.

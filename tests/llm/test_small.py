@@ -252,19 +252,36 @@ def test_warc_null_headers_and_line_ends(spark):
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)
     ids = np.where(rng.random(n) < 0.5, rng.integers(0, 20, n), rng.integers(0, 49_000, n)).astype(np.uint32)
-    assert np.array_equal(tokenstore.decode_ids(tokenstore.encode_ids(ids)), ids)
+    assert np.array_equal(tokenstore.decode_ids(*tokenstore.encode_ids(ids)), ids)
     wide = (ids.astype(np.uint64) * 80_000 % (1 << 32)).astype(np.uint32)
-    assert np.array_equal(tokenstore.decode_ids(tokenstore.encode_ids(wide)), wide)
+    assert np.array_equal(tokenstore.decode_ids(*tokenstore.encode_ids(wide)), wide)
 
 
 def test_coder_compresses_and_finds_damage():
     ids = np.tile(np.arange(50, dtype=np.uint32), 200)
-    data = tokenstore.encode_ids(ids)
-    assert len(data) < len(ids) * 2 * 0.3
-    bad = bytearray(data)
+    about, code = tokenstore.encode_ids(ids)
+    assert len(about) + len(code) < len(ids) * 2 * 0.3
+    bad = bytearray(code)
     bad[-40] ^= 0xFF
     with pytest.raises(ValueError):
-        tokenstore.decode_ids(bytes(bad))
+        tokenstore.decode_ids(about, bytes(bad))
+
+
+def test_every_flipped_bit_of_a_segment_is_found():
+    rng = np.random.default_rng(1)
+    documents = [rng.integers(0, 49_000, n).astype(np.uint32) for n in (3, 0, 40, 1)]
+    data = tokenstore.pack_segment(documents)
+    assert [x.tolist() for x in tokenstore.unpack_segment(data)] == [x.tolist() for x in documents]
+    for k in range(8 * len(data)):
+        bad = bytearray(data)
+        bad[k // 8] ^= 1 << k % 8
+        with pytest.raises(ValueError):
+            tokenstore.unpack_segment(bytes(bad))
+    for n in (0, 5, len(data) - 1):
+        with pytest.raises(ValueError):
+            tokenstore.unpack_segment(data[:n])
+    with pytest.raises(ValueError):
+        tokenstore.unpack_segment(data + b"x")
 
 
 def test_mixture_is_a_distribution():
@@ -295,10 +312,11 @@ def test_coder_beside_zlib():
 
     encoder = tokenstore.ChunkEncoder(tokenstore.vocabulary_encoder(WORD_BPE))
     ids, _ = encoder([(x or "").encode() for x in pq.read_table(path, columns=["text"]).column("text").to_pylist()])
-    data = tokenstore.encode_ids(ids)
+    about, code = tokenstore.encode_ids(ids)
+    data = about + code
     raw = ids.astype("<u2")
     blocks = sum(len(zlib.compress(raw[k : k + tokenstore.BLOCK].tobytes(), 9)) for k in range(0, len(raw), tokenstore.BLOCK))
-    assert np.array_equal(tokenstore.decode_ids(data), ids)
+    assert np.array_equal(tokenstore.decode_ids(about, code), ids)
     assert len(data) / len(ids) < 1.1 and blocks / len(ids) > 1.35
 
 
@@ -738,6 +756,48 @@ def test_substrings_match_definition(spark, seed):
     assert sum(r[2] for r in got) > 500
 
 
+def test_words_of_equal_polynomial_hashes_are_told_apart(spark):
+    # A Thue-Morse word and its complement have the same hash modulo 2**64, whatever the base.
+    a = "".join("ab"[bin(k).count("1") % 2] for k in range(1 << 11))
+    b = a.translate(str.maketrans("ab", "ba"))
+    hashes, _ = common.word_hashes([a.encode(), b.encode()])
+    assert a != b and hashes[0] == hashes[1]
+    rest = [f"w{k}" for k in range(24)]
+    texts = [" ".join([*rest[:12], a, *rest[12:]]), " ".join([*rest[:12], b, *rest[12:]]), " ".join([*rest[:12], a, *rest[12:]]) + " end"]
+    got = substrings.dedup(make(spark, texts)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == substrings.reference(list(enumerate(texts)))
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 0, 2: 25}
+
+
+def test_small_tables_take_few_tasks(spark):
+    assert substrings._parts(1000) == 1 and substrings._parts(40_000_000) == 100
+    rows = spark.createDataFrame([(k, b"x") for k in (5, 3, 3, 11)], "part int, v binary")
+    dealt = substrings._dealt(rows, 4)
+    assert dealt.rdd.getNumPartitions() == 4
+
+
+def test_record_text_in_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    pages = ["<head><title>T</title></head><p>a<br>b</p><script>x</script>c<!-- d -->e", "a<!-- b", "<script>a", "x < y > z < w", "<header>a</header>b</head>c", "<script </script>a</script>b<style>c", "</script><script>a", "<b", ""]
+    pages += [x + " word" * 5000 for x in pages] + [x + "<i>" * 6000 for x in pages]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(pages)], "k int, html string")
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", warc.HIDDEN, " "), warc.BREAKS, "\n"), r"<[^>]*>", " ")
+    for name, value in warc.ENTITIES:
+        plain = F.replace(plain, F.lit(name), F.lit(value))
+    plain = F.btrim(F.regexp_replace(F.regexp_replace(plain, r"[\x20\x09\x0B-\x0D]{2,}|[\x09\x0B-\x0D]", " "), r"\x20*\n[\x20\n]*", "\n"), F.lit(" \n"))
+    for r in df.select("k", plain.alias("a"), warc.plain_text(F.col("html")).alias("b")).collect():
+        assert r.a == r.b, pages[r.k][:80]
+    warc.derive(warc.responses(spark.createDataFrame([(0, "u", "<p>" * 9000)], "page_id bigint, url string, html string"))).collect()
+    for start in ("<", "<!--", "<script>", "<script ", "<title>", "<a "):
+        page = spark.range(1).select(F.lit(1).alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit(start), 1_000_000 // len(start)).alias("html"))
+        began = time.time()
+        warc.derive(warc.responses(page)).collect()
+        assert time.time() - began < 4, start
+
+
 def test_substrings_odd_rows(spark, odd):
     got = substrings.dedup(odd).collect()
     assert len(got) == 8
