@@ -49,7 +49,7 @@ class Limits:
     context: int = 256  # characters of surroundings, on either side
     near: int = 48  # a sensitive word begins at most so many characters before the run
     min_length: int = 16  # 16 at least
-    min_novelty: float = 0.7  # added compressed bytes per character
+    min_novelty: float = 0.9  # added compressed bytes per character
     min_distinct: int = 8  # different characters
 
 
