@@ -29,6 +29,8 @@ from pagewarden.llm.common import as_bytes, bounded_batches, materialize
 from pagewarden.llm.tokenstore import ChunkEncoder, chunk_encoder
 
 CAPACITY = 4096
+#: Different parts of texts whose ids a worker keeps.
+CACHED = 1_200_000
 #: A longer text is encoded in slices of about so many bytes, cut at white space.
 SLICE = 1 << 22
 PIECES = "part int, local bigint, doc_id bigint, piece int, start bigint, length int, ids_crc32 bigint"
@@ -130,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encoder = chunk_encoder(tokenizer_path)
+        encoder = chunk_encoder(tokenizer_path, CACHED)
         seen = np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([end_id], dtype=np.uint32)
         for batch in batches:

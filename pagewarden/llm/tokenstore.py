@@ -404,10 +404,11 @@ def _with_room(x: np.ndarray, n: int) -> np.ndarray:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def chunk_encoder(path: str) -> ChunkEncoder:
-    """The encoder of this process for a tokenizer's file: tasks that follow each other in a worker share its cache, which never changes a result."""
+def chunk_encoder(path: str, most: int = 600_000) -> ChunkEncoder:
+    """The encoder of this process for a tokenizer's file, with a cache of about ``most`` parts (some 200 bytes each): tasks that follow each other in a worker share it, and it never changes a result."""
     if path not in _encoders:
-        _encoders[path] = ChunkEncoder(vocabulary_encoder(path), most=600_000)
+        _encoders[path] = ChunkEncoder(vocabulary_encoder(path), most)
+    _encoders[path].most = most
     return _encoders[path]
 
 
