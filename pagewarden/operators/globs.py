@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pagewarden.functions import urls
@@ -44,15 +44,20 @@ def _text_keys(text: Column, lengths: dict[str, list[int]]) -> Column:
     return F.concat(*found)
 
 
-def glob_join(paths: DataFrame, rules: DataFrame, column: str, pattern: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def pattern_kinds(rules: DataFrame, pattern: str) -> list[Row]:
+    """kind, n, count: the kinds and lengths of the keys that patterns have (null: patterns without any); as many rows as there are lengths."""
+    return rules.select(F.explode_outer(_pattern_keys(F.col(pattern))).alias("g")).groupBy("g.kind", F.length("g.text").alias("n")).count().collect()
+
+
+def glob_join(paths: DataFrame, rules: DataFrame, column: str, pattern: str, keys: tuple[str, ...] = (), kinds: list[Row] | None = None) -> DataFrame:
     """Pairs of rows whose text matches the rule's pattern (``*`` is anything), and that agree in ``keys``, such as a site.
 
     A rule is found by one literal part of its pattern: its begin, its end or four characters inside, the one that the fewest texts have (of equals the longest). Texts are looked up under their parts of
     these kinds and of the lengths that rules have, so this stays an equi join for any number of rules, and a common begin such as ``/`` is no key of a rule that ends in something rare.
-    Patterns without such a part (``/*``) match nearly every text; they stay out of that join and are tried on all texts that agree in ``keys``.
+    Patterns without such a part (``/*``) match nearly every text; they stay out of that join and are tried on all texts that agree in ``keys``. ``kinds`` are those of pattern_kinds(), for rules that are joined again and again.
     """
     keyed = rules.withColumn("glob_keys", _pattern_keys(F.col(pattern)))
-    kinds = keyed.select(F.explode_outer("glob_keys").alias("g")).groupBy("g.kind", F.length("g.text").alias("n")).count().collect()
+    kinds = pattern_kinds(rules, pattern) if kinds is None else kinds
     lengths: dict[str, list[int]] = {}
     for r in kinds:
         if r.kind is not None:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewarden.functions import urls
-from pagewarden.operators.globs import glob_join
+from pagewarden.operators.globs import glob_join, pattern_kinds
 from pagewarden.sources.tables import cut
 
 
@@ -45,9 +45,9 @@ def _shared(keys: tuple[str, ...], rules: DataFrame) -> list[str]:
 def broken_links(links: DataFrame, inventory: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Links (with ``path``) for which no candidate file exists and that no redirect names. ``keys`` are further columns that must agree with the inventory, such as a site, and with the rules, where these have them.
 
-    Navigation repeats on every page, so each distinct path is looked up once; two semi joins stand for the alternatives.
+    Navigation repeats on every page, so each distinct path is looked up once; two semi joins stand for the alternatives. The distinct paths are written, so links are made twice only: for these, and for the result.
     """
-    targets = links.select(*keys, "path").distinct()
+    targets = cut(links.select(*keys, "path").distinct())
     candidates = targets.select(*keys, "path", F.explode(urls.candidate_keys(F.col("path"))).alias("key"))
     files = inventory.select(*keys, F.col("path").alias("key")).distinct()
     found = candidates.join(files, [*keys, "key"], "left_semi").select(*keys, "path").distinct()
@@ -84,12 +84,12 @@ def apply_splat_redirects(paths: DataFrame, rules: DataFrame, column: str = "url
     return paths.join(first.select(*own, column, F.col("rule.src").alias("rule"), target.alias("target")), [*own, column])
 
 
-def _step(urls_: DataFrame, rules: DataFrame) -> DataFrame:
+def _step(urls_: DataFrame, rules: DataFrame, kinds: list[Row]) -> DataFrame:
     """at, target: the first rule by line that matches each URL ``at`` as a whole or by its path."""
     own = _shared(("site",), rules)
     clean = urls.strip_suffix(F.col("at"))
     forms = urls_.select("at", urls.host(F.col("at")).alias("site"), F.explode(F.array(clean, urls.url_path(F.col("at")))).alias("form"))
-    met = glob_join(forms.select("at", *own, "form"), rules.select(*own, "line_no", "src", "dst"), "form", "src", tuple(own))
+    met = glob_join(forms.select("at", *own, "form"), rules.select(*own, "line_no", "src", "dst"), "form", "src", tuple(own), kinds)
     first = met.groupBy("at").agg(F.min_by(F.struct("src", "dst", "form"), F.struct("line_no", "form")).alias("r")).select("at", F.col("r.src").alias("src"), F.col("r.dst").alias("dst"), F.col("r.form").alias("form"))
     target = F.replace(F.col("dst"), F.lit(":splat"), _splat("form", F.col("src")))
     origin = F.regexp_extract("at", r"(?i)^https?://[^/?#]*", 0)
@@ -105,13 +105,13 @@ def follow_redirects(starts: DataFrame, rules: DataFrame, column: str = "url", m
     ``outcome`` is ``ends`` where no rule matches further, ``loops`` where a URL comes back (``final`` is that URL, ``hops`` the steps until then), and ``endless`` where after ``max_hops`` steps a rule still
     matches: wildcards can make ever new URLs, so that needs a bound, as browsers have one. Each round looks up only the different URLs that were reached last; those that no rule matches leave the walk.
     """
-    walk = starts.select(F.col(column).alias("start")).distinct().select("start", F.col("start").alias("at"), F.array("start").alias("seen"))
-    done = []
+    walk = cut(starts.select(F.col(column).alias("start")).distinct().select("start", F.col("start").alias("at"), F.array("start").alias("seen")))
+    rules = cut(rules)
+    kinds, done = pattern_kinds(rules, "src"), []
     for hop in range(max_hops + 1):
-        walk = cut(walk)
         if not walk.limit(1).count():
             break
-        met = cut(walk.join(_step(walk.select("at").distinct(), rules), "at", "left"))
+        met = cut(walk.join(_step(walk.select("at").distinct(), rules, kinds), "at", "left"))
         ended = met.filter("target IS NULL")
         done.append(ended.select("start", F.lit(hop).alias("hops"), F.col("at").alias("final"), F.lit("ends").alias("outcome")))
         goes = met.filter("target IS NOT NULL")

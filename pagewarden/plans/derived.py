@@ -167,9 +167,7 @@ def _rule_findings(spark: SparkSession, folder: str) -> DataFrame:
     table = site.expectations(spark, [("s", a, "", op, literal, group, n) for a, op, literal, group, n in RULES]).drop("subject")
     rows = [F.struct(*[F.lit(v).cast("int" if name == "n" else "string").alias(name) for name, v in r.asDict().items()]) for r in table.collect()]
     wanted = rich.select(F.col("url").alias("subject"), F.inline(F.array(*rows)))
-    checks = (rules.check_patterns, rules.check_counts, rules.check_conditions, rules.check_tag_rules)
-    found = [check(corpus, wanted) for check in checks]
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    return rules.check_rules(corpus, wanted)
 
 
 def rule_table(spark: SparkSession, folder: str) -> DataFrame:

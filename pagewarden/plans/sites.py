@@ -132,8 +132,7 @@ def page_rules(spark: SparkSession, folder: str) -> DataFrame:
         rule("nav", "contains", F.lit("<nav")),
     )
     wanted = own.select(F.col("url").alias("subject"), F.inline(each)).withColumn("suite", F.lit("s"))
-    found = [check(corpus, wanted) for check in (rules.check_literals, rules.check_patterns, rules.check_counts, rules.check_conditions)]
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).select("check_id", "subject", "detail")
+    return rules.check_rules(corpus, wanted).select("check_id", "subject", "detail")
 
 
 def literal_index(spark: SparkSession, folder: str) -> DataFrame:
