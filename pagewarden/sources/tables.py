@@ -43,7 +43,7 @@ def remove_table(spark: SparkSession, path: str) -> None:
 
 
 #: Rows of one key that may lie in one task, and keys with more rows than their share that are looked at.
-KEY_ROWS, HOT_KEYS = 4096, 100_000
+KEY_ROWS, HOT_KEYS = 1024, 100_000
 
 
 def hot_keys(rows: DataFrame, on: str) -> list[tuple[object, int]]:
