@@ -51,10 +51,15 @@ def unlisted_pages(heads: DataFrame, sitemap: DataFrame) -> DataFrame:
     return open_pages.join(sitemap.select(F.col("loc").alias("url")).distinct(), "url", "left_anti").select("page_id", "url")
 
 
-def check_budgets(inventory: DataFrame, budgets: DataFrame, suite: str = "budget") -> DataFrame:
-    """Assets (asset_class, path, limit_bytes) at their limit or over it, or not there."""
-    files = inventory.filter("kind = 'file'").select("path", "bytes")
-    met = budgets.join(files, "path", "left")
+def _sized(inventory: DataFrame, budgets: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Budgets with the bytes of their files, null without one. A file that is listed twice with one size is one."""
+    on = [*keys, "path"]
+    return budgets.join(inventory.filter("kind = 'file'").select(*on, "bytes").distinct(), on, "left")
+
+
+def check_budgets(inventory: DataFrame, budgets: DataFrame, suite: str = "budget", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Assets (asset_class, path, limit_bytes) at their limit or over it, or not there. With ``keys``, such as a crawl's number of a page, a budget is for the file that agrees in them, and a path may stand for several."""
+    met = _sized(inventory, budgets, keys)
     failed = met.filter(F.col("bytes").isNull() | (F.col("bytes") >= F.col("limit_bytes")))
     detail = F.when(F.col("bytes").isNull(), F.lit("no such file")).otherwise(F.concat(F.col("bytes").cast("string"), F.lit(" of "), F.col("limit_bytes").cast("string")))
     return failed.select(F.lit(suite).alias("suite"), F.col("asset_class").alias("check_id"), F.col("path").alias("subject"), detail.alias("detail"))
