@@ -65,9 +65,9 @@ def check_budgets(inventory: DataFrame, budgets: DataFrame, suite: str = "budget
     return failed.select(F.lit(suite).alias("suite"), F.col("asset_class").alias("check_id"), F.col("path").alias("subject"), detail.alias("detail"))
 
 
-def grade_budgets(inventory: DataFrame, budgets: DataFrame) -> DataFrame:
-    """path, bytes, grade: ``good`` below preferred_bytes, ``fair`` below limit_bytes, else ``over``; ``missing`` without a file."""
-    met = budgets.join(inventory.filter("kind = 'file'").select("path", "bytes"), "path", "left")
+def grade_budgets(inventory: DataFrame, budgets: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """path, bytes, grade: ``good`` below preferred_bytes, ``fair`` below limit_bytes, else ``over``; ``missing`` without a file. ``keys`` are as in check_budgets()."""
+    met = _sized(inventory, budgets, keys)
     grade = F.when(F.col("bytes").isNull(), "missing").when(F.col("bytes") < F.col("preferred_bytes"), "good").when(F.col("bytes") < F.col("limit_bytes"), "fair").otherwise("over")
     return met.select("path", "bytes", grade.alias("grade"))
 

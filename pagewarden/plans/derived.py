@@ -208,9 +208,9 @@ def third_parties(spark: SparkSession, folder: str) -> DataFrame:
 
 def graded_budgets(spark: SparkSession, folder: str) -> DataFrame:
     """Pages by size, beside two limits; pages of the last days have no file."""
-    own = _own(spark, folder).select(F.col("url").alias("path"), F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("bytes"), F.lit("file").alias("kind"), "day")
-    budgets = own.select(F.lit("page").alias("asset_class"), "path", F.lit(5000).alias("limit_bytes"), F.lit(2500).alias("preferred_bytes"))
-    return listings.grade_budgets(own.filter("day < 27"), budgets)
+    own = _own(spark, folder).select("page_id", F.col("url").alias("path"), F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("bytes"), F.lit("file").alias("kind"), "day")
+    budgets = own.select("page_id", F.lit("page").alias("asset_class"), "path", F.lit(5000).alias("limit_bytes"), F.lit(2500).alias("preferred_bytes"))
+    return listings.grade_budgets(own.filter("day < 27"), budgets, keys=("page_id",))
 
 
 def label_targets(spark: SparkSession, folder: str) -> DataFrame:
