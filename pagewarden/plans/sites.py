@@ -117,8 +117,9 @@ def policy_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def page_rules(spark: SparkSession, folder: str) -> DataFrame:
-    """A21, A22, A24, A25 with rules of each page's own beside common ones."""
-    own = _pages(spark, folder).dropDuplicates(["url"]).withColumn("title", F.regexp_extract("html", "<title>([^<]*)</title>", 1)).withColumn("n", F.regexp_count("html", F.lit("<p>")))
+    """A21, A22, A24, A25 with rules of each page's own beside common ones; of pages with one URL the first one's."""
+    first = spark.read.parquet(f"{folder}/pages.parquet").groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p")).select("p.page_id", "url", "p.html")
+    own = first.withColumn("title", F.regexp_extract("html", "<title>([^<]*)</title>", 1)).withColumn("n", F.regexp_count("html", F.lit("<p>")))
     corpus = own.select(F.col("url").alias("path"), F.col("html").alias("value"))
     rule = lambda check, op, literal, group=None, n=None: F.struct(F.lit(check).alias("check_id"), F.lit(op).alias("op"), literal.alias("literal"), (F.lit(None).cast("string") if group is None else group).alias("any_group"), (F.lit(None).cast("int") if n is None else n).alias("n"))
     title = F.col("title")
