@@ -1,14 +1,15 @@
-"""Token ids in compressed files: adaptive context mixing with a range coder, in independent checksummed blocks.
+"""Token ids in compressed files: context mixing with an entropy coder (rANS), in independent checksummed blocks.
 
 A file row ("segment") holds whole documents in order: a header, the documents' lengths, a table of the segment's ids with their
-frequencies, and the ids cut into blocks of ``BLOCK`` ids. Every block starts from a reset model and carries a CRC-32 of its ids and code words, so that blocks can
-be decoded alone (with the segment's table); header, lengths, table and sizes have a CRC-32 together, so any damage is found. Within a segment all blocks advance together, one id a step, as columns of numpy arrays.
+frequencies, the mixture's weights, and the ids cut into blocks of ``BLOCK`` ids. Every block starts from an empty memory and carries a CRC-32 of its ids and code words, so that
+blocks can be decoded alone (with the segment's table and weights); header, lengths, table, weights and sizes have a CRC-32 together, so any damage is found. Within a segment all blocks
+advance together, one id a step, as columns of numpy arrays.
 
-Every id is coded in one step, with the chance that a mixture gives it: order 2 (the last id seen after the two previous ids), order 1 (after the
-previous id) and a block's leading id by majority vote each put a weight on the id that they predict, and order 0, the table's frequencies, has the rest and gives
-every id of the segment a share. The weights adapt in each block: hit rates are kept by order and confidence, and logistic mixers
-combine those of all orders, with learned weights, into the chances that the order-2 and the order-1 prediction are right. All model
-arithmetic is in integers, so that any machine decodes alike.
+Every id is coded in one step, with the chance that a mixture gives it: order 2 (the last id seen after the two previous ids) and order 1 (after the
+previous id) each put a weight on the id that they predict, and order 0, the table's frequencies, has the rest and gives every id of the segment a share. Predictions adapt in each block, and each has a
+confidence, the number of times that it was right in a row. The weights are those that fit the segment: for each two confidences, and whether both orders agree, the shares of ids
+that order 2 and order 1 alone foretold. Predictions don't depend on the coder, so the encoder finds all of them at once, by sorting each block by context; the decoder goes step by
+step. All model arithmetic is in integers, so that any machine decodes alike.
 
 Null text is empty (a document of its end id alone). Documents are ordered by doc_id, nulls first; rows with the same doc_id by
 a hash of their text. A very long document is a segment of its own. An empty table gives no rows; other columns are left out.
@@ -30,19 +31,13 @@ from pyspark.sql import functions as F
 from pagewarden.llm.common import as_bytes, flat_take, materialize
 
 BLOCK = 1024
-#: A segment is closed at so many ids; a longer document has one of its own.
-SEGMENT_IDS = 1 << 20
-MAGIC = b"IDS3"
+#: A segment is closed at so many ids, since steps over many blocks cost little more than over few; a longer document has one of its own.
+SEGMENT_IDS = 5_000_000
+MAGIC, VERSION = b"IDS4", 4
 _HEAD, _CRC = struct.Struct("<4sBIIQ"), struct.Struct("<I")
 TABLE_BITS = 10
 _U = np.uint64
 
-# Logistic tables in integers: stretch(p) = ln(p / (1 - p)) of 12-bit chances, scaled by 256; squash is its inverse.
-_P = (np.arange(4096) + 0.5) / 4096
-STRETCH = np.round(np.log(_P / (1 - _P)) * 256).astype(np.int64)
-SQUASH = np.clip(np.round(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256.0))), 64, 65536 - 64).astype(np.int64)
-
-
 class Frequencies:
     """Order 0: a segment's ids in ascending order, and cumulated frequencies that sum to 2**bits."""
 
@@ -51,27 +46,39 @@ class Frequencies:
 
     def __init__(self, ids: np.ndarray, logs: np.ndarray):
         self.ids, self.logs = ids, logs
-        self.bits = max(20, int(len(ids)).bit_length() + 3)
+        if len(ids) > 1 << MOST_BITS:
+            raise ValueError(f"more than {1 << MOST_BITS} different ids in a segment")
+        self.bits = min(MOST_BITS, max(20, int(len(ids)).bit_length() + 3))
         # Sums in integers, in the same order everywhere: the table of powers is rounded once.
-        powers = np.round(2.0 ** (np.arange(256) / self.FINE) * 16).astype(object)
-        weights = np.array([int(powers[x]) for x in range(256)], dtype=object)[logs] if len(logs) else np.zeros(0, dtype=object)
-        total, room = int(weights.sum()) if len(logs) else 1, (1 << self.bits) - len(ids)
-        share = np.array([int(w) * room // total for w in weights], dtype=np.int64) + 1
+        weights = POWERS[logs]
+        total, room = max(1, int(weights.sum())), (1 << self.bits) - len(ids)
+        share = np.array([int(w) * room // total for w in weights], dtype=np.int64) + 1 if self.bits > 22 else (weights.astype(np.int64) * room // total) + 1
         if len(share):
             share[int(np.argmax(share))] += (1 << self.bits) - int(share.sum())
         self.ends = np.concatenate([[0], np.cumsum(share)]).astype(np.int64)
         # From a place below 2**bits to the id there.
-        self.at = np.repeat(np.arange(len(share), dtype=np.int32), share) if self.bits <= 22 else None
+        self.at = np.repeat(np.arange(len(share), dtype=np.uint16 if len(share) <= 1 << 16 else np.int32), share) if self.bits <= 22 else None
 
     @classmethod
     def of(cls, ids: np.ndarray) -> tuple[Frequencies, np.ndarray]:
         """The table of these ids, and their places in it."""
-        values, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
-        logs = np.array([min(255, round(cls.FINE * math.log2(c))) for c in range(1, 4097)], dtype=np.uint8)
-        large = np.array([min(255, round(cls.FINE * math.log2(c))) for c in counts[counts > 4096].tolist()], dtype=np.uint8)
-        own = logs[np.minimum(counts, 4096) - 1]
-        own[counts > 4096] = large
-        return cls(values.astype(np.uint32), own), places.reshape(-1).astype(np.int64)
+        if len(ids) and int(ids.max()) < DENSE:
+            counts = np.bincount(ids)
+            values = np.flatnonzero(counts)
+            place_of = np.zeros(len(counts), dtype=np.int64)
+            place_of[values] = np.arange(len(values))
+            places, counts = place_of[ids], counts[values]
+        else:
+            values, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        return cls(values.astype(np.uint32), cls.logs_of(counts)), places.reshape(-1).astype(np.int64)
+
+    @classmethod
+    def logs_of(cls, counts: np.ndarray) -> np.ndarray:
+        """The logarithms of counts that a table keeps; a count of 0 is taken for 1."""
+        own = LOGS[np.clip(counts, 1, len(LOGS)) - 1]
+        large = counts > len(LOGS)
+        own[large] = [min(255, round(cls.FINE * math.log2(c))) for c in counts[large].tolist()]
+        return own
 
     def pack(self) -> bytes:
         data = zlib.compress(np.diff(self.ids, prepend=np.uint32(0)).astype("<u4").reshape(-1, 1).view(np.uint8).T.tobytes() + self.logs.tobytes(), 9)
@@ -86,98 +93,123 @@ class Frequencies:
         return cls(ids, raw[4 * n :].copy()), at + 8 + size
 
     def find(self, place: np.ndarray) -> np.ndarray:
-        return self.at[place] if self.at is not None else np.searchsorted(self.ends, place, side="right") - 1
+        return self.at.take(place).astype(np.int64) if self.at is not None else np.searchsorted(self.ends, place, side="right") - 1
+
+
+POWERS = np.array([round(2.0 ** (x / Frequencies.FINE) * 16) for x in range(256)], dtype=object)
+LOGS = np.array([min(255, round(Frequencies.FINE * math.log2(c))) for c in range(1, 4097)], dtype=np.uint8)
+#: Ids below this are counted in an array.
+DENSE = 1 << 22
+#: The coder takes chances of 2**31 at most: those of order 0, and 6 bits for its least share.
+MOST_BITS = 25
+
+# A memory's slot holds a prediction's place times 8, plus its confidence: 1 to 4, by the times that it was right in a row; an empty one is 0.
+SURE = 4
+#: The confidence of a place after it was seen, by its slot's difference to the place's empty one: 0 (an empty slot), 1 to 4, and others (another place).
+_NEXT = np.array([1, *[min(SURE, c + 1) for c in range(1, SURE + 1)], 1], dtype=np.int32)
+#: Pairs of confidences (order 2, order 1), each for orders that differ and that agree.
+CELLS = 2 * (SURE + 1) ** 2
+
+
+def _slot_of(last: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a block's memories of orders 1 and 2 keep what follows the last ids (places plus 1; 0 before the begin), all of 32 bits."""
+    shift = np.uint32(32 - TABLE_BITS)
+    return last * np.uint32(0x9E3779B1) >> shift, (last * np.uint32(0x85EBCA6B) ^ before * np.uint32(0xC2B2AE35)) >> shift
+
+
+def _cells(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return 2 * (SURE + 1) * (two & 7) + 2 * (one & 7) + (one >> 3 == two >> 3)
+
+
+def _start_weights() -> np.ndarray:
+    """Weights without a segment, in 65,536ths: rows of order 1 and order 2, by cell."""
+    of1, of2 = (0, 6000, 16000, 28000, 40000), (0, 12000, 30000, 45000, 55000)
+    return np.array([[of1[c1] * (65536 - of2[c2]) >> 16 for c2 in range(SURE + 1) for c1 in range(SURE + 1) for _ in range(2)], [of2[c2] for c2 in range(SURE + 1) for _ in range(SURE + 1) for _ in range(2)]], dtype=np.int64)
 
 
 class _Model:
-    """The mixture for ``lanes`` blocks at once, over places in the table. A slot holds a place plus 1, and a confidence of 0 to 3 in its two low bits."""
+    """The mixture for ``lanes`` blocks at once, over places in the table."""
 
-    def __init__(self, lanes: int, table: Frequencies):
+    def __init__(self, lanes: int, table: Frequencies, weights: np.ndarray | None = None):
         self.table = table
         self.shift = table.bits + 6  # chances are of 2**shift; order 0 keeps 1/64 at least
-        self.rest = (1 << self.shift) - (1 << table.bits)
+        rest = (1 << self.shift) - (1 << table.bits)
+        one, two = rest * (_start_weights() if weights is None else weights.astype(np.int64)) >> 16
+        # Where both orders agree there is one prediction.
+        agree = np.arange(CELLS) % 2 == 1
+        self.masses1, self.masses2 = np.where(agree, 0, one), np.where(agree, one + two, two)
+        self.after = table.ends[1:]
         self.base = np.arange(lanes, dtype=np.int64) << TABLE_BITS
-        self.lane4 = np.arange(lanes, dtype=np.int64) * 4
-        self.slots = [np.zeros(lanes, dtype=np.int32), np.zeros(lanes << TABLE_BITS, dtype=np.int32), np.zeros(lanes << TABLE_BITS, dtype=np.int32)]
-        # Hit rates (16 bits) by order and confidence, and the mixers' weights (16-bit fixed point), per lane.
-        self.rates = [np.tile(np.array(x, dtype=np.int64), lanes) for x in START_RATES]
-        self.weights = {k: [np.full(lanes, x, dtype=np.int64) for x in START_WEIGHTS[k]] for k in (1, 2)}
-        self.last = np.zeros(lanes, dtype=np.int64)
-        self.before = np.zeros(lanes, dtype=np.int64)
+        self.memory1, self.memory2 = np.zeros(lanes << TABLE_BITS, dtype=np.int32), np.zeros(lanes << TABLE_BITS, dtype=np.int32)
+        self.last, self.before = np.zeros((2, lanes), dtype=np.uint32)
 
     def predict(self) -> None:
-        """Sets the predicted places (-1: none) and their weights for the next id, by order."""
-        mask = (1 << TABLE_BITS) - 1
-        turned = self.last * 0x85EBCA6B
-        self.at1 = self.base + ((self.last * 0x9E3779B1 >> 13) & mask)
-        self.at2 = self.base + (((turned ^ self.before * 0xC2B2AE35) >> 11) & mask)
-        self.slot = [self.slots[0], self.slots[1][self.at1], self.slots[2][self.at2]]
-        self.conf = [x & 3 for x in self.slot]
-        self.guess = [(x >> 2) - 1 for x in self.slot]
-        self.place = [self.lane4 + x for x in self.conf]
-        self.rate = [r[x] for r, x in zip(self.rates, self.place, strict=True)]
-        self.inputs = [STRETCH[x >> 4] for x in self.rate]
-        g0, g1, g2 = self.guess
-        # Only predictions that are there, and differ from those of higher orders, get a weight.
-        self.there = [(g0 >= 0) & (g0 != g2) & (g0 != g1), (g1 >= 0) & (g1 != g2), g2 >= 0]
-        self.mixed = {}
-        for k in (1, 2):
-            w = self.weights[k]
-            total = self.inputs[0] * w[0] + self.inputs[1] * w[1] + self.inputs[2] * w[2]
-            self.mixed[k] = SQUASH[np.clip(total >> 16, -2047, 2047) + 2047]
-        second = np.where(self.there[2], self.rest * self.mixed[2] >> 16, 0)
-        left = self.rest - second
-        first = np.where(self.there[1], left * self.mixed[1] >> 16, 0)
-        left -= first
-        self.mass = [np.where(self.there[0], left * self.rate[0] >> 16, 0), first, second]
-        self.order0 = (1 << self.shift) - self.mass[0] - self.mass[1] - self.mass[2]
-
-    def below(self, place: np.ndarray) -> np.ndarray:
-        """Where order 0's share of a place begins, without the weights of predictions."""
-        return self.table.ends[place] * self.order0 >> self.table.bits
+        """Sets the predictions and their weights for the next id."""
+        at1, at2 = _slot_of(self.last, self.before)
+        self.at1, self.at2 = at1 + self.base, at2 + self.base
+        self.see(self.memory1.take(self.at1), self.memory2.take(self.at2))
+
+    def see(self, one: np.ndarray, two: np.ndarray) -> None:
+        """Predictions from slots; an empty one predicts place 0 with no weight."""
+        self.one, self.two = one, two
+        cell = _cells(one, two)
+        self.guess1, self.guess2 = one >> 3, two >> 3
+        self.mass1, self.mass2 = self.masses1.take(cell), self.masses2.take(cell)
+        self.mass0 = (1 << self.shift) - self.mass1 - self.mass2
 
     def interval(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Begin and size of the chance of a place."""
-        begin = self.below(place)
-        size = self.below(place + 1) - begin
-        for g, m in zip(self.guess, self.mass, strict=True):
-            begin = begin + np.where(g < place, m, 0)
-            size = size + np.where(g == place, m, 0)
+        """Begin and size of the chance of a place: order 0's share, with the weights of predictions where they are."""
+        begin = self.table.ends.take(place) * self.mass0 >> self.table.bits
+        size = (self.after.take(place) * self.mass0 >> self.table.bits) - begin
+        for guess, mass in ((self.guess1, self.mass1), (self.guess2, self.mass2)):
+            begin += mass * (guess < place)
+            size += mass * (guess == place)
         return begin, size
 
     def find(self, value: np.ndarray) -> np.ndarray:
-        """The place whose interval holds a value."""
-        out = np.full(len(value), -1, dtype=np.int64)
-        left = value.copy()
-        for g, m in zip(self.guess, self.mass, strict=True):
-            begin, size = self.interval(np.maximum(g, 0))
-            some = m > 0
-            out = np.where(some & (begin <= value) & (value < begin + size), g, out)
-            left -= np.where(some & (begin + size <= value), m, 0)
-        plain = self.table.find(np.clip((((left + 1) << self.table.bits) - 1) // self.order0, 0, (1 << self.table.bits) - 1))
-        return np.where(out >= 0, out, plain)
+        """The place whose interval holds a value: without the weights of predictions that end before it order 0 tells it, up to the predictions that don't."""
+        bits, total = self.table.bits, self.mass1 + self.mass2
+        end1 = (self.after.take(self.guess1) * self.mass0 >> bits) + np.where(self.guess2 <= self.guess1, total, self.mass1)
+        end2 = (self.after.take(self.guess2) * self.mass0 >> bits) + np.where(self.guess1 <= self.guess2, total, self.mass2)
+        past1, past2 = end1 <= value, end2 <= value
+        left = ((value - self.mass1 * past1 - self.mass2 * past2 + 1) << bits) - 1
+        # Quotients of integers below 2**53 that aren't whole differ from whole ones by more than a double's rounding.
+        place = (left / self.mass0).astype(np.int64) if bits + self.shift < 52 else left // self.mass0
+        out = self.table.find(np.minimum(place, (1 << bits) - 1))
+        return np.minimum(np.minimum(out, np.where(past1, len(self.after), self.guess1)), np.where(past2, len(self.after), self.guess2))
 
     def update(self, actual: np.ndarray) -> None:
         """``actual`` are places."""
-        fresh = (actual + 1 << 2).astype(np.int32)
-        right = [g == actual for g in self.guess]
-        hit = [r.astype(np.int64) << 16 for r in right]
-        # A mixer learns where its prediction counted: order 1's where order 2's was not right.
-        for k, some in ((2, self.there[2]), (1, self.there[1] & ~right[2])):
-            error = np.where(some, hit[k] - self.mixed[k], 0) >> 4
-            for j in range(3):
-                self.weights[k][j] += self.inputs[j] * error >> 10
-        new = []
-        for k in range(3):
-            self.rates[k][self.place[k]] = self.rate[k] + (hit[k] - self.rate[k] >> 4)
-            # A right guess gains, a wrong one loses, and one without confidence is replaced.
-            new.append(np.where(right[k], self.slot[k] + (self.conf[k] < 3), np.where(self.conf[k] > 0, self.slot[k] - 1, fresh)))
-        self.slots[0], self.slots[1][self.at1], self.slots[2][self.at2] = new
-        self.before, self.last = self.last, actual + 1
-
-
-START_RATES = ([700, 1500, 3000, 5000], [6000, 16000, 28000, 40000], [12000, 30000, 45000, 55000])  # by confidence
-START_WEIGHTS = {1: (4000, 56000, 2000), 2: (2000, 12000, 52000)}  # for the inputs of orders 0, 1, 2
+        empty = (actual << 3).astype(np.int32)
+        self.memory1[self.at1] = empty + _NEXT.take(np.minimum((self.one - empty).view(np.uint32), SURE + 1))
+        self.memory2[self.at2] = empty + _NEXT.take(np.minimum((self.two - empty).view(np.uint32), SURE + 1))
+        self.before, self.last = self.last, (actual + 1).astype(np.uint32)
+
+
+def _seen(places: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """For each id of blocks (lanes, BLOCK) what its slot holds before it, as _Model.update() fills it: ids are sorted by slot and time, so that a slot's last id is the one before."""
+    keys = slots << np.uint32(10)
+    keys += np.arange(BLOCK, dtype=np.uint32)
+    keys.sort(axis=1)
+    at = (keys & (BLOCK - 1)).astype(np.int64)
+    at += np.arange(len(places), dtype=np.int64)[:, None] * BLOCK
+    actual = places.reshape(-1).take(at).astype(np.int32)
+    same = np.zeros(places.shape, dtype=bool)
+    same[:, 1:] = keys[:, 1:] >> 10 == keys[:, :-1] >> 10
+    right = np.zeros(places.shape, dtype=bool)  # the slot's id came again
+    right[:, 1:] = same[:, 1:] & (actual[:, 1:] == actual[:, :-1])
+    sure, run = same.astype(np.int32), same
+    for k in range(1, SURE):
+        # A slot's first id is never right, so a run doesn't leave its slot.
+        longer = np.zeros(places.shape, dtype=bool)
+        longer[:, k:] = run[:, k:] & right[:, :-k]
+        sure += longer
+        run = longer
+    held = np.zeros(places.shape, dtype=np.int32)
+    held[:, 1:] = actual[:, :-1] << 3
+    out = np.empty(places.size, dtype=np.int32)
+    out[at.reshape(-1)] = np.where(same, held + sure, 0).reshape(-1)
+    return out.reshape(places.shape)
 
 
 def _lanes(n: int) -> tuple[int, int]:
@@ -186,38 +218,24 @@ def _lanes(n: int) -> tuple[int, int]:
     return lanes, n - (lanes - 1) * BLOCK
 
 
-_16, _48 = _U(16), _U(48)
-_SETTLED, _SMALL, _LOW = _U(1 << 48), _U(1 << 32), _U((1 << 32) - 1)
+#: A lane's state is from 2**31 to below 2**63; code words have 32 bits.
+_LEAST, _32 = _U(1 << 31), _U(32)
 
 
-class _Coder:
-    """The intervals of a range coder without carries for all lanes; ``moved`` is told which lanes shift out their upper 16 bits."""
+#: Blocks whose predictions are found at once: few enough that their arrays stay in a core's cache.
+AT_ONCE = 32
 
-    def __init__(self, lanes: int, shift: int, moved: Callable[[np.ndarray, np.ndarray], None]):
-        self.low, self.width, self.shift, self.moved = np.zeros(lanes, dtype=_U), np.full(lanes, ~_U(0), dtype=_U), _U(shift), moved
 
-    def narrow(self, begin: np.ndarray, size: np.ndarray, n: int) -> None:
-        """Take the part [begin, begin + size) of 2**shift in the first ``n`` lanes."""
-        part = self.width[:n] >> self.shift
-        self.low[:n] += part * begin[:n].view(_U)
-        self.width[:n] = width = part * size[:n].view(_U)
-        lanes = np.flatnonzero(width < _SETTLED)
-        while len(lanes):
-            low, width = self.low[lanes], self.width[lanes]
-            settled = (low ^ (low + width)) < _SETTLED
-            small = ~settled & (width < _SMALL)
-            move = settled | small
-            lanes, low = lanes[move], low[move]
-            if not len(lanes):
-                return
-            width = np.where(small[move], (~low + _U(1)) & _LOW, width[move]) << _16
-            self.moved(lanes, low >> _48)
-            self.low[lanes], self.width[lanes] = low << _16, width
-            lanes = lanes[width < _SETTLED]
+def _predictions(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of orders 1 and 2 that each id of blocks (lanes, BLOCK) meets."""
+    last, before = np.zeros((2, *places.shape), dtype=np.uint32)
+    last[:, 1:], before[:, 2:] = places[:, :-1] + 1, places[:, :-2] + 1
+    one, two = _slot_of(last, before)
+    return _seen(places, one), _seen(places, two)
 
 
 def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
-    """A segment's blocks: number of ids, the table, per block its CRC-32 (of ids and code words) and its size; and the code words."""
+    """A segment's blocks: number of ids, the table, the weights, per block its CRC-32 (of ids and code words) and its size; and the code words."""
     n = len(ids)
     if n == 0:
         return struct.pack("<I", 0), b""
@@ -225,34 +243,58 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
     lanes, short = _lanes(n)
     padded = np.zeros(lanes * BLOCK, dtype=np.int64)
     padded[:n] = places
-    columns = np.ascontiguousarray(padded.reshape(lanes, BLOCK).T)
-    out = np.zeros((lanes, BLOCK * 3 + 8), dtype=np.uint16)
+    padded = padded.reshape(lanes, BLOCK)
+    one, two = np.empty((2, lanes, BLOCK), dtype=np.int32)
+    met, right1, right2 = np.zeros((3, CELLS), dtype=np.int64)
+    foretold = np.zeros(lanes * BLOCK, dtype=bool)
+    for k in range(0, lanes, AT_ONCE):
+        some = slice(k, k + AT_ONCE)
+        one[some], two[some] = _predictions(padded[some])
+        real = slice(0, min(n, (k + AT_ONCE) * BLOCK) - k * BLOCK)
+        a, b, actual = (x[some].reshape(-1)[real] for x in (one, two, padded))
+        hit2 = (b >> 3 == actual) & (b > 0)
+        hit1 = (a >> 3 == actual) & (a > 0) & ~hit2
+        cell = _cells(a, b)
+        met += np.bincount(cell, minlength=CELLS)
+        right1 += np.bincount(cell[hit1], minlength=CELLS)
+        right2 += np.bincount(cell[hit2], minlength=CELLS)
+        foretold[k * BLOCK :][real] = hit1 | hit2
+    weights = np.minimum(65535, np.stack([right1, right2]) * 65536 // np.maximum(1, met)).astype("<u2")
+    # Order 0 is left with the ids that no order foretold.
+    table = Frequencies(table.ids, table.logs_of(np.bincount(places[~foretold[:n]], minlength=len(table.ids))))
+    model = _Model(0, table, weights)
+    begins, sizes = np.empty((2, BLOCK, lanes), dtype=np.uint32)
+    for k in range(0, lanes, AT_ONCE):
+        some = slice(k, k + AT_ONCE)
+        model.see(one[some], two[some])
+        begin, size = model.interval(padded[some])
+        begins[:, some], sizes[:, some] = begin.T, size.T
+    del one, two, padded, places
+    # The coder (rANS) begins at the last id, so that the decoder begins at the first; the words are turned round.
+    out = np.zeros((lanes, BLOCK + 2), dtype="<u4")
     used = np.zeros(lanes, dtype=np.int64)
-
-    def moved(which: np.ndarray, words: np.ndarray) -> None:
-        out[which, used[which]] = words
-        used[which] += 1
-
-    model = _Model(lanes, table)
-    coder = _Coder(lanes, model.shift, moved)
-    on = lanes
-    for t in range(BLOCK):
-        if t == short:
-            on -= 1
-            if not on:
-                break
-        model.predict()
-        begin, size = model.interval(columns[t])
-        coder.narrow(begin, size, on)
-        model.update(columns[t])
-    every = np.arange(lanes)
-    for _ in range(4):
-        moved(every, coder.low >> _48)
-        coder.low <<= _16
+    every, shift, room = np.arange(lanes), _U(model.shift), _U(63 - model.shift)
+    state = np.full(lanes, _LEAST)
+    for t in range(BLOCK - 1, -1, -1):
+        on = lanes - (t >= short)
+        if not on:
+            continue
+        size, own = sizes[t, :on].astype(_U), state[:on]
+        full = np.flatnonzero(own >= size << room)
+        out[full, used[full]] = own[full]  # the lower 32 bits
+        used[full] += 1
+        own[full] >>= _32
+        parts = own // size
+        own -= parts * size
+        own += (parts << shift) + begins[t, :on]
+    for _ in range(2):
+        out[every, used] = state
+        used += 1
+        state >>= _32
     raw = ids.astype("<u4")
-    words = [out[i, : used[i]].astype("<u2").tobytes() for i in range(lanes)]
+    words = [out[i, : used[i]][::-1].tobytes() for i in range(lanes)]
     crcs = np.array([zlib.crc32(w, zlib.crc32(raw[i * BLOCK : (i + 1) * BLOCK].tobytes())) for i, w in enumerate(words)], dtype="<u4")
-    return struct.pack("<I", n) + table.pack() + crcs.tobytes() + used.astype("<u4").tobytes(), b"".join(words)
+    return struct.pack("<I", n) + table.pack() + weights.tobytes() + crcs.tobytes() + used.astype("<u4").tobytes(), b"".join(words)
 
 
 def decode_ids(data: bytes, code: bytes) -> np.ndarray:
@@ -263,27 +305,20 @@ def decode_ids(data: bytes, code: bytes) -> np.ndarray:
             raise ValueError("code words without ids")
         return np.zeros(0, dtype=np.uint32)
     table, at = Frequencies.unpack(data, 4)
+    weights = np.frombuffer(data, "<u2", 2 * CELLS, at).reshape(2, CELLS)
+    at += 4 * CELLS
     lanes, short = _lanes(n)
     crcs = np.frombuffer(data, "<u4", lanes, at)
     sizes = np.frombuffer(data, "<u4", lanes, at + 4 * lanes).astype(np.int64)
-    if len(code) != 2 * int(sizes.sum()):
+    if len(code) != 4 * int(sizes.sum()):
         raise ValueError("the code words aren't as long as their sizes say")
-    words = np.frombuffer(code, "<u2")
-    cuts = 2 * np.concatenate([[0], np.cumsum(sizes)])
-    words = np.concatenate([words, np.zeros(8, dtype=words.dtype)]).astype(_U)
+    cuts = 4 * np.concatenate([[0], np.cumsum(sizes)])
+    words = np.concatenate([np.frombuffer(code, "<u4"), np.zeros(2, dtype="<u4")]).astype(_U)
     last_word = len(words) - 1
     place = np.cumsum(sizes) - sizes
-    whole, code = code, np.zeros(lanes, dtype=_U)
-    for _ in range(4):
-        code = (code << _16) | words[np.minimum(place, last_word)]
-        place += 1
-
-    def moved(which: np.ndarray, _: np.ndarray) -> None:
-        code[which] = (code[which] << _16) | words[np.minimum(place[which], last_word)]
-        place[which] += 1
-
-    model = _Model(lanes, table)
-    coder = _Coder(lanes, model.shift, moved)
+    state = words[place] << _32 | words[place + 1]
+    place += 2
+    model = _Model(lanes, table, weights)
     most, shift = _U((1 << model.shift) - 1), _U(model.shift)
     out = np.zeros((BLOCK, lanes), dtype=np.int64)
     on = lanes
@@ -293,17 +328,18 @@ def decode_ids(data: bytes, code: bytes) -> np.ndarray:
             if not on:
                 break
         model.predict()
-        value = np.minimum((code - coder.low) // np.maximum(coder.width >> shift, _U(1)), most).view(np.int64)
+        value = (state & most).view(np.int64)
         actual = model.find(value)
-        if on < lanes:
-            actual[on:] = 0
         begin, size = model.interval(actual)
-        coder.narrow(begin, size, on)
+        state = size.view(_U) * (state >> shift) + (value - begin).view(_U)
+        low = np.flatnonzero(state < _LEAST)
+        state[low] = state[low] << _32 | words[np.minimum(place[low], last_word)]
+        place[low] += 1
         out[t] = actual
         model.update(actual)
     ids = table.ids[out.T.reshape(-1)[:n]].astype("<u4")
     for i in range(lanes):
-        if zlib.crc32(memoryview(whole)[cuts[i] : cuts[i + 1]], zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes())) != crcs[i]:
+        if zlib.crc32(memoryview(code)[cuts[i] : cuts[i + 1]], zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes())) != crcs[i]:
             raise ValueError(f"block {i}: the checksum doesn't hold")
     return ids
 
@@ -312,7 +348,7 @@ def pack_segment(documents: list[np.ndarray]) -> bytes:
     lengths = np.array([len(x) for x in documents], dtype="<u8")
     about, code = encode_ids(np.concatenate(documents) if documents else np.zeros(0, dtype=np.uint32))
     about = lengths.tobytes() + about
-    head = _HEAD.pack(MAGIC, 3, BLOCK, len(documents), len(about))
+    head = _HEAD.pack(MAGIC, VERSION, BLOCK, len(documents), len(about))
     return head + _CRC.pack(zlib.crc32(about, zlib.crc32(head))) + about + code
 
 
@@ -324,7 +360,7 @@ def unpack_segment(data: bytes) -> list[np.ndarray]:
     magic, version, block, n, size = _HEAD.unpack(head)
     at = _HEAD.size + _CRC.size
     about = data[at : at + size]
-    if (magic, version, block) != (MAGIC, 3, BLOCK) or zlib.crc32(about, zlib.crc32(head)) != crc:
+    if (magic, version, block) != (MAGIC, VERSION, BLOCK) or zlib.crc32(about, zlib.crc32(head)) != crc:
         raise ValueError("not a segment of this format, or its head is damaged")
     lengths = np.frombuffer(about, "<u8", n).astype(np.int64)
     ids = decode_ids(about[8 * n :], data[at + size :])
@@ -404,7 +440,7 @@ def _with_room(x: np.ndarray, n: int) -> np.ndarray:
 _encoders: dict[str, ChunkEncoder] = {}
 
 
-def chunk_encoder(path: str, most: int = 600_000) -> ChunkEncoder:
+def chunk_encoder(path: str, most: int = 1_200_000) -> ChunkEncoder:
     """The encoder of this process for a tokenizer's file, with a cache of about ``most`` parts (some 200 bytes each): tasks that follow each other in a worker share it, and it never changes a result."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(vocabulary_encoder(path), most)

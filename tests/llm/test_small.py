@@ -302,6 +302,23 @@ def test_mixture_is_a_distribution():
         model.update(places[t::200][:3])
 
 
+def test_predictions_at_once_are_those_of_each_step():
+    # The encoder finds what every id's slots hold by sorting; the decoder fills them id by id.
+    rng = np.random.default_rng(7)
+    n = 3 * tokenstore.BLOCK
+    ids = np.where(rng.random(n) < 0.8, rng.integers(0, 4, n), rng.integers(0, 3000, n)).astype(np.uint32)
+    ids[:400] = 5
+    table, places = tokenstore.Frequencies.of(ids)
+    places = places.reshape(3, -1)
+    one, two = tokenstore._predictions(places)
+    model = tokenstore._Model(3, table)
+    for t in range(tokenstore.BLOCK):
+        model.predict()
+        assert (model.one == one[:, t]).all() and (model.two == two[:, t]).all()
+        model.update(places[:, t])
+    assert set(np.unique(one & 7)) == set(np.unique(two & 7)) == set(range(tokenstore.SURE + 1))
+
+
 def test_coder_beside_zlib():
     import os
 
