@@ -86,7 +86,7 @@ def glob_join(paths: DataFrame, rules: DataFrame, column: str, pattern: str, key
     if any(r.kind is None for r in kinds) or not kinds:
         weak = keyed.filter(F.size("glob_keys") == 0).drop("glob_keys").withColumn("glob_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salted = paths.withColumn("glob_salt", F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int"))
-        found.append(_columns(salted.join(weak, [*keys, "glob_salt"]).filter(like), paths, rules, keys))
+        found.append(_columns(salted.join(F.broadcast(weak) if few else weak, [*keys, "glob_salt"]).filter(like), paths, rules, keys))
     return found[0] if len(found) == 1 else found[0].unionByName(found[1])
 
 
