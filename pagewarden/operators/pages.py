@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -169,7 +171,9 @@ def page_words(html: Column) -> Column:
 
 def _page_grams(pages: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
     """page_id, text_id of all pages with enough words (text_id: the smallest page_id with these words), and page_id, grams (hashes of word runs) of each text; both written once."""
-    found = pages.select("page_id", page_words(F.coalesce("html", F.lit(""))).alias("w")).filter(F.size("w") >= words)
+    # A filter on the words would be moved below them, and so compute them twice.
+    enough = F.filter(F.array(page_words(F.coalesce("html", F.lit("")))), lambda w: F.size(w) >= words)
+    found = pages.select("page_id", F.explode(enough).alias("w"))
     runs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - words), lambda i: F.xxhash64(F.slice("w", i + 1, words))))
     each = cut(found.select("page_id", F.md5(F.array_join("w", " ")).alias("digest"), runs.alias("grams")))
     texts = each.groupBy("digest").agg(F.min("page_id").alias("text_id"))
@@ -213,9 +217,12 @@ def near_duplicate_classes(pages: DataFrame, threshold: float = 0.8, words: int
     """
     placed, sets = _page_grams(pages, words)
     keyed = cut(sets.join(_page_bands(sets, bands, rows), "page_id"))
-    each = keyed.select("page_id", F.posexplode("keys").alias("band", "bucket"))  # the band is part of a bucket's hash
-    groups = each.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    dealt = dealt_join(each, groups, "bucket", "page_id")
+    each = keyed.select("page_id", F.posexplode("keys").alias("band", "bucket"), "keys")  # the band is part of a bucket's hash
+    # Where all members of a bucket agree in an earlier band, all its pairs are left to that one; three earlier bands are looked at.
+    earlier = [F.when(F.col("band") > 0, F.get("keys", x)) for x in (F.lit(0), F.floor(F.col("band") / 2).cast("int"), F.col("band") - 1)]
+    alike = reduce(lambda a, b: a | b, [F.coalesce(F.min(x) == F.max(x), F.lit(False)) for x in earlier])
+    groups = each.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n"), alike.alias("alike")).filter("n > 1 AND NOT alike").drop("n", "alike")
+    dealt = dealt_join(each.drop("keys"), groups, "bucket", "page_id")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("page_id", F.lit(1)), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "bucket", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "page_id")

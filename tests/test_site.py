@@ -313,3 +313,13 @@ def test_stream(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     audit.audit_stream(audit.read_page_stream(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_words_of_a_page_are_computed_once(spark, monkeypatch):
+    """A filter on the words isn't moved below them, where it would compute them again."""
+    seen = []
+    monkeypatch.setattr(pages, "cut", lambda df: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or df)
+    df = spark.createDataFrame([(1, "u", "<p>a b c d e f"), (2, "u", "a b")], "page_id bigint, url string, html string")
+    placed, sets = pages._page_grams(df, 5)
+    assert rows_of(placed, "page_id", "text_id") == [(1, 1)] and [len(r.grams) for r in sets.collect()] == [2]
+    assert seen[0].count("regexp_extract_all") == 1
