@@ -32,7 +32,7 @@ from pagewarden.llm.common import as_bytes, flat_take, materialize
 
 BLOCK = 1024
 #: A segment is closed at so many ids, since steps over many blocks cost little more than over few; a longer document has one of its own.
-SEGMENT_IDS = 5_000_000
+SEGMENT_IDS = 1 << 22
 MAGIC, VERSION = b"IDS4", 4
 _HEAD, _CRC = struct.Struct("<4sBIIQ"), struct.Struct("<I")
 TABLE_BITS = 10
