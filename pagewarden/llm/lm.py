@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.llm.common import as_bytes, flat_take, held_out, materialize, one_thread
+from pagewarden.llm.common import as_bytes, flat_take, held_out, keep_memory, materialize, one_thread, remove_table, write_table
 from pagewarden.llm.tokenstore import ChunkEncoder
 
 BLOCK = 8
@@ -119,125 +119,163 @@ def initial(vocabulary: Vocabulary, config: Config, pairs: np.ndarray | None = N
 
 
 #: A query at place i of the later block sees the block before and its own places up to i.
-_CAUSAL = np.where(np.arange(2 * BLOCK)[None, :] <= BLOCK + np.arange(BLOCK)[:, None], 0.0, -1e9).astype(np.float32)
+_CAUSAL = (np.arange(2 * BLOCK)[None, :] <= BLOCK + np.arange(BLOCK)[:, None]).astype(np.float32)
 
 
-def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w over the last axis, as one matrix product."""
-    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
+def _exp(x: np.ndarray, axis: int) -> np.ndarray:
+    """exp(x) in place; where any x is too large or small for it, each less the greatest along the axis."""
+    if max(x.max(), -x.min()) > 80:
+        x -= x.max(axis=axis, keepdims=True)
+    return np.exp(x, out=x)
 
 
-def _attend(w: dict[str, np.ndarray], x: np.ndarray, nothing: np.ndarray) -> tuple[np.ndarray, ...]:
-    d = x.shape[2]
-    q, k, v = _times(np.ascontiguousarray(x[:, BLOCK:]), w["q"]), _times(x, w["k"]), _times(x, w["v"])
-    s = q @ k.transpose(0, 2, 1) * np.float32(d**-0.5) + _CAUSAL + np.where(nothing, np.float32(-1e9), np.float32(0))[:, None, :]
-    a = np.exp(s - s.max(axis=2, keepdims=True))
-    a /= a.sum(axis=2, keepdims=True)
-    return q, k, v, a, x[:, BLOCK:] + a @ v
+def _attend(w: dict[str, np.ndarray], windows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys and values, queries and inputs, attention, what it sums, and outputs with a last column of 1.
+
+    Inputs are sums of a class's and a place's vector, so keys, values and queries are too: each is made once a class and once a place.
+    """
+    d = w["e"].shape[1]
+    both, own = np.concatenate([w["k"], w["v"]], axis=1), np.concatenate([w["q"] * w["e"].dtype.type(d**-0.5), np.eye(d, dtype=w["e"].dtype)], axis=1)
+    kv = (w["e"] @ both).take(windows, axis=0)
+    kv += w["p"] @ both
+    qx = (w["e"] @ own).take(windows[:, BLOCK:], axis=0)
+    qx += w["p"][BLOCK:] @ own
+    a = qx[:, :, :d] @ kv[:, :, :d].transpose(0, 2, 1)
+    visible = (windows != len(w["e"]) - 1).astype(a.dtype)[:, None, :]
+    if np.abs(a).max() > 80:
+        a = np.where(visible * _CAUSAL > 0, a, a.dtype.type(-1e9))
+    _exp(a, 2)
+    a *= _CAUSAL
+    a *= visible
+    a /= (a.reshape(-1, 2 * BLOCK) @ np.ones(2 * BLOCK, dtype=a.dtype)).reshape(*a.shape[:2], 1)
+    summed = a @ kv[:, :, d:]
+    h = np.ones((len(windows), BLOCK, d + 1), dtype=a.dtype)
+    np.add(qx[:, :, d:], summed, out=h[:, :, :d])
+    return kv, qx, a, summed, h.reshape(-1, d + 1)
 
 
 #: Windows scored at once: few enough that their arrays stay in a core's cache.
 AT_ONCE = 256
 
 
-def _by_group(targets: np.ndarray, n_groups: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """An order of flat targets by group, and (group, begin, end) in it."""
+def _by_group(targets: np.ndarray, n_groups: int) -> tuple[np.ndarray, list[tuple[slice, slice]]]:
+    """An order of flat targets by group, and for each group its classes and its places in that order."""
     group = targets >> 4
     order = np.argsort(group, kind="stable")
     ends = np.cumsum(np.bincount(group, minlength=n_groups)).tolist()
-    return order, [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+    return order, [(slice(k * GROUP, (k + 1) * GROUP), slice(a, b)) for k, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
+
+
+def _logits(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> tuple:
+    """Weights with biases, logits of groups (groups, places), the order by group and its parts, outputs in that order, and logits in the target's group (GROUP, places in order)."""
+    of_groups, of_classes = np.concatenate([w["g"], w["c"][None]]), np.concatenate([w["u"], w["b"][None]])
+    order, parts = _by_group(target, len(w["c"]))
+    in_order, inside = h.take(order, axis=0), np.empty((GROUP, len(h)), dtype=h.dtype)
+    for classes, at in parts:
+        np.matmul(of_classes[:, classes].T, in_order[at].T, out=inside[:, at])
+    return of_groups, of_classes, of_groups.T @ h.T, order, parts, in_order, inside
 
 
 def log_chances(w: dict[str, np.ndarray], windows: np.ndarray, targets: np.ndarray, n_boundary: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """log10 chances of the targets, and of the first ``n_boundary`` classes (whole groups) together, at each place: windows (n, 2 * BLOCK) of input classes, targets (n, BLOCK)."""
     own, ends = np.empty(targets.size), np.zeros(targets.size)
-    nothing, n_groups = len(w["e"]) - 1, len(w["c"])
     for first in range(0, len(windows), AT_ONCE):
-        part = windows[first : first + AT_ONCE]
-        h = _attend(w, w["e"][part] + w["p"], part == nothing)[-1].reshape(-1, w["g"].shape[0])
+        h = _attend(w, windows[first : first + AT_ONCE])[-1]
         target = targets[first : first + AT_ONCE].reshape(-1).astype(np.uint8)
-        logits = np.exp(np.clip(h @ w["g"] + w["c"], -80, 80))
-        total = logits.sum(axis=1)
-        here = slice(first * BLOCK, first * BLOCK + len(target))
-        if n_boundary:
-            ends[here] = np.log(np.maximum(logits[:, : n_boundary // GROUP].sum(axis=1), 1e-30) / total)
-        order, parts = _by_group(target, n_groups)
-        sorted_h, inner = h[order], (target & 15)[order]
-        value = np.log(np.maximum(logits[np.arange(len(target)), target >> 4], 1e-30) / total)
-        inside = np.empty(len(target), dtype=np.float32)
-        for k, a, b in parts:
-            x = np.clip(sorted_h[a:b] @ w["u"][:, k * GROUP : (k + 1) * GROUP] + w["b"][k * GROUP : (k + 1) * GROUP], -80, 80)
-            inside[a:b] = x[np.arange(b - a), inner[a:b]] - np.log(np.exp(x).sum(axis=1))
-        value[order] += inside
-        own[here] = value
+        _, _, groups, order, _, _, inside = _logits(w, h, target)
+        every, here = np.arange(len(target)), slice(first * BLOCK, first * BLOCK + len(target))
+        for logits, picked, places in ((groups, target >> 4, here), (inside, (target & 15)[order], here.start + order)):
+            if max(logits.max(), -logits.min()) > 80:
+                logits -= logits.max(axis=0)
+            value = logits[picked, every]
+            total = np.exp(logits, out=logits).sum(axis=0)
+            value -= np.log(total)
+            if logits is groups:
+                own[places] = value
+                if n_boundary:
+                    ends[here] = np.log(np.maximum(logits[: n_boundary // GROUP].sum(axis=0), 1e-30) / total)
+            else:
+                own[places] += value
     return own.reshape(targets.shape) / np.log(10), ends.reshape(targets.shape) / np.log(10)
 
 
+def _sums_of(classes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The sum of each class's rows."""
+    classes = classes.reshape(-1).astype(np.uint8)
+    order = np.argsort(classes, kind="stable")
+    sizes = np.bincount(classes, minlength=n)
+    some = np.flatnonzero(sizes)
+    out = np.zeros((n, rows.shape[-1]), dtype=rows.dtype)
+    out[some] = np.add.reduceat(rows.reshape(-1, rows.shape[-1]).take(order, axis=0), (np.cumsum(sizes) - sizes)[some], axis=0)
+    return out
+
+
 def gradients(w: dict[str, np.ndarray], windows: np.ndarray, targets: np.ndarray, counted: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log likelihood of the counted targets, and its gradients."""
-    nothing = windows == len(w["e"]) - 1
-    x = w["e"][windows] + w["p"]
-    d = x.shape[2]
-    q, k, v, a, h = _attend(w, x, nothing)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
-    n, own, target, fh = max(1, int(counted.sum())), counted.reshape(-1), targets.reshape(-1).astype(np.uint8), flat(h)
-    every, share = np.arange(len(target)), (own / np.float32(n)).astype(np.float32)[:, None]
-    logits = fh @ w["g"] + w["c"]
-    p = np.exp(logits - logits.max(axis=1, keepdims=True))
-    p /= p.sum(axis=1, keepdims=True)
-    loss = float(-(np.log(p[every, target >> 4] + 1e-30) * own).sum() / n)
-    p[every, target >> 4] -= 1
-    p *= share
-    g = {"g": fh.T @ p, "c": p.sum(axis=0), "u": np.zeros_like(w["u"]), "b": np.zeros_like(w["b"])}
-    dh = p @ w["g"].T
-    order, parts = _by_group(target, len(w["c"]))
-    sorted_h, inner, sorted_share, more = fh[order], (target & 15)[order], share[order], np.empty_like(fh)
-    for j, first, end in parts:
-        cut = slice(j * GROUP, (j + 1) * GROUP)
-        logits = sorted_h[first:end] @ w["u"][:, cut] + w["b"][cut]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        at = np.arange(end - first)
-        loss -= float((np.log(p[at, inner[first:end]] + 1e-30) * sorted_share[first:end, 0]).sum())
-        p[at, inner[first:end]] -= 1
-        p *= sorted_share[first:end]
-        g["u"][:, cut], g["b"][cut] = sorted_h[first:end].T @ p, p.sum(axis=0)
-        more[first:end] = p @ w["u"][:, cut].T
-    dh[order] += more
-    dh = dh.reshape(h.shape)
-    da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(d**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    later = x[:, BLOCK:]
-    g["q"], g["k"], g["v"] = flat(later).T @ flat(dq), flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-    dx = _times(dk, w["k"].T) + _times(dv, w["v"].T)
-    dx[:, BLOCK:] += dh + _times(dq, w["q"].T)
-    g["p"] = dx.sum(axis=0)
-    used = windows.reshape(-1).astype(np.uint8)
-    order = np.argsort(used, kind="stable")
-    cuts = np.flatnonzero(np.diff(used[order].astype(np.int16), prepend=-1))
-    g["e"] = np.zeros_like(w["e"])
-    g["e"][used[order[cuts]]] = np.add.reduceat(flat(dx)[order], cuts, axis=0)
+    d, dtype = w["e"].shape[1], w["e"].dtype
+    kv, qx, a, summed, h = _attend(w, windows)
+    n, target = max(1, int(counted.sum())), targets.reshape(-1).astype(np.uint8)
+    every, share = np.arange(len(target)), (counted.reshape(-1) / n).astype(dtype)
+    of_groups, of_classes, p, order, parts, in_order, inside = _logits(w, h, target)
+    loss = 0.0
+    for x, picked, part in ((p, target >> 4, share), (inside, (target & 15)[order], share[order])):
+        _exp(x, 0)
+        x /= x.sum(axis=0)
+        loss -= float(np.log(x[picked, every] + 1e-30) @ part)
+        x[picked, every] -= 1
+        x *= part
+    both = (p @ h).T
+    g = {"g": both[:-1], "c": both[-1]}
+    dh = p.T @ w["g"].T
+    both, more = np.zeros_like(of_classes), np.empty_like(dh)
+    for classes, at in parts:
+        both[:, classes] = (inside[:, at] @ in_order[at]).T
+        np.matmul(inside[:, at].T, w["u"][:, classes].T, out=more[at])
+    g["u"], g["b"] = both[:-1], both[-1]
+    back = np.empty_like(order)
+    back[order] = every
+    dh += more.take(back, axis=0)
+    dh = dh.reshape(-1, BLOCK, d)
+    dkv, dqx = np.empty_like(kv), np.empty_like(qx)
+    ds = dh @ kv[:, :, d:].transpose(0, 2, 1)
+    ds -= ((dh * summed).reshape(-1, d) @ np.ones(d, dtype=dtype)).reshape(-1, BLOCK, 1)
+    ds *= a
+    np.matmul(a.transpose(0, 2, 1), dh, out=dkv[:, :, d:])
+    np.matmul(ds.transpose(0, 2, 1), qx[:, :, :d], out=dkv[:, :, :d])
+    np.matmul(ds, kv[:, :, :d], out=dqx[:, :, :d])
+    dqx[:, :, :d] *= dtype.type(d**-0.5)
+    dqx[:, :, d:] = dh
+    # Sums by class and by place are all that the inputs' weights need.
+    kv_classes, kv_places = _sums_of(windows, dkv, len(w["e"])), dkv.sum(axis=0)
+    qx_classes, qx_places = _sums_of(windows[:, BLOCK:], dqx, len(w["e"])), np.zeros((2 * BLOCK, 2 * d), dtype=dtype)
+    qx_places[BLOCK:] = dqx.sum(axis=0)
+    keys, values, queries, own = (np.concatenate([x[:, cut], y[:, cut]]) for x, y in ((kv_classes, kv_places), (qx_classes, qx_places)) for cut in (slice(d), slice(d, None)))
+    inputs = np.concatenate([w["e"], w["p"]])
+    g["k"], g["v"], g["q"] = inputs.T @ keys, inputs.T @ values, inputs.T @ queries
+    dx = keys @ w["k"].T + values @ w["v"].T + queries @ w["q"].T + own
+    g["e"], g["p"] = dx[: len(w["e"])], dx[len(w["e"]) :]
     return loss, g
 
 
 class Adam:
-    """Weights that learn from one batch of windows after the other."""
+    """Weights that learn from one batch of windows after the other; ``w`` are views of one flat array."""
 
     def __init__(self, weights: dict[str, np.ndarray], rate: float):
-        self.w, self.rate, self.steps = {name: x.copy() for name, x in weights.items()}, rate, 0
-        self.m1, self.m2 = ({name: np.zeros_like(x) for name, x in weights.items()} for _ in range(2))
+        self.rate, self.steps = rate, 0
+        self.flat = np.concatenate([x.reshape(-1) for x in weights.values()])
+        cuts = np.cumsum([x.size for x in weights.values()])[:-1]
+        self.w = {name: part.reshape(x.shape) for (name, x), part in zip(weights.items(), np.split(self.flat, cuts), strict=True)}
+        self.m1, self.m2 = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def learn(self, items: np.ndarray) -> None:
         """One step over items (n, 3 * BLOCK + 1: window, targets and how many of them count)."""
         self.steps += 1
         counted = np.arange(BLOCK)[None, :] < items[:, -1:]
         _, g = gradients(self.w, items[:, : 2 * BLOCK], items[:, 2 * BLOCK : 3 * BLOCK], counted)
-        for name, w in self.w.items():
-            m1, m2 = self.m1[name], self.m2[name]
-            m1 += 0.1 * (g[name] - m1)
-            m2 += 0.01 * (g[name] ** 2 - m2)
-            w -= np.float32(self.rate) * (m1 / (1 - 0.9**self.steps)) / (np.sqrt(m2 / (1 - 0.99**self.steps)) + np.float32(1e-6))
+        g = np.concatenate([g[name].reshape(-1) for name in self.w])
+        self.m1 += 0.1 * (g - self.m1)
+        self.m2 += 0.01 * (g**2 - self.m2)
+        self.flat -= np.float32(self.rate) * (self.m1 / (1 - 0.9**self.steps)) / (np.sqrt(self.m2 / (1 - 0.99**self.steps)) + np.float32(1e-6))
 
 
 def fit_blocks(w: dict[str, np.ndarray], batches: Iterator[np.ndarray], rate: float, batch: int, steps: int = 0) -> tuple[dict[str, np.ndarray], int]:
@@ -379,25 +417,38 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: Config) -> dict[str,
     shared = spark.sparkContext.broadcast(vocabulary)
     classes, rounds = config.classes, config.rounds
 
-    def items_of(batches: Iterator[pa.RecordBatch], encoder: ChunkEncoder, wanted: int | None = None) -> Iterator[np.ndarray]:
-        """Items of the training documents, or of those of one round."""
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The round and the classes, with the end, of each training document."""
+        encoder = ChunkEncoder(_encode(config.model_file))
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))
-            own = [t.lower() for i, t in zip(ids, texts, strict=True) if not held_out(i) and (wanted is None or zlib.crc32(t) % rounds == wanted)]
+            own = [t.lower() for i, t in zip(ids, texts, strict=True) if not held_out(i)]
+            for k in range(0, len(own), 256):
+                part = own[k : k + 256]
+                sequence, counts = _with_ends(*encoder(part), shared.value.class_of)
+                offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+                rows = pa.Array.from_buffers(pa.binary(), len(part), [None, offsets, pa.py_buffer(sequence)])
+                yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(t) % rounds for t in part], pa.int32()), rows], names=["round", "classes"])
+
+    def items_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        """Items of the documents of such rows."""
+        for batch in batches:
+            own = batch.column("classes").to_pylist()
             for k in range(0, len(own), 256):
-                sequence, counts = _with_ends(*encoder(own[k : k + 256]), shared.value.class_of)
-                windows, targets, counted, _ = cut_windows(sequence, counts, classes)
-                yield np.concatenate([windows, targets, counted[:, None].astype(np.uint8)], axis=1)
+                part = own[k : k + 256]
+                windows, targets, counted, _ = cut_windows(np.frombuffer(b"".join(part), dtype=np.uint8), np.array([len(x) for x in part]), classes)
+                yield np.concatenate([windows, targets, counted[:, None]], axis=1)
 
     def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros((classes + 2) * classes, dtype=np.int64)
-        for rows in items_of(batches, ChunkEncoder(_encode(config.model_file))):
+        for rows in items_of(batches):
             real = np.arange(BLOCK)[None, :] < rows[:, -1:]
             found += np.bincount((rows[:, BLOCK : 2 * BLOCK].astype(np.int64) * classes + rows[:, 2 * BLOCK : 3 * BLOCK])[real], minlength=len(found))
         yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(found)), pa.array(found[found > 0])], names=["place", "n"])
 
+    spelled, path = write_table(docs.select("doc_id", "text").mapInArrow(sequences, "round int, classes binary"), "sequences")
     pairs = np.zeros((classes + 2) * classes)
-    for r in docs.mapInArrow(count_pairs, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most as many as pairs of classes
+    for r in spelled.mapInArrow(count_pairs, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).collect():  # at most as many as pairs of classes
         pairs[r.place] = r.n
     weights = initial(vocabulary, config, pairs.reshape(classes + 2, classes))
     names = sorted(weights)
@@ -405,14 +456,15 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: Config) -> dict[str,
         now = spark.sparkContext.broadcast(weights)
         rate = config.rate / 2**round_no
 
-        def local(batches: Iterator[pa.RecordBatch], now=now, rate=rate, round_no=round_no) -> Iterator[pa.RecordBatch]:
+        def local(batches: Iterator[pa.RecordBatch], now=now, rate=rate) -> Iterator[pa.RecordBatch]:
             one_thread()
-            w, n = fit_blocks(now.value, items_of(batches, ChunkEncoder(_encode(config.model_file)), round_no), rate, config.batch, config.steps)
+            keep_memory()
+            w, n = fit_blocks(now.value, items_of(batches), rate, config.batch, config.steps)
             if n:
                 flat = np.concatenate([w[x].reshape(-1) for x in names]).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * n), pa.array(np.full(len(flat), float(n)))], names=["place", "total", "n"])
 
-        rows = docs.mapInArrow(local, "place bigint, total double, n double").groupBy("place").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()  # as many as weights
+        rows = spelled.filter(F.col("round") == round_no).mapInArrow(local, "place bigint, total double, n double").groupBy("place").agg((F.sum("total") / F.sum("n")).alias("mean")).collect()  # as many as weights
         if not rows:
             continue
         flat = np.zeros(len(rows), dtype=np.float32)
@@ -420,6 +472,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, config: Config) -> dict[str,
             flat[r.place] = r["mean"]
         cuts = np.cumsum([weights[x].size for x in names])[:-1]
         weights = {x: part.reshape(weights[x].shape) for x, part in zip(names, np.split(flat, cuts), strict=True)}
+    remove_table(spark, path)
     return weights
 
 
@@ -456,6 +509,7 @@ def score(docs: DataFrame, config: Config) -> DataFrame:
         from pyspark import TaskContext
 
         one_thread()
+        keep_memory()
         vocabulary, weights, frequent = shared.value
         end_log = float(np.log10(frequent.get(END, 0) + 1.0))
         log_first = np.log10(np.maximum(vocabulary.first_counts, 1.0)) - np.log10(config.known / (1 - config.known))

@@ -141,6 +141,21 @@ def test_lm_mixture_sums_to_one(spark, config):
     assert (10 ** (tails - after)).sum() + 10 ** stop[0] == pytest.approx(1, abs=1e-3)
 
 
+def test_lm_training_reads_and_spells_each_text_once(spark, config):
+    rng = random.Random(6)
+    docs = make(spark, [words(rng, 20, 30) for _ in range(40)])
+    vocabulary = lm.learn_vocabulary(lm.count_words(docs), config)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lm.train(docs.mapInArrow(count, docs.schema), vocabulary, config)
+    assert read.value == 40
+
+
 def test_lm_gradients_match_differences():
     vocabulary = lm.Vocabulary(np.arange(100, 0, -1.0), np.arange(100) % 2 == 0, 5, 64)
     w = {k: x.astype(np.float64) for k, x in lm.initial(vocabulary, lm.Config("", classes=64, width=4)).items()}
