@@ -5,8 +5,8 @@ triangle inequality on the sphere bounds their angle for every reference r: it i
 2 pi less that sum. Cosines of the bounds times the norms, widened by more than all rounding, give score bounds.
 They hold for any directions; which ones are taken (far apart, from a sample of at most ``sample_rows`` rows) decides only how much is skipped.
 
-Rows are ordered by label, nearest reference and angle, and packed in blocks of groups. Anchor blocks meet row blocks in an equi join on
-cells, each anchor block once with every row block. In a pair of blocks, bounds of whole groups (intervals of angles and norms) are looked at first, then those
+Rows are ordered by label, nearest reference and angle, and packed in blocks of groups. Anchor blocks meet row blocks in a shuffled equi join on
+cells, each anchor block once with every row block; no block passes through the driver. In a pair of blocks, bounds of whole groups (intervals of angles and norms) are looked at first, then those
 of their rows; only anchors and rows whose window overlaps get integer products.
 
 1. Positives: the window is what can reach the least score that enough rows of the label are sure of. Best of each pair of blocks, then best of all.
@@ -304,6 +304,14 @@ def _blocks(rows: DataFrame, dimensions: int, size: int, partitions: int, cells:
     return ordered.mapInArrow(work, BLOCKS)
 
 
+def _sample(rows: DataFrame, n_rows: int, most: int) -> list[list[int]]:
+    """About ``most`` vectors, never more, by their hashes. Of a long table only rows with hashes in a small range are looked at, so that each task doesn't send ``most`` of them to the driver."""
+    parts = 1 << 20
+    if n_rows > 2 * most:
+        rows = rows.filter(F.pmod(F.xxhash64("vec_id", "vector"), F.lit(parts)) < -(-2 * most * parts // n_rows))
+    return [r.vector for r in rows.orderBy(F.xxhash64("vec_id", "vector")).select("vector").limit(most).collect()]
+
+
 def mine(vectors: DataFrame, is_anchor: Column, config: Config = Config()) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score for the rows (vec_id, embedding, label) where ``is_anchor`` holds."""
     spark = vectors.sparkSession
@@ -316,7 +324,7 @@ def mine(vectors: DataFrame, is_anchor: Column, config: Config = Config()) -> Da
     limit = math.isqrt((1 << 55) // dimensions)
     rows = rows.withColumn("vector", F.transform("vector", lambda x: F.greatest(F.least(x, F.lit(limit)), F.lit(-limit))))
     # A bounded sample of rows, to choose directions from.
-    sample = [r.vector for r in rows.orderBy(F.xxhash64("vec_id", "vector")).select("vector").limit(config.sample_rows).collect()] if config.references else []
+    sample = _sample(rows, n_rows, min(config.sample_rows, max(64, config.block_values // dimensions))) if config.references else []
     references = choose_references(np.array([[*x, *[0] * (dimensions - len(x))] for x in sample], dtype=np.float64).reshape(-1, dimensions), config.references)
     one, made = Config(**vars(config)), []
     size = max(64, config.block_values // dimensions)
@@ -333,9 +341,13 @@ def mine(vectors: DataFrame, is_anchor: Column, config: Config = Config()) -> Da
         measured = written(_measured(rows, references, dimensions), "vectors")
         blocks = written(_blocks(measured, dimensions, size, max(1, -(-n_blocks // 4), min(n_blocks, 16)), cells), "blocks")
         anchors = written(_blocks(measured.filter("anchor"), dimensions, one.anchors, max(1, -(-n_anchors // one.anchors)), 1), "anchors")
-        spread = anchors.drop("cell").select("*", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
         own = blocks.select("cell", *[F.col(x).alias("v_" + x) for x in blocks.columns if x != "cell"])
 
+        def met(these: DataFrame) -> DataFrame:
+            # Spark takes the copies of the anchor blocks for as small as one, and would send them all through the driver. More tasks than cells, so that few have several.
+            spread = these.drop("cell").select("*", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+            return spread.repartition(2 * cells, "cell").hint("merge").join(own.repartition(2 * cells, "cell"), "cell")
+
         def pairs(batch: pa.RecordBatch) -> Iterator[tuple[dict, Block, Block]]:
             for row in batch.to_pylist():
                 yield row, Block(row, dimensions, one.group), Block({x[2:]: y for x, y in row.items() if x[:2] == "v_"}, dimensions, one.group)
@@ -348,7 +360,7 @@ def mine(vectors: DataFrame, is_anchor: Column, config: Config = Config()) -> Da
                     if len(i):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), row["block"])), pa.array(i), pa.array(v.ids[j]), pa.array(s)], names=["block", "at", "positive_id", "score"])
 
-        found = spread.join(own, "cell").mapInArrow(find_positives, "block bigint, at bigint, positive_id bigint, score bigint")
+        found = met(anchors).mapInArrow(find_positives, "block bigint, at bigint, positive_id bigint, score bigint")
         best = Window.partitionBy("block", "at").orderBy(F.desc("score"), "positive_id")
         positives = written(found.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= one.positives), "positives")
         # At most ``anchors`` times ``positives`` rows a block.
@@ -368,7 +380,7 @@ def mine(vectors: DataFrame, is_anchor: Column, config: Config = Config()) -> Da
                         columns = [a.rows[i], w, a.ids[i], positive[i, w], score[i, w], v.ids[j], s]
                         yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["row", "window", "anchor_id", "positive_id", "positive_score", "negative_id", "negative_score"])
 
-        found = spread.join(known, "block").join(own, "cell").mapInArrow(find_negatives, "row bigint, window bigint, anchor_id bigint, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint")
+        found = met(anchors.join(known.hint("merge"), "block")).mapInArrow(find_negatives, "row bigint, window bigint, anchor_id bigint, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint")
         best = Window.partitionBy("row", "window").orderBy(F.desc("negative_score"), "negative_id")
         ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= one.negatives)
         out = materialize(ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives")

@@ -14,7 +14,7 @@ import pytest
 pytest.importorskip("pagewarden.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
-from pagewarden.llm import negatives, packing, search, tokenstore  # noqa: E402
+from pagewarden.llm import common, negatives, packing, search, tokenstore  # noqa: E402
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -246,6 +246,29 @@ def test_mining_of_empty_tables(spark):
     assert negatives.mine(alone, F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_no_blocks_of_vectors_pass_through_the_driver(spark, monkeypatch):
+    plans, write = [], common.write_table
+
+    def written(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(negatives, "write_table", written)
+    monkeypatch.setattr(common, "write_table", written)  # that of materialize()
+    rows = vectors(np.random.default_rng(4), 400, 16, 6, 0.6)
+    config = negatives.Config(block_values=64 * 16, group=16, anchors=7, references=5)
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    assert sorted(tuple(r) for r in negatives.mine(df, F.col("vec_id") % 50 == 0, config).collect()) == mined(rows, config)
+    assert len(plans) == 5 and sum("SortMergeJoin" in x for x in plans) == 2 and not any("Broadcast" in x for x in plans)
+
+
+def test_sample_of_a_long_table(spark):
+    rows = spark.range(20_000).selectExpr("id vec_id", "array(id, id + 1) vector").repartition(8)
+    taken = negatives._sample(rows, 20_000, 100)
+    assert len(taken) == len({tuple(x) for x in taken}) == 100 and negatives._sample(rows, 20_000, 100) == taken
+    assert len(negatives._sample(rows.limit(150), 150, 100)) == 100 and len(negatives._sample(rows.limit(50), 50, 100)) == 50
+
+
 def block(ids, labels, v, references):
     kind, packed = negatives.pack_ints(v)
     row = {"vec_ids": np.array(ids, "<i8").tobytes(), "labels": np.array(labels, "<i8").tobytes(), "rows": np.array(ids, "<i8").tobytes(), "norms": np.linalg.norm(v.astype(float), axis=1).tobytes(), "angles": negatives.angles_to(v, references).tobytes(), "kind": kind, "vectors": packed}
