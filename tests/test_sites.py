@@ -6,10 +6,11 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pagewarden.operators import globs, headers, links, listings, pages, rules
+from pagewarden.operators import globs, headers, links, listings, literals, pages, rules
 from pagewarden.sources import site
 
 
@@ -219,6 +220,35 @@ def test_the_plan_of_a_long_list_is_short(spark):
     assert plans[50_000] < 1.1 * plans[5_000]
 
 
+def test_texts_and_findings_of_a_long_list_stay_where_they_are(spark):
+    titles = [f"a title of page {k}" for k in range(100)]
+    table = spark.createDataFrame([(x,) for x in [*titles, "e", "no such title"]], "literal string")
+    rows = [(f"p{k}", f"<h1>{titles[k]}</h1>{titles[(k + 3) % 100]}.") for k in range(100)]
+    want = {(p, x) for p, t in rows for x in [*titles, "e"] if x in t}
+    once = rules.find_literals(spark.createDataFrame(rows, "path string, value string"), table)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in once.collect()) == sorted(want)
+    # Paths with several texts, one of them null.
+    more = [*rows, ("p5", rows[6][1]), (None, rows[7][1]), (None, rows[7][1] + titles[50]), (None, None)]
+    found = rules.find_literals(spark.createDataFrame(more, "path string, value string"), table)
+    assert sorted(((r.path or "", r.literal) for r in found.collect())) == sorted({(p or "", x) for p, t in more if t for x in [*titles, "e"] if x in t})
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "ab é\n.*\0", 'abcdefghij/"', "é€😀"])
+def test_index_of_literals_finds_all_and_nothing_else(letters, monkeypatch):
+    rng = random.Random(letters)
+    make = lambda n: "".join(rng.choice(letters) for _ in range(rng.randrange(n))).encode()
+    for trial in range(12):
+        for name, most in (("RANGE", 1 << 20), ("PAIRS", 1 << 20), ("MANY_PAIRS", 1 << 16), ("STEPS", 32)):
+            monkeypatch.setattr(literals, name, most if trial % 2 else rng.choice([1, 3, 50]))
+        texts = [make(rng.choice([3, 60, 800])) for _ in range(rng.randrange(30))]
+        listed = {make(rng.choice([4, 12, 40, 600])) for _ in range(100)} | {t[rng.randrange(1 + len(t)) :] for t in texts[:3]}
+        listed = sorted(listed - {b""}) or [b"x"]
+        batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(len(texts))], pa.string()), pa.array(texts, pa.binary())], names=["path", "value"]).slice(trial % 3)
+        found = [r for part in literals.contained(batch, literals.Index(pa.array(listed, pa.binary())), rng.choice([7, 64, 1 << 16])) for r in part.to_pylist()]
+        assert sorted((r["path"], x) for r in found for x in r["literals"]) == sorted((str(k), x) for k, t in enumerate(texts) if k >= trial % 3 for x in listed if x in t)
+
+
 def test_parity_of_any_number_of_lists(spark):
     url = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
     lists = {"sitemap": url("a", "b", "b"), "page": url("a", "c"), "llms": url("a", "b", "d")}
